@@ -7,26 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-END_ID = 1
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset (single-machine tests) a folder below /tmp is set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/spark-checkpoint-{uuid.uuid4().hex[:8]}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from ..operators.shared import shared_folder, written
 
+__all__ = ["END_ID", "open_fs", "partitions", "put", "rename", "shared_folder", "slices", "table", "texts", "word_codes", "written"]
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in a shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+END_ID = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +50,37 @@ def rename(system, temporary: str, final: str) -> None:
     if not isinstance(system, fs.LocalFileSystem) and system.get_file_info(final).type != fs.FileType.NotFound:
         system.delete_file(final)
     system.move(temporary, final)
+
+
+def word_codes(texts):
+    """Words of a string array with A-Z lowered: (distinct words as bytes, each word's number, where each text's words begin and end).
+
+    Words are runs of anything but ASCII white space.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    words = [w.encode() for w in coded.dictionary.to_pylist()]
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = offsets - offsets[0]
+    if b"" in words:  # what splitting an empty text gives
+        full = at != words.index(b"")
+        before = np.concatenate([[0], np.cumsum(full)])
+        at, offsets = at[full], before[offsets]
+    return words, at, offsets
+
+
+def slices(texts, at_once: int = 8 << 20):
+    """Yields (from, to) so that each run of texts has about at_once bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + at_once)))
+        yield at, to
+        at = to

@@ -1,11 +1,19 @@
 """The registered queries of this subpackage and their SQL."""
 
+from . import exact_dedup, licenses
 from .packing import op10_packing
 from .token_files import op4_token_files
+from .warc import op9_warc
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_licenses": licenses.op3_licenses,
     "op4_token_files": op4_token_files,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op3_licenses": licenses.SQL,
+}

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 VOCABULARY = "word_bpe_49k.json"
 #: ASCII punctuation but the apostrophe, which can begin a contraction.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -97,12 +99,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, at_once: int = 8 << 20):
         """Yields the ids of each text of a string array in turn, about at_once bytes of text at a time."""
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + at_once)))
+        for at, to in common.slices(texts, at_once):
             yield from self._encode(texts[at:to])
-            at = to
 
     def _encode(self, texts: pa.Array):
         texts = pc.fill_null(texts, "")
