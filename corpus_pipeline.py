@@ -1,7 +1,38 @@
-"""A corpus pipeline of this library's operators."""
+"""A corpus pipeline: toxicity, exact dedup, near-dedup, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. run() writes each stage's rows in the shared folder and reads them again.
+"""
+
+from __future__ import annotations
+
+from tallyloom.llm import common, exact_dedup, near_dedup, packing, tokens, toxicity
+
+
+def drop_toxic(spark, docs, sf_dir):
+    return toxicity.survivors(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark, docs, sf_dir):
+    return exact_dedup.survivors(docs)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    return near_dedup.survivors(docs)
+
+
+def pack(spark, docs, sf_dir):
+    return packing.pack_documents(docs, tokens.vocabulary_path(), with_ids=True)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("packing", pack)]
+
+#: The classifier and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
