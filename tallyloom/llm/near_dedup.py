@@ -85,7 +85,7 @@ def sketches(values: np.ndarray, ends: np.ndarray, bins: int) -> np.ndarray:
         row = np.repeat(live, sizes)
         first = np.cumsum(sizes) - sizes
         x = values[np.repeat(ends[live] - first, sizes) + np.arange(sizes.sum())]
-        h = mix(x + np.uint64(i + 1) * np.uint64(0xD1342543DE82EF95))
+        h = mix(x + np.uint64((i + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
         bin_of = (h >> bits).astype(np.int64) if i < bins else np.full(len(h), i - bins)
         value = (np.uint64(i) << np.uint64(52)) | (h & np.uint64((1 << 52) - 1))
         slot = row * bins + bin_of

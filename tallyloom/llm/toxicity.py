@@ -44,7 +44,7 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal with one feature value, 1. The last place is the intercept, which has no L1."""
 
-    def __init__(self, size: int, alpha=0.1, beta=1.0, l1=2.0, l2=1.0):
+    def __init__(self, size: int, alpha=0.3, beta=1.0, l1=4.0, l2=0.0):
         self.z, self.n, self.size = np.zeros(size + 1), np.zeros(size + 1), size
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
