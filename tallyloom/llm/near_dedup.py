@@ -116,11 +116,13 @@ def signatures(docs: DataFrame, bins: int, rows: int) -> DataFrame:
         for batch in batches:
             for at, to in common.slices(batch.column("text")):
                 values, ends = shingle_sets(batch.column("text")[at:to])
-                keys = band_keys(sketches(values, ends, bins), rows)
+                coordinates = sketches(values, ends, bins)
+                keys = band_keys(coordinates, rows)
+                low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bins), len(keys), [None, pa.py_buffer(coordinates.astype(np.uint8).tobytes())])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:to], pa.array(digests(values, ends), pa.int64()), pa.array(np.diff(ends)), lists], ["doc_id", "node", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:to], pa.array(digests(values, ends), pa.int64()), pa.array(np.diff(ends)), lists, low.cast(pa.binary())], ["doc_id", "node", "n_shingles", "bands", "sketch"])
 
-    return common.texts(docs).mapInArrow(sign, "doc_id long, node long, n_shingles long, bands array<long>")
+    return common.texts(docs).mapInArrow(sign, "doc_id long, node long, n_shingles long, bands array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,11 +159,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.written(joined.mapInArrow(compare, "a long, b long, shared long, united long"), "confirmed")
 
 
-def near_groups(docs: DataFrame, percent: int = 75, bins: int = 128, rows: int = 4, rounds: int = 3) -> DataFrame:
+def across_blocks(members: DataFrame, percent: int, least: int, block: int) -> DataFrame:
+    """Pairs (node, n, other, m) of different labels in one bucket whose sketches agree in least coordinates.
+
+    members: key, node, n, label, sketch, members (of the bucket). Each pair of blocks of a bucket is one group of bounded size.
+    """
+
+    def compare(pdf):
+        import pandas as pd
+
+        data = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        node, n, label, own = (pdf[c].to_numpy() for c in ("node", "n", "label", "own"))
+        left = np.flatnonzero(own == pdf["lo"].iloc[0])
+        right = np.flatnonzero(own == pdf["hi"].iloc[0])
+        out = []
+        for i in range(0, len(left), 16):
+            a = left[i : i + 16]
+            agree = (data[a][:, None, :] == data[right][None]).sum(2)
+            small, large = np.minimum(n[a][:, None], n[right]), np.maximum(n[a][:, None], n[right])
+            x, y = np.nonzero((agree >= least) & (label[a][:, None] != label[right]) & (small * 100 >= large * percent))
+            out.append(np.stack([node[a][x], n[a][x], node[right][y], n[right][y]], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["node", "n", "other", "m"])
+
+    blocks = F.ceil(F.col("members") / block)
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "label", "sketch")
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(compare, "node long, n long, other long, m long").distinct()
+
+
+def near_groups(docs: DataFrame, percent: int = 75, bins: int = 128, rows: int = 4, rounds: int = 3, block: int = 512, margin: float = 0.2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     signed = common.written(signatures(docs, bins, rows), "signatures")
     full = signed.where("node is not null")
-    nodes = common.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = common.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
     buckets = common.written(buckets.join(shared.drop("members"), "key"), "buckets")
@@ -199,17 +230,20 @@ def near_groups(docs: DataFrame, percent: int = 75, bins: int = 128, rows: int =
     far = done.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d"))
     from_leader = far.select(F.col("a").alias("leader"), F.col("b").alias("node"), "d").unionByName(far.select(F.col("b").alias("leader"), F.col("a").alias("node"), "d"))
     members = labelled(buckets)
-    several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
     rest = members.join(several, "key").join(from_leader, ["leader", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    rest = common.written(rest.select("key", "node", "n", "label", "d"), "rest")
-    other = rest.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("top"), F.col("d").alias("e"))
+    rest = common.written(rest.select("key", "node", "n", "label", "d", "members"), "rest")
+    few = rest.where(F.col("members") <= block // 16)
+    other = few.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("top"), F.col("d").alias("e"))
     apart = F.coalesce(F.abs(F.col("d") - F.col("e")) > 1.000001 - percent / 100, F.lit(False))
-    check(rest.join(other, "key").where("label < top").where(~apart))
+    pairs = few.join(other, "key").where("label < top").where(~apart).select("node", "n", "other", "m")
+    many = rest.where(F.col("members") > block // 16).join(nodes.select("node", "sketch"), "node")
+    check(pairs.unionByName(across_blocks(many, percent, int(bins * (percent / 100 - margin)), block)))
 
     roots = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = roots.join(least, "component").select("node", "component_id")
-    out = signed.drop("bands").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signed.drop("bands", "sketch").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup, licenses, near_dedup, toxicity
+from . import bpe, exact_dedup, licenses, near_dedup, toxicity
 from .packing import op10_packing
 from .token_files import op4_token_files
 from .warc import op9_warc
@@ -9,6 +9,7 @@ QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_licenses": licenses.op3_licenses,
     "op4_token_files": op4_token_files,
+    "op5_bpe": bpe.op5_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op9_warc": op9_warc,
