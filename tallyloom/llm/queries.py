@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, licenses, near_dedup, toxicity
+from . import bpe, exact_dedup, licenses, lm, near_dedup, toxicity
 from .packing import op10_packing
 from .token_files import op4_token_files
 from .warc import op9_warc
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_lm": lm.op8_lm,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }

@@ -3,7 +3,8 @@
 A block is a run of documents of about `at_once` bytes of one input split. Words (not their
 occurrences) are shuffled, one row for each block that has them, so a word in every document
 costs a row per block only. Both passes over the documents see the same blocks, as the splits
-of a scan do not change.
+of a scan do not change; block numbers come from the task's number, so facts about words must
+come from behind a shuffle, and a block that doesn't fit its facts is an error.
 """
 
 from __future__ import annotations
