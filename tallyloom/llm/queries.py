@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, licenses, lm, near_dedup, toxicity
+from . import bpe, exact_dedup, licenses, lm, near_dedup, toxicity, vector_dedup
 from .packing import op10_packing
 from .token_files import op4_token_files
 from .warc import op9_warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_vector_dedup": vector_dedup.op2_vector_dedup,
     "op3_licenses": licenses.op3_licenses,
     "op4_token_files": op4_token_files,
     "op5_bpe": bpe.op5_bpe,
