@@ -28,7 +28,7 @@ def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str)
 
 
 def daily_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
-    return daily(events.withWatermark("ts", late))
+    return daily(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late))
 
 
 def idle(events: DataFrame, minutes: int = 30) -> DataFrame:
