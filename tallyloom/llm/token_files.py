@@ -34,10 +34,12 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = 1000, ids_each: int = 4096, size: int = 32768, width: int = 2) -> bytes:
-    """A zstandard dictionary from at most sample documents (those of the least hashes), ids_each ids of each."""
+    """A zstandard dictionary from at most sample documents (the doc_ids of the least hashes, chosen before any text is read), ids_each ids of each."""
     import zstandard
 
-    rows = common.texts(docs).orderBy(F.xxhash64("doc_id", "text")).select(F.substring("text", 1, 8 * ids_each).alias("text")).limit(sample).collect()
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, 8 * ids_each).alias("text"))
+    rows = some.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     encoder = tokens.encoder(path)
     samples = [ids[:ids_each].astype(f"<u{width}").tobytes() for ids in encoder.encode(pa.array([r.text for r in rows], pa.string()))]
     samples = [s for s in samples if len(s) >= 8]
