@@ -84,3 +84,28 @@ def interpretations(amount: Column, gross: Column, fee: Column, tax: Column) ->
     both = gross - fee - tax
     forms = F.array(form("gross", gross, 0, 0), form("net_of_fee", gross - fee, 0, 1), form("net_of_fee_tax", both, 0, 2), form("fee_tax_rounded", both, 2, 3))
     return F.array_min(F.filter(forms, lambda x: x.isNotNull()))["label"]
+
+
+#: Keys of a record's raw fields and marks of a text that give the answer key away.
+LEAK_KEYS = ["synthetic", "category", "truth_group"]
+LEAK_MARKS = ["synthetic:", "truth_group"]
+
+
+def redacted_description(text: Column) -> Column:
+    """Empty where the text names the scenario; null is empty."""
+    return F.when(F.coalesce(text, F.lit("")).startswith("synthetic:"), "").otherwise(F.coalesce(text, F.lit("")))
+
+
+def redacted_raw(raw: Column) -> Column:
+    """A map without the keys of the answer key; null stays null."""
+    return F.map_filter(raw, lambda k, _: ~k.isin(LEAK_KEYS))
+
+
+def leaks(record: Column) -> Column:
+    """Whether a record, as it would be sent, holds a mark of the answer key anywhere."""
+    text = F.to_json(record)
+    return text.contains(LEAK_MARKS[0]) | text.contains(LEAK_MARKS[1])
+
+
+def scrubbed_claim(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?i)synthetic:\w*", "")

@@ -86,3 +86,32 @@ SELECT user_id, sum(fresh)::BIGINT AS sessions, count(*) AS events, floor((epoch
     "usage_by_provider": "SELECT event_type, count(*) AS calls, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS tokens, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY 1",
     "category_confusion": _with("SELECT CASE WHEN truth_group IS NULL THEN 'noise' ELSE 'linked' END AS scenario, category, count(*) AS n FROM queue JOIN t USING (txn_id) GROUP BY ALL", _QUEUE),
 }
+
+ORACLES |= {
+    "refund_group_merge": _with(
+        """SELECT group_id, count(*) AS member_count, sum(amount_paise)::BIGINT AS net_paise FROM (SELECT coalesce(target, one.group_id) AS group_id, amount_paise FROM one LEFT JOIN moves ON moves.source = one.group_id) GROUP BY 1 HAVING min(amount_paise) < 0 AND max(amount_paise) > 0""",
+        f"""heads AS (SELECT *, {_FULL} AS f FROM (SELECT *, min(amount_paise) OVER g AS least, max(amount_paise) OVER g AS most, row_number() OVER (PARTITION BY group_id ORDER BY CASE source_kind WHEN 'gateway' THEN 0 WHEN 'bank' THEN 1 ELSE 2 END, txn_id) AS rn FROM one WINDOW g AS (PARTITION BY group_id)) WHERE rn = 1),
+moves AS (SELECT r.group_id AS source, min(o.group_id) AS target FROM heads r JOIN heads o ON r.batch_id = o.batch_id AND r.most < 0 AND o.least > 0 AND length(o.f) >= 3 AND contains(r.f, o.f) AND -r.amount_paise <= o.amount_paise AND coalesce(date_diff('day', o.txn_date, r.txn_date) BETWEEN 0 AND 30, true) GROUP BY 1 HAVING count(*) = 1)""",
+    ),
+    "settlement_absorption": _with(
+        """SELECT 't4:' || bank AS group_id, count(*) AS member_count, count(DISTINCT absorbed) AS absorbed_groups, (sum(amount_paise) FILTER (source_kind = 'bank') - sum(net_paise) FILTER (source_kind = 'gateway'))::BIGINT AS residual_paise
+FROM (SELECT bank, txn_id, absorbed FROM claimed UNION ALL SELECT DISTINCT bank, bank, NULL FROM claimed) JOIN t USING (txn_id) GROUP BY bank""",
+        """picked AS (SELECT b.txn_id AS bank, p.txn_id, one.group_id AS absorbed FROM rest b JOIN t p ON b.source_kind = 'bank' AND p.source_kind = 'gateway' AND b.batch_id = p.batch_id AND b.settlement_id = p.settlement_id LEFT JOIN one ON one.txn_id = p.txn_id),
+claimed AS (SELECT txn_id, min(bank) AS bank, min(absorbed) AS absorbed FROM (SELECT * FROM picked UNION ALL SELECT bank, one.txn_id, group_id FROM picked JOIN one ON group_id = absorbed) GROUP BY txn_id)""",
+    ),
+    "score_by_tier": _with(
+        """SELECT tier, count(DISTINCT group_id) AS groups, sum(n)::BIGINT AS member_rows, sum(n * (n - 1) // 2)::BIGINT AS pairs, sum(tp)::BIGINT AS tp, (sum(n * (n - 1) // 2) - sum(tp))::BIGINT AS fp
+FROM (SELECT tier, group_id, sum(m)::BIGINT AS n, sum(CASE WHEN truth_group IS NULL THEN 0 ELSE m * (m - 1) // 2 END)::BIGINT AS tp FROM (SELECT tier, group_id, truth_group, count(*) AS m FROM (SELECT 1 AS tier, group_id, truth_group FROM one UNION ALL SELECT 2, group_id, truth_group FROM two) GROUP BY ALL) GROUP BY tier, group_id) GROUP BY tier""",
+        _WALK,
+    ),
+    "source_histogram": _with(f"SELECT n_sources, count(*) AS groups FROM ({_GROUP} one GROUP BY group_id) GROUP BY 1"),
+    "confidence_histogram": _with(f"SELECT confidence_pct, count(*) AS groups FROM ({_GROUP} two GROUP BY group_id) GROUP BY 1", _WALK),
+    "open_by_batch": _with("SELECT batch_id, count(*) AS n, sum(abs(amount_paise))::BIGINT AS abs_paise FROM queue GROUP BY 1", _QUEUE),
+    "most_open_batches": _with("SELECT batch_id, count(*) AS n, sum(abs(amount_paise))::BIGINT AS abs_paise FROM queue GROUP BY 1 ORDER BY n DESC, batch_id LIMIT 3", _QUEUE),
+    "review_chunks": _with(
+        "SELECT batch_id, txn_id, (CASE WHEN i < n - last THEN i // 10 ELSE (n - 1) // 10 END)::BIGINT AS chunk FROM (SELECT *, CASE WHEN n > 10 THEN greatest((n - 1) % 10 + 1, 5) ELSE n END AS last FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY abs(amount_paise) DESC, txn_id) - 1 AS i, count(*) OVER (PARTITION BY batch_id) AS n FROM queue))",
+        _QUEUE,
+    ),
+    "redaction": _with("SELECT txn_id, source_kind = 'bank' AS leaked, CASE source_kind WHEN 'bank' THEN '' ELSE external_ref END AS description, 'settlement_id' AS raw_keys, false AS leaks, 'was  ' || CASE source_kind WHEN 'bank' THEN regexp_replace('synthetic:' || external_ref, 'synthetic:\\w*', '', 'i') ELSE external_ref END AS claim FROM t"),
+}
+ORACLES["interpretation_counts"] = f"SELECT label, count(*) AS n FROM ({ORACLES['fee_interpretations']}) GROUP BY 1"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import match as M
+from .operators import tiers as T
 from .operators.shared import written
 from .plans.corpus import match_view, txns
 from .sources.files import new_rows
@@ -184,4 +185,69 @@ def category_confusion(spark, d):
     return _queue(spark, d).join(full.select("txn_id", "scenario"), "txn_id").groupBy("scenario", "category").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_refs, t1_exact_groups, t1_roles, t2_candidate_pairs, t2_clusters, t2_attach, fee_interpretations, refund_pairs_asof, settlement_by_id, settlement_window_candidates, subset_sum_settlement, unmatched_anti, duplicate_suspects, variance_queue, variances_by_category, open_top5, pair_scores, tier_funnel, recon_identity, rows_by_source, running_balance, latest_per_counterparty, ingest_idempotent, parse_money, extract_reference, figure_trace, daily_rollup, idle_detection, usage_by_provider, category_confusion)}
+def refund_group_merge(spark, d):
+    members = written(T.with_refunds(written(_exact(spark, d), "members")), "merged")
+    mixed = (F.min("amount_paise") < 0) & (F.max("amount_paise") > 0)
+    return members.groupBy("group_id").agg(F.count("*").alias("member_count"), F.sum("amount_paise").alias("net_paise"), mixed.alias("merged")).where("merged").drop("merged")
+
+
+def settlement_absorption(spark, d):
+    t = written(_t(spark, d), "txns")
+    found = written(T.settlement_members(t, written(M.exact_members(t), "members")), "settled")
+    net = F.sum(F.when(F.col("source_kind") == "gateway", F.col("net_paise")))
+    bank = F.sum(F.when(F.col("source_kind") == "bank", F.col("amount_paise")))
+    return found.join(t, "txn_id").groupBy("group_id").agg(F.count("*").alias("member_count"), F.count_distinct("absorbed").alias("absorbed_groups"), (bank - net).alias("residual_paise"))
+
+
+def score_by_tier(spark, d):
+    full = written(txns(spark, d), "txns")
+    t = match_view(full)
+    one = written(M.exact_members(t), "members")
+    rows = one.withColumn("tier", F.lit(1)).unionByName(M.cluster_members(M.unmatched(t, one)).withColumn("tier", F.lit(2)))
+    return T.scores_by_tier(rows, full.select("txn_id", "truth_group"))
+
+
+def fee_groups(spark, d):
+    return T.fee_groups(written(_open(spark, d), "open"))
+
+
+def fee_attach(spark, d):
+    t = written(_t(spark, d), "txns")
+    members = written(M.exact_members(t), "members")
+    return T.fee_attached(M.unmatched(t, members), members)
+
+
+def source_histogram(spark, d):
+    return t1_exact_groups(spark, d).groupBy("n_sources").agg(F.count("*").alias("groups"))
+
+
+def confidence_histogram(spark, d):
+    return t2_clusters(spark, d).groupBy("confidence_pct").agg(F.count("*").alias("groups"))
+
+
+def interpretation_counts(spark, d):
+    return fee_interpretations(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def open_by_batch(spark, d):
+    return _queue(spark, d).groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(F.abs("amount_paise")).alias("abs_paise"))
+
+
+def most_open_batches(spark, d):
+    return open_by_batch(spark, d).orderBy(F.desc("n"), "batch_id").limit(3)
+
+
+def review_chunks(spark, d):
+    return T.chunked(_queue(spark, d), ["batch_id"], [F.abs("amount_paise").desc(), "txn_id"]).select("batch_id", "txn_id", "chunk")
+
+
+def redaction(spark, d):
+    t = _t(spark, d)
+    raw = F.create_map(F.lit("settlement_id"), F.coalesce("settlement_id", F.lit("")), F.lit("category"), F.col("source_kind"))
+    text = F.when(F.col("source_kind") == "bank", F.concat(F.lit("synthetic:"), "external_ref")).otherwise(F.col("external_ref"))
+    before = t.select("txn_id", text.alias("description"), raw.alias("raw"))
+    after = before.select("txn_id", S.leaks(F.struct("description", "raw")).alias("leaked"), S.redacted_description(F.col("description")).alias("description"), S.redacted_raw(F.col("raw")).alias("raw"), S.scrubbed_claim(F.concat(F.lit("was SYNTHETIC:x1 "), "description")).alias("claim"))
+    return after.select("txn_id", "leaked", "description", F.array_join(F.map_keys("raw"), ",").alias("raw_keys"), S.leaks(F.struct("description", "raw")).alias("leaks"), "claim")
+
+
+QUERIES = {f.__name__: f for f in (normalize_refs, t1_exact_groups, t1_roles, t2_candidate_pairs, t2_clusters, t2_attach, fee_interpretations, refund_pairs_asof, settlement_by_id, settlement_window_candidates, subset_sum_settlement, unmatched_anti, duplicate_suspects, variance_queue, variances_by_category, open_top5, pair_scores, tier_funnel, recon_identity, rows_by_source, running_balance, latest_per_counterparty, ingest_idempotent, parse_money, extract_reference, figure_trace, daily_rollup, idle_detection, usage_by_provider, category_confusion, refund_group_merge, settlement_absorption, score_by_tier, fee_groups, fee_attach, source_histogram, confidence_histogram, interpretation_counts, open_by_batch, most_open_batches, review_chunks, redaction)}

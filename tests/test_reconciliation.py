@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom import oracles, queries
 from tallyloom.functions import scalars as S
 from tallyloom.operators import match as M
+from tallyloom.operators import tiers as T
 from tallyloom.plans.corpus import guarded, match_view
 from tallyloom.sources import files
 from tallyloom.streaming import live
@@ -60,6 +62,56 @@ def test_replay_takes_unique_places(spark):
     assert sorted(map(tuple, M.replayed(edges).collect())) == [("a", "g1"), ("d", "g3")]
 
 
+ROW = "txn_id string, batch_id string, source_kind string, external_ref string, amount_paise long, fee_paise long, tax_paise long, net_paise long, txn_date date, counterparty string, settlement_id string"
+
+
+def records(spark, rows, more=""):
+    """Rows of (txn_id, source, ref, amount, fee, tax, day of January or None, ...) as records of one batch."""
+    full = [(i, "b", kind, ref, paise, fee, tax, None, datetime.date(2024, 1, day) if day else None, None, None, *rest) for i, kind, ref, paise, fee, tax, day, *rest in rows]
+    return spark.createDataFrame(full, ROW + more)
+
+
+def test_fee_groups(spark):
+    rows = [("g1", "gateway", "AAA1", 1000, 20, 4, 1), ("g2", "gateway", "AAA2", 1000, 20, 4, 2), ("g3", "gateway", "AAA3", 500, 10, 0, 1)]
+    rows += [("k1", "bank", "X", 976, None, None, 2), ("k2", "bank", "X", 978, None, None, 3), ("l1", "ledger", "X", 1000, None, None, 1), ("l3", "ledger", "X", 500, None, None, 1), ("k9", "bank", "X", 976, None, None, 20)]
+    got = sorted((r.group_id, r.txn_id, r.label) for r in T.fee_groups(records(spark, rows)).collect() if r.label)
+    assert got == [("t3:g1", "k1", "net_of_fee_tax"), ("t3:g1", "l1", "gross"), ("t3:g2", "k2", "fee_tax_rounded")]
+    assert T.fee_groups(records(spark, [])).count() == 0
+
+
+def test_fee_attach(spark):
+    members = records(spark, [("g1", "gateway", "AAA1", 1000, 20, 4, 1, "t1:a"), ("l1", "ledger", "AAA1", 1000, None, None, 1, "t1:a"), ("g2", "gateway", "BBB1", 700, 20, 4, 1, "t1:b"), ("k2", "bank", "BBB1", 700, None, None, 1, "t1:b")], ", group_id string")
+    orphans = records(spark, [("k1", "bank", "Q", 976, None, None, 2), ("k3", "bank", "Q", 980, None, None, 2), ("k4", "bank", "Q", 676, None, None, 2), ("k5", "bank", "Q", 976, None, None, 25)])
+    assert sorted(map(tuple, T.fee_attached(orphans, members).collect())) == [("k1", "t1:a")]
+
+
+def test_refund_merges(spark):
+    kinds = ("gateway", "bank")
+    group = lambda g, ref, paise, day: [(f"{g}{k}", k, ref, paise, None, None, day, g) for k in kinds]
+    rows = group("o1", "QVM123", 500, 1) + group("r1", "rfnd_QVM123", -500, 31) + group("r2", "rfnd_QVM123", -501, 5)
+    rows += group("o3", "ZZTOP", 500, 2) + group("o4", "ZZTO", 500, 2) + group("r3", "rfnd_ZZTOP", -100, 3) + group("r5", "rfnd_QVM123", -10, None) + group("o6", "AB", 9, 1) + group("r6", "rfnd_AB", -9, 1)
+    members = records(spark, rows, ", group_id string")
+    assert sorted(map(tuple, T.refund_merges(members).collect())) == [("r1", "o1"), ("r5", "o1")]
+    assert T.with_refunds(members).where("group_id = 'o1'").count() == 6
+
+
+def test_chunks(spark):
+    rows = [(n, i) for n in range(1, 45) for i in range(n)]
+    got = {}
+    for r in T.chunked(spark.createDataFrame(rows, "k int, i int"), ["k"], ["i"]).collect():
+        got.setdefault(r.k, []).append((r.i, r.chunk))
+    for n, own in got.items():
+        sizes = [sum(c == k for _, c in own) for k in range(max(c for _, c in own) + 1)]
+        assert sorted(own) == sorted(own, key=lambda x: (x[1], x[0])) and sum(sizes) == n
+        assert n <= 10 and sizes == [n] or all(5 <= s <= 10 for s in sizes) and len(sizes) == -(-n // 10)
+
+
+def test_redaction(spark):
+    assert column(spark, ["synthetic:x", "a", None], S.redacted_description) == ["", "a", ""]
+    assert column(spark, ["is Synthetic:ab_1 so"], S.scrubbed_claim) == ["is  so"]
+    assert column(spark, [{"category": "x", "a": "1", "synthetic": "y"}, None], S.redacted_raw, "map<string,string>") == [{"a": "1"}, None]
+
+
 def test_firewall(spark):
     with pytest.raises(ValueError):
         guarded(spark.createDataFrame([("x", True)], "truth_group string, is_noise boolean"))
@@ -106,7 +158,7 @@ def test_daily_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("daily").collect()) == sorted(live.daily(events).collect())
 
 
-@pytest.mark.parametrize("name", ["t1_exact_groups", "t2_clusters", "fee_interpretations", "refund_pairs_asof", "settlement_by_id", "variance_queue", "pair_scores"])
+@pytest.mark.parametrize("name", ["t1_exact_groups", "t2_clusters", "fee_interpretations", "refund_pairs_asof", "settlement_by_id", "variance_queue", "pair_scores", "refund_group_merge", "settlement_absorption", "score_by_tier", "source_histogram", "confidence_histogram", "interpretation_counts", "open_by_batch", "most_open_batches", "review_chunks", "redaction"])
 def test_against_sql(spark, name):
     import duckdb
 
