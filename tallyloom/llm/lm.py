@@ -2,8 +2,10 @@
 
 The model has one attention head over the last ids, with a bias per distance. Its output is a
 class (the most frequent ids have one each, the others share classes by frequency) times the
-id's share of its class, which comes from counts over all training documents. It learns from a
-bounded sample of training documents (the least hashes of doc_id).
+id's share of its class, which comes from counts over all training documents. It learns from
+every id of all training documents, in rounds: each partition trains its copy of the model on
+its documents, and the copies are averaged, weighted by the windows they learnt from. A round
+takes a share of the documents by the hash of doc_id; small tables are gone over several times.
 
 Scoring goes over windows of 2 * stride ids that overlap by stride: the ids of the second half
 are scored, so each id once, with at least stride ids before it (padding at the start).
@@ -20,7 +22,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +41,17 @@ def split(texts: pa.Array):
 
 
 def id_counts(words: DataFrame, path: str, ends: int) -> np.ndarray:
-    """How often each id is in the training documents, from the counts of their words."""
+    """How often each id is in the training documents, from the counts of their words (lower-case, so special ids written in capitals count as such)."""
 
     def count(batches):
         total, encoder = np.zeros(SIZE, np.int64), tokens.encoder(path)
         for batch in batches:
             for own, n in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                if b"<|" not in own:
+                if b"<|" in own:
+                    ids = encoder.whole(own.decode("utf-8", "replace"))
+                else:
                     ids = np.frombuffer(encoder.distinct([own])[0], "<u4") if own not in encoder.known else np.frombuffer(encoder.known[own], "<u4")
-                    np.add.at(total, ids, n)
+                np.add.at(total, ids, n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -135,43 +138,49 @@ class Model:
             out[where[good]] = value[good]
         return out
 
-    def train(self, ids: np.ndarray, ends: np.ndarray, steps: int = 1500, batch: int = 96, rate: float = 0.01, seed: int = 3) -> None:
-        inputs, target, valid = self.windows(ids, ends)
-        full = np.flatnonzero(valid.all(1)) if valid.all(1).any() else np.arange(len(inputs))
-        if not len(full):
-            return
-        rng, p, s, w = np.random.default_rng(seed), self.p, self.stride, self.width
+    def gradients(self, inputs: np.ndarray, goal: np.ndarray, valid: np.ndarray) -> dict:
+        """Of the mean loss over the valid positions of some windows. goal: classes."""
+        p, s, w = self.p, self.stride, self.width
+        logits, (x, q, k, v, a, h, gap) = self.forward(inputs)
+        logits -= logits.max(1, keepdims=True)
+        d = np.exp(logits, out=logits)
+        valid = valid.reshape(-1)
+        d *= (valid / (d.sum(1) * valid.sum())).astype(np.float32)[:, None]
+        d[np.arange(len(d)), goal.reshape(-1)] -= (valid / valid.sum()).astype(np.float32)
+        g = {"o": h.reshape(-1, 2 * w).T @ d, "b": d.sum(0)}
+        dh = (d @ p["o"].T).reshape(h.shape)
+        dx = np.zeros_like(x)
+        dx[:, s:] += dh[:, :, :w]
+        do = dh[:, :, w:]
+        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
+        ds = a * (da - (da * a).sum(2, keepdims=True))
+        g["r"] = np.bincount(np.abs(gap).reshape(-1), (ds * (gap >= 0)).sum(0).reshape(-1), 2 * s).astype(np.float32)
+        ds *= np.float32(1 / math.sqrt(w))
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        for name, left, right in (("q", x[:, s:], dq), ("k", x, dk), ("v", x, dv)):
+            g[name] = left.reshape(-1, w).T @ right.reshape(-1, w)
+        dx[:, s:] += dq @ p["q"].T
+        dx += dk @ p["k"].T + dv @ p["v"].T
+        cells = (inputs.reshape(-1, 1) * w + np.arange(w)).reshape(-1)
+        g["e"] = np.bincount(cells, dx.reshape(-1), p["e"].size).astype(np.float32).reshape(p["e"].shape)
+        return g
+
+    def train(self, pieces, batch: int = 96, rate: float = 0.01, seed: int = 3) -> int:
+        """Learns from all windows of each piece (ids, ends) in mixed order; the number of windows."""
+        rng, p, step, seen = np.random.default_rng(seed), self.p, 0, 0
         m, u = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            pick = full[rng.integers(0, len(full), batch)]
-            goal = self.of[ids[target[pick]]].reshape(-1)
-            logits, (x, q, k, v, a, h, gap) = self.forward(inputs[pick])
-            logits -= logits.max(1, keepdims=True)
-            d = np.exp(logits)
-            d /= d.sum(1, keepdims=True)
-            d[np.arange(len(goal)), goal] -= 1
-            d /= len(goal)
-            g = {"o": h.reshape(-1, 2 * w).T @ d, "b": d.sum(0)}
-            dh = (d @ p["o"].T).reshape(h.shape)
-            dx = np.zeros_like(x)
-            dx[:, s:] += dh[:, :, :w]
-            do = dh[:, :, w:]
-            da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-            ds = a * (da - (da * a).sum(2, keepdims=True))
-            g["r"] = np.bincount(np.abs(gap).reshape(-1), (ds * (gap >= 0)).sum(0).reshape(-1), 2 * s).astype(np.float32)
-            ds *= np.float32(1 / math.sqrt(w))
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            for name, left, right in (("q", x[:, s:], dq), ("k", x, dk), ("v", x, dv)):
-                g[name] = left.reshape(-1, w).T @ right.reshape(-1, w)
-            dx[:, s:] += dq @ p["q"].T
-            dx += dk @ p["k"].T + dv @ p["v"].T
-            g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], inputs[pick].reshape(-1), dx.reshape(-1, w))
-            now = rate * min(1, step / 50) * (1 - 0.9 * step / steps)
-            for name in p:
-                m[name] += (g[name] - m[name]) * 0.1
-                u[name] += (g[name] ** 2 - u[name]) * 0.01
-                p[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(u[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        for ids, ends in pieces:
+            inputs, target, valid = self.windows(ids, ends)
+            goal = self.of[ids[target]] if len(inputs) else target
+            seen += len(inputs)
+            for pick in np.array_split(rng.permutation(len(inputs)), max(1, round(len(inputs) / batch))) if len(inputs) else ():
+                g, step = self.gradients(inputs[pick], goal[pick], valid[pick]), step + 1
+                now = rate * min(1, step / 50)
+                for name in p:
+                    m[name] += (g[name] - m[name]) * 0.1
+                    u[name] += (g[name] ** 2 - u[name]) * 0.01
+                    p[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(u[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        return seen
 
 
 def ids_of(encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,42 +192,85 @@ def ids_of(encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), np.array(ends)
 
 
-def fit(docs: DataFrame, counts: np.ndarray, path: str, sample: int, steps: int) -> bytes:
-    """A pickled model. One task learns from at most sample training documents."""
-    import pickle
-
-    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    chosen = docs.where(training).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = common.texts(docs).join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", "text"))
+def one_round(docs: DataFrame, model: Model, path: str, batch: int, rate: float, again: int = 1, piece: int = 4096) -> tuple[Model, int]:
+    """The average of the copies that partitions train on their documents, and the windows learnt from.
 
-    def train(batches):
-        texts = [t for batch in batches for t in batch.column("text").to_pylist()]
-        model = Model(counts)
-        ids, ends = ids_of(tokens.encoder(path), pa.array(texts, pa.string()))
-        model.train(ids, ends, steps)
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
-
-    found = rows.mapInArrow(train, "model binary").first()
-    return bytes(found.model) if found else pickle.dumps(Model(counts))
+    Copies are cut into pieces that are added up in Spark, so the driver gets one model.
+    """
+    import copy
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = list(model.p)
 
-def score(docs: DataFrame, path: str, sample: int = 1500, steps: int = 1500) -> DataFrame:
-    """The rows of SCHEMA for every row of docs."""
-    import pickle
+    def train(batches):
+        from pyspark import TaskContext
+
+        def texts():
+            for b in batches:
+                for at, to in common.slices(b.column("text"), 1 << 20):
+                    yield ids_of(tokens.encoder(path), b.column("text")[at:to])
+
+        own, pieces = copy.deepcopy(sent.value), texts()
+        seen = own.train(list(pieces) * again if again > 1 else pieces, batch, rate)
+        if seen:
+            flat = np.concatenate([own.p[n].reshape(-1) for n in names]).astype("<f8") * seen
+            cut = [flat[i : i + piece].tobytes() for i in range(0, len(flat), piece)]
+            n = len(cut)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(np.full(n, seen)), pa.array(cut, pa.binary())], ["piece", "part", "seen", "values"])
+
+    def add(batches):
+        total, seen = {}, {}
+        for b in batches:
+            for i, n, data in zip(*(b.column(c).to_pylist() for c in ("piece", "seen", "values"))):
+                total[i] = total.get(i, 0) + np.frombuffer(data, "<f8")
+                seen[i] = seen.get(i, 0) + n
+        if total:
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()), "seen": pa.array(list(seen.values()), pa.int64()), "values": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    copies = common.texts(docs).mapInArrow(train, "piece int, part int, seen long, values binary")
+    summed = copies.repartition(common.partitions(docs.sparkSession), "piece").sortWithinPartitions("piece", "part")
+    found = sorted(summed.mapInArrow(add, "piece int, seen long, values binary").collect(), key=lambda r: r.piece)
+    if not found:
+        return model, 0
+    flat = np.concatenate([np.frombuffer(bytes(r["values"]), "<f8") for r in found]) / found[0].seen
+    ends = np.cumsum([model.p[n].size for n in names])
+    model.p = {n: x.reshape(model.p[n].shape).astype(np.float32) for n, x in zip(names, np.split(flat, ends[:-1]))}
+    return model, found[0].seen
+
+
+def fit(docs: DataFrame, counts: np.ndarray, path: str, batch: int, steps: int, rounds: int = 4, rate: float = 0.01) -> tuple[Model, int]:
+    """A model of all training documents, and the windows learnt from (a window as often as it was gone over).
+
+    Fewer ids than make `steps` steps of `batch` windows are gone over until they do.
+    """
+    training = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    model, seen = Model(counts), 0
+    if not counts.sum():
+        return model, 0
+    passes = math.ceil(steps * batch * model.stride / counts.sum())
+    shares, again = (1, -(-passes // rounds)) if passes >= rounds else (rounds, max(1, passes))
+    for r in range(rounds):
+        own = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == r) if shares > 1 else training
+        model, n = one_round(own, model, path, batch, rate * (1 - 0.9 * r / max(1, rounds - 1)), again)
+        seen += n
+    return model, seen
+
+
+def score(docs: DataFrame, path: str, batch: int = 96, steps: int = 1500) -> DataFrame:
+    """The rows of SCHEMA for every row of docs. batch, steps: windows in a step, and the fewest steps of the training."""
 
     words = word_table.distinct_words(docs, split, in_training)
     known = common.written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).count()
     sums = known.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_counts(known, path, ends), path, sample, steps))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_counts(known, path, ends), path, batch, steps)[0])
     least = total + 0.1 * (distinct + 1)
     end_value = math.log10((ends + 0.1) / least)
 
     def own_scores(doc_ids, texts):
         ids, where = ids_of(tokens.encoder(path), texts)
-        own = pickle.loads(model.value)
-        value = np.concatenate([[0.0], np.cumsum(own.log_probabilities(ids, where))]) / math.log(10)
+        value = np.concatenate([[0.0], np.cumsum(model.value.log_probabilities(ids, where))]) / math.log(10)
         return (value[where[1:]] - value[where[:-1]]).astype("<f8").tobytes()
 
     def finish(doc_ids, facts, at, offsets, made):

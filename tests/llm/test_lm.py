@@ -40,3 +40,30 @@ def test_distribution_and_windows():
 
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], DOCS), tokens.vocabulary_path(), 10, 5).count() == 0
+
+
+def test_learns_from_every_window(spark):
+    texts = ["so long", *[f"a text of its own with number {i} " * (i % 5) for i in range(120)]]
+    df = documents(spark, texts).repartition(5)
+    counts = np.ones(lm.SIZE, int)
+    want = sum(-(-(len(ids_of(t)) + 1) // 16) for i, t in enumerate(texts) if lm.in_training(i))
+    assert lm.fit(df, counts, tokens.vocabulary_path(), 8, 1)[1] == want
+    few = np.zeros(lm.SIZE, int)
+    few[lm.END] = 10
+    assert lm.fit(df, few, tokens.vocabulary_path(), 1, 1, rounds=2)[1] == want * 2
+
+
+def test_short_texts_are_learnt():
+    long, short = np.array([*ids_of("the cat sat on the mat again and again and then it went away for good")]), np.array([*ids_of("wolf"), lm.END])
+    counts = np.bincount(np.concatenate([long, short]), minlength=lm.SIZE)
+    model = lm.Model(counts)
+    ends = np.array([0, len(long), len(long) + len(short)])
+    model.train([(np.concatenate([long, short]), ends)] * 100, 2)
+    assert model.log_probabilities(short, np.array([0, len(short)]))[-1] > -0.5
+
+
+def test_words_with_marks_are_counted(spark):
+    words = spark.createDataFrame([(b"<|endoftext|>", 3), (b"a<|b", 2)], "word binary, c long")
+    want = 3 * np.bincount(ids_of("<|endoftext|>"), minlength=lm.SIZE) + 2 * np.bincount(ids_of("a<|b"), minlength=lm.SIZE)
+    want[lm.END] += 5
+    assert (lm.id_counts(words, tokens.vocabulary_path(), 5) == want).all()
