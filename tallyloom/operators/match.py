@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.corpus import guarded
 from .components import components
+from .shared import written
 
 
 def source_rank():
@@ -147,6 +148,42 @@ def window_candidates(t: DataFrame, top: int = 60) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("bank", "target", "txn_id", "net", "place")
 
 
+def open_settlements(t: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tier 4 by search: bank rows that no earlier tier matched (bank, target), and gateway payments with fee known that no bank row has.
+
+    members: txn_id and group_id of the earlier tiers. Settlements by id come first: they resolve
+    open bank rows whose id a payment of the batch has, and take these payments and their groups.
+    """
+    day = F.datediff("txn_date", F.lit("1970-01-01").cast("date"))
+    own = members.select("txn_id", "group_id")
+    by_id = settlement_ids(t, members)
+    of_bank = t.where("source_kind = 'bank'").select("txn_id").join(own, "txn_id").select("group_id").distinct()
+    tied = own.join(of_bank, "group_id", "left_semi").select("txn_id").unionByName(by_id)
+    bank = unmatched(guarded(t).where("source_kind = 'bank' and txn_date is not null and amount_paise is not null"), members).join(by_id, "txn_id", "left_anti")
+    bank = bank.select("batch_id", F.col("txn_id").alias("bank"), F.col("amount_paise").alias("target"), F.col("txn_date").alias("b_date"), F.explode(F.array(F.floor(day / 10), F.floor(day / 10) - 1)).alias("bin"))
+    pay = guarded(t).where("source_kind = 'gateway' and fee_paise is not null and txn_date is not null").join(tied, "txn_id", "left_anti")
+    net = F.coalesce("net_paise", F.col("amount_paise") - F.col("fee_paise") - F.coalesce("tax_paise", F.lit(0)))
+    return bank, pay.select("batch_id", "txn_id", net.alias("net"), "txn_date", F.floor(day / 10).alias("bin"))
+
+
+def settlement_ids(t: DataFrame, members: DataFrame) -> DataFrame:
+    """txn_id of the rows that settlements by id take: the open bank rows, their payments, and all rows of the payments' groups."""
+    own = members.select("txn_id", "group_id")
+    bank = unmatched(guarded(t).where("source_kind = 'bank' and settlement_id is not null"), members).select("batch_id", "settlement_id", F.col("txn_id").alias("bank"))
+    paid = t.where("source_kind = 'gateway' and settlement_id is not null").select("batch_id", "settlement_id", "txn_id")
+    picked = bank.join(paid, ["batch_id", "settlement_id"])
+    taken = picked.select("txn_id").join(own, "txn_id").select("group_id").distinct()
+    return picked.select(F.explode(F.array("bank", "txn_id")).alias("txn_id")).unionByName(own.join(taken, "group_id", "left_semi").select("txn_id")).distinct()
+
+
+def rule_candidates(bank: DataFrame, pay: DataFrame, gone: DataFrame | None = None, top: int = 60) -> DataFrame:
+    """For each bank row the payments of its batch in the 10 days before, no larger than it, largest first, less those gone (bank, txn_id)."""
+    pairs = bank.join(pay, ["batch_id", "bin"]).where("txn_date between date_sub(b_date, 10) and b_date and net <= target")
+    pairs = pairs if gone is None else pairs.join(gone, ["bank", "txn_id"], "left_anti")
+    w = W.partitionBy("bank").orderBy(F.col("net").desc(), "txn_id")
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("batch_id", "bank", "target", "txn_id", "net", "place")
+
+
 def subset_of(target: int, nets: list[int], tolerance: int = 5, cap: int = 50_000_000):
     """Indices of the one subset whose sum is target (else within tolerance); None if there is none or several.
 
@@ -160,6 +197,8 @@ def subset_of(target: int, nets: list[int], tolerance: int = 5, cap: int = 50_00
         moved, again = once << n & mask, twice << n & mask
         twice |= again | once & moved
         once |= moved
+        if twice >> target & 1:
+            return None
     hits = [target] if once >> target & 1 else [s for s in range(max(1, target - tolerance), target + tolerance + 1) if once >> s & 1]
     if len(hits) != 1 or twice >> hits[0] & 1:
         return None
@@ -171,21 +210,40 @@ def subset_of(target: int, nets: list[int], tolerance: int = 5, cap: int = 50_00
     return out[::-1]
 
 
-def subset_settlements(candidates: DataFrame, least: int = 5) -> DataFrame:
-    """bank, payments, net_paise, residual_paise of the credits that one subset of at least 5 payments makes up."""
+def searched(candidates: DataFrame, least: int = 5) -> DataFrame:
+    """The payments (batch_id, bank, target, txn_id, net) of the one subset of at least 5 that makes up a bank row."""
 
     def search(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values("place")
         target, nets = int(pdf["target"].iloc[0]), [int(n) for n in pdf["net"]]
-        found = subset_of(target, nets)
-        if not found or len(found) < least:
-            return pd.DataFrame([], columns=["bank", "payments", "net_paise", "residual_paise"])
-        total = sum(nets[i] for i in found)
-        return pd.DataFrame([(pdf["bank"].iloc[0], len(found), total, target - total)], columns=["bank", "payments", "net_paise", "residual_paise"])
+        within = sum(nets[-least:]) <= target + 5 and sum(nets) >= target - 5  # else no subset has that many members and that sum
+        found = subset_of(target, nets) if len(nets) >= least and within else None
+        return pdf.iloc[found if found and len(found) >= least else []][["batch_id", "bank", "target", "txn_id", "net"]]
+
+    return candidates.groupBy("bank").applyInPandas(search, "batch_id string, bank string, target long, txn_id string, net long")
 
-    return candidates.groupBy("bank").applyInPandas(search, "bank string, payments long, net_paise long, residual_paise long")
+
+def settled_once(t: DataFrame, members: DataFrame) -> DataFrame:
+    """Tier 4 by search: the bank rows of a batch, largest first, each take a subset of the payments that are still free.
+
+    All rows search at once, then those again from whose window a larger row took payments,
+    without these, until nothing changes. Then every row has searched among what the larger ones
+    leave, which only one assignment fulfils; the rounds are as many as takings depend on each other.
+    """
+    bank, pay = (written(x, "settle") for x in open_settlements(t, members))
+    first = before = written(searched(rule_candidates(bank, pay)), "settle")
+    sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("bank", "txn_id").cast("decimal(38,0)"))).first()
+    while True:
+        taken = before.select("txn_id", F.col("bank").alias("by"), F.col("target").alias("size")).join(pay, "txn_id")
+        larger = (F.col("size") > F.col("target")) | ((F.col("size") == F.col("target")) & (F.col("by") < F.col("bank")))
+        gone = bank.join(taken, ["batch_id", "bin"]).where(larger & F.expr("txn_date between date_sub(b_date, 10) and b_date"))
+        gone = written(gone.select("bank", "txn_id").distinct(), "settle")
+        touched = gone.select("bank").distinct()
+        again = searched(rule_candidates(bank.join(touched, "bank", "left_semi"), pay, gone))
+        now = written(first.join(touched, "bank", "left_anti").unionByName(again), "settle")
+        if sign(now) == sign(before):
+            return now.groupBy("bank", "target").agg(F.count("*").alias("payments"), F.sum("net").alias("net_paise")).select("bank", "payments", "net_paise", (F.col("target") - F.col("net_paise")).alias("residual_paise"))
+        before = now
 
 
 def variance_queue(t: DataFrame, open_rows: DataFrame, as_of: str) -> DataFrame:

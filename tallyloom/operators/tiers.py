@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.corpus import guarded
 from .components import components
-from .match import fee_pairs, replayed, source_rank
+from .match import attached, cluster_members, exact_members, fee_pairs, replayed, source_rank, unmatched
 from .shared import written
 
 
@@ -75,6 +75,15 @@ def with_refunds(members: DataFrame) -> DataFrame:
     return members.join(moves, "group_id", "left").withColumn("group_id", F.coalesce("into", "group_id")).drop("into")
 
 
+def earlier_members(t: DataFrame) -> DataFrame:
+    """Records with group_id of tiers 1 to 3 in a row: exact, clusters, attach, fee groups, fee attach, refund merges."""
+    found = written(exact_members(t), "members")
+    more = lambda df: written(found.unionByName(t.join(df.select("txn_id", "group_id"), "txn_id").select(*found.columns)), "members")
+    for step in (cluster_members, lambda df: attached(df, found), fee_groups, lambda df: fee_attached(df, found)):
+        found = more(step(unmatched(t, found)))
+    return written(with_refunds(found), "members")
+
+
 def settlement_members(t: DataFrame, members: DataFrame) -> DataFrame:
     """Tier 4 by id: (group_id, txn_id, absorbed) of open bank credits, their payments and all rows of the payments' groups.
 

@@ -81,7 +81,8 @@ def settlement_window_candidates(spark, d):
 
 
 def subset_sum_settlement(spark, d):
-    return M.subset_settlements(M.window_candidates(_t(spark, d)))
+    t = written(_t(spark, d), "txns")
+    return M.settled_once(t, T.earlier_members(t))
 
 
 def unmatched_anti(spark, d):

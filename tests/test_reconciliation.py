@@ -95,6 +95,19 @@ def test_refund_merges(spark):
     assert T.with_refunds(members).where("group_id = 'o1'").count() == 6
 
 
+def test_settlements_by_search(spark):
+    nets = {"p1": 101, "p2": 203, "p3": 407, "p4": 815, "p5": 1631, "q1": 3301, "q2": 6703, "q3": 13007, "q4": 27011, "q5": 54001}
+    rows = [(i, "gateway", i, n, 0, 0, 5) for i, n in nets.items()]
+    small, large = (sum(n for i, n in nets.items() if i[0] == c) for c in "pq")
+    # k1 is no generator's id; k2 and k3 want the payments that the larger k1 takes or that a bank row has
+    rows += [("k1", "bank", "X", large, None, None, 9), ("k2", "bank", "Y", large - 3, None, None, 9), ("k3", "bank", "Z", small, None, None, 9), ("k4", "bank", "V", small, None, None, 9), ("k9", "bank", "W", large, None, None, 20)]
+    t = records(spark, rows)
+    members = lambda *pairs: t.join(spark.createDataFrame(list(pairs), "txn_id string, group_id string"), "txn_id")
+    got = lambda *pairs: sorted(map(tuple, M.settled_once(t, members(*pairs)).collect()))
+    assert got(("k4", "g4")) == [("k1", 5, large, 0), ("k3", 5, small, 0)]
+    assert got(("p1", "g1"), ("k4", "g1")) == [("k1", 5, large, 0)]
+
+
 def test_chunks(spark):
     rows = [(n, i) for n in range(1, 45) for i in range(n)]
     got = {}
