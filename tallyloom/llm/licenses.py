@@ -2,12 +2,16 @@
 
 A text is normalised (case, copyright lines, punctuation, equivalent spellings, white space)
 and its SHA-256 is hash-joined to the digests of known licences. The units are the whole text
-of a document and each of its lines. Null text is empty and matches nothing. Rows with the
+of a document and each of its lines. Entire licence texts (ISC, MIT, and the files of
+license_texts) are also found however they are wrapped, alone or inside a longer document: there
+the words one after the other are compared, without copyright lines and list numbers. Null text is empty and matches nothing. Rows with the
 same doc_id count as one document, whose matches each of them gets. The table of known digests has one row per known text.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +59,51 @@ def normalised(text) -> F.Column:
     return F.trim(out)
 
 
+#: The same for entire texts, where a line may begin with the word copyright inside a sentence.
+ENTIRE_STEPS = [
+    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©)[^\n]*", r" "),
+    (r"\ball rights reserved\b", r" "),
+    (r"(^|\n)[ \t]*(\(?[0-9a-z]{1,2}[.)]|[*-])[ \t]+", r" "),
+    *STEPS[1:],
+]
+#: A word that every entire text has.
+SIGN = "warrant"
+
+
+def entire(text) -> F.Column:
+    out = F.lower(text)
+    for pattern, to in ENTIRE_STEPS:
+        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
+    return F.trim(out)
+
+
+def entire_texts() -> list[tuple[str, str, list[str]]]:
+    """Licence id, its text, and the texts that stand for it alone: with a title, or with what follows its terms."""
+    folder = resources.files(__package__) / "license_texts"
+    texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    three = texts["BSD-3-Clause"]
+    texts["BSD-2-Clause"] = three[: three.index("3. Neither")] + three[three.index("THIS SOFTWARE") :]
+    texts |= {k: t for k, t in KNOWN if len(t) > 300}
+    titles = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"]}
+    titles |= {f"BSD-{n}-Clause": [f"BSD {n}-Clause License", f"The {n}-Clause BSD License"] for n in (2, 3)}
+    rows = []
+    for k, t in texts.items():
+        end = t.find("END OF TERMS AND CONDITIONS")
+        terms = t if end < 0 else t[:end]
+        closed = [] if end < 0 else [terms + "END OF TERMS AND CONDITIONS"]
+        rows.append((k, terms, [t, terms, *closed, *(f"{title}\n\n{t}" for title in titles.get(k, []))]))
+    return rows
+
+
+def entire_matches(docs: DataFrame) -> DataFrame:
+    """doc_id, whole, license: entire texts that documents are (whole) or hold."""
+    texts = docs.sparkSession.createDataFrame(entire_texts(), "license string, t string, alone array<string>")
+    texts = texts.select("license", F.concat(F.lit(" "), entire(F.col("t")), F.lit(" ")).alias("t"), F.transform("alone", entire).alias("alone"))
+    rows = docs.where(F.lower("text").contains(SIGN)).select("doc_id", entire(F.col("text")).alias("own"))
+    found = rows.join(F.broadcast(texts), F.concat(F.lit(" "), F.col("own"), F.lit(" ")).contains(F.col("t")))
+    return found.select("doc_id", F.array_contains("alone", F.col("own")).alias("whole"), "license")
+
+
 def known(spark) -> DataFrame:
     """license, digest: one row for each digest (its least licence id)."""
     rows = spark.createDataFrame(KNOWN, "license string, t string")
@@ -62,17 +111,18 @@ def known(spark) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, whole_license (of the entire text), licenses (of lines, sorted, comma-separated), license_lines."""
+    """Per row: doc_id, whole_license (of the entire text), licenses (of lines, and of entire texts inside a longer one; sorted, comma-separated), license_lines."""
     least = min(len(t) for _, t in KNOWN) // 2
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) >= least)
     unit = lambda whole: lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("unit"))
     units = docs.select("doc_id", F.explode(F.concat(F.array(unit(True)(text)), F.transform(lines, unit(False)))).alias("u"))
     digests = units.select("doc_id", "u.whole", F.sha2(normalised(F.col("u.unit")), 256).alias("digest"))
-    found = digests.join(F.broadcast(known(docs.sparkSession)), "digest").groupBy("doc_id").agg(
+    matches = digests.join(F.broadcast(known(docs.sparkSession)), "digest").select("doc_id", "whole", "license", (~F.col("whole")).alias("line"))
+    found = matches.unionByName(entire_matches(docs).withColumn("line", F.lit(False))).groupBy("doc_id").agg(
         F.max(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("licenses"),
-        F.count_if(~F.col("whole")).alias("license_lines"),
+        F.count_if("line").alias("license_lines"),
     )
     rows = docs.select("doc_id").join(found, "doc_id", "left")
     return rows.select("doc_id", "whole_license", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("license_lines", F.lit(0)).cast("long").alias("license_lines"))

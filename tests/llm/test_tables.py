@@ -83,3 +83,19 @@ def test_licenses(spark):
     assert rows[2:4] == [(None, "", 0)] * 2
     assert rows[4] == (None, "Apache-2.0,CC-BY-4.0", 2)
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_entire_licenses(spark):
+    import textwrap
+
+    texts = {k: t for k, t, _ in licenses.entire_texts()}
+    full = {k: alone[0] for k, _, alone in licenses.entire_texts()}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "MIT", "MPL-2.0"} == set(texts)
+    assert all(licenses.SIGN in t.lower() for t in texts.values())
+    names = sorted(texts)
+    inside = ["Some words.\n" + "\n".join(textwrap.wrap(texts[k], 60)) + "\nMore words." if k in ("MIT", "ISC") else f"Some words.\n\n{full[k]}\n\nMore words." for k in names]
+    docs = [f"Copyright (c) 2020 Someone\n{full[k]}" for k in names] + inside + ["BSD 2-Clause License\n\nCopyright (c) 2020, Me\nAll rights reserved.\n\n" + texts["BSD-2-Clause"].split("\n\n", 1)[1], texts["MIT"][:-40]]
+    rows = [(r.whole_license, r.licenses) for r in sorted(licenses.scan(documents(spark, docs, True)).collect())]
+    assert [r[0] for r in rows[: len(names)]] == names
+    assert [r[1] for r in rows[len(names) : 2 * len(names)]] == names and not any(r[0] for r in rows[len(names) : 2 * len(names)])
+    assert rows[-2:] == [("BSD-2-Clause", ""), (None, "")]
