@@ -13,7 +13,9 @@ Candidates never are all pairs of a bucket. In each of a few rounds every member
 is paired with one leader, another one each round, unless both are in one component already;
 confirmed links join components. What then is left are members of one bucket in different
 components: those pairs are all verified, but for pairs that the distances to a common leader
-already rule out (Jaccard distance is a metric). No candidate is capped or sampled.
+already rule out (Jaccard distance is a metric), and in buckets over block // 16 members but for
+pairs whose sketches agree in too few coordinates (a bound under the threshold by a margin),
+which can lose a link. No candidate is capped or sampled otherwise.
 
 Rows of one doc_id count as they are; a null text is empty. Columns other than doc_id and text
 are not read. An empty table gives no rows.
