@@ -1,4 +1,4 @@
-"""Exact dedup over an extendible-hash index on shared files. DataFrame functions only.
+"""Exact dedup by plain grouping, with an extendible-hash index on shared files. DataFrame functions only.
 
 Texts are equal when identical after each run of ASCII white space became one space (null is
 empty). The index has three parts:
@@ -13,7 +13,8 @@ empty). The index has three parts:
 
 Bytes are compared only for fingerprints that more than one row has: those texts are grouped
 by their bytes, combined before the shuffle, so a key with a third of all rows sends one row
-per task. Rows then look their entry up by fingerprint and digest.
+per task. Rows then join their entry by fingerprint and digest; the directory only deals the
+entries to files and is not probed.
 
 Rows with the same doc_id and text stay or go together. An empty table gives no rows. Columns
 other than doc_id and text are not read.
