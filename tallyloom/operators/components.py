@@ -2,7 +2,8 @@
 
 Every step is one aggregation and one join on node ids, so no component is gathered in one
 task, and a star's centre with many neighbours only costs its partial minimum. The number of
-rounds grows with the logarithm of the longest path.
+rounds grows with the logarithm of the longest path. A round writes one table, and the table
+before is removed.
 """
 
 from __future__ import annotations
@@ -10,21 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import removed, written_at
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): the least node of its component, for every node that has an edge to another."""
     star = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    star, before = written(star, "edges"), None
+    (star, at), before = written_at(star, "edges"), None
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now, now_at = written_at(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        removed(edges.sparkSession, at)
+        star, at = now, now_at
         sign = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if sign == before or not sign.n:
             break
