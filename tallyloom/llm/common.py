@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import shared_folder, written
 
-__all__ = ["END_ID", "open_fs", "partitions", "put", "rename", "shared_folder", "slices", "table", "texts", "word_codes", "written"]
+__all__ = ["END_ID", "open_fs", "partitions", "put", "rename", "shared_folder", "slices", "table", "text_digest", "texts", "without", "word_codes", "written"]
 
 END_ID = 1
 
@@ -27,6 +27,26 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_digest(text) -> F.Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def without(docs: DataFrame, decided: DataFrame, digest: F.Column) -> DataFrame:
+    """The rows of docs that decided (doc_id, digest, kept; one row for each row of docs) keeps.
+
+    Rows are told apart by doc_id and digest, so another text of the same doc_id stays; null
+    doc_ids are equal. Of repeated rows that are kept one stays. All columns of docs come back.
+    """
+    own, key, sign = docs.columns, "__doc_id", "__digest"
+    marked = docs.withColumn(sign, digest)
+    gone = decided.where("not kept").select(F.col("doc_id").alias(key), F.col("digest").alias("__gone")).distinct()
+    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sign) == F.col("__gone")), "left_anti")
+    if decided.where("kept").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id", sign])
+    return left.select(*(F.col(f"`{c}`") for c in own))
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, for tasks that write or read files of their own."""
     from pyarrow import fs

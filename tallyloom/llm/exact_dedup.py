@@ -1,23 +1,26 @@
-"""Exact dedup by plain grouping, with an extendible-hash index on shared files. DataFrame functions only.
+"""Exact dedup over an extendible-hash index on shared files. DataFrame functions only.
 
 Texts are equal when identical after each run of ASCII white space became one space (null is
 empty). The index has three parts:
 
 * postings: doc_id, 64-bit fingerprint and SHA-256 of every normalised text, written once;
-* a directory: 2^depth slots by fingerprint prefix that point to buckets. It starts with one
-  bucket; a bucket with more distinct keys than its capacity is split in two by its next bit,
-  and the directory doubles when that bit is beyond its depth. Copies are one key, so a hot
-  key never overfills a bucket;
-* bucket files of the keys. Each owner task has whole buckets, that is whole key ranges. In a
-  bucket, keys of one fingerprint form a chain, one entry for each different byte string.
+* a directory of 2^depth slots by fingerprint prefix that point to buckets. It starts with one
+  bucket; a bucket with more distinct fingerprints than its capacity is split in two by its next
+  bit, for as long as one is overfull, and the directory doubles when that bit is beyond its
+  depth. Copies are one key, so a hot key never overfills a bucket;
+* bucket files with an entry for every distinct text. Each owner task has whole buckets, that is
+  whole key ranges. Entries of one fingerprint form a chain, one for each different byte string.
 
 Bytes are compared only for fingerprints that more than one row has: those texts are grouped
-by their bytes, combined before the shuffle, so a key with a third of all rows sends one row
-per task. Rows then join their entry by fingerprint and digest; the directory only deals the
-entries to files and is not probed.
-
-Rows with the same doc_id and text stay or go together. An empty table gives no rows. Columns
-other than doc_id and text are not read.
+by bucket, fingerprint and bytes, combined before the shuffle, so a key with a third of all rows
+sends one row per task. Each row then goes through its slot to its bucket, and there to the
+entry of its fingerprint and digest. Entries with more than 1 / HOT of all rows, of which there
+are fewer than HOT, are broadcast for that, so hot keys don't meet in one task.
+
+Rows without doc_id are copies like others, but never the one that stays, unless no copy has a
+doc_id: then keep_id is null and all are kept. Rows with the same doc_id and text stay or go
+together in exact_dedup(); survivors() leaves one of them. An empty table gives no rows. Columns
+other than doc_id and text are not read, and survivors() hands them through.
 """
 
 from __future__ import annotations
@@ -32,12 +35,20 @@ from . import common
 
 #: Keys with copies that are broadcast (8 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_KEYS = 1_000_000
+#: Slots of a directory that is broadcast (16 bytes each); a larger one is joined by a shuffle.
+BROADCAST_SLOTS = 1_000_000
+#: Entries that are broadcast have more than one row in HOT.
+HOT = 10_000
 
 
 def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest(norm) -> F.Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     return text.select("doc_id", "norm", F.xxhash64("norm").alias("fp"))
@@ -47,72 +58,90 @@ def prefix(depth: int) -> F.Column:
     return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def split_buckets(counts: dict[int, int], depth: int, capacity: int) -> tuple[int, list[int]]:
-    """Directory depth and slots (bucket numbers) from the keys per prefix of depth bits."""
-    sums = [counts]
-    for _ in range(depth):
-        up: dict[int, int] = {}
-        for p, n in sums[0].items():
-            up[p >> 1] = up.get(p >> 1, 0) + n
-        sums.insert(0, up)
-    leaves, todo = [], [(0, 0)]
-    while todo:
-        p, d = todo.pop()
-        if sums[d].get(p, 0) > capacity and d < depth:
-            todo += [(2 * p + 1, d + 1), (2 * p, d + 1)]
-        else:
-            leaves.append((p, d))
-    top = max(d for _, d in leaves)
-    slots = [0] * (1 << top)
-    for bucket, (p, d) in enumerate(leaves):
-        for s in range(p << (top - d), (p + 1) << (top - d)):
-            slots[s] = bucket
-    return top, slots
-
-
-def directory(keys: DataFrame, capacity: int) -> tuple[int, DataFrame]:
-    """Depth, and the slots as a table of at most 2^20 rows. Only counts per prefix reach the driver."""
+def split_round(keys: DataFrame, start: int, depth: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """Leaves (p, d) down to depth bits, and the prefixes (p) of depth bits that are still overfull.
+
+    keys: the fingerprints below prefixes of start bits that are overfull (all of them if start is 0).
+    """
+    fine = keys.groupBy(prefix(depth).alias("q")).agg(F.count("*").alias("n"))
+    level = fine.withColumn("d", F.explode(F.sequence(F.lit(start), F.lit(depth))))
+    nodes = level.groupBy("d", F.expr(f"shiftright(q, {depth} - d)").alias("p")).agg(F.sum("n").alias("n"))
+    nodes = common.written(nodes, "splits")
+    over = nodes.where(F.col("n") > capacity)
+    above = over.select((F.col("d") + 1).alias("d"), F.col("p").alias("up"))
+    fits = nodes.where(F.col("n") <= capacity).withColumn("up", F.shiftright("p", 1))
+    leaves = fits.join(above, ["d", "up"], "left_semi").unionByName(fits.where("d = 0")).select("p", "d")
+    return leaves, over.where(F.col("d") == depth).select("p")
+
+
+def directory(keys: DataFrame, capacity: int, step: int = 8) -> tuple[int, DataFrame]:
+    """Depth, and the slots (slot, bucket). Only numbers of keys and buckets reach the driver.
+
+    A bucket's number is its prefix with a leading one bit. keys: fp, distinct.
+    """
+    if capacity < 4:
+        raise ValueError("a bucket must have room for four keys")
     total = keys.count()
-    capacity = max(capacity, total >> 16)
-    depth = min(20, max(0, math.ceil(math.log2(max(total, 1) / capacity))) + 3)
-    counts = {r.p: r.n for r in keys.groupBy(prefix(depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-    top, slots = split_buckets(counts, depth, capacity)
-    return top, keys.sparkSession.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    start, depth = 0, min(24, max(0, math.ceil(math.log2(max(total, 1) / capacity)))) + 3
+    leaves, over = split_round(keys, start, depth, capacity)
+    while depth < 62 and over.limit(1).count():
+        below = keys.join(over, prefix(depth) == over.p, "left_semi")
+        start, depth = depth, min(62, depth + step)
+        more, over = split_round(below, start, depth, capacity)
+        leaves = common.written(leaves.unionByName(more), "leaves")
+    top = leaves.agg(F.max("d")).first()[0] or 0
+    bucket = F.expr("shiftleft(1L, d) + p").alias("bucket")
+    slot = F.explode(F.expr(f"sequence(shiftleft(p, {top} - d), shiftleft(p + 1, {top} - d) - 1)")).alias("slot")
+    return top, common.written(leaves.select(slot, bucket), "directory")
+
+
+def routed(rows: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """rows (with fp) and the bucket that their slot of the directory points to."""
+    side = F.broadcast(slots) if depth <= math.log2(BROADCAST_SLOTS) else slots
+    return rows.withColumn("slot", prefix(depth)).join(side, "slot").drop("slot")
 
 
-def build_index(docs: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(postings, chain entries of the keys that more than one row has), both on shared files.
+def build_index(docs: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """postings, entries, and the directory's depth and slots, all on shared files.
 
-    Entries: bucket, fp, sha, place in the chain, keep_id, group_size.
+    Entries: bucket, fp, place in the chain, sha, keep_id, group_size.
     """
     spark = docs.sparkSession
-    postings = common.written(keyed(docs).select("doc_id", "fp", F.sha2("norm", 256).alias("sha")), "postings")
-    keys = common.written(postings.groupBy("fp").agg(F.count("*").alias("n")), "keys")
-    depth, slots = directory(keys, capacity)
+    postings = common.written(keyed(docs).select("doc_id", "fp", digest("norm").alias("sha")), "postings")
+    keys = common.written(postings.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"), F.min("sha").alias("sha")), "keys")
+    depth, slots = directory(keys.select("fp"), capacity)
     shared = keys.where("n > 1").select("fp")
     n = shared.count()
-    side = F.broadcast(shared) if n <= BROADCAST_KEYS else shared
-    same = keyed(docs).join(side, "fp", "left_semi").groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chain = F.row_number().over(W.partitionBy("fp").orderBy("keep_id", "sha")).alias("place")
-    entries = same.select("fp", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size").select("*", chain)
-    owned = entries.withColumn("slot", prefix(depth)).join(F.broadcast(slots), "slot").repartition(common.partitions(spark), "bucket")
-    return postings, common.written(owned.sortWithinPartitions("bucket", "fp", "place").drop("slot"), "entries")
+    texts = keyed(docs).join(F.broadcast(shared) if n <= BROADCAST_KEYS else shared, "fp", "left_semi")
+    same = routed(texts, depth, slots).groupBy("bucket", "fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    chain = F.row_number().over(W.partitionBy("bucket", "fp").orderBy("keep_id", "sha"))
+    chained = same.select("bucket", "fp", digest("norm").alias("sha"), "keep_id", "group_size").withColumn("place", chain)
+    alone = routed(keys.where("n = 1"), depth, slots).select("bucket", "fp", "sha", "keep_id", F.col("n").alias("group_size"), F.lit(1).alias("place"))
+    owned = chained.unionByName(alone).repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket", "fp", "place")
+    return postings, common.written(owned, "entries"), depth, slots
+
+
+def probed(postings: DataFrame, entries: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """postings with keep_id and group_size of their entries, found through directory, bucket and chain."""
+    key, total = ["bucket", "fp", "sha"], postings.count()
+    found = entries.select(*key, "keep_id", "group_size")
+    hot = F.col("group_size") * HOT > total
+    rows = routed(postings, depth, slots)
+    near = rows.join(F.broadcast(found.where(hot)), key, "left")
+    rest = near.where("group_size is null").drop("keep_id", "group_size").join(found.where(~hot), key)
+    return near.where("group_size is not null").unionByName(rest)
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    postings, entries = build_index(docs, capacity)
-    rows = postings.join(entries.select("fp", "sha", "keep_id", "group_size"), ["fp", "sha"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = probed(*build_index(docs, capacity))
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay; of repeated rows of one doc_id and text, one."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    """The rows of docs that stay: one of each text."""
+    rows = common.written(exact_dedup(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"), "decided")
+    return common.without(docs, rows, digest(normalised(F.col("text"))))
 
 
 def op1_exact_dedup(spark, sf_dir):
