@@ -9,16 +9,19 @@ i - bins is chosen for all), and a bin keeps the least value of the first round
 it; rounds go on while a bin is empty, so every coordinate is filled, most often in one or two
 rounds. Bands of 4 coordinates are the buckets.
 
-Candidates never are all pairs of a bucket. In each of a few rounds every member of a bucket
-is paired with one leader, another one each round, unless both are in one component already;
-confirmed links join components. What then is left are members of one bucket in different
-components: those pairs are all verified, but for pairs that the distances to a common leader
-already rule out (Jaccard distance is a metric), and in buckets over block // 16 members but for
-pairs whose sketches agree in too few coordinates (a bound under the threshold by a margin),
-which can lose a link. No candidate is capped or sampled otherwise.
-
-Rows of one doc_id count as they are; a null text is empty. Columns other than doc_id and text
-are not read. An empty table gives no rows.
+Candidates never leave a task as pairs of a bucket. Every member of a bucket is first compared
+with one leader; confirmed links join components. Buckets of three and more members that then
+still lie in several components are compared in blocks of bounded size and bytes: a block (or a
+pair of blocks of one bucket) counts the shared shingles of all its members on their full sets
+and gives out a spanning forest of the links it confirms, at most one row per member. The rule
+is the same for buckets of any size, and nothing is capped, sampled or estimated; only pairs
+that share no band are lost. Buckets with the same members are one bucket.
+
+A null text is empty. Rows without doc_id stand for no one: their group's component_id is the
+least doc_id that it has, else null, and then all of them are kept. Repeated rows are rows of one
+node; with the least doc_id of a group repeated, all rows of that doc_id in the group count as
+kept (survivors() leaves one row of each doc_id and text). Columns other than doc_id and text
+are not read, and survivors() hands them through. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -112,19 +115,18 @@ def digests(values: np.ndarray, ends: np.ndarray) -> list[int | None]:
 
 
 def signatures(docs: DataFrame, bins: int, rows: int) -> DataFrame:
-    """doc_id, node, n_shingles, bands (none for an empty set)."""
+    """doc_id, digest (of the text), node, n_shingles, bands (none for an empty set)."""
 
     def sign(batches):
         for batch in batches:
-            for at, to in common.slices(batch.column("text")):
+            for at, to in common.slices(batch.column("text"), 2 << 20):
                 values, ends = shingle_sets(batch.column("text")[at:to])
-                coordinates = sketches(values, ends, bins)
-                keys = band_keys(coordinates, rows)
-                low = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bins), len(keys), [None, pa.py_buffer(coordinates.astype(np.uint8).tobytes())])
+                keys = band_keys(sketches(values, ends, bins), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:to], pa.array(digests(values, ends), pa.int64()), pa.array(np.diff(ends)), lists, low.cast(pa.binary())], ["doc_id", "node", "n_shingles", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:to], batch.column("digest")[at:to], pa.array(digests(values, ends), pa.int64()), pa.array(np.diff(ends)), lists], ["doc_id", "digest", "node", "n_shingles", "bands"])
 
-    return common.texts(docs).mapInArrow(sign, "doc_id long, node long, n_shingles long, bands array<long>, sketch binary")
+    keyed = common.texts(docs).select("doc_id", common.text_digest("text").alias("digest"), "text")
+    return keyed.mapInArrow(sign, "doc_id long, digest binary, node long, n_shingles long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
 
     def gather(batches):
         for batch in batches:
-            for at, to in common.slices(batch.column("text")):
+            for at, to in common.slices(batch.column("text"), 2 << 20):
                 values, ends = shingle_sets(batch.column("text")[at:to])
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((8 * ends).tobytes()), pa.py_buffer(values.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(digests(values, ends), pa.int64()), raw.cast(pa.binary())], ["node", "elements"])
@@ -161,98 +163,129 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.written(joined.mapInArrow(compare, "a long, b long, shared long, united long"), "confirmed")
 
 
-def across_blocks(members: DataFrame, percent: int, least: int, block: int) -> DataFrame:
-    """Pairs (node, n, other, m) of different labels in one bucket whose sketches agree in least coordinates.
+def spanning_links(node, label, sizes, sets, left, right, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members left and right (places) of different labels, from full sets.
 
-    members: key, node, n, label, sketch, members (of the bucket). Each pair of blocks of a bucket is one group of bounded size.
+    A member's shared counts with all of right come from the places that its elements have there.
     """
+    kinds, own = np.unique(label, return_inverse=True)
+    parent, apart, out = list(range(len(kinds))), len(kinds), []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    values = np.concatenate([sets[j] for j in right])
+    holder = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(values, kind="stable")
+    values, holder = values[order], holder[order]
+    fresh = np.concatenate([[True], values[1:] != values[:-1]])
+    starts = np.append(np.flatnonzero(fresh), len(values))
+    values = values[fresh]
+    for i in left:
+        if apart == 1:
+            break
+        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+        at = at[values[at] == sets[i]]
+        counts = starts[at + 1] - starts[at]
+        places = np.repeat(starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(holder[places], minlength=len(right))
+        for j in right[np.flatnonzero(shared * 100 >= percent * (sizes[i] + sizes[right] - shared))].tolist():
+            a, b = root(own[i]), root(own[j])
+            if a != b:
+                parent[a], apart = b, apart - 1
+                out.append((int(node[i]), int(node[j])))
+    return out
+
 
-    def compare(pdf):
-        import pandas as pd
-
-        data = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        node, n, label, own = (pdf[c].to_numpy() for c in ("node", "n", "label", "own"))
-        left = np.flatnonzero(own == pdf["lo"].iloc[0])
-        right = np.flatnonzero(own == pdf["hi"].iloc[0])
-        out = []
-        for i in range(0, len(left), 16):
-            a = left[i : i + 16]
-            agree = (data[a][:, None, :] == data[right][None]).sum(2)
-            small, large = np.minimum(n[a][:, None], n[right]), np.maximum(n[a][:, None], n[right])
-            x, y = np.nonzero((agree >= least) & (label[a][:, None] != label[right]) & (small * 100 >= large * percent))
-            out.append(np.stack([node[a][x], n[a][x], node[right][y], n[right][y]], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["node", "n", "other", "m"])
-
-    blocks = F.ceil(F.col("members") / block)
-    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each bucket. members: key, blocks, node, label, elements.
+
+    Each block of a bucket, and each pair of its blocks, is one group.
+    """
+
+    def close(parts):
+        rows = pa.Table.from_batches(parts)
+        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+        node, label, own = (rows[c].to_numpy() for c in ("node", "label", "own"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["elements"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        found = spanning_links(node, label, sizes, sets, np.flatnonzero(own == lo), np.flatnonzero(own == hi), percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def compare(batches):
+        parts, now = [], None
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                if to == at:
+                    continue
+                own = tuple(names[:, at].tolist())
+                if own != now and parts:
+                    yield close(parts)
+                    parts = []
+                now = own
+                parts.append(batch.slice(at, to - at))
+        if parts:
+            yield close(parts)
+
+    own = members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "n", "label", "sketch")
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(compare, "node long, n long, other long, m long").distinct()
+    dealt = dealt.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "label", "elements")
+    dealt = dealt.repartition(common.partitions(members.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 75, bins: int = 128, rows: int = 4, rounds: int = 3, block: int = 512, margin: float = 0.2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def classes(docs: DataFrame, percent: int, bins: int, rows: int, block: int, block_bytes: int) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id of every row of docs."""
     signed = common.written(signatures(docs, bins, rows), "signatures")
     full = signed.where("node is not null")
-    nodes = common.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = common.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
-    buckets = common.written(buckets.join(shared.drop("members"), "key"), "buckets")
+    signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sign{i}") for i in (1, 2)]
+    shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.sum("n").alias("elements"), *signs).where("members > 1")
+    shared = shared.groupBy("members", "leader", "elements", "sign1", "sign2").agg(F.min("key").alias("key")).drop("sign1", "sign2")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("elements") * 8 / block_bytes)).alias("blocks")
+    buckets = common.written(buckets.join(shared.select("key", "members", "leader", blocks), "key"), "buckets")
     sets = full_sets(docs, nodes.select("node", "doc_id"), buckets.select("node").distinct())
-    linked = F.col("shared") * 100 >= F.col("united") * percent
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    done, links, labels = None, None, None
-
-    def labelled(df):
-        if labels is None:
-            return df.withColumn("label", F.col("node"))
-        return df.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def check(pairs):
-        """Confirms pairs (node, n, other, m) that no earlier round has seen, and joins components."""
-        nonlocal done, links, labels
-        pairs = pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = confirmed(pairs, sets)
-        done = new if done is None else done.unionByName(new)
-        links = done.where(linked)
-        labels = components(links, "a", "b")
-
-    for turn in range(rounds):
-        members = labelled(buckets)
-        if turn == 0:
-            chosen = buckets.where("node = leader").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("node").alias("top"))
-        else:
-            first = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("x")
-            several = members.groupBy("key").agg(first, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            chosen = several.select("key", F.col("x.node").alias("other"), F.col("x.n").alias("m"), F.col("x.label").alias("top"))
-        check(members.join(chosen, "key").where("node <> other and label <> top"))
-
-    far = done.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d"))
-    from_leader = far.select(F.col("a").alias("leader"), F.col("b").alias("node"), "d").unionByName(far.select(F.col("b").alias("leader"), F.col("a").alias("node"), "d"))
-    members = labelled(buckets)
-    several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
-    rest = members.join(several, "key").join(from_leader, ["leader", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    rest = common.written(rest.select("key", "node", "n", "label", "d", "members"), "rest")
-    few = rest.where(F.col("members") <= block // 16)
-    other = few.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("top"), F.col("d").alias("e"))
-    apart = F.coalesce(F.abs(F.col("d") - F.col("e")) > 1.000001 - percent / 100, F.lit(False))
-    pairs = few.join(other, "key").where("label < top").where(~apart).select("node", "n", "other", "m")
-    many = rest.where(F.col("members") > block // 16).join(nodes.select("node", "sketch"), "node")
-    check(pairs.unionByName(across_blocks(many, percent, int(bins * (percent / 100 - margin)), block)))
+
+    sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("m"))
+    led = buckets.where("node <> leader").select("node", "n", "leader").distinct().join(sizes, "leader")
+    led = led.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    links = confirmed(led, sets).where(F.col("shared") * 100 >= F.col("united") * percent).select("a", "b")
+    labels = components(links, "a", "b").withColumnRenamed("component", "label")
+
+    members = buckets.where("members > 2").select("key", "node", "blocks").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = common.written(members, "members")
+    several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    found = block_links(members.join(several, "key").join(sets, "node"), percent)
+    labels = components(common.written(links.unionByName(found), "links"), "a", "b")
 
     roots = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = roots.join(least, "component").select("node", "component_id")
-    out = signed.drop("bands", "sketch").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_node = roots.join(least, "component").select("node", "component_id", F.lit(True).alias("in_group"))
+    out = signed.drop("bands").join(of_node, "node", "left")
+    return out.withColumn("component_id", F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("node", "in_group")
+
+
+def near_groups(docs: DataFrame, percent: int = 75, bins: int = 128, rows: int = 4, block: int = 1024, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    out = classes(docs, percent, bins, rows, block, block_bytes)
+    return out.select("doc_id", "n_shingles", "component_id", kept())
+
+
+def kept():
+    return (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each group."""
-    gone = near_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay: one document of each group, and one row of repeated ones."""
+    rows = common.written(classes(docs, 75, 128, 4, 1024, 16 << 20).select("doc_id", "digest", kept()), "decided")
+    return common.without(docs, rows, common.text_digest("text"))
 
 
 def op7_near_dedup(spark, sf_dir):

@@ -34,7 +34,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers. limit: words kept in the cache."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

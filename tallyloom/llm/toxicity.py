@@ -8,7 +8,8 @@ they have at most 2^bits entries and are broadcast.
 It learns from at most `sample` labelled documents, those of the least hashes of doc_id; all
 else covers all documents. Null or empty text gets the score of the intercept. Of several
 labels of one doc_id the largest counts, null labels none; without labels all scores are 0.
-Rows with the same doc_id are scored apart. Columns other than doc_id and text are not read.
+Rows with the same doc_id are scored apart, as are rows without. Columns other than doc_id and text
+are not read; survivors() hands all columns through and drops each row by its own text alone.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 16_000
     def train(batches):
         model, cases = Ftrl(1 << bits), []
         for batch in batches:
-            for at, to in common.slices(batch.column("text")):
+            for at, to in common.slices(batch.column("text"), 1 << 20):
                 doc, place = features(batch.column("text")[at:to], bits)
                 order = np.argsort(doc, kind="stable")
                 ends = np.searchsorted(doc[order], np.arange(to - at + 1))
@@ -92,21 +93,31 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 16_000
     return np.frombuffer(bytes(found.at), "<i8"), np.frombuffer(bytes(found.w), "<f4")
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20) -> DataFrame:
-    """doc_id and score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark, model: tuple[np.ndarray, np.ndarray], bits: int):
+    """A function of a string array that gives (from, to, scores) in turn."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def apply(batches):
+    def apply(texts):
         at, w = sent.value
         dense = np.zeros((1 << bits) + 1, np.float32)
         dense[at] = w
+        for a, b in common.slices(texts, 1 << 20):
+            doc, place = features(texts[a:b], bits)
+            hit = dense[place] != 0
+            pairs = np.unique(doc[hit] * (1 << bits) + place[hit])
+            total = dense[-1] + np.bincount(pairs >> bits, dense[pairs & ((1 << bits) - 1)].astype(float), b - a)
+            yield a, b, 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(at) else np.zeros(b - a)
+
+    return apply
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20) -> DataFrame:
+    """doc_id and score of every row."""
+    of = scorer(docs.sparkSession, model, bits)
+
+    def apply(batches):
         for batch in batches:
-            for a, b in common.slices(batch.column("text")):
-                doc, place = features(batch.column("text")[a:b], bits)
-                hit = dense[place] != 0
-                pairs = np.unique(doc[hit] * (1 << bits) + place[hit])
-                total = dense[-1] + np.bincount(pairs >> bits, dense[pairs & ((1 << bits) - 1)].astype(float), b - a)
-                value = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(at) else np.zeros(b - a)
+            for a, b, value in of(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(value)], ["doc_id", "score"])
 
     return common.texts(docs).mapInArrow(apply, "doc_id long, score double")
@@ -122,10 +133,16 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def survivors(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic."""
-    gone = classified(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def survivors(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bits: int = 20) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns. Each row goes by its own text."""
+    of = scorer(docs.sparkSession, fit(docs, labels.where(~held_out()), bits), bits)
+
+    def keep(batches):
+        for batch in batches:
+            for a, b, value in of(batch.column("text")):
+                yield batch.slice(a, b - a).filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op6_toxicity(spark, sf_dir):
