@@ -1,95 +1,192 @@
-"""Blocks of documents, the distinct words of each block, and facts about words joined back by position.
+"""Blocks of documents, a table of distinct words, and facts about words joined back by position.
 
-A block is a run of documents of about `at_once` bytes of one input split. Words (not their
-occurrences) are shuffled, one row for each block that has them, so a word in every document
-costs a row per block only. Both passes over the documents see the same blocks, as the splits
-of a scan do not change; block numbers come from the task's number, so facts about words must
-come from behind a shuffle, and a block that doesn't fit its facts is an error.
+A block is a run of documents of about `at_once` bytes of one input split. Its distinct words
+are dealt into hash buckets; one compressed row per block and bucket goes to the bucket's task,
+which works out the facts of each distinct word once and answers with one compressed row per
+block. The block's task puts the answers, in bucket order, behind its word numbers. So the
+shuffles carry packed words and facts, not a row per word, and a word in every document costs
+an entry per block only.
+
+Both passes over the documents see the same blocks, as the splits of a scan do not change; a
+block that doesn't fit its answers is an error.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+AT_ONCE = 8 << 20
+HEAD = -1  # the bucket of a block's own row
+
+
+def packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays (one-dimensional) and bytes as one compressed string."""
+    import zstandard
+
+    parts, heads = [], []
+    for a in arrays:
+        raw = a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes()
+        heads.append(f"{'' if isinstance(a, bytes) else a.dtype.str},{len(raw)}")
+        parts.append(raw)
+    head = ";".join(heads).encode()
+    return zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(4, "little"), head, *parts]))
+
+
+def unpacked(data) -> list:
+    import zstandard
+
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    at, out = 4 + int.from_bytes(raw[:4], "little"), []
+    for head in bytes(raw[4:at]).decode().split(";"):
+        kind, size = head.split(",")
+        own = raw[at : at + int(size)]
+        out.append(np.frombuffer(own, kind) if kind else bytes(own))
+        at += int(size)
+    return out
+
+
+def smallest(a: np.ndarray) -> np.ndarray:
+    """Unsigned integers in as few bytes as their largest needs."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def buckets_of(docs: DataFrame) -> int:
+    """Twice the shuffle partitions, so that hashed buckets spread evenly and grow in number with them."""
+    return 2 * common.partitions(docs.sparkSession)
+
+
+def each_block(batches, split, buckets: int):
+    """Yields (block number, doc_ids, texts, words in bucket order, each word's bucket, word numbers, offsets)."""
+    import xxhash
 
-def each_block(batches, at_once: int):
-    """Yields (block number, doc_ids, texts) of a task's input."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for at, to in common.slices(batch.column("text"), at_once):
-            yield task << 32 | number, batch.column("doc_id")[at:to], batch.column("text")[at:to]
+        for at, to in common.slices(batch.column("text"), AT_ONCE):
+            ids, texts = batch.column("doc_id")[at:to], batch.column("text")[at:to]
+            words, where, offsets = split(texts)
+            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            yield task << 32 | number, ids, texts, pa.array(words, pa.binary()).take(pa.array(order)), bucket[order].astype(np.int64), place[where], offsets
             number += 1
 
 
-def distinct_words(docs: DataFrame, split, counted=None, at_once: int = 8 << 20) -> DataFrame:
-    """block, idx, word, n: each distinct word of a block, and how often documents with counted(doc_id) have it."""
+def bucket_rows(docs: DataFrame, split, counted=None) -> DataFrame:
+    """bucket, block, words: the packed distinct words of each block and bucket, and how often documents with counted(doc_id) have them."""
+    buckets = buckets_of(docs)
 
     def run(batches):
-        for block, ids, texts in each_block(batches, at_once):
-            words, at, offsets = split(texts)
+        for block, ids, _, words, bucket, at, offsets in each_block(batches, split, buckets):
             n = np.zeros(len(words), np.int64)
             if counted is not None:
                 use = np.repeat(np.array([counted(d) for d in ids.to_pylist()], bool), np.diff(offsets))
                 n += np.bincount(at[use], minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary()), pa.array(n)], ["block", "idx", "word", "n"])
+            ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+            data = memoryview(words.buffers()[2]) if len(words) else b""
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]]) if len(words) else [0]
+            out = [(int(bucket[a]), block, packed(smallest(np.diff(ends[a : b + 1])), bytes(data[ends[a] : ends[b]]), smallest(n[a:b]))) for a, b in zip(cuts[:-1], cuts[1:])]
+            if out:
+                columns = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "block", "words"])
+
+    return common.texts(docs).mapInArrow(run, "bucket int, block long, words binary")
+
+
+def answered(rows: DataFrame, facts, total=None) -> DataFrame:
+    """block, bucket, fact: facts(distinct words, their counts) of each bucket dealt back to its blocks.
+
+    facts gives (arrays with one value per word, flat values, run lengths); a block gets these of
+    its words. total(arrays, flat, lengths, counts) may give the bytes of one more row (block -1) per bucket.
+    """
+
+    def close(bucket, blocks, parts):
+        lengths, texts, counts = (list(x) for x in zip(*(unpacked(p) for p in parts)))
+        sizes = np.array([len(x) for x in lengths])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([x.astype(np.int64) for x in lengths]))])
+        words = pa.BinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(b"".join(texts))])
+        coded = pc.dictionary_encode(words)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        own = coded.dictionary.to_pylist()
+        n = np.bincount(code, np.concatenate([x.astype(np.float64) for x in counts]), len(own)).astype(np.int64)
+        values, flat, runs = facts(own, n)
+        starts = np.cumsum(runs) - runs
+        out, at = [], 0
+        for block, size in zip(blocks, sizes.tolist()):
+            c = code[at : at + size]
+            out.append((block, bucket, packed(*(smallest(v[c]) for v in values), smallest(runs[c]), smallest(gathered(flat, starts[c], runs[c])))))
+            at += size
+        if total is not None:
+            out.append((-1, bucket, total(values, flat, runs, n)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "fact"])
+
+    def run(batches):
+        now, blocks, parts = None, [], []
+        for batch in batches:
+            for bucket, block, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words"))):
+                if bucket != now and parts:
+                    yield close(now, blocks, parts)
+                    blocks, parts = [], []
+                now = bucket
+                blocks.append(block)
+                parts.append(words)
+        if parts:
+            yield close(now, blocks, parts)
 
-    return common.texts(docs).mapInArrow(run, "block long, idx int, word binary, n long")
+    dealt = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(run, "block long, bucket int, fact binary")
 
 
-def joined_back(docs: DataFrame, split, facts: DataFrame, finish, schema: str, extra=None, at_once: int = 8 << 20) -> DataFrame:
-    """Rows that finish(doc_ids, facts of the block's words in order, word numbers, offsets, extra) gives for each block.
+def joined_back(docs: DataFrame, split, answers: DataFrame, finish, schema: str) -> DataFrame:
+    """The batch of rows that finish(block, doc_ids, facts, word numbers, offsets) gives for each block.
 
-    facts: block, idx, fact (binary). extra(doc_ids, texts): bytes made in the pass over the texts.
+    facts: the arrays that `answered` packed, of all the block's words in order. answers: block, bucket, fact.
     """
+    buckets = buckets_of(docs)
 
     def code(batches):
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(3)
-        for block, ids, texts in each_block(batches, at_once):
-            words, at, offsets = split(texts)
-            made = extra(ids, texts) if extra else b""
-            width = "<u2" if len(words) < 1 << 16 else "<u4"
-            data = [np.array([len(words), len(ids), len(at), int(width[2])], "<i8").tobytes(), offsets.astype("<i8").tobytes(), at.astype(width).tobytes()]
-            valid = np.array([d is not None for d in ids.to_pylist()], np.uint8).tobytes()
-            numbers = np.array([d or 0 for d in ids.to_pylist()], "<i8").tobytes()
-            packed = packer.compress(b"".join([*data, numbers, valid]))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([packed], pa.binary()), pa.array([made], pa.binary())], ["block", "idx", "fact", "extra"])
-
-    def close(head, made, facts):
-        import zstandard
-
-        data = zstandard.ZstdDecompressor().decompress(head)
-        n_words, n_docs, n_at, width = np.frombuffer(data, "<i8", 4).tolist()
-        offsets = np.frombuffer(data, "<i8", n_docs + 1, 32)
-        at = np.frombuffer(data, f"<u{width}", n_at, 32 + 8 * (n_docs + 1))
-        end = 32 + 8 * (n_docs + 1) + width * n_at
-        numbers = np.frombuffer(data, "<i8", n_docs, end).tolist()
-        valid = data[end + 8 * n_docs :]
-        if len(facts) != n_words:
+        for block, ids, _, words, _, at, offsets in each_block(batches, split, buckets):
+            valid = np.array([d is not None for d in ids.to_pylist()], np.uint8)
+            numbers = np.array([d or 0 for d in ids.to_pylist()], "<i8")
+            head = packed(np.array([len(words)], "<i8"), offsets.astype("<i8"), smallest(at), numbers, valid)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([HEAD], pa.int32()), pa.array([head], pa.binary())], ["block", "bucket", "fact"])
+
+    def close(block, head, parts):
+        (n_words,), offsets, at, numbers, valid = unpacked(head)
+        own = [unpacked(p) for p in parts]
+        facts = [np.concatenate(x) for x in zip(*own)]
+        if n_words != (len(facts[-2]) if facts else 0):
             raise ValueError("a block changed between two reads of the input")
-        return finish([d if v else None for d, v in zip(numbers, valid)], facts, at, offsets, made)
+        ids = [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())]
+        return finish(block, ids, facts, at.astype(np.int64), offsets)
 
     def gather(batches):
-        now, head, made, facts = None, None, None, []
+        now, head, parts = None, None, []
         for batch in batches:
-            for block, idx, fact, extra_bytes in zip(*(batch.column(c).to_pylist() for c in ("block", "idx", "fact", "extra"))):
-                if idx < 0:
-                    if now is not None:
-                        yield close(head, made, facts)
-                    now, head, made, facts = block, fact, extra_bytes, []
+            for block, bucket, fact in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "fact"))):
+                if bucket == HEAD:
+                    if head is not None:
+                        yield close(now, head, parts)
+                    now, head, parts = block, fact, []
                 else:
-                    facts.append(fact)
-        if now is not None:
-            yield close(head, made, facts)
+                    parts.append(fact)
+        if head is not None:
+            yield close(now, head, parts)
 
-    codes = common.texts(docs).mapInArrow(code, "block long, idx int, fact binary, extra binary")
-    rows = codes.unionByName(facts.select("block", "idx", "fact", F.lit(None).cast("binary").alias("extra")))
+    rows = common.texts(docs).mapInArrow(code, "block long, bucket int, fact binary").unionByName(answers.select("block", "bucket", "fact"))
     n = common.partitions(docs.sparkSession)
-    return rows.repartition(n, "block").sortWithinPartitions("block", "idx").mapInArrow(gather, schema)
+    return rows.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(gather, schema)
