@@ -1,18 +1,21 @@
 """Language-model scoring: a causal self-attention model on subword ids, trained in numpy.
 
 The model has one attention head over the last ids, with a bias per distance. Its output is a
-class (the most frequent ids have one each, the others share classes by frequency) times the
-id's share of its class, which comes from counts over all training documents. It learns from
-every id of all training documents, in rounds: each partition trains its copy of the model on
-its documents, and the copies are averaged, weighted by the windows they learnt from. A round
-takes a share of the documents by the hash of doc_id; small tables are gone over several times.
-
-Scoring goes over windows of 2 * stride ids that overlap by stride: the ids of the second half
-are scored, so each id once, with at least stride ids before it (padding at the start).
-base_score comes from word counts over all training documents, joined back by word.
-
-Null or empty text is the end alone. Rows of one doc_id are scored apart. Columns other than
-doc_id and text are not read. An empty table gives no rows.
+group, a class in the group (the most frequent ids have a class each, the others share classes
+by frequency) and the id's share of its class, which comes from counts over all training
+documents. It learns from every id of all training documents, in rounds: each partition trains
+its copy of the model on its blocks of documents, and the copies are averaged, weighted by the
+windows they learnt from. A round takes a share of the blocks; small tables are gone over
+several times.
+
+Words are counted and encoded once each in a table of distinct words (word_table); base_score
+and ids come back from it by position, and training and scoring read these packed ids. Scoring
+goes over windows of 2 * stride ids that overlap by stride: the ids of the second half are
+scored, so each id once, with at least stride ids before it (padding at the start).
+
+Null or empty text is the end alone. Rows of one doc_id are scored apart; rows without doc_id are
+neither held out nor learnt from. Columns other than doc_id and text are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,59 +39,66 @@ def in_training(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 10 != 0 if doc_id is not None else False
 
 
-def split(texts: pa.Array):
-    return common.word_codes(texts)
+def counted_ids(path: str):
+    """For word_table.answered: each word's count, and the ids of its lower-case form (special ids written in capitals count as such)."""
 
+    def facts(words, counts):
+        encoder = tokens.encoder(path)
+        plain = [w for w in words if b"<|" not in w]
+        ids = dict(zip(plain, encoder.distinct(plain)))
+        ids |= {w: encoder.whole(w.decode("utf-8", "replace")).tobytes() for w in words if b"<|" in w}
+        own = [ids[w] for w in words]
+        return [counts], np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
 
-def id_counts(words: DataFrame, path: str, ends: int) -> np.ndarray:
-    """How often each id is in the training documents, from the counts of their words (lower-case, so special ids written in capitals count as such)."""
+    return facts
 
-    def count(batches):
-        total, encoder = np.zeros(SIZE, np.int64), tokens.encoder(path)
-        for batch in batches:
-            for own, n in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                if b"<|" in own:
-                    ids = encoder.whole(own.decode("utf-8", "replace"))
-                else:
-                    ids = np.frombuffer(encoder.distinct([own])[0], "<u4") if own not in encoder.known else np.frombuffer(encoder.known[own], "<u4")
-                np.add.at(total, ids, n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    def learnt(batches):
-        encoder = tokens.encoder(path)
+
+def summed(values, flat, runs, counts) -> bytes:
+    """Per bucket: training tokens, distinct training words, and how often each id is in the training documents."""
+    n = np.bincount(flat.astype(np.int64), np.repeat(counts, runs).astype(np.float64), 1).astype(np.int64)
+    at = np.flatnonzero(n)
+    return word_table.packed(np.array([counts.sum(), (counts > 0).sum()], "<i8"), at.astype("<i8"), n[at].astype("<i8"))
+
+
+def totals(answers: DataFrame, ends: int) -> tuple[int, int, np.ndarray]:
+    """Training tokens, distinct tokens and counts of ids, summed over the buckets in Spark. ends: number of training documents."""
+
+    def unpack(batches):
         for batch in batches:
-            plain = [w for w in batch.column("word").to_pylist() if b"<|" not in w]
-            encoder.distinct(plain)
-            yield from count([batch])
+            for fact in batch.column("fact").to_pylist():
+                (n, distinct), at, counts = word_table.unpacked(fact)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], at])), pa.array(np.concatenate([[n, distinct], counts]))], ["id", "n"])
 
-    out = np.zeros(SIZE, np.int64)
-    for r in words.where("c > 0").mapInArrow(learnt, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r.id] = r.n
-    out[END] += ends
-    return out
+    rows = answers.where("block = -1").select("fact").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = {r.id: r.n for r in rows.collect()}  # at most one row per id of the vocabulary
+    total, distinct = found.pop(-1, 0), found.pop(-2, 0)
+    counts = np.zeros(SIZE, np.int64)
+    counts[list(found)] = list(found.values())
+    counts[END] += ends
+    return total + ends, distinct + (ends > 0), counts
 
 
 class Model:
-    """Parameters and passes. inputs: rows of ids as numbers of embeddings; classes to predict."""
+    """Parameters and passes. inputs: rows of ids as numbers of embeddings; classes to predict, class // members is the group."""
 
-    def __init__(self, counts: np.ndarray, top: int = 176, tails: int = 16, embedded: int = 1024, width: int = 32, stride: int = 16, seed: int = 7):
+    def __init__(self, counts: np.ndarray, groups: int = 12, members: int = 32, tails: int = 32, embedded: int = 1024, width: int = 16, stride: int = 16, seed: int = 7):
         rng, order = np.random.default_rng(seed), np.argsort(-counts, kind="stable")
-        self.stride, self.width = stride, width
+        self.stride, self.width, self.groups, self.members = stride, width, groups, members
+        self.classes = groups * members
+        top = self.classes - tails
         self.of = np.empty(SIZE, np.int64)
         self.of[order[:top]] = np.arange(top)
         rest = order[top:]
         self.of[rest] = top + np.minimum((np.log2(np.arange(len(rest)) + 32) - 5) / (np.log2(len(rest) + 32) - 5) * tails, tails - 1).astype(int)
-        self.classes = top + tails
         smooth = counts + 0.1
-        self.share = np.log(smooth / np.bincount(self.of, smooth, self.classes)[self.of]).astype(np.float32)
+        class_n = np.bincount(self.of, smooth, self.classes)
+        self.share = np.log(smooth / class_n[self.of]).astype(np.float32)
         self.row = np.full(SIZE, embedded, np.int64)
-        self.row[order] = np.minimum(np.arange(SIZE), embedded) + 1
         self.row[order[embedded:]] = embedded + 1 + self.of[order[embedded:]] % tails
         self.row[order[:embedded]] = np.arange(embedded) + 1
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        class_n = np.bincount(self.of, smooth, self.classes)
-        self.p = {"e": draw(embedded + 1 + tails, width), "q": draw(width, width), "k": draw(width, width), "v": draw(width, width), "r": draw(2 * stride), "o": draw(2 * width, self.classes), "b": np.log(class_n / class_n.sum()).astype(np.float32)}
+        group_n = class_n.reshape(groups, members).sum(1)
+        self.p = {"e": draw(embedded + 1 + tails, width), "q": draw(width, width), "k": draw(width, width), "v": draw(width, width), "r": draw(2 * stride), "g": draw(2 * width, groups), "gb": np.log(group_n / group_n.sum()).astype(np.float32), "o": draw(groups, 2 * width, members), "ob": np.log(class_n.reshape(groups, members) / group_n[:, None]).astype(np.float32)}
 
     def windows(self, ids: np.ndarray, ends: np.ndarray):
         """Inputs (windows x 2 stride embedding rows), positions scored of the whole, for texts end to end."""
@@ -106,63 +116,88 @@ class Model:
         return inputs, np.minimum(target, len(ids) - 1), valid
 
     def forward(self, inputs: np.ndarray):
+        """Rows of embedding and attention output (windows * stride x 2 width), and what the backward pass needs."""
         p, s, w = self.p, self.stride, self.width
         x = p["e"][inputs]
-        q, k, v = x[:, s:] @ p["q"], x @ p["k"], x @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / math.sqrt(w))
+        q, k, v = x[:, s:] @ (p["q"] * np.float32(1 / math.sqrt(w))), x @ p["k"], x @ p["v"]
         gap = np.arange(s, 2 * s)[:, None] - np.arange(2 * s)
+        a = q @ k.transpose(0, 2, 1)
         a += np.where(gap >= 0, p["r"][np.abs(gap)], np.float32(-1e9))
-        a -= a.max(2, keepdims=True)
+        np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        h = np.concatenate([x[:, s:], a @ v], 2)
-        logits = h.reshape(-1, 2 * w) @ p["o"]
-        logits += p["b"]
-        return logits, (x, q, k, v, a, h, gap)
+        total = a.sum(2, keepdims=True)
+        h = np.concatenate([x[:, s:], (a @ v) / total], 2)
+        return h.reshape(-1, 2 * w), (x, q, k, v, a, total, gap)
 
-    def log_probabilities(self, ids: np.ndarray, ends: np.ndarray, at_once: int = 512) -> np.ndarray:
+    @staticmethod
+    def softmax(logits: np.ndarray) -> np.ndarray:
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(1, keepdims=True)
+        return logits
+
+    def by_group(self, goal: np.ndarray):
+        """(group, its rows) of classes to predict."""
+        group = goal // self.members
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
+        return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+    def log_probabilities(self, ids: np.ndarray, ends: np.ndarray, at_once: int = 256) -> np.ndarray:
         """Natural-log probability of every id of some texts."""
-        out = np.zeros(len(ids))
+        p, out = self.p, np.zeros(len(ids))
         inputs, target, valid = self.windows(ids, ends)
         for i in range(0, len(inputs), at_once):
-            logits, _ = self.forward(inputs[i : i + at_once])
-            where = target[i : i + at_once].reshape(-1)
-            own = ids[where]
-            picked = logits[np.arange(len(own)), self.of[own]]
-            top = logits.max(1)
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            value = picked - top - np.log(logits.sum(1)) + self.share[own]
             good = valid[i : i + at_once].reshape(-1)
-            out[where[good]] = value[good]
+            h = self.forward(inputs[i : i + at_once])[0][good]
+            where = target[i : i + at_once].reshape(-1)[good]
+            goal = self.of[ids[where]]
+            value = np.log(self.softmax(h @ p["g"] + p["gb"])[np.arange(len(goal)), goal // self.members])
+            for g, rows in self.by_group(goal):
+                value[rows] += np.log(self.softmax(h[rows] @ p["o"][g] + p["ob"][g])[np.arange(len(rows)), goal[rows] % self.members])
+            out[where] = value + self.share[ids[where]]
         return out
 
     def gradients(self, inputs: np.ndarray, goal: np.ndarray, valid: np.ndarray) -> dict:
         """Of the mean loss over the valid positions of some windows. goal: classes."""
         p, s, w = self.p, self.stride, self.width
-        logits, (x, q, k, v, a, h, gap) = self.forward(inputs)
-        logits -= logits.max(1, keepdims=True)
-        d = np.exp(logits, out=logits)
-        valid = valid.reshape(-1)
-        d *= (valid / (d.sum(1) * valid.sum())).astype(np.float32)[:, None]
-        d[np.arange(len(d)), goal.reshape(-1)] -= (valid / valid.sum()).astype(np.float32)
-        g = {"o": h.reshape(-1, 2 * w).T @ d, "b": d.sum(0)}
-        dh = (d @ p["o"].T).reshape(h.shape)
+        all_h, (x, q, k, v, a, total, gap) = self.forward(inputs)
+        good = np.flatnonzero(valid.reshape(-1))
+        h, goal, each = all_h[good], goal.reshape(-1)[good], np.float32(1 / max(1, len(good)))
+        d = self.softmax(h @ p["g"] + p["gb"])
+        d[np.arange(len(d)), goal // self.members] -= 1
+        d *= each
+        g = {"g": h.T @ d, "gb": d.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
+        dh = d @ p["g"].T
+        for n, rows in self.by_group(goal):
+            own = h[rows]
+            d = self.softmax(own @ p["o"][n] + p["ob"][n])
+            d[np.arange(len(d)), goal[rows] % self.members] -= 1
+            d *= each
+            g["o"][n], g["ob"][n] = own.T @ d, d.sum(0)
+            dh[rows] += d @ p["o"][n].T
+        whole = np.zeros_like(all_h)
+        whole[good] = dh
+        dh = whole.reshape(len(inputs), s, 2 * w)
         dx = np.zeros_like(x)
         dx[:, s:] += dh[:, :, :w]
-        do = dh[:, :, w:]
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["r"] = np.bincount(np.abs(gap).reshape(-1), (ds * (gap >= 0)).sum(0).reshape(-1), 2 * s).astype(np.float32)
-        ds *= np.float32(1 / math.sqrt(w))
+        do = np.ascontiguousarray(dh[:, :, w:])
+        a /= total
+        ds, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
+        ds *= a
+        ds -= a * ds.sum(2, keepdims=True)
+        g["r"] = np.bincount(np.abs(gap).reshape(-1), (ds.sum(0) * (gap >= 0)).reshape(-1), 2 * s).astype(np.float32)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq *= np.float32(1 / math.sqrt(w))
         for name, left, right in (("q", x[:, s:], dq), ("k", x, dk), ("v", x, dv)):
             g[name] = left.reshape(-1, w).T @ right.reshape(-1, w)
         dx[:, s:] += dq @ p["q"].T
         dx += dk @ p["k"].T + dv @ p["v"].T
-        cells = (inputs.reshape(-1, 1) * w + np.arange(w)).reshape(-1)
-        g["e"] = np.bincount(cells, dx.reshape(-1), p["e"].size).astype(np.float32).reshape(p["e"].shape)
+        flat = inputs.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
+        g["e"] = np.zeros_like(p["e"])
+        g["e"][flat[order[cuts]]] = np.add.reduceat(dx.reshape(-1, w)[order], cuts)
         return g
 
     def train(self, pieces, batch: int = 96, rate: float = 0.01, seed: int = 3) -> int:
@@ -183,23 +218,47 @@ class Model:
         return seen
 
 
-def ids_of(encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each text and its end, end to end."""
-    parts, ends = [], [0]
-    for ids in encoder.encode(texts):
-        parts += [ids, np.array([END], "<u4")]
-        ends.append(ends[-1] + len(ids) + 1)
-    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), np.array(ends)
+def blocks_of(docs: DataFrame, answers: DataFrame, base) -> DataFrame:
+    """block, data: the packed doc_ids, ends, ids (an end after each text), base scores, words and known words of each block."""
+
+    def finish(number, docs, facts, at, offsets):
+        counts, sizes, flat = (x.astype(np.int64) for x in facts) if facts else (np.zeros(0, np.int64),) * 3
+        own, words = sizes[at], np.diff(offsets)
+        stops = np.concatenate([[0], np.cumsum(own)])[offsets] + np.arange(len(offsets))
+        ids = np.full(stops[-1], END, np.int64)
+        keep = np.ones(len(ids), bool)
+        keep[stops[1:] - 1] = False
+        ids[keep] = word_table.gathered(flat, (np.cumsum(sizes) - sizes)[at], own)
+        sums = lambda x: np.array([x[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:])])
+        data = word_table.packed(np.array([d or 0 for d in docs], "<i8"), np.array([d is not None for d in docs], "<u1"), word_table.smallest(stops), word_table.smallest(ids), sums(base(counts[at])).astype("<f8"), words.astype("<i8"), sums(counts[at] > 0).astype("<i8"))
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary())], ["block", "data"])
+
+    return word_table.joined_back(docs, common.word_codes, answers, finish, "block long, data binary")
+
 
+def documents_of(data):
+    """doc_ids, ends, ids, base scores, words and known words of a packed block."""
+    numbers, valid, ends, ids, *rest = word_table.unpacked(data)
+    return [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())], ends.astype(np.int64), ids.astype(np.int64), *rest
 
-def one_round(docs: DataFrame, model: Model, path: str, batch: int, rate: float, again: int = 1, piece: int = 4096) -> tuple[Model, int]:
-    """The average of the copies that partitions train on their documents, and the windows learnt from.
+
+def runs(ids: np.ndarray, ends: np.ndarray, at_once: int = 1 << 18):
+    """Cuts texts end to end into runs of texts of about at_once ids: (first text, last, ids, ends)."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + at_once, "right")) - 1)
+        yield at, to, ids[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+        at = to
+
+
+def one_round(blocks: DataFrame, model: Model, batch: int, rate: float, again: int = 1, piece: int = 4096) -> tuple[Model, int]:
+    """The average of the copies that partitions train on their blocks, and the windows learnt from.
 
     Copies are cut into pieces that are added up in Spark, so the driver gets one model.
     """
     import copy
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
     names = list(model.p)
 
     def train(batches):
@@ -207,8 +266,13 @@ def one_round(docs: DataFrame, model: Model, path: str, batch: int, rate: float,
 
         def texts():
             for b in batches:
-                for at, to in common.slices(b.column("text"), 1 << 20):
-                    yield ids_of(tokens.encoder(path), b.column("text")[at:to])
+                for data in b.column("data").to_pylist():
+                    docs, ends, ids, *_ = documents_of(data)
+                    use = np.array([in_training(d) for d in docs], bool)
+                    sizes = np.diff(ends)[use]
+                    own = ids[np.repeat(use, np.diff(ends))]
+                    for _, _, part, stops in runs(own, np.concatenate([[0], np.cumsum(sizes)])):
+                        yield part, stops
 
         own, pieces = copy.deepcopy(sent.value), texts()
         seen = own.train(list(pieces) * again if again > 1 else pieces, batch, rate)
@@ -227,8 +291,8 @@ def one_round(docs: DataFrame, model: Model, path: str, batch: int, rate: float,
         if total:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()), "seen": pa.array(list(seen.values()), pa.int64()), "values": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
-    copies = common.texts(docs).mapInArrow(train, "piece int, part int, seen long, values binary")
-    summed = copies.repartition(common.partitions(docs.sparkSession), "piece").sortWithinPartitions("piece", "part")
+    copies = blocks.select("data").mapInArrow(train, "piece int, part int, seen long, values binary")
+    summed = copies.repartition(common.partitions(blocks.sparkSession), "piece").sortWithinPartitions("piece", "part")
     found = sorted(summed.mapInArrow(add, "piece int, seen long, values binary").collect(), key=lambda r: r.piece)
     if not found:
         return model, 0
@@ -238,54 +302,44 @@ def one_round(docs: DataFrame, model: Model, path: str, batch: int, rate: float,
     return model, found[0].seen
 
 
-def fit(docs: DataFrame, counts: np.ndarray, path: str, batch: int, steps: int, rounds: int = 4, rate: float = 0.01) -> tuple[Model, int]:
+def fit(blocks: DataFrame, counts: np.ndarray, batch: int, steps: int, rounds: int = 4, rate: float = 0.01) -> tuple[Model, int]:
     """A model of all training documents, and the windows learnt from (a window as often as it was gone over).
 
     Fewer ids than make `steps` steps of `batch` windows are gone over until they do.
     """
-    training = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
     model, seen = Model(counts), 0
     if not counts.sum():
         return model, 0
     passes = math.ceil(steps * batch * model.stride / counts.sum())
     shares, again = (1, -(-passes // rounds)) if passes >= rounds else (rounds, max(1, passes))
     for r in range(rounds):
-        own = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == r) if shares > 1 else training
-        model, n = one_round(own, model, path, batch, rate * (1 - 0.9 * r / max(1, rounds - 1)), again)
+        own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(shares)) == r) if shares > 1 else blocks
+        model, n = one_round(own, model, batch, rate * (1 - 0.9 * r / max(1, rounds - 1)), again)
         seen += n
     return model, seen
 
 
-def score(docs: DataFrame, path: str, batch: int = 96, steps: int = 1500) -> DataFrame:
+def score(docs: DataFrame, path: str, batch: int = 192, steps: int = 750) -> DataFrame:
     """The rows of SCHEMA for every row of docs. batch, steps: windows in a step, and the fewest steps of the training."""
-
-    words = word_table.distinct_words(docs, split, in_training)
-    known = common.written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    words = word_table.bucket_rows(docs, common.word_codes, in_training)
+    answers = common.written(word_table.answered(words, counted_ids(path), summed), "words")
     ends = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).count()
-    sums = known.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_counts(known, path, ends), path, batch, steps)[0])
+    total, distinct, counts = totals(answers, ends)
     least = total + 0.1 * (distinct + 1)
+    blocks = common.written(blocks_of(docs, answers.where("block >= 0"), lambda c: np.log10((c + 0.1) / least)), "ids")
+    model = docs.sparkSession.sparkContext.broadcast(fit(blocks, counts, batch, steps)[0])
     end_value = math.log10((ends + 0.1) / least)
 
-    def own_scores(doc_ids, texts):
-        ids, where = ids_of(tokens.encoder(path), texts)
-        value = np.concatenate([[0.0], np.cumsum(model.value.log_probabilities(ids, where))]) / math.log(10)
-        return (value[where[1:]] - value[where[:-1]]).astype("<f8").tobytes()
-
-    def finish(doc_ids, facts, at, offsets, made):
-        c = np.frombuffer(b"".join(facts), ">i8").astype(np.int64)[at] if len(facts) else np.zeros(0)
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
-        n = np.diff(offsets) + 1
-        values = np.log10((c + 0.1) / least)
-        base = np.array([values[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:])]) + end_value
-        held = [d is not None and not in_training(d) for d in doc_ids]
-        arrays = [pa.array(doc_ids, pa.int64()), pa.array(held), pa.array(n), pa.array(sums(c > 0) + int(ends > 0)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(np.frombuffer(made, "<f8"))]
-        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(", ")])
-
-    dealt = words.select("block", "idx", "word").repartition(common.partitions(docs.sparkSession), "word")
-    facts = dealt.join(known, "word").select("block", "idx", F.unhex(F.lpad(F.hex("c"), 16, "0")).alias("fact"))
-    return word_table.joined_back(docs, split, facts, finish, SCHEMA, own_scores)
+    def scored(batches):
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                docs, ends_, ids, base, n, known = documents_of(data)
+                value = np.concatenate([np.add.reduceat(model.value.log_probabilities(part, stops), stops[:-1]) for _, _, part, stops in runs(ids, ends_)]) / math.log(10)
+                held = [d is not None and not in_training(d) for d in docs]
+                arrays = [pa.array(docs, pa.int64()), pa.array(held), pa.array(n + 1), pa.array(known + int(ends > 0)), pa.array(np.full(len(n), total)), pa.array(base + end_value), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(", ")])
+
+    return blocks.select("data").mapInArrow(scored, SCHEMA)
 
 
 def op8_lm(spark, sf_dir):
