@@ -79,8 +79,6 @@ def directory(keys: DataFrame, capacity: int, step: int = 8) -> tuple[int, DataF
 
     A bucket's number is its prefix with a leading one bit. keys: fp, distinct.
     """
-    if capacity < 4:
-        raise ValueError("a bucket must have room for four keys")
     total = keys.count()
     start, depth = 0, min(24, max(0, math.ceil(math.log2(max(total, 1) / capacity)))) + 3
     leaves, over = split_round(keys, start, depth, capacity)
@@ -89,6 +87,8 @@ def directory(keys: DataFrame, capacity: int, step: int = 8) -> tuple[int, DataF
         start, depth = depth, min(62, depth + step)
         more, over = split_round(below, start, depth, capacity)
         leaves = common.written(leaves.unionByName(more), "leaves")
+    if depth == 62:  # keys that share all bits of a prefix this long lie in one bucket
+        leaves = leaves.unionByName(over.select("p", F.lit(62).alias("d")))
     top = leaves.agg(F.max("d")).first()[0] or 0
     bucket = F.expr("shiftleft(1L, d) + p").alias("bucket")
     slot = F.explode(F.expr(f"sequence(shiftleft(p, {top} - d), shiftleft(p + 1, {top} - d) - 1)")).alias("slot")

@@ -1,16 +1,23 @@
 """Embedding near-dedup over hierarchical navigable small-world graphs, one per shard.
 
-Vectors with the same label and the same direction bytes are one node with a multiplicity, so
-copies cost nothing. Nodes of a label are dealt into shards of bounded size; each shard builds
-a graph by inserting its nodes in batches. Blocks of nodes query every shard of their label.
-A query's beam doubles as long as all of it lies within the threshold, and a shard's beam
-doubles until an audit (a tenth of its queries against brute force) finds at least `recall` of
-the links; links are then verified by cosine in double precision and joined to components.
+Vectors with the same label and components are one node with a multiplicity, so copies cost
+nothing. Nodes of a label are dealt into shards of bounded size; each shard builds a graph: in
+every layer a node is linked, in both directions, to near nodes that are not nearer to each
+other than to it. The shards' graphs lie in files of the shared folder; each pair of shards of a
+label (and each shard with itself) is one search of all nodes of one in the graph of the other.
+
+A search walks down the layers, then expands its beam, and on from every node within the
+threshold. An audit compares a fixed number of the queries with all nodes of the graph; the beam
+doubles until `recall` of their links are found, and if it has reached the graph's size, the
+whole block is compared by matrix products. Links are confirmed by cosine in double precision;
+a search gives out how many vectors each node is linked to and a spanning forest of its links,
+not the pairs. Forests are joined to components.
 
 Vectors that are null, zero, empty, or hold null or non-finite components, and those without
 label, link with nothing. Vectors of different lengths never link. Rows with the same vec_id
-are taken as vectors of their own that share the id. An empty table gives no rows. Columns
-other than vec_id, embedding and label are not read.
+are vectors of their own that share the id; those without stand for no one: component_id is the
+least vec_id of the component, else null. An empty table gives no rows. Columns other than
+vec_id, embedding and label are not read.
 """
 
 from __future__ import annotations
@@ -24,202 +31,232 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import common
+from .word_table import gathered
 
-SCHEMA = "a long, b long"
+FOUND = "a long, b long, linked long"
 
 
 class Graph:
     """A navigable small-world graph of unit vectors (float32), searched for many queries at once."""
 
-    def __init__(self, vectors: np.ndarray, links: int = 12, beam: int = 48, seed: int = 1):
-        self.x, self.m = vectors, links
-        n = len(vectors)
+    def __init__(self, vectors: np.ndarray, links: int = 12, seed: int = 1):
+        self.x, n = vectors, len(vectors)
         draw = np.random.default_rng(seed).random(n)
-        self.level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(links)).astype(int), 6)
-        order = np.argsort(-self.level, kind="stable")  # the top layers first, so that the entry never changes
-        self.near = [np.full((n, 2 * links if l == 0 else links), -1, np.int32) for l in range(int(self.level.max()) + 1 if n else 0)]
-        self.start = int(order[0]) if n else -1
-        done = min(n, 1)
-        while done < n:
-            batch = order[done : done + max(1, min(256, done))]
-            self._insert(batch, beam)
-            done += len(batch)
-
-    def _insert(self, batch: np.ndarray, beam: int) -> None:
-        entry = np.full(len(batch), self.start)
-        among = self.x[batch] @ self.x[batch].T
-        for layer in range(len(self.near) - 1, -1, -1):
-            own = self.level[batch] >= layer
-            found, value = self.search_layer(self.x[batch], entry, layer, beam if own.any() else 1)
-            entry = np.where(found[:, 0] >= 0, found[:, 0], entry)
-            for i in np.flatnonzero(own):
-                others = np.flatnonzero((self.level[batch] >= layer) & (np.arange(len(batch)) != i))
-                others = others[np.argsort(-among[i, others])[: self.m]]
-                ids = np.concatenate([found[i][found[i] >= 0], batch[others]])
-                self._connect(int(batch[i]), ids, layer)
-
-    def _connect(self, node: int, ids: np.ndarray, layer: int) -> None:
-        chosen = self._diverse(node, ids, self.m)
-        row = self.near[layer][node]
-        row[:] = -1
-        row[: len(chosen)] = chosen
-        for other in chosen:
-            back = self.near[layer][other]
-            if node in back:
-                continue
-            free = np.flatnonzero(back < 0)
-            if len(free):
-                back[free[0]] = node
-            else:
-                kept = self._diverse(int(other), np.append(back, node), len(back))
-                back[:] = -1
-                back[: len(kept)] = kept
-
-    def _diverse(self, node: int, ids: np.ndarray, most: int) -> np.ndarray:
-        """Nearest first, leaving out those nearer to one already chosen; then filled up with the nearest left."""
-        ids = np.unique(ids[ids != node])
-        v = self.x[ids]
-        to = v @ self.x[node]
-        order = np.argsort(-to)[: 4 * most]
-        ids, v, to = ids[order], v[order], to[order]
-        each, chosen = v @ v.T, []
-        for i in range(len(ids)):
-            if len(chosen) == most:
+        level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(links)).astype(int), 6)
+        self.start = int(np.argmax(level)) if n else -1
+        self.layers = [self._layer(np.flatnonzero(level >= l), links) for l in range(int(level.max()) + 1 if n else 0)]
+
+    def _layer(self, members: np.ndarray, links: int):
+        """Where each node's neighbours begin and end, and the neighbours."""
+        x, sides = self.x[members], []
+        near = min(4 * links, len(members) - 1)
+        for i in range(0, len(members), 256) if near > 0 else ():
+            own = np.arange(i, min(i + 256, len(members)))
+            products = x[own] @ x.T
+            products[np.arange(len(own)), own] = -2
+            ids = np.argpartition(-products, near - 1, 1)[:, :near]
+            value = np.take_along_axis(products, ids, 1)
+            order = np.argsort(-value, 1, kind="stable")
+            ids, value = np.take_along_axis(ids, order, 1), np.take_along_axis(value, order, 1)
+            r, c = np.nonzero(self._diverse(x[ids], value, links))
+            sides.append((members[own[r]], members[ids[r, c]]))
+        a = np.concatenate([s[0] for s in sides] + [s[1] for s in sides]) if sides else np.zeros(0, np.int64)
+        b = np.concatenate([s[1] for s in sides] + [s[0] for s in sides]) if sides else np.zeros(0, np.int64)
+        edges = np.unique(a * len(self.x) + b)
+        return np.searchsorted(edges, np.arange(len(self.x) + 1) * len(self.x)), (edges % len(self.x)).astype(np.int32)
+
+    @staticmethod
+    def _diverse(v: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+        """Of candidates, nearest first: those not nearer to a chosen one; half of the free places go to the nearest others."""
+        each = v @ v.transpose(0, 2, 1)
+        chosen = np.zeros(value.shape, bool)
+        for c in range(value.shape[1]):
+            nearest = np.where(chosen, each[:, c], -2).max(1)
+            chosen[:, c] = (nearest < value[:, c]) & (chosen.sum(1) < most)
+        free = (most - chosen.sum(1, keepdims=True)) // 2
+        return chosen | (~chosen & (np.cumsum(~chosen, 1) <= free))
+
+    def _search_layer(self, queries, entries, layer: int, beam: int, least: float, wide: int = 8):
+        """The best node per query, and all pairs (query, node) met with products >= least. entries: (query, node) pairs."""
+        q, n = len(queries), len(self.x)
+        ends, near = self.layers[layer]
+        seen, ids, value, open_ = np.zeros((q, n), bool), np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf, np.float32), np.zeros((q, beam), bool)
+        done, hits = np.zeros((q, n), bool), []
+        fresh = np.unique(entries[0] * n + entries[1])
+        while True:
+            r, node = np.divmod(fresh, n)
+            seen[r, node] = True
+            got = np.einsum("ij,ij->i", queries[r], self.x[node])
+            hit = got >= least
+            hits.append((r[hit], node[hit]))
+            if len(r):
+                live, place = np.unique(r), np.arange(len(r)) - np.searchsorted(r, r)
+                row, shape = np.searchsorted(live, r), (len(live), int(place.max()) + 1)
+                more_ids, more = np.full(shape, -1, np.int64), np.full(shape, -np.inf, np.float32)
+                more_ids[row, place], more[row, place] = node, got
+                all_ids, all_value = np.concatenate([ids[live], more_ids], 1), np.concatenate([value[live], more], 1)
+                all_open = np.concatenate([open_[live], more_ids >= 0], 1)
+                order = np.argsort(-all_value, 1, kind="stable")[:, :beam]
+                ids[live], value[live] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_value, order, 1)
+                open_[live] = np.take_along_axis(all_open, order, 1)
+            now = open_ & (np.cumsum(open_, 1) <= wide)
+            open_ &= ~now
+            by, place = np.nonzero(now)
+            both = np.unique(np.concatenate([by * n + ids[by, place], r[hit] * n + node[hit]]))
+            by, at = np.divmod(both, n)
+            left = ~done[by, at]
+            by, at = by[left], at[left]
+            if not len(both):
                 break
-            if not chosen or (each[i, chosen] < to[i]).all():
-                chosen.append(i)
-        left = [i for i in range(len(ids)) if i not in set(chosen)]
-        return ids[chosen + left[: max(0, (most - len(chosen)) // 2)]]
-
-    def search_layer(self, queries: np.ndarray, entry: np.ndarray, layer: int, beam: int):
-        """The beam nearest nodes found from each query's entry: ids (-1 beyond the last) and products, best first."""
-        q, n, near = len(queries), len(self.x), self.near[layer]
-        seen = np.zeros((q, n), bool)
-        rows = np.arange(q)
-        seen[rows, entry] = True
-        ids = np.full((q, beam), -1, np.int64)
-        value = np.full((q, beam), -np.inf, np.float32)
-        ids[:, 0], value[:, 0] = entry, (queries * self.x[entry]).sum(1)
-        open_ = ids >= 0
-        while open_.any():
-            live = np.flatnonzero(open_.any(1))
-            at = np.argmax(open_[live], 1)  # rows are sorted: the best one not yet expanded
-            open_[live, at] = False
-            next_ = near[ids[live, at]]
-            fresh = (next_ >= 0) & ~seen[live[:, None], np.maximum(next_, 0)]
-            r, c = np.nonzero(fresh)
-            if not len(r):
-                continue
-            seen[live[r], next_[r, c]] = True
-            got = np.full(next_.shape, -np.inf, np.float32)
-            got[r, c] = np.einsum("ij,ij->i", queries[live[r]], self.x[next_[r, c]])
-            all_ids = np.concatenate([ids[live], np.where(fresh, next_, -1)], 1)
-            all_value = np.concatenate([value[live], got], 1)
-            all_open = np.concatenate([open_[live], fresh], 1)
-            order = np.argsort(-all_value, 1, kind="stable")[:, :beam]
-            ids[live], value[live] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_value, order, 1)
-            open_[live] = np.take_along_axis(all_open, order, 1) & (ids[live] >= 0)
-        return ids, value
-
-    def search(self, queries: np.ndarray, beam: int):
-        entry = np.full(len(queries), self.start)
-        for layer in range(len(self.near) - 1, 0, -1):
-            entry = self.search_layer(queries, entry, layer, 1)[0][:, 0]
-        return self.search_layer(queries, entry, 0, beam)
-
-    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of products >= least; a query whose whole beam qualifies is asked again with twice the beam."""
-        left, pairs = np.arange(len(queries)), []
-        while len(left):
-            again = []
-            for i in range(0, len(left), 128):
-                part = left[i : i + 128]
-                ids, value = self.search(queries[part], min(beam, len(self.x)))
-                full = (value >= least).all(1) & (beam < len(self.x))
-                r, c = np.nonzero((value >= least) & ~full[:, None])
-                pairs.append((part[r], ids[r, c]))
-                again.append(part[full])
-            left, beam = np.concatenate(again), 2 * beam
+            done[by, at] = True
+            counts = ends[at + 1] - ends[at]
+            to, by = gathered(near, ends[at], counts), np.repeat(by, counts)
+            new = ~seen[by, to]
+            fresh = np.unique(by[new] * n + to[new])
+        return ids[:, 0], np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+
+    def within(self, queries: np.ndarray, least: float, beam: int, own: np.ndarray | None = None, at_once: int = 128):
+        """Pairs (query, node) of products >= least that are found. own: the queries' nodes, where they are nodes of this graph."""
+        pairs = []
+        for i in range(0, len(queries), at_once):
+            part = queries[i : i + at_once]
+            rows = np.arange(len(part))
+            entry = np.full(len(part), self.start)
+            for layer in range(len(self.layers) - 1, 0, -1):
+                entry = self._search_layer(part, (rows, entry), layer, 4, np.inf)[0]
+            entries = (rows, entry) if own is None else (np.concatenate([rows, rows]), np.concatenate([entry, own[i : i + at_once]]))
+            _, q, node = self._search_layer(part, entries, 0, beam, least)
+            pairs.append((q + i, node))
         return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
-def audited(graph: Graph, queries: np.ndarray, least: float, beam: int, recall: float):
-    """Links of all queries, with the beam widened until a tenth of them find `recall` of theirs."""
-    some = np.arange(0, len(queries), 10)
-    true = [queries[some[i : i + 256]] @ graph.x.T >= least for i in range(0, len(some), 256)]
-    wanted = sum(int(t.sum()) for t in true)
+def compared(x: np.ndarray, queries: np.ndarray, least: float):
+    """All pairs (query, node) of products >= least."""
+    parts = [np.nonzero(queries[i : i + 256] @ x.T >= least) for i in range(0, len(queries), 256)]
+    return np.concatenate([r + 256 * i for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
+
+
+def audited(graph: Graph, queries: np.ndarray, least: float, beam: int, recall: float, own: np.ndarray | None = None, audit: int = 128):
+    """Links of all queries but with themselves, with the beam widened until `audit` of them, evenly chosen, find `recall` of theirs."""
+    some = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
+    others = lambda q, n, at: (q, n) if own is None else tuple(y[own[at][q] != n] for y in (q, n))
+    wanted = len(others(*compared(graph.x, queries[some], least), some)[0])
     while beam < len(graph.x):
-        q, _ = graph.within(queries[some], least, beam)
-        if len(q) >= recall * wanted:
-            break
+        found = others(*graph.within(queries[some], least, beam, None if own is None else own[some]), some)
+        if len(found[0]) >= recall * wanted:
+            return others(*graph.within(queries, least, beam, own), np.arange(len(queries)))
         beam *= 2
-    return graph.within(queries, least, beam)
+    return others(*compared(graph.x, queries, least), np.arange(len(queries)))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make up a spanning forest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, out = list(range(len(nodes))), np.zeros(len(a), bool)
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, (u, v) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+        u, v = root(u), root(v)
+        if u != v:
+            parent[u] = v
+            out[i] = True
+    return out
+
+
+def typed(vectors: DataFrame) -> DataFrame:
+    return vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """Usable vectors, one row per label and components: node (least vec_id), copies, label, embedding."""
-    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    """Usable vectors, one row per label and components: number, node (least vec_id), copies, label, embedding."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-    return v.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    v = typed(vectors).where(F.col("label").isNotNull() & F.coalesce(good, F.lit(False)))
+    same = v.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    return common.written(same.withColumn("number", F.monotonically_increasing_id()), "nodes")
 
 
-def link_pairs(nodes: DataFrame, least: float, shard_size: int, beam: int, recall: float) -> DataFrame:
-    """(a, b), a < b: numbers of nodes with cosine >= least. nodes: number, label, embedding."""
-    spark = nodes.sparkSession
+def shards_of(nodes: DataFrame, shard_size: int, folder: str) -> DataFrame:
+    """label, d (length), shards: how many files of graphs each label and length has in folder. nodes: see nodes_of."""
     sizes = nodes.groupBy("label", F.size("embedding").alias("d")).agg(F.ceil(F.count("*") / shard_size).alias("shards"))
+    sizes = common.written(sizes, "sizes")
     dealt = nodes.withColumn("d", F.size("embedding")).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["label", "d"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("number"), "shards"))
-
-    def unit(pdf):
-        x = np.stack(pdf["embedding"].to_numpy())
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("number"), "shards")).select("label", "d", "shard", "number", "copies", "embedding")
 
     def build(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("number")
-        x = unit(pdf)
+        x = np.stack(pdf["embedding"].to_numpy())
+        x = x / np.abs(x).max(1, keepdims=True)  # so that no square is out of range
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
         graph = Graph(x.astype(np.float32))
-        blob = pickle.dumps((pdf["number"].to_numpy(), x, graph.level, graph.near, graph.start), 5)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "d": [x.shape[1]], "shard": [pdf["shard"].iloc[0]], "blob": [blob]})
+        label, d, shard = (int(pdf[c].iloc[0]) for c in ("label", "d", "shard"))
+        common.put(folder, f"{label}-{d}-{shard}", pickle.dumps((pdf["number"].to_numpy(), pdf["copies"].to_numpy(), x, graph.layers, graph.start), 5))
+        return pd.DataFrame({"nodes": [len(pdf)]})
+
+    common.written(dealt.groupBy("label", "d", "shard").applyInPandas(build, "nodes long"), "built")
+    return sizes
 
-    key = "label int, d int, shard long, blob binary"
-    graphs = common.written(dealt.groupBy("label", "d", "shard").applyInPandas(build, key), "graphs")
+
+def links(sizes: DataFrame, folder: str, least: float, beam: int, recall: float) -> DataFrame:
+    """(a, null, linked): vectors that node a is linked to, per search; (a, b, null): a spanning forest of the links of each search."""
+
+    def load(name):
+        system, base = common.open_fs(folder)
+        with system.open_input_stream(f"{base}/{name}", compression=None) as f:
+            return pickle.loads(f.read())
 
     def search(batches):
+        name, held = None, None
         for batch in batches:
-            for graph_blob, query_blob in zip(batch.column("blob"), batch.column("asks")):
-                numbers, x, level, near, start = pickle.loads(graph_blob.as_buffer())
-                own, y, *_ = pickle.loads(query_blob.as_buffer())
-                graph = Graph.__new__(Graph)
-                graph.x, graph.level, graph.near, graph.start = x.astype(np.float32), level, near, start
-                q, n = audited(graph, y.astype(np.float32), least - 1e-4, beam, recall)
-                exact = np.einsum("ij,ij->i", y[q], x[n]) >= least - 1e-15
-                a, b = own[q][exact], numbers[n][exact]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    asks = graphs.select("label", "d", F.col("blob").alias("asks"), F.col("shard").alias("asker"))
-    each = graphs.join(asks, ["label", "d"]).repartition(common.partitions(spark), "label", "d", "shard", "asker")
-    return common.written(each.select("blob", "asks").mapInArrow(search, SCHEMA).where("a < b").distinct(), "links")
+            for label, d, asker, shard in zip(*(batch.column(c).to_pylist() for c in ("label", "d", "asker", "shard"))):
+                if name != f"{label}-{d}-{shard}":
+                    name = f"{label}-{d}-{shard}"
+                    held = load(name)
+                    graph = Graph.__new__(Graph)
+                    graph.x, graph.layers, graph.start = held[2].astype(np.float32), held[3], held[4]
+                own, own_copies, y = (load(f"{label}-{d}-{asker}") if asker != shard else held)[:3]
+                q, n = audited(graph, y.astype(np.float32), least - 1e-4, beam, recall, np.arange(len(own)) if asker == shard else None)
+                numbers, copies = held[:2]
+                if asker == shard and len(q):  # each link once, whichever end found it
+                    q, n = np.divmod(np.unique(np.minimum(q, n) * len(own) + np.maximum(q, n)), len(own))
+                cosine = np.concatenate([np.einsum("ij,ij->i", y[q[i : i + 65536]], held[2][n[i : i + 65536]]) for i in range(0, max(len(q), 1), 65536)])
+                q, n = q[cosine >= least], n[cosine >= least]
+                a, b = own[q], numbers[n]
+                tree = forest(a, b)
+                ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                linked = np.bincount(at, np.concatenate([copies[n], own_copies[q]]), len(ids)).astype(np.int64)
+                none = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none, pa.array(linked)], ["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[tree], pa.int64()), pa.array(b[tree], pa.int64()), pa.nulls(int(tree.sum()), pa.int64())], ["a", "b", "linked"])
+
+    shard = sizes.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    pairs = shard.withColumn("asker", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shard"))))
+    dealt = pairs.repartition(common.partitions(sizes.sparkSession), "label", "d", "shard", F.floor(F.col("asker") / 8)).sortWithinPartitions("label", "d", "shard", "asker")
+    return common.written(dealt.select("label", "d", "asker", "shard").mapInArrow(search, FOUND), "links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, shard_size: int = 8192, beam: int = 32, recall: float = 0.999) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    found = nodes_of(vectors)
-    number = F.xxhash64("label", "embedding").alias("number")
-    nodes = common.written(found.select("*", number), "nodes")
-    links = link_pairs(nodes.select("number", "label", "embedding"), least, shard_size, beam, recall)
-    copies = nodes.select("number", "copies", "node")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(copies.select(F.col("number").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-    roots = copies.join(components(links, "a", "b").withColumnRenamed("node", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+    nodes = nodes_of(vectors)
+    folder = common.shared_folder(vectors.sparkSession, "graphs")
+    found = links(shards_of(nodes, shard_size, folder), folder, least, beam, recall)
+    counted = found.where("b is null").groupBy(F.col("a").alias("number")).agg(F.sum("linked").alias("linked"))
+    joined = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "number")
+    roots = nodes.select("number", "node", "copies").join(joined, "number", "left").withColumn("component", F.coalesce("component", "number"))
     least_id = roots.groupBy("component").agg(F.min("node").alias("component_id"))
-    facts = roots.join(least_id, "component").join(counted.withColumnRenamed("a", "number"), "number", "left")
+    facts = roots.join(least_id, "component").join(counted, "number", "left")
     facts = facts.select("number", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    own = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).select("vec_id", F.when(F.col("label").isNotNull() & F.col("embedding").isNotNull(), F.xxhash64("label", "embedding")).alias("number"))
-    out = own.join(facts, "number", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    known = nodes.select("label", "embedding", "number").join(facts, "number").drop("number")
+    out = typed(vectors).join(known, ["label", "embedding"], "left")
+    id_ = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), id_)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_vector_dedup(spark, sf_dir):

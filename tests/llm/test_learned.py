@@ -48,7 +48,7 @@ def corpus(seed, n=120):
 def test_near_dedup(spark, seed):
     texts = corpus(seed)
     want = brute(texts)
-    rows = sorted(near_dedup.near_groups(documents(spark, texts, seed == 1), rounds=seed, block=32 if seed == 1 else 512).collect())
+    rows = sorted(near_dedup.near_groups(documents(spark, texts, seed == 1), block=4 if seed == 1 else 1024).collect())
     assert [(r.n_shingles, r.component_id) for r in rows] == want
     assert [r.kept for r in rows] == [c == i for i, (_, c) in enumerate(want)]
 

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from tallyloom.llm import lm, tokens
+from tallyloom.llm import common, lm, tokens, word_table
 
 from .helpers import DOCS, ODD, documents, ids_of
 
@@ -42,15 +42,55 @@ def test_empty(spark):
     assert lm.score(spark.createDataFrame([], DOCS), tokens.vocabulary_path(), 10, 5).count() == 0
 
 
+def packed_blocks(df):
+    words = word_table.bucket_rows(df, common.word_codes, lm.in_training)
+    answers = word_table.answered(words, lm.counted_ids(tokens.vocabulary_path()), lm.summed).cache()
+    return answers, lm.blocks_of(df, answers.where("block >= 0"), lambda c: 0.0 * c)
+
+
 def test_learns_from_every_window(spark):
     texts = ["so long", *[f"a text of its own with number {i} " * (i % 5) for i in range(120)]]
-    df = documents(spark, texts).repartition(5)
+    _, blocks = packed_blocks(documents(spark, texts).repartition(5).cache())
     counts = np.ones(lm.SIZE, int)
     want = sum(-(-(len(ids_of(t)) + 1) // 16) for i, t in enumerate(texts) if lm.in_training(i))
-    assert lm.fit(df, counts, tokens.vocabulary_path(), 8, 1)[1] == want
+    assert lm.fit(blocks, counts, 8, 1)[1] == want
     few = np.zeros(lm.SIZE, int)
     few[lm.END] = 10
-    assert lm.fit(df, few, tokens.vocabulary_path(), 1, 1, rounds=2)[1] == want * 2
+    assert lm.fit(blocks, few, 1, 1, rounds=2)[1] == want * 2
+
+
+def test_gradients():
+    rng = np.random.default_rng(5)
+    model = lm.Model(rng.integers(0, 9, lm.SIZE), groups=3, members=8, tails=8, embedded=20, width=4, stride=4)
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    inputs, goal, valid = rng.integers(0, 20, (3, 8)), rng.integers(0, 24, (3, 4)), rng.random((3, 4)) < 0.8
+
+    def loss():
+        h, good, to = model.forward(inputs)[0], valid.reshape(-1), goal.reshape(-1)
+        total = 0
+        for i in np.flatnonzero(good):
+            for z, t in ((h[i] @ model.p["g"] + model.p["gb"], to[i] // 8), (h[i] @ model.p["o"][to[i] // 8] + model.p["ob"][to[i] // 8], to[i] % 8)):
+                total += np.log(np.exp(z).sum()) - z[t]
+        return total / good.sum()
+
+    found = model.gradients(inputs, goal, valid)
+    for name, p in model.p.items():
+        for at in rng.integers(0, p.size, 6):
+            flat = p.reshape(-1)
+            kept = flat[at]
+            flat[at] = kept + 1e-5
+            up = loss()
+            flat[at] = kept - 1e-5
+            slope = (up - loss()) / 2e-5
+            flat[at] = kept
+            assert abs(found[name].reshape(-1)[at] - slope) < 1e-4, name
+
+
+def test_odd_rows(spark):
+    rows = [(3, "one two three", "x"), (3, "one two three", "x"), (None, "one two", "x"), (4, None, "x"), (5, "word " * 30000, "x")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string"), tokens.vocabulary_path(), 8, 5).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (3, 4), (3, 4), (4, 1), (5, 30001)]
+    assert len({r.score for r in got if r.doc_id == 3}) == 1 and not [r for r in got if r.doc_id is None][0].held_out
 
 
 def test_short_texts_are_learnt():
@@ -63,7 +103,9 @@ def test_short_texts_are_learnt():
 
 
 def test_words_with_marks_are_counted(spark):
-    words = spark.createDataFrame([(b"<|endoftext|>", 3), (b"a<|b", 2)], "word binary, c long")
-    want = 3 * np.bincount(ids_of("<|endoftext|>"), minlength=lm.SIZE) + 2 * np.bincount(ids_of("a<|b"), minlength=lm.SIZE)
-    want[lm.END] += 5
-    assert (lm.id_counts(words, tokens.vocabulary_path(), 5) == want).all()
+    texts = ["<|ENDOFTEXT|> a<|b"] * 3 + ["plain"]
+    answers, _ = packed_blocks(spark.createDataFrame([(2, t) for t in texts], "doc_id long, text string"))
+    want = sum(np.bincount(ids_of(t.lower()), minlength=lm.SIZE) for t in texts)
+    want[lm.END] += 4
+    total, distinct, counts = lm.totals(answers, 4)
+    assert (total, distinct) == (7 + 4, 3 + 1) and (counts == want).all()

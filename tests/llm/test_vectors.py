@@ -47,5 +47,23 @@ def test_graph_recall():
     assert len(q) >= 0.99 * (x[:500] @ x.T >= 0.9).sum()
 
 
+def test_unreachable_nodes_are_compared():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = vector_dedup.Graph(x)
+    graph.layers = [(np.zeros(301, np.int64), np.zeros(0, np.int32))]  # no way to any node
+    q, n = vector_dedup.audited(graph, x, 0.6, 8, 0.999, np.arange(300))
+    assert len(q) == ((x @ x.T >= 0.6).sum() - 300)
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(7, a, 1, "x"), (7, b, 1, "x"), (9, b, 1, "x"), (None, a, 1, "x"), (None, [1.0, 1.0], 1, "x")]
+    got = sorted(vector_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect(), key=str)
+    want = [(7, 1, 7, True), (7, 1, 7, True), (9, 1, 7, False), (None, 1, 7, False), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_empty(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
