@@ -2,15 +2,16 @@
 
 File format (little-endian). A shard is a run of zstandard frames, one per document in
 ascending doc_id order, each holding the ids as unsigned integers of the header's width,
-compressed with the shared dictionary. The footer has doc_id (int64), number of ids (uint32)
-and frame end (uint64) of each document, then 8 bytes number of documents, 8 bytes width,
+compressed with the shared dictionary. The footer has doc_id (int64, with a byte that is 0 where there is none), number of
+ids (uint32) and frame end (uint64) of each document, then 8 bytes number of documents, 8 bytes width,
 32 bytes SHA-256 of the dictionary and the 8 bytes of MAGIC, so that one document is read by
 one look at the footer and one short range. The folder also holds the dictionary and, written
 last, manifest.json with the shards in order and the ids before each.
 
 Shards are written under temporary names and renamed, so a repeated task replaces its shard
 whole. Null text is empty: such a document is the end id alone. Rows with the same doc_id stay
-apart, next to each other. A table without rows gives a folder without shards and no rows back.
+apart, next to each other; rows without doc_id come first. The dictionary is trained on the ids of
+a bounded sample of documents; where the sample is too small to train on, it is the sample itself. A table without rows gives a folder without shards and no rows back.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 MAGIC = b"TLTOKEN1"
-INDEX = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("end", "<u8")])
+INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_tokens", "<u4"), ("end", "<u8")])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -42,10 +43,10 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = 1000, ids_each: i
     rows = some.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     encoder = tokens.encoder(path)
     samples = [ids[:ids_each].astype(f"<u{width}").tobytes() for ids in encoder.encode(pa.array([r.text for r in rows], pa.string()))]
-    samples = [s for s in samples if len(s) >= 8]
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
-        return b""
-    return zstandard.train_dictionary(size, samples).as_bytes()
+    try:
+        return zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8]).as_bytes()
+    except zstandard.ZstdError:  # too little to train on
+        return b"".join(samples)[-size:]
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, width: int = 2, level: int = 3) -> dict:
@@ -71,7 +72,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, width: int = 2, level:
                 out.write(frame)
                 at += len(frame)
                 total += len(ids)
-                index.append((doc, len(ids), at))
+                index.append((doc or 0, doc is not None, len(ids), at))
         if out is None:
             return
         out.write(np.array(index, INDEX).tobytes() + np.array([len(index), width], "<u8").tobytes() + digest + MAGIC)
@@ -80,7 +81,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, width: int = 2, level:
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(index)], "tokens": [total]})
 
     n = common.partitions(docs.sparkSession)
-    ranged = common.texts(docs.where("doc_id is not null")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ranged = common.texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     shards = sorted(ranged.mapInArrow(write, "part long, file string, docs long, tokens long").collect())
     manifest, start = {"dictionary_sha256": digest.hex(), "width": width, "shards": []}, 0
     for s in shards:
@@ -126,7 +127,7 @@ def frames(folder: str, shard: str, digest: str, at_once: int = 4 << 20):
             at = 0
             for row in index[i:j]:
                 to = int(row["end"]) - before
-                yield int(row["doc_id"]), np.frombuffer(unpacker.decompress(data[at:to]), f"<u{width}").astype("<u4")
+                yield int(row["doc_id"]) if row["known"] else None, np.frombuffer(unpacker.decompress(data[at:to]), f"<u{width}").astype("<u4")
                 at = to
             i, before = j, int(ends[j - 1])
 

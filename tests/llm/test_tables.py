@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tallyloom.llm import common, exact_dedup, licenses, warc
+from tallyloom.llm import common, exact_dedup, licenses, near_dedup, warc
 
 from .helpers import DOCS, ODD, documents
 
@@ -23,10 +23,38 @@ def test_exact_dedup(spark, extra):
     assert left.columns == docs.columns
 
 
-def test_directory_splits():
-    depth, slots = exact_dedup.split_buckets({0: 9, 1: 1, 2: 1, 3: 1}, 2, 3)
-    assert (depth, slots) == (2, [0, 1, 2, 2])
-    assert exact_dedup.split_buckets({}, 0, 3) == (0, [0])
+def test_directory_doubles_until_nothing_is_overfull(spark):
+    keys = spark.createDataFrame([((i * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63),) for i in range(500)], "fp long")
+    depth, slots = exact_dedup.directory(keys, 3, step=2)
+    table = {r.slot: r.bucket for r in slots.collect()}
+    found = [table[((r.fp % (1 << 64)) >> (64 - depth))] for r in keys.collect()]
+    assert len(table) <= 1 << depth and max(found.count(b) for b in set(found)) <= 3
+
+
+def test_chains_of_colliding_fingerprints(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, ["x", "y", "x", "z", "y", "x"])
+    monkeypatch.setattr(exact_dedup, "keyed", lambda d: d.select("doc_id", exact_dedup.normalised(F.col("text")).alias("norm"), F.lit(7).cast("long").alias("fp")))
+    monkeypatch.setattr(exact_dedup, "directory", lambda keys, capacity: (0, spark.createDataFrame([(0, 1)], "slot long, bucket long")))
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(0, 0, 3), (1, 1, 2), (2, 0, 3), (3, 3, 1), (4, 1, 2), (5, 0, 3)]
+
+
+def test_the_directory_leads_to_the_result(spark, monkeypatch):
+    docs, real = documents(spark, ["x", "y", "x"]), exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda keys, capacity: (lambda d, s: (d, s.where("false")))(*real(keys, capacity)))
+    assert exact_dedup.exact_dedup(docs).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["exact", "near"])
+def test_survivors_go_by_row(spark, stage):
+    other, b = "quite another text of more than five words", "b b b b b b b"
+    rows = [(3, b, "x"), (5, other, "x"), (5, b, "x"), (None, b, "x"), (None, "one without id", "x"), (3, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    left = (exact_dedup if stage == "exact" else near_dedup).survivors(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(3, b, "x"), (5, other, "x"), (None, "one without id", "x")], key=str)
 
 
 def test_exact_dedup_empty(spark):

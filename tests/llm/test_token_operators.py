@@ -74,3 +74,12 @@ def test_empty_tables(spark):
     folder = common.shared_folder(spark, "tokens")
     token_files.write_shards(docs, tokens.vocabulary_path(), folder)
     assert token_files.read_shards(spark, folder).count() == 0
+
+
+def test_token_files_keep_rows_without_id(spark):
+    df = spark.createDataFrame([(2, "a b", "x"), (None, "c", "x"), (None, None, "x"), (1, "d", "x"), (1, "d", "x")], "doc_id long, text string, start string")
+    folder = common.shared_folder(spark, "tokens")
+    token_files.write_shards(df, tokens.vocabulary_path(), folder)
+    rows = sorted(token_files.read_shards(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 1, 1, 2]
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(5)]
