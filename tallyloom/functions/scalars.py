@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Prefixes that may be stacked before a reference, and words of a bank narration that never are one.
 PREFIXES = ["PAYMENT", "NEFT", "IMPS", "TXN", "REF", "PAY", "LED", "VCH", "JV"]
-STOPWORDS = ["BY", "TO", "FROM", "UPI", "NEFT", "IMPS", "RTGS", "TRANSFER", "PAYMENT", "CREDIT", "DEBIT", "REF", "CR", "DR"]
+STOPWORDS = ["NEFT", "IMPS", "UPI", "RTGS", "TRF", "FROM", "TO", "BY", "TRANSFER", "RAZORPAY", "RZPY", "MPS", "SOFTWARE", "PVT", "LTD", "PRIVATE", "LIMITED", "SETTLEMENT", "PAYMENT", "COLLECTION", "REF", "REFNO", "DT", "DATE", "CR", "DR", "TXN", "NA"]
 
 
 def full_ref(ref: Column) -> Column:
@@ -28,16 +28,28 @@ def refs_link(a: Column, b: Column) -> Column:
     return (a == b) | (last8(a) == last8(b)) | (F.length(small).between(3, 4) & large.endswith(small))
 
 
+#: Zeros of the decimal digits of scripts that a statement may hold; nine more digits follow each.
+_ZEROS = "\u0660\u06f0\u0966\u09e6\u0a66\u0ae6\u0b66\u0be6\u0c66\u0ce6\u0d66\uff10"
+
+
+def latin_digits(text: Column) -> Column:
+    """Decimal digits of other scripts as 0 to 9."""
+    return F.translate(text, "".join(chr(ord(z) + i) for z in _ZEROS for i in range(10)), "0123456789" * len(_ZEROS))
+
+
 def paise_of(text: Column) -> Column:
-    """Paise of a rupee text; null if it can't be read. Brackets, a leading minus or a final DR make it negative."""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"(?i)₹|\bRs\.?|\bINR\b", ""))
+    """Paise of a rupee text; null if it can't be read. Brackets, a leading minus or a final DR make it negative.
+
+    Digits of any script count; all that follows the first point is the fraction, cut to two digits.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(latin_digits(text)), r"(?i)₹|\bRs\.?|\bINR\b", ""))
     bracket = bare.rlike(r"^\(.*\)$")
     inner = F.when(bracket, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare)
     debit = inner.rlike(r"(?i)\bDR\s*$")
     digits = F.regexp_replace(F.regexp_replace(inner, r"(?i)\b(CR|DR)\s*$", ""), r"[^0-9.\-]", "")
     negative = bracket | debit | digits.startswith("-")
     parts = F.split(F.regexp_replace(digits, "-", ""), r"\.")
-    cents = F.rpad(F.left(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit(2)), 2, "0")
+    cents = F.rpad(F.left(F.array_join(F.slice(parts, 2, 1 << 20), ""), F.lit(2)), 2, "0")
     whole = F.when(parts[0] == "", "0").otherwise(parts[0])
     value = whole.try_cast("bigint") * 100 + cents.try_cast("bigint")
     return F.when(F.regexp_replace(digits, r"[^0-9]", "") == "", None).when(negative, -value).otherwise(value)
@@ -79,10 +91,13 @@ def numbers_in(text: Column) -> Column:
 
 
 def interpretations(amount: Column, gross: Column, fee: Column, tax: Column) -> Column:
-    """The tightest of gross, net_of_fee, net_of_fee_tax (exact) and fee_tax_rounded (2 paise) that explains amount."""
+    """The tightest form of a gateway amount that explains amount: whole, less the fee, less fee and tax (all exact), or the latter within 2 paise.
+
+    Forms that need a fee or tax which is null are left out.
+    """
     form = lambda label, value, tolerance, i: F.when(F.abs(amount - value) <= tolerance, F.struct(F.abs(amount - value).alias("off"), F.lit(i).alias("i"), F.lit(label).alias("label")))
     both = gross - fee - tax
-    forms = F.array(form("gross", gross, 0, 0), form("net_of_fee", gross - fee, 0, 1), form("net_of_fee_tax", both, 0, 2), form("fee_tax_rounded", both, 2, 3))
+    forms = F.array(form("gross", gross, 0, 0), form("gross_minus_fee", gross - fee, 0, 1), form("gross_minus_fee_minus_tax", both, 0, 2), form("gross_minus_fee_plus_tax", both, 2, 3))
     return F.array_min(F.filter(forms, lambda x: x.isNotNull()))["label"]
 
 

@@ -46,14 +46,19 @@ def unmatched(t: DataFrame, members: DataFrame) -> DataFrame:
     return t.join(members.select("txn_id"), "txn_id", "left_anti")
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Rows with a reference: null and empty ones never link."""
+    return rows.where(F.coalesce("external_ref", F.lit("")) != "")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
     """Pairs (a, b) of different sources in one batch: linked references, at most 1 paisa and 3 days apart.
 
     One equi-join on the last three characters and the amount, spread over its three neighbours.
     """
     own = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("txn_id", "batch_id", "source_kind", "amount_paise", "txn_date")), S.full_ref(F.col("external_ref")).alias(f"{p}_ref"))
-    a = own(left, "a").where("a_ref is not null").withColumn("near", F.explode(F.sequence(F.col("a_amount_paise") - 1, F.col("a_amount_paise") + 1)))
-    b = own(right, "b").where("b_ref is not null")
+    a = own(named(left), "a").where("a_ref is not null").withColumn("near", F.explode(F.sequence(F.col("a_amount_paise") - 1, F.col("a_amount_paise") + 1)))
+    b = own(named(right), "b").where("b_ref is not null")
     on = (F.col("near") == F.col("b_amount_paise")) & (F.right("a_ref", F.lit(3)) == F.right("b_ref", F.lit(3))) & (F.col("a_batch_id") == F.col("b_batch_id"))
     on = on & (F.col("a_source_kind") != F.col("b_source_kind")) & (F.abs(F.datediff("a_txn_date", "b_txn_date")) <= 3)
     on = on & S.refs_link(F.col("a_ref"), F.col("b_ref"))
@@ -70,9 +75,18 @@ def cluster_members(t: DataFrame) -> DataFrame:
 def replayed(edges: DataFrame, key: str = "group_id") -> DataFrame:
     """Rows taken up in txn_id order if exactly one group has a place for their source. edges: txn_id, source_kind, group_id, kinds.
 
-    Order matters only inside a component of the graph of rows and groups, so components are
-    replayed in parallel.
+    A row with one group that no other row of its source wants has its place for certain. Of the
+    others, order matters only inside a component of the graph of rows and groups, so components
+    are replayed in parallel.
     """
+    per_row = edges.groupBy("txn_id").agg(F.count("*").alias("groups"))
+    per_place = edges.groupBy(key, "source_kind").agg(F.count_distinct("txn_id").alias("rivals"))
+    told = written(edges.join(per_row, "txn_id").join(per_place, [key, "source_kind"]), "places")
+    sure = told.where("groups = 1 and rivals = 1").select("txn_id", F.col(key).alias("group_id"))
+    return sure.unionByName(_replayed(told.where("groups > 1 or rivals > 1").drop("groups", "rivals"), key))
+
+
+def _replayed(edges: DataFrame, key: str) -> DataFrame:
     graph = components(edges.select(F.concat(F.lit("r"), "txn_id").alias("u"), F.concat(F.lit("g"), key).alias("v")))
     dealt = edges.join(graph.withColumnRenamed("node", "row"), F.concat(F.lit("r"), "txn_id") == F.col("row")).drop("row")
 
@@ -93,11 +107,11 @@ def replayed(edges: DataFrame, key: str = "group_id") -> DataFrame:
 
 def attached(orphans: DataFrame, members: DataFrame) -> DataFrame:
     """Tier 2 attach: orphans that one existing group takes up (linked to any member, source absent)."""
-    edges = candidate_pairs(orphans, members, ordered=False)
+    edges = written(candidate_pairs(orphans, members, ordered=False), "pairs")
     kinds = members.groupBy("group_id").agg(F.collect_set("source_kind").alias("kinds"))
     full = edges.join(members.select(F.col("txn_id").alias("b"), "group_id"), "b").join(kinds, "group_id")
     full = full.join(orphans.select(F.col("txn_id").alias("a"), "source_kind"), "a").where(~F.array_contains("kinds", F.col("source_kind")))
-    return replayed(full.select(F.col("a").alias("txn_id"), "source_kind", "group_id", "kinds").distinct())
+    return replayed(written(full.select(F.col("a").alias("txn_id"), "source_kind", "group_id", "kinds").distinct(), "places"))
 
 
 def fee_pairs(gateway: DataFrame, others: DataFrame) -> DataFrame:
@@ -105,7 +119,7 @@ def fee_pairs(gateway: DataFrame, others: DataFrame) -> DataFrame:
 
     Corroborated by reference or by dates at most 3 days apart. The expected amounts are spread to join on equality.
     """
-    g = gateway.where("source_kind = 'gateway' and fee_paise is not null").select("batch_id", F.col("txn_id").alias("g"), F.col("amount_paise").alias("gross"), "fee_paise", F.coalesce("tax_paise", F.lit(0)).alias("tax"), F.col("txn_date").alias("g_date"), S.full_ref(F.col("external_ref")).alias("g_ref"))
+    g = gateway.where("source_kind = 'gateway' and fee_paise is not null").select("batch_id", F.col("txn_id").alias("g"), F.col("amount_paise").alias("gross"), "fee_paise", F.col("tax_paise").alias("tax"), F.col("txn_date").alias("g_date"), S.full_ref(F.col("external_ref")).alias("g_ref"))
     both = F.col("gross") - F.col("fee_paise") - F.col("tax")
     expected = F.array_distinct(F.array(F.col("gross"), F.col("gross") - F.col("fee_paise"), *(both + i for i in range(-2, 3))))
     o = others.where("source_kind <> 'gateway'").select("batch_id", F.col("txn_id").alias("o"), "source_kind", "amount_paise", F.col("txn_date").alias("o_date"), S.full_ref(F.col("external_ref")).alias("o_ref"))
@@ -115,15 +129,30 @@ def fee_pairs(gateway: DataFrame, others: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce(near, F.lit(False))).select("g", "o", "source_kind", (F.col("gross") - F.col("amount_paise")).alias("deducted"), label.alias("label"))
 
 
-def refund_pairs(t: DataFrame) -> DataFrame:
-    """Backward as-of join: each negative row and the latest positive row of its key and amount in the 30 days before."""
-    key = F.coalesce(F.concat(F.lit("cp:"), "counterparty"), F.concat(F.lit("ref:"), S.last8(F.regexp_replace(F.upper(F.coalesce("external_ref", F.lit(""))), r"[^\p{L}\p{N}]", ""))))
-    rows = guarded(t).withColumn("key", key).withColumn("size", F.abs("amount_paise"))
-    neg = rows.where("amount_paise < 0").select("batch_id", "source_kind", "key", "size", F.col("txn_id").alias("refund"), F.col("txn_date").alias("r_date"))
-    pos = rows.where("amount_paise > 0").select("source_kind", "key", "size", F.col("txn_id").alias("original"), F.col("txn_date").alias("o_date"))
-    pairs = neg.join(pos, ["source_kind", "key", "size"]).withColumn("days", F.datediff("r_date", "o_date")).where("days between 0 and 30")
-    w = W.partitionBy("refund").orderBy(F.col("o_date").desc(), "original")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("refund", "original", "days")
+def refund_pairs(t: DataFrame, days: int = 30) -> DataFrame:
+    """Each negative row and the latest positive row of its key and amount in the days before, every positive row used once.
+
+    The key is the counterparty, else the last 8 letters and digits of the reference. Negative
+    rows choose in txn_id order, so each key and amount of a batch is replayed on its own.
+    """
+    key = F.coalesce(F.concat(F.lit("cp:"), F.nullif("counterparty", F.lit(""))), F.concat(F.lit("ref:"), S.last8(F.regexp_replace(F.upper(F.coalesce("external_ref", F.lit(""))), r"[^\p{L}\p{N}]", ""))))
+    rows = guarded(t).where("amount_paise <> 0 and txn_date is not null").select("batch_id", key.alias("key"), F.abs("amount_paise").alias("size"), "txn_id", (F.col("amount_paise") < 0).alias("back"), F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day"))
+    both = rows.groupBy("batch_id", "key", "size").agg(F.max("back").alias("a"), F.min("back").alias("b")).where("a and not b").drop("a", "b")
+    dealt = rows.join(both, ["batch_id", "key", "size"])
+
+    def claim(pdf):
+        import pandas as pd
+
+        free = sorted(zip(-pdf["day"][~pdf["back"]], pdf["txn_id"][~pdf["back"]]))  # the latest first, then the least txn_id
+        out = []
+        for refund, day in sorted(zip(pdf["txn_id"][pdf["back"]], pdf["day"][pdf["back"]])):
+            at = next((i for i, (d, _) in enumerate(free) if 0 <= day + d <= days), None)
+            if at is not None:
+                d, original = free.pop(at)
+                out.append((refund, original, int(day + d)))
+        return pd.DataFrame(out, columns=["refund", "original", "days"])
+
+    return dealt.groupBy("batch_id", "key", "size").applyInPandas(claim, "refund string, original string, days int")
 
 
 def settlements_by_id(t: DataFrame) -> DataFrame:
@@ -184,30 +213,45 @@ def rule_candidates(bank: DataFrame, pay: DataFrame, gone: DataFrame | None = No
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("batch_id", "bank", "target", "txn_id", "net", "place")
 
 
-def subset_of(target: int, nets: list[int], tolerance: int = 5, cap: int = 50_000_000):
+def ways(nets: list[int], size: int):
+    """For each sum from 0 to size: 0, 1 or 2 (several) ways to reach it as a subset of nets."""
+    import numpy as np
+
+    count = np.zeros(size + 1, np.int8)
+    count[0] = 1
+    for n in nets:
+        if n <= size:
+            moved = count[: size + 1 - n].copy()
+            count[n:] += moved
+            np.minimum(count, 2, out=count)
+    return count
+
+
+def only_subset(nets: list[int], total: int) -> list[int]:
+    """Places of the one subset that makes up total: the halves share the total in one way, so each is asked for its part."""
+    import numpy as np
+
+    if total == 0:
+        return []
+    if len(nets) == 1:
+        return [0]
+    half = len(nets) // 2
+    left, right = ways(nets[:half], total), ways(nets[half:], total)
+    part = int(np.flatnonzero((left > 0) & (right[::-1] > 0))[0])
+    return [*only_subset(nets[:half], part), *(half + i for i in only_subset(nets[half:], total - part))]
+
+
+def subset_of(target: int, nets: list[int], tolerance: int = 5, cap: int | None = 50_000_000):
     """Indices of the one subset whose sum is target (else within tolerance); None if there is none or several.
 
-    Zero or negative amounts make every answer ambiguous. Two bit sets per item: sums reached, and reached twice.
+    Zero or negative amounts make every answer ambiguous. cap bounds the table of sums (a byte per
+    paisa); None searches any target.
     """
-    if target <= 0 or target > cap or any(n <= 0 for n in nets):
-        return None
-    mask, once, twice, steps = (1 << target + tolerance + 1) - 1, 1, 0, []
-    for n in nets:
-        steps.append(once)
-        moved, again = once << n & mask, twice << n & mask
-        twice |= again | once & moved
-        once |= moved
-        if twice >> target & 1:
-            return None
-    hits = [target] if once >> target & 1 else [s for s in range(max(1, target - tolerance), target + tolerance + 1) if once >> s & 1]
-    if len(hits) != 1 or twice >> hits[0] & 1:
+    if target <= 0 or cap is not None and target > cap or any(n <= 0 for n in nets):
         return None
-    left, out = hits[0], []
-    for i in range(len(nets) - 1, -1, -1):
-        if not steps[i] >> left & 1:
-            out.append(i)
-            left -= nets[i]
-    return out[::-1]
+    count = ways(nets, target + tolerance)
+    hits = [target] if count[target] else [s for s in range(max(1, target - tolerance), target + tolerance + 1) if count[s]]
+    return only_subset(nets, hits[0]) if len(hits) == 1 and count[hits[0]] == 1 else None
 
 
 def searched(candidates: DataFrame, least: int = 5) -> DataFrame:

@@ -50,7 +50,7 @@ ORACLES = {
     "t2_candidate_pairs": _with("SELECT a, b FROM pairs"),
     "t2_clusters": _with(_GROUP + "two GROUP BY group_id", _WALK),
     "fee_interpretations": _with("""SELECT g.txn_id AS g, o.txn_id AS o, o.source_kind, g.amount_paise - o.amount_paise AS deducted,
-  CASE WHEN o.amount_paise = g.amount_paise THEN 'gross' WHEN o.amount_paise = g.amount_paise - g.fee_paise THEN 'net_of_fee' WHEN o.amount_paise = g.amount_paise - g.fee_paise - g.tax_paise THEN 'net_of_fee_tax' ELSE 'fee_tax_rounded' END AS label
+  CASE WHEN o.amount_paise = g.amount_paise THEN 'gross' WHEN o.amount_paise = g.amount_paise - g.fee_paise THEN 'gross_minus_fee' WHEN o.amount_paise = g.amount_paise - g.fee_paise - g.tax_paise THEN 'gross_minus_fee_minus_tax' ELSE 'gross_minus_fee_plus_tax' END AS label
 FROM (SELECT *, """ + _FULL + """ AS f FROM t WHERE source_kind = 'gateway' AND fee_paise IS NOT NULL) g JOIN (SELECT * FROM refs WHERE source_kind <> 'gateway') o ON g.batch_id = o.batch_id
 WHERE (o.amount_paise IN (g.amount_paise, g.amount_paise - g.fee_paise) OR abs(o.amount_paise - (g.amount_paise - g.fee_paise - g.tax_paise)) <= 2)
   AND (abs(date_diff('day', g.txn_date, o.txn_date)) <= 3 OR g.f = o.f OR right(g.f, 8) = right(o.f, 8))"""),

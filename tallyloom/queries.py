@@ -22,7 +22,7 @@ def _t(spark, d) -> DataFrame:
 
 
 def _exact(spark, d) -> DataFrame:
-    return M.exact_members(_t(spark, d))
+    return M.exact_members(written(_t(spark, d), "txns"))
 
 
 def _open(spark, d) -> DataFrame:
@@ -122,8 +122,9 @@ def tier_funnel(spark, d):
 
 def recon_identity(spark, d):
     t = written(_t(spark, d), "txns")
-    one = written(M.exact_members(t), "members").agg(F.sum("amount_paise").alias("matched"), F.count("*").alias("matched_rows"))
-    rest = M.unmatched(t, M.exact_members(t)).agg(F.sum("amount_paise").alias("open"), F.count("*").alias("open_rows"))
+    members = written(M.exact_members(t), "members")
+    one = members.agg(F.sum("amount_paise").alias("matched"), F.count("*").alias("matched_rows"))
+    rest = M.unmatched(t, members).agg(F.sum("amount_paise").alias("open"), F.count("*").alias("open_rows"))
     whole = t.agg(F.sum("amount_paise").alias("total"), F.count("*").alias("total_rows"))
     return one.crossJoin(rest).crossJoin(whole).withColumn("balanced", (F.col("matched") + F.col("open") == F.col("total")) & (F.col("matched_rows") + F.col("open_rows") == F.col("total_rows")))
 

@@ -28,11 +28,26 @@ def parsed_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of bank CSV files; line numbers count within a file."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "row"))
-    fields = F.from_csv("row", "value_date string, narration string, debit string, credit string, balance string")
-    raw = text.where("at > 0 and trim(row) <> ''").select("file", (F.col("at") + 1).alias("line"), fields.alias("f")).select("file", "line", "f.*")
-    return parsed_rows(raw)
+    """Rows of bank CSV files, one task per file; line numbers count within a file, and quoted fields may hold line ends."""
+    names = ["value_date", "narration", "debit", "credit"]
+
+    def parse(batches):
+        import csv
+
+        import pandas as pd
+
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                reader, out = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline="")), []
+                header = [h.strip().lower() for h in next(reader, [])]
+                for row in reader:
+                    if any(x.strip() for x in row):
+                        fields = dict(zip(header, row))
+                        out.append((file, reader.line_num, *(fields.get(n) for n in names)))
+                yield pd.DataFrame(out, columns=["file", "line", *names])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
+    return parsed_rows(found.mapInPandas(parse, "file string, line int, value_date string, narration string, debit string, credit string"))
 
 
 def write_bank_csv(t: DataFrame, path: str, opening: int = 10_000_000) -> None:
@@ -44,19 +59,31 @@ def write_bank_csv(t: DataFrame, path: str, opening: int = 10_000_000) -> None:
 
 
 def sheet_rows(data: bytes):
-    """Yields (sheet number, line, cell texts) of a workbook."""
+    """Yields (sheet number, line, cell texts) of a workbook; blank cells that the file leaves out are empty texts."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = book.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        for number, name in enumerate(sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n))):
+        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)]
+        for number, name in enumerate(sorted(sheets, key=lambda n: (int(re.sub(r"\D", "", n.rsplit("/", 1)[1]) or 0), n))):
+            line = 0
             for row in ElementTree.fromstring(book.read(name)).iter(f"{_NS}row"):
-                cells = []
+                line, cells = int(row.get("r") or line + 1), []
                 for c in row.iter(f"{_NS}c"):
+                    place = column_of(c.get("r")) if c.get("r") else len(cells)
                     value = "".join(t.text or "" for t in c.iter() if t.tag in (f"{_NS}v", f"{_NS}t"))
-                    cells.append(shared[int(value)] if c.get("t") == "s" else value)
-                yield number, int(row.get("r")), cells
+                    cells += [""] * (place - len(cells))
+                    cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+                yield number, line, cells
+
+
+def column_of(reference: str) -> int:
+    """Place of a cell reference: A1 is 0, AA7 is 26."""
+    at = 0
+    for letter in re.match("[A-Z]+", reference)[0]:
+        at = 26 * at + ord(letter) - 64
+    return at - 1
 
 
 def read_ledger_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -98,11 +125,6 @@ def ledger_workbook(rows: list[tuple[str, str, str, str]]) -> bytes:
 
 def new_rows(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """Fetched rows whose source and reference the batch doesn't hold yet; null references are equal."""
-    on = (fetched.source_kind == stored.source_kind) & fetched.external_ref.eqNullSafe(stored.external_ref) & (fetched.batch_id == stored.batch_id)
-    return fetched.join(stored, on, "left_anti")
-
-
-def payments_as_txns(payments: DataFrame) -> DataFrame:
-    """Gateway API payments (id, amount, fee, tax, email, contact, created_at in seconds) as records."""
-    net = F.when(F.col("amount").isNotNull() & F.col("fee").isNotNull(), F.col("amount") - F.col("fee"))
-    return payments.select(F.col("id").alias("external_ref"), F.lit("gateway").alias("source_kind"), F.col("amount").alias("amount_paise"), F.col("fee").alias("fee_paise"), F.col("tax").alias("tax_paise"), net.alias("net_paise"), F.coalesce(F.nullif("email", F.lit("")), "contact").alias("counterparty"), F.to_date(F.timestamp_seconds("created_at")).alias("txn_date"))
+    held = stored.select("batch_id", "source_kind", "external_ref").distinct()
+    on = (fetched.batch_id == held.batch_id) & (fetched.source_kind == held.source_kind) & fetched.external_ref.eqNullSafe(held.external_ref)
+    return fetched.join(held, on, "left_anti")

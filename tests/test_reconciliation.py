@@ -22,14 +22,14 @@ def column(spark, values, f, kind="string"):
 
 
 def test_money(spark):
-    shown = ["₹1,23,456.78", "Rs. 5", "(1.00)", "10.00 DR", "10.00DR", "1.239", "-2.5", "", "abc", "INR .5", "12 CR"]
-    assert column(spark, shown, S.paise_of) == [12345678, 500, -100, -1000, 1000, 123, -250, None, None, 50, 1200]
+    shown = ["₹1,23,456.78", "Rs. 5", "(1.00)", "10.00 DR", "10.00DR", "1.239", "-2.5", "", "abc", "INR .5", "12 CR", "1.2.3", "१२.५"]
+    assert column(spark, shown, S.paise_of) == [12345678, 500, -100, -1000, 1000, 123, -250, None, None, 50, 1200, 123, 1250]
     assert column(spark, [0, 5, 12345, 123456789, -99900], S.rupees, "long") == ["0.00", "0.05", "123.45", "12,34,567.89", "999.00"]
 
 
 def test_references(spark):
     assert column(spark, ["pay_00ab", "000", "PAYMENT", "txn-ref-9", "", None, "--"], S.full_ref)[:2] + column(spark, ["txn-ref-9", ""], S.full_ref) == ["AB", "000", "9", ""]
-    assert column(spark, ["NEFT/ABC123/12 TRANSFER", "BY CR 12", "x_y zz"], S.extracted_ref) == ["ABC123", None, "x_y"]
+    assert column(spark, ["NEFT/ABC123/12 TRANSFER", "BY CR 12", "x_y zz", "TRF FROM RAZORPAY REF 0lEDmC DT 09/07", "BY TRANSFER-NEFT*rfnd_QVmvb0*RAZORPAY SOFTWARE"], S.extracted_ref) == ["ABC123", None, "x_y", "0lEDmC", "rfnd_QVmvb0"]
 
 
 def test_dates(spark):
@@ -75,7 +75,7 @@ def test_fee_groups(spark):
     rows = [("g1", "gateway", "AAA1", 1000, 20, 4, 1), ("g2", "gateway", "AAA2", 1000, 20, 4, 2), ("g3", "gateway", "AAA3", 500, 10, 0, 1)]
     rows += [("k1", "bank", "X", 976, None, None, 2), ("k2", "bank", "X", 978, None, None, 3), ("l1", "ledger", "X", 1000, None, None, 1), ("l3", "ledger", "X", 500, None, None, 1), ("k9", "bank", "X", 976, None, None, 20)]
     got = sorted((r.group_id, r.txn_id, r.label) for r in T.fee_groups(records(spark, rows)).collect() if r.label)
-    assert got == [("t3:g1", "k1", "net_of_fee_tax"), ("t3:g1", "l1", "gross"), ("t3:g2", "k2", "fee_tax_rounded")]
+    assert got == [("t3:g1", "k1", "gross_minus_fee_minus_tax"), ("t3:g1", "l1", "gross"), ("t3:g2", "k2", "gross_minus_fee_plus_tax")]
     assert T.fee_groups(records(spark, [])).count() == 0
 
 
