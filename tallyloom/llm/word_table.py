@@ -27,12 +27,12 @@ HEAD = -1  # the bucket of a block's own row
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays (one-dimensional) and bytes as one compressed string."""
+    """Arrays (one-dimensional) and bytes as one compressed string. Of an array, first the first bytes of all items, and so on."""
     import zstandard
 
     parts, heads = [], []
     for a in arrays:
-        raw = a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes()
+        raw = a if isinstance(a, bytes) else np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
         heads.append(f"{'' if isinstance(a, bytes) else a.dtype.str},{len(raw)}")
         parts.append(raw)
     head = ";".join(heads).encode()
@@ -47,7 +47,8 @@ def unpacked(data) -> list:
     for head in bytes(raw[4:at]).decode().split(";"):
         kind, size = head.split(",")
         own = raw[at : at + int(size)]
-        out.append(np.frombuffer(own, kind) if kind else bytes(own))
+        width = np.dtype(kind).itemsize if kind else 1
+        out.append(np.ascontiguousarray(np.frombuffer(own, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) if kind else bytes(own))
         at += int(size)
     return out
 
