@@ -66,8 +66,8 @@ ENTIRE_STEPS = [
     (r"(^|\n)[ \t]*(\(?[0-9a-z]{1,2}[.)]|[*-])[ \t]+", r" "),
     *STEPS[1:],
 ]
-#: A word that every entire text has.
-SIGN = "warrant"
+#: A word that every entire text has, and the words of its beginning.
+SIGN, BEGINNING = "warrant", 8
 
 
 def entire(text) -> F.Column:
@@ -95,13 +95,44 @@ def entire_texts() -> list[tuple[str, str, list[str]]]:
     return rows
 
 
+def catalogue(spark) -> tuple[list[tuple[str, int]], DataFrame]:
+    """Of the entire texts: (beginning, length) of each, and the table digest, license, whole.
+
+    Normalised, with a space at both ends. A beginning is the first BEGINNING words, where a text is
+    looked for inside a longer one. The table has one row per text and per form that stands alone.
+    """
+    rows = spark.createDataFrame(entire_texts(), "license string, t string, alone array<string>")
+    padded = lambda t: F.concat(F.lit(" "), entire(t), F.lit(" "))
+    inside = rows.select("license", F.lit(False).alias("whole"), padded(F.col("t")).alias("t"))
+    alone = rows.select("license", F.lit(True).alias("whole"), F.explode(F.transform("alone", padded)).alias("t"))
+    texts = inside.unionByName(alone).select("license", "whole", F.sha2("t", 256).alias("digest"), F.length("t").alias("n"), F.substring_index("t", " ", BEGINNING + 1).alias("begins"))
+    found = texts.collect()  # the catalogue is a fixed list
+    table = spark.createDataFrame([(r.digest, r.license, r.whole) for r in found], "digest string, license string, whole boolean")
+    return sorted({(r.begins + " ", r.n) for r in found if not r.whole}), table.distinct()
+
+
+def places(text, begins: str) -> F.Column:
+    """Where a beginning stands in a text, counted from 1."""
+    pieces = F.split(text, begins)
+    step = lambda at, piece: F.concat(at, F.array(F.element_at(at, -1) + F.length(piece) + len(begins)))
+    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.lit(1)), step)
+    return F.transform(F.slice(ends, 2, F.size(pieces) - 1), lambda at: at - len(begins))
+
+
 def entire_matches(docs: DataFrame) -> DataFrame:
-    """doc_id, whole, license: entire texts that documents are (whole) or hold."""
-    texts = docs.sparkSession.createDataFrame(entire_texts(), "license string, t string, alone array<string>")
-    texts = texts.select("license", F.concat(F.lit(" "), entire(F.col("t")), F.lit(" ")).alias("t"), F.transform("alone", entire).alias("alone"))
-    rows = docs.where(F.lower("text").contains(SIGN)).select("doc_id", entire(F.col("text")).alias("own"))
-    found = rows.join(F.broadcast(texts), F.concat(F.lit(" "), F.col("own"), F.lit(" ")).contains(F.col("t")))
-    return found.select("doc_id", F.array_contains("alone", F.col("own")).alias("whole"), "license")
+    """doc_id, whole, license: entire texts that documents are (whole) or hold.
+
+    Digests are looked up of each whole document and, wherever a known text's beginning stands in
+    it, of as many characters as that text has.
+    """
+    begins, table = catalogue(docs.sparkSession)
+    own = F.explode(F.array(F.concat(F.lit(" "), entire(F.col("text")), F.lit(" ")))).alias("own")  # worked out once per row
+    rows = docs.where(F.lower("text").contains(SIGN)).select("doc_id", own)
+    cut = lambda n: lambda at: F.substr(F.col("own"), at, F.lit(n))
+    cuts = [F.transform(places(F.col("own"), b), cut(n)) for b, n in begins]
+    units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("own"), *cuts))).alias("unit"))
+    found = units.select("doc_id", F.sha2("unit", 256).alias("digest")).join(F.broadcast(table), "digest")
+    return found.groupBy("doc_id", "license").agg(F.max("whole").alias("whole")).select("doc_id", "whole", "license")
 
 
 def known(spark) -> DataFrame:
