@@ -130,8 +130,9 @@ def entire_matches(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.lower("text").contains(SIGN)).select("doc_id", own)
     cut = lambda n: lambda at: F.substr(F.col("own"), at, F.lit(n))
     cuts = [F.transform(places(F.col("own"), b), cut(n)) for b, n in begins]
-    units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("own"), *cuts))).alias("unit"))
-    found = units.select("doc_id", F.sha2("unit", 256).alias("digest")).join(F.broadcast(table), "digest")
+    tagged = F.transform(F.concat(F.array("own"), *cuts), lambda x, i: F.struct((i == 0).alias("whole"), x.alias("unit")))
+    units = rows.select("doc_id", F.explode(F.array_distinct(tagged)).alias("u"))
+    found = units.select("doc_id", "u.whole", F.sha2("u.unit", 256).alias("digest")).join(F.broadcast(table), ["digest", "whole"])
     return found.groupBy("doc_id", "license").agg(F.max("whole").alias("whole")).select("doc_id", "whole", "license")
 
 
