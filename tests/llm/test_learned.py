@@ -112,3 +112,47 @@ def test_pipeline(spark, tmp_path):
     assert [c for _, c in linked] == list(range(len(kept)))
     want = sorted(tuple(r)[:6] for r in packing.pack_documents(docs, tokens.vocabulary_path()).drop("sequence_id", "offset").collect())
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = random.Random(9)
+    cases = [(sorted(rng.sample(range(12), rng.randrange(1, 6))), rng.randrange(2)) for _ in range(200)]
+    model = toxicity.Ftrl(12, l1=0.5)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        l1 = 0.0 if i == 12 else 0.5
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + n[i] ** 0.5) / 0.3)
+
+    for places, label in cases:
+        model.learn(np.array(places), label)
+        own = [*places, 12]
+        g = 1 / (1 + np.exp(-sum(weight(i) for i in own))) - label
+        steps = [(i, g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.3 * weight(i)) for i in own]
+        for i, d in steps:
+            z[i], n[i] = z[i] + d, n[i] + g * g
+    assert np.allclose(model.weights(np.arange(13)), [weight(i) for i in range(13)])
+    rare = toxicity.Ftrl(12, l1=4.0)
+    rare.learn(np.array([3]), 1)
+    assert rare.weights(np.array([3]))[0] == 0 != rare.weights(np.array([12]))[0]
+
+
+def test_features_of_a_text():
+    one = lambda text: sorted(toxicity.features(pa.array([text], pa.string()), 20)[1].tolist())
+    a, b, c = one("a"), one("b"), one("c")
+    assert len(a) == 1 and len(one("a b c")) == 6  # three words, two pairs, one pair with a gap
+    assert set(a) | set(b) | set(c) <= set(one("A, b c!")) and one("a b") != one("b a")
+    assert one(None) == one("") == []
+
+
+def test_toxic_rows_go_by_their_text(spark):
+    texts, labels = cases()
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = documents(spark, texts, True)
+    odd = docs.where("doc_id < 30").selectExpr("null as doc_id", *docs.columns[1:]).unionByName(docs.where("doc_id < 30").selectExpr("7 as doc_id", *docs.columns[1:]))
+    both = docs.unionByName(odd.select(odd.doc_id.cast("long").alias("doc_id"), *docs.columns[1:]))
+    left = toxicity.survivors(both, table.where("doc_id <> 7"))
+    assert left.columns == docs.columns
+    clean = {t for t, (_, bad) in zip(texts, labels) if not bad}
+    kept = [r.text for r in left.where("doc_id is null or doc_id = 7").collect()]
+    assert len(set(kept) ^ {t for t in texts[:30] if t in clean}) <= 2
