@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. run() writes each stage's rows in the shared folder and reads them again.
+
+Null texts are empty. Rows go by doc_id and text, so two texts of one doc_id fare apart, and of
+repeated rows one stays. Rows without doc_id go if a copy has one; otherwise one of each text stays.
+Other columns, whatever their names, are handed through up to the last stage. Empty tables give no
+rows; without labels nothing counts as toxic.
 """
 
 from __future__ import annotations
