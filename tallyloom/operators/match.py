@@ -268,7 +268,13 @@ def searched(candidates: DataFrame, least: int = 5) -> DataFrame:
 
 
 def settled_once(t: DataFrame, members: DataFrame) -> DataFrame:
-    """Tier 4 by search: the bank rows of a batch, largest first, each take a subset of the payments that are still free.
+    """Tier 4 by search, a row per settled bank row: its payments, their net sum and the residual."""
+    rows = settled_rows(t, members).groupBy("bank", "target").agg(F.count("*").alias("payments"), F.sum("net").alias("net_paise"))
+    return rows.select("bank", "payments", "net_paise", (F.col("target") - F.col("net_paise")).alias("residual_paise"))
+
+
+def settled_rows(t: DataFrame, members: DataFrame) -> DataFrame:
+    """Tier 4 by search (batch_id, bank, target, txn_id, net): the bank rows of a batch, largest first, each take a subset of the payments that are still free.
 
     All rows search at once, then those again from whose window a larger row took payments,
     without these, until nothing changes. Then every row has searched among what the larger ones
@@ -286,7 +292,7 @@ def settled_once(t: DataFrame, members: DataFrame) -> DataFrame:
         again = searched(rule_candidates(bank.join(touched, "bank", "left_semi"), pay, gone))
         now = written(first.join(touched, "bank", "left_anti").unionByName(again), "settle")
         if sign(now) == sign(before):
-            return now.groupBy("bank", "target").agg(F.count("*").alias("payments"), F.sum("net").alias("net_paise")).select("bank", "payments", "net_paise", (F.col("target") - F.col("net_paise")).alias("residual_paise"))
+            return now
         before = now
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.corpus import guarded
 from .components import components
-from .match import attached, cluster_members, exact_members, fee_pairs, replayed, source_rank, unmatched
+from .match import attached, cluster_members, exact_members, fee_pairs, refund_pairs, replayed, source_rank, unmatched
 from .shared import written
 
 
@@ -76,25 +76,39 @@ def with_refunds(members: DataFrame) -> DataFrame:
 
 
 def earlier_members(t: DataFrame) -> DataFrame:
-    """Records with group_id of tiers 1 to 3 in a row: exact, clusters, attach, fee groups, fee attach, refund merges."""
+    """Records with group_id of tiers 1 to 3 in a row: exact, clusters, attach, fee groups, fee attach (to groups of tiers 1 and 2), loose refunds, refund merges."""
     found = written(exact_members(t), "members")
     more = lambda df: written(found.unionByName(t.join(df.select("txn_id", "group_id"), "txn_id").select(*found.columns)), "members")
-    for step in (cluster_members, lambda df: attached(df, found), fee_groups, lambda df: fee_attached(df, found)):
+    for step in (cluster_members, lambda df: attached(df, found)):
+        found = more(step(unmatched(t, found)))
+    before = found
+    for step in (fee_groups, lambda df: fee_attached(df, before), loose_refunds):
         found = more(step(unmatched(t, found)))
     return written(with_refunds(found), "members")
 
 
+def loose_refunds(open_rows: DataFrame) -> DataFrame:
+    """Tier 3 groups (group_id, txn_id) of an open row and the open refund that takes it."""
+    pairs = refund_pairs(open_rows)
+    return pairs.select(F.concat(F.lit("t3:"), "original").alias("group_id"), F.explode(F.array("original", "refund")).alias("txn_id"))
+
+
 def settlement_members(t: DataFrame, members: DataFrame) -> DataFrame:
     """Tier 4 by id: (group_id, txn_id, absorbed) of open bank credits, their payments and all rows of the payments' groups.
 
     absorbed is the group a row came from. A row that several credits claim goes to the least txn_id.
     """
-    own = members.select("txn_id", F.col("group_id").alias("absorbed"))
-    bank = guarded(t).where("source_kind = 'bank' and settlement_id is not null").join(own, "txn_id", "left_anti").select("batch_id", "settlement_id", F.col("txn_id").alias("bank"))
+    bank = unmatched(guarded(t).where("source_kind = 'bank' and settlement_id is not null"), members).select("batch_id", "settlement_id", F.col("txn_id").alias("bank"))
     paid = t.where("source_kind = 'gateway' and settlement_id is not null").select("batch_id", "settlement_id", "txn_id")
-    picked = bank.join(paid, ["batch_id", "settlement_id"]).select("bank", "txn_id").join(own, "txn_id", "left")
+    return absorbing(bank.join(paid, ["batch_id", "settlement_id"]).select("bank", "txn_id"), members)
+
+
+def absorbing(paid: DataFrame, members: DataFrame) -> DataFrame:
+    """(group_id, txn_id, absorbed): bank credits of paid (bank, txn_id), their payments and all rows of the payments' groups."""
+    own = members.select("txn_id", F.col("group_id").alias("absorbed"))
+    picked = paid.join(own, "txn_id", "left").select("bank", "txn_id", "absorbed")
     whole = picked.where("absorbed is not null").select("bank", "absorbed").distinct().join(own, "absorbed")
-    claims = picked.select("bank", "txn_id", "absorbed").unionByName(whole.select("bank", "txn_id", "absorbed"))
+    claims = picked.unionByName(whole.select("bank", "txn_id", "absorbed"))
     rows = claims.where("txn_id <> bank").groupBy("txn_id").agg(F.min("bank").alias("bank"), F.min("absorbed").alias("absorbed"))
     heads = rows.select("bank").distinct().select("bank", F.col("bank").alias("txn_id"), F.lit(None).cast("string").alias("absorbed"))
     return rows.select("bank", "txn_id", "absorbed").unionByName(heads).select(F.concat(F.lit("t4:"), "bank").alias("group_id"), "txn_id", "absorbed")

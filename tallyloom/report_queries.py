@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import review as R
 from .functions import scalars as S
+from .operators import cascade as C
 from .operators import match as M
 from .operators import reports as P
 from .operators import tiers as T
@@ -396,4 +397,36 @@ def range_ingest(spark, d):
     return pay.range_summary(p, stored, "1996-01-01", "1996-12-31")
 
 
-QUERIES = {f.__name__: f for f in (variances_by_status, category_by_status, open_value, rows_per_batch, queue_page, queue_options, queue_counts, queue_by_urgency, retry_batches, explained_with_text, scenario_confusion, scenario_accuracy, quotation_rate, described_categories, usage_cost, usage_totals, batch_spans, audit_page, latest_audit, audit_options, audit_counts, labelled_batches, stuck_batches, batch_list, scores_of_labels, acquired_at, lookup_by_ids, variance_details, checked_answers, verdicts, amount_check, audit_pass_rate, reopened, ungrounded_replies, wrong_pairs, pair_scores_f1, variance_breakdown, group_variances, variance_explained, full_queue, tier_report, largest_group, settlement_candidates, settlement_targets, refund_claims, truth_check, narrations, money_forms, drawn_amounts, sampled_rows, fixed_chunks, context_lines, timestamps_read, payment_records, settlement_records, payment_statuses, range_ingest)}
+def _run(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records with answer key, those that matchers see, and the members after all tiers."""
+    full = written(txns(spark, d), "txns")
+    t = match_view(full)
+    return full, t, C.run(t)
+
+
+def recon_run(spark, d):
+    return _run(spark, d)[2].select("txn_id", *C._OWN)
+
+
+def recon_report(spark, d):
+    return C.report(*_run(spark, d)[1:])
+
+
+def recon_queue(spark, d):
+    """What all tiers leave open, with a category, by batch."""
+    _, t, members = _run(spark, d)
+    rows = M.variance_queue(t, M.unmatched(t, members), AS_OF)
+    return rows.groupBy("batch_id", "category").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("net_paise"))
+
+
+def recon_scores(spark, d):
+    full, _, members = _run(spark, d)
+    return T.scores_by_tier(members, full.select("txn_id", "truth_group"))
+
+
+def unsettled_banks(spark, d):
+    _, t, members = _run(spark, d)
+    return C.unsettled(t, members)
+
+
+QUERIES = {f.__name__: f for f in (variances_by_status, category_by_status, open_value, rows_per_batch, queue_page, queue_options, queue_counts, queue_by_urgency, retry_batches, explained_with_text, scenario_confusion, scenario_accuracy, quotation_rate, described_categories, usage_cost, usage_totals, batch_spans, audit_page, latest_audit, audit_options, audit_counts, labelled_batches, stuck_batches, batch_list, scores_of_labels, acquired_at, lookup_by_ids, variance_details, checked_answers, verdicts, amount_check, audit_pass_rate, reopened, ungrounded_replies, wrong_pairs, pair_scores_f1, variance_breakdown, group_variances, variance_explained, full_queue, tier_report, largest_group, settlement_candidates, settlement_targets, refund_claims, truth_check, narrations, money_forms, drawn_amounts, sampled_rows, fixed_chunks, context_lines, timestamps_read, payment_records, settlement_records, payment_statuses, range_ingest, recon_run, recon_report, recon_queue, recon_scores, unsettled_banks)}
