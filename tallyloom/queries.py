@@ -134,8 +134,14 @@ def rows_by_source(spark, d):
 
 
 def running_balance(spark, d):
-    w = W.partitionBy("batch_id").orderBy("txn_date", "external_ref", "txn_id").rowsBetween(W.unboundedPreceding, 0)
-    return _t(spark, d).where("source_kind = 'bank'").select("txn_id", (F.lit(10_000_000) + F.sum("amount_paise").over(w)).alias("balance_paise"))
+    """The balance after each bank row: what the days before brought, and a running sum inside the day, so no batch is one task."""
+    rows = written(_t(spark, d).where("source_kind = 'bank'").select("batch_id", "txn_date", "external_ref", "txn_id", "amount_paise"), "bank")
+    days = rows.groupBy("batch_id", "txn_date").agg(F.sum("amount_paise").alias("day_paise"))
+    past = F.sum("day_paise").over(W.partitionBy("batch_id").orderBy("txn_date").rowsBetween(W.unboundedPreceding, -1))
+    start = days.select("batch_id", F.col("txn_date").alias("day"), (F.lit(10_000_000) + F.coalesce(past, F.lit(0))).alias("start"))
+    dealt = rows.join(start, (rows.batch_id == start.batch_id) & rows.txn_date.eqNullSafe(start.day)).drop(start.batch_id)
+    w = W.partitionBy("batch_id", "txn_date").orderBy("external_ref", "txn_id").rowsBetween(W.unboundedPreceding, 0)
+    return dealt.select("txn_id", (F.col("start") + F.sum("amount_paise").over(w)).alias("balance_paise"))
 
 
 def latest_per_counterparty(spark, d):
