@@ -136,6 +136,16 @@ def entire_matches(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "license").agg(F.max("whole").alias("whole")).select("doc_id", "whole", "license")
 
 
+#: Known texts have the word license or permission once normalised, and STEPS make license of these only.
+SIGNS = ("licen", "released", "permission")
+
+
+def may_match(text) -> F.Column:
+    """Whether a text has a sign; without one its digest can't be a known one."""
+    low = F.lower(text)
+    return low.contains(SIGNS[0]) | low.contains(SIGNS[1]) | low.contains(SIGNS[2])
+
+
 def known(spark) -> DataFrame:
     """license, digest: one row for each digest (its least licence id)."""
     rows = spark.createDataFrame(KNOWN, "license string, t string")
@@ -145,10 +155,10 @@ def known(spark) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, whole_license (of the entire text), licenses (of lines, and of entire texts inside a longer one; sorted, comma-separated), license_lines."""
     least = min(len(t) for _, t in KNOWN) // 2
-    text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) >= least)
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) >= least) & may_match(x))
     unit = lambda whole: lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("unit"))
-    units = docs.select("doc_id", F.explode(F.concat(F.array(unit(True)(text)), F.transform(lines, unit(False)))).alias("u"))
+    units = docs.where(may_match(text)).select("doc_id", F.explode(F.concat(F.array(unit(True)(text)), F.transform(lines, unit(False)))).alias("u"))
     digests = units.select("doc_id", "u.whole", F.sha2(normalised(F.col("u.unit")), 256).alias("digest"))
     matches = digests.join(F.broadcast(known(docs.sparkSession)), "digest").select("doc_id", "whole", "license", (~F.col("whole")).alias("line"))
     found = matches.unionByName(entire_matches(docs).withColumn("line", F.lit(False))).groupBy("doc_id").agg(
