@@ -126,9 +126,21 @@ def scores_by_tier(members: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def chunked(rows: DataFrame, keys: list[str], order: list, most: int = 10, least: int = 5) -> DataFrame:
-    """rows with a chunk number per key: chunks of `most` rows; a tail shorter than `least` takes rows of the chunk before."""
-    w = W.partitionBy(*keys)
-    i, n = F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w)
+    """rows with a chunk number per key: chunks of `most` rows; a tail shorter than `least` takes rows of the chunk before.
+
+    Rows are dealt by ranges of key and order; a row's place is its place in its range after the
+    counts of the key's ranges before, so a key of many rows is not one task. order must tell rows
+    apart; null keys are one key.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__own"))
+    before = F.coalesce(F.sum("__own").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__at"), before.alias("__before"), F.sum("__own").over(W.partitionBy(*keys)).alias("__n"))
+    same = F.col("__range") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    i, n = F.col("__before") + F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)) - 1, F.col("__n")
     short = (n > most) & (n % most).between(1, least - 1)
     chunk = F.when(short & (i >= n - least), F.floor(n / most)).otherwise(F.floor(i / most))
-    return rows.withColumn("chunk", chunk.cast("long"))
+    return dealt.join(places, same).select(*rows.columns, chunk.cast("long").alias("chunk"))

@@ -119,6 +119,14 @@ def test_chunks(spark):
         assert n <= 10 and sizes == [n] or all(5 <= s <= 10 for s in sizes) and len(sizes) == -(-n // 10)
 
 
+def test_chunks_of_one_large_key(spark):
+    rows = [(None, i) for i in range(503)] + [(1, i) for i in range(3)]
+    got = T.chunked(spark.createDataFrame(rows, "k int, i int"), ["k"], [F.desc("i")]).collect()
+    assert sorted((r.i, r.chunk) for r in got if r.k is None) == [(i, 50 if i < 5 else (502 - i) // 10) for i in range(503)]
+    assert sorted((r.i, r.chunk) for r in got if r.k == 1) == [(0, 0), (1, 0), (2, 0)]
+    assert T.chunked(spark.createDataFrame([], "k int, i int"), ["k"], ["i"]).count() == 0
+
+
 def test_redaction(spark):
     assert column(spark, ["synthetic:x", "a", None], S.redacted_description) == ["", "a", ""]
     assert column(spark, ["is Synthetic:ab_1 so"], S.scrubbed_claim) == ["is  so"]
