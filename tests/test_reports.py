@@ -32,7 +32,8 @@ def test_against_sql(spark, name):
 
 
 def test_every_report_has_sql():
-    assert set(report_queries.QUERIES) == set(report_oracles.ORACLES)
+    whole_run = {"recon_run", "recon_report", "recon_queue", "recon_scores", "unsettled_banks"}  # rows choose in turn; test_cascade holds them
+    assert set(report_queries.QUERIES) - whole_run == set(report_oracles.ORACLES)
 
 
 def test_labels(spark):
