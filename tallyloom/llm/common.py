@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import shared_folder, written
 
-__all__ = ["END_ID", "open_fs", "partitions", "put", "rename", "shared_folder", "slices", "table", "text_digest", "texts", "without", "word_codes", "written"]
+__all__ = ["END_ID", "open_fs", "partitions", "put", "rename", "shared_folder", "slices", "table", "term_table", "text_digest", "texts", "translated", "without", "word_codes", "written"]
 
 END_ID = 1
 
@@ -104,3 +104,23 @@ def slices(texts, at_once: int = 8 << 20):
         to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + at_once)))
         yield at, to
         at = to
+
+
+def translated(texts, table: bytes):
+    """A string array with every byte replaced by table[byte]; table must keep bytes from 0x80 on."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    own = bytes(memoryview(data)[offsets[0] : offsets[-1]]) if data is not None else b""
+    moved = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(own.translate(table)))
+    return moved.cast(pa.string())
+
+
+def term_table(digits: bool) -> bytes:
+    """For translated(): A-Z lower-cased, letters (and digits) of ASCII and all bytes from 0x80 on kept, others a space."""
+    keep = lambda b: b >= 0x80 or chr(b).isalpha() or digits and chr(b).isdigit()
+    return bytes(ord(chr(b).lower()) if b < 0x80 and keep(b) else b if keep(b) else 0x20 for b in range(256))
