@@ -100,6 +100,7 @@ def teams_of(docs: DataFrame, counts: DataFrame, words: DataFrame, team: int) ->
     return common.written(rows, "groups")
 
 
+MET = "lang string, source string, item string, value long"
 PACKET = "lang string, shard int, team int, terms long, width int, sources array<string>, totals array<long>, vectors binary"
 
 
@@ -180,9 +181,9 @@ def rivals(residents: DataFrame, at_once: int = 16) -> DataFrame:
             peers = peers.unionByName(residents.withColumns({"seat": F.col("team"), "round": F.lit(-1), "rounds": F.lit(0)}))
         guests = peers.select("lang", "shard", F.col("seat").alias("team"), F.col("team").alias("guest"), *(F.col(c).alias(f"guest_{c}") for c in names))
         met = residents.join(guests, ["lang", "shard", "team"])
-        found.append(common.written(met.mapInArrow(meet, "lang string, source string, item string, value long"), "met"))
-    rows = found[0]
-    for more in found[1:]:
+        found.append(common.written(met.mapInArrow(meet, MET), "met"))
+    rows = residents.sparkSession.createDataFrame([], MET)
+    for more in found:
         rows = rows.unionByName(more)
     return rows.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
