@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, divergence, exact_dedup, licenses, lm, near_dedup, search, toxicity, vector_dedup
+from . import bpe, divergence, exact_dedup, language, licenses, lm, near_dedup, search, toxicity, vector_dedup
 from .packing import op10_packing
 from .token_files import op4_token_files
 from .warc import op9_warc
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
     "op11_divergence": divergence.op11_divergence,
+    "op12_language": language.op12_language,
     "op13_search": search.op13_search,
 }
 
