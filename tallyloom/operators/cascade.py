@@ -116,7 +116,7 @@ def report(t: DataFrame, members: DataFrame) -> DataFrame:
     return per.unionByName(rest.select(F.lit(0).alias("tier"), F.lit("open").alias("strategy"), F.lit(0).cast("long").alias("groups"), "member_rows", "net_paise"))
 
 
-def unsettled(t: DataFrame, members: DataFrame, top: int = 60, cap: int = 50_000_000) -> DataFrame:
+def unsettled(t: DataFrame, members: DataFrame, top: int = M.TOP, cap: int = M.CAP) -> DataFrame:
     """Bank rows that all tiers left open, with what the search had: payments in the window, and why it found nothing.
 
     no_payments: none in the window; over_cap: the amount is above what is searched; some_left_out:

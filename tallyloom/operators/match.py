@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.corpus import guarded
 from .components import components
+from .replay import sole_places
 from .shared import written
+from .subset import CAP, TOP, subset_of
 
 
 def source_rank():
@@ -72,46 +74,13 @@ def cluster_members(t: DataFrame) -> DataFrame:
     return guarded(t).join(found, "txn_id").withColumn("group_id", F.concat(F.lit("t2:"), "component")).drop("component")
 
 
-def replayed(edges: DataFrame, key: str = "group_id") -> DataFrame:
-    """Rows taken up in txn_id order if exactly one group has a place for their source. edges: txn_id, source_kind, group_id, kinds.
-
-    A row with one group that no other row of its source wants has its place for certain. Of the
-    others, order matters only inside a component of the graph of rows and groups, so components
-    are replayed in parallel.
-    """
-    per_row = edges.groupBy("txn_id").agg(F.count("*").alias("groups"))
-    per_place = edges.groupBy(key, "source_kind").agg(F.count_distinct("txn_id").alias("rivals"))
-    told = written(edges.join(per_row, "txn_id").join(per_place, [key, "source_kind"]), "places")
-    sure = told.where("groups = 1 and rivals = 1").select("txn_id", F.col(key).alias("group_id"))
-    return sure.unionByName(_replayed(told.where("groups > 1 or rivals > 1").drop("groups", "rivals"), key))
-
-
-def _replayed(edges: DataFrame, key: str) -> DataFrame:
-    graph = components(edges.select(F.concat(F.lit("r"), "txn_id").alias("u"), F.concat(F.lit("g"), key).alias("v")))
-    dealt = edges.join(graph.withColumnRenamed("node", "row"), F.concat(F.lit("r"), "txn_id") == F.col("row")).drop("row")
-
-    def replay(pdf):
-        import pandas as pd
-
-        taken = {g: set(k) for g, k in zip(pdf["group_id"], pdf["kinds"])}
-        out = []
-        for (txn, kind), own in pdf.sort_values("txn_id").groupby(["txn_id", "source_kind"], sort=True):
-            free = sorted({g for g in own["group_id"] if kind not in taken[g]})
-            if len(free) == 1:
-                taken[free[0]].add(kind)
-                out.append((txn, free[0]))
-        return pd.DataFrame(out, columns=["txn_id", "group_id"])
-
-    return dealt.select("component", "txn_id", "source_kind", "group_id", "kinds").groupBy("component").applyInPandas(replay, "txn_id string, group_id string")
-
-
 def attached(orphans: DataFrame, members: DataFrame) -> DataFrame:
     """Tier 2 attach: orphans that one existing group takes up (linked to any member, source absent)."""
     edges = written(candidate_pairs(orphans, members, ordered=False), "pairs")
     kinds = members.groupBy("group_id").agg(F.collect_set("source_kind").alias("kinds"))
     full = edges.join(members.select(F.col("txn_id").alias("b"), "group_id"), "b").join(kinds, "group_id")
     full = full.join(orphans.select(F.col("txn_id").alias("a"), "source_kind"), "a").where(~F.array_contains("kinds", F.col("source_kind")))
-    return replayed(written(full.select(F.col("a").alias("txn_id"), "source_kind", "group_id", "kinds").distinct(), "places"))
+    return sole_places(full.select(F.col("a").alias("txn_id"), "source_kind", "group_id"))
 
 
 def fee_pairs(gateway: DataFrame, others: DataFrame) -> DataFrame:
@@ -205,7 +174,7 @@ def settlement_ids(t: DataFrame, members: DataFrame) -> DataFrame:
     return picked.select(F.explode(F.array("bank", "txn_id")).alias("txn_id")).unionByName(own.join(taken, "group_id", "left_semi").select("txn_id")).distinct()
 
 
-def rule_candidates(bank: DataFrame, pay: DataFrame, gone: DataFrame | None = None, top: int = 60) -> DataFrame:
+def rule_candidates(bank: DataFrame, pay: DataFrame, gone: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """For each bank row the payments of its batch in the 10 days before, no larger than it, largest first, less those gone (bank, txn_id)."""
     pairs = bank.join(pay, ["batch_id", "bin"]).where("txn_date between date_sub(b_date, 10) and b_date and net <= target")
     pairs = pairs if gone is None else pairs.join(gone, ["bank", "txn_id"], "left_anti")
@@ -213,87 +182,55 @@ def rule_candidates(bank: DataFrame, pay: DataFrame, gone: DataFrame | None = No
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("batch_id", "bank", "target", "txn_id", "net", "place")
 
 
-def ways(nets: list[int], size: int):
-    """For each sum from 0 to size: 0, 1 or 2 (several) ways to reach it as a subset of nets."""
-    import numpy as np
-
-    count = np.zeros(size + 1, np.int8)
-    count[0] = 1
-    for n in nets:
-        if n <= size:
-            moved = count[: size + 1 - n].copy()
-            count[n:] += moved
-            np.minimum(count, 2, out=count)
-    return count
-
-
-def only_subset(nets: list[int], total: int) -> list[int]:
-    """Places of the one subset that makes up total: the halves share the total in one way, so each is asked for its part."""
-    import numpy as np
-
-    if total == 0:
-        return []
-    if len(nets) == 1:
-        return [0]
-    half = len(nets) // 2
-    left, right = ways(nets[:half], total), ways(nets[half:], total)
-    part = int(np.flatnonzero((left > 0) & (right[::-1] > 0))[0])
-    return [*only_subset(nets[:half], part), *(half + i for i in only_subset(nets[half:], total - part))]
+def searched(candidates: DataFrame, least: int = 5, tolerance: int = 5, cap: int | None = CAP) -> DataFrame:
+    """The payments (batch_id, bank, target, txn_id, net) of the one subset of at least `least` that makes up a bank row.
 
-
-def subset_of(target: int, nets: list[int], tolerance: int = 5, cap: int | None = 50_000_000):
-    """Indices of the one subset whose sum is target (else within tolerance); None if there is none or several.
-
-    Zero or negative amounts make every answer ambiguous. cap bounds the table of sums (a byte per
-    paisa); None searches any target.
+    Bank rows whose sums rule that out, or with an amount that isn't positive, go before any search.
     """
-    if target <= 0 or cap is not None and target > cap or any(n <= 0 for n in nets):
-        return None
-    count = ways(nets, target + tolerance)
-    hits = [target] if count[target] else [s for s in range(max(1, target - tolerance), target + tolerance + 1) if count[s]]
-    return only_subset(nets, hits[0]) if len(hits) == 1 and count[hits[0]] == 1 else None
-
-
-def searched(candidates: DataFrame, least: int = 5) -> DataFrame:
-    """The payments (batch_id, bank, target, txn_id, net) of the one subset of at least 5 that makes up a bank row."""
+    of_bank = W.partitionBy("bank")
+    rows = candidates.withColumn("n", F.count("*").over(of_bank)).withColumn("least", F.sum(F.when(F.col("place") > F.col("n") - least, F.col("net"))).over(of_bank))
+    rows = rows.withColumn("whole", F.sum("net").over(of_bank)).withColumn("lowest", F.min("net").over(of_bank))
+    rows = rows.where((F.col("n") >= least) & (F.col("least") <= F.col("target") + tolerance) & (F.col("whole") >= F.col("target") - tolerance) & (F.col("lowest") > 0))
+    rows = rows if cap is None else rows.where(F.col("target") <= cap)
 
     def search(pdf):
         pdf = pdf.sort_values("place")
-        target, nets = int(pdf["target"].iloc[0]), [int(n) for n in pdf["net"]]
-        within = sum(nets[-least:]) <= target + 5 and sum(nets) >= target - 5  # else no subset has that many members and that sum
-        found = subset_of(target, nets) if len(nets) >= least and within else None
+        found = subset_of(int(pdf["target"].iloc[0]), [int(n) for n in pdf["net"]], tolerance, cap)
         return pdf.iloc[found if found and len(found) >= least else []][["batch_id", "bank", "target", "txn_id", "net"]]
 
-    return candidates.groupBy("bank").applyInPandas(search, "batch_id string, bank string, target long, txn_id string, net long")
+    return rows.groupBy("bank").applyInPandas(search, "batch_id string, bank string, target long, txn_id string, net long")
 
 
-def settled_once(t: DataFrame, members: DataFrame) -> DataFrame:
+def settled_once(t: DataFrame, members: DataFrame, top: int = TOP, cap: int | None = CAP) -> DataFrame:
     """Tier 4 by search, a row per settled bank row: its payments, their net sum and the residual."""
-    rows = settled_rows(t, members).groupBy("bank", "target").agg(F.count("*").alias("payments"), F.sum("net").alias("net_paise"))
+    rows = settled_rows(t, members, top, cap).groupBy("bank", "target").agg(F.count("*").alias("payments"), F.sum("net").alias("net_paise"))
     return rows.select("bank", "payments", "net_paise", (F.col("target") - F.col("net_paise")).alias("residual_paise"))
 
 
-def settled_rows(t: DataFrame, members: DataFrame) -> DataFrame:
+def settled_rows(t: DataFrame, members: DataFrame, top: int = TOP, cap: int | None = CAP) -> DataFrame:
     """Tier 4 by search (batch_id, bank, target, txn_id, net): the bank rows of a batch, largest first, each take a subset of the payments that are still free.
 
-    All rows search at once, then those again from whose window a larger row took payments,
-    without these, until nothing changes. Then every row has searched among what the larger ones
-    leave, which only one assignment fulfils; the rounds are as many as takings depend on each other.
+    All rows search at once, then those again from whose window larger rows now take other
+    payments than in the round before, until no window changes. Then every row has searched among what
+    the larger ones leave, which only one assignment fulfils; the rounds are as many as takings
+    depend on each other.
     """
     bank, pay = (written(x, "settle") for x in open_settlements(t, members))
-    first = before = written(searched(rule_candidates(bank, pay)), "settle")
-    sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("bank", "txn_id").cast("decimal(38,0)"))).first()
+    now = written(searched(rule_candidates(bank, pay, top=top), cap=cap), "settle")
+    before = bank.select("bank", F.lit(0).cast("decimal(38,0)").alias("old")).limit(0)
     while True:
-        taken = before.select("txn_id", F.col("bank").alias("by"), F.col("target").alias("size")).join(pay, "txn_id")
+        taken = now.select("txn_id", F.col("bank").alias("by"), F.col("target").alias("size")).join(pay, "txn_id")
         larger = (F.col("size") > F.col("target")) | ((F.col("size") == F.col("target")) & (F.col("by") < F.col("bank")))
         gone = bank.join(taken, ["batch_id", "bin"]).where(larger & F.expr("txn_date between date_sub(b_date, 10) and b_date"))
         gone = written(gone.select("bank", "txn_id").distinct(), "settle")
-        touched = gone.select("bank").distinct()
-        again = searched(rule_candidates(bank.join(touched, "bank", "left_semi"), pay, gone))
-        now = written(first.join(touched, "bank", "left_anti").unionByName(again), "settle")
-        if sign(now) == sign(before):
+        signs = written(gone.groupBy("bank").agg(F.sum(F.xxhash64("txn_id").cast("decimal(38,0)")).alias("sign")), "settle")
+        other = signs.join(before, "bank", "full").where(~F.col("sign").eqNullSafe(F.col("old"))).select("bank")
+        changed = written(other, "settle")
+        if not changed.limit(1).count():
             return now
-        before = now
+        again = searched(rule_candidates(bank.join(changed, "bank", "left_semi"), pay, gone, top), cap=cap)
+        now = written(now.join(changed, "bank", "left_anti").unionByName(again), "settle")
+        before = signs.withColumnRenamed("sign", "old")
 
 
 def variance_queue(t: DataFrame, open_rows: DataFrame, as_of: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.corpus import guarded
-from .components import components
-from .match import attached, cluster_members, exact_members, fee_pairs, refund_pairs, replayed, source_rank, unmatched
+from .match import attached, cluster_members, exact_members, fee_pairs, refund_pairs, source_rank, unmatched
+from .replay import first_of_kinds, sole_places
 from .shared import written
 
 
@@ -17,26 +17,12 @@ def fee_groups(open_rows: DataFrame) -> DataFrame:
     """Tier 3 new groups (group_id, txn_id, label): each open gateway row takes the first free row of each other source.
 
     Gateway rows come in txn_id order; a group that only equal amounts hold together is dropped
-    and its rows stay free. Order matters only inside a component of the pairs.
+    and its rows stay free.
     """
-    pairs = written(fee_pairs(open_rows, open_rows), "fee_pairs")
-    dealt = pairs.join(components(pairs, "g", "o").withColumnRenamed("node", "g"), "g")
-
-    def replay(pdf):
-        import pandas as pd
-
-        used, out = set(), []
-        for g, own in pdf.sort_values(["g", "o"]).groupby("g", sort=True):
-            picked = {}
-            for o, kind, label in zip(own["o"], own["source_kind"], own["label"]):
-                if o not in used:
-                    picked.setdefault(kind, (o, label))
-            if any(label != "gross" for _, label in picked.values()):
-                used |= {o for o, _ in picked.values()}
-                out += [(f"t3:{g}", g, None), *((f"t3:{g}", o, label) for o, label in picked.values())]
-        return pd.DataFrame(out, columns=["group_id", "txn_id", "label"])
-
-    return dealt.groupBy("component").applyInPandas(replay, "group_id string, txn_id string, label string")
+    taken = written(first_of_kinds(fee_pairs(open_rows, open_rows)), "fee_taken")
+    group = F.concat(F.lit("t3:"), "g").alias("group_id")
+    heads = taken.select("g").distinct().select(group, F.col("g").alias("txn_id"), F.lit(None).cast("string").alias("label"))
+    return heads.unionByName(taken.select(group, F.col("o").alias("txn_id"), "label"))
 
 
 def fee_attached(orphans: DataFrame, members: DataFrame) -> DataFrame:
@@ -45,7 +31,7 @@ def fee_attached(orphans: DataFrame, members: DataFrame) -> DataFrame:
     pairs = fee_pairs(first, orphans).where("label <> 'gross'")
     kinds = members.groupBy("group_id").agg(F.collect_set("source_kind").alias("kinds"))
     edges = pairs.join(first.select(F.col("txn_id").alias("g"), "group_id"), "g").join(kinds, "group_id").where(~F.array_contains("kinds", F.col("source_kind")))
-    return replayed(edges.select(F.col("o").alias("txn_id"), "source_kind", "group_id", "kinds").distinct())
+    return sole_places(edges.select(F.col("o").alias("txn_id"), "source_kind", "group_id"))
 
 
 def refund_merges(members: DataFrame, days: int = 30) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom import oracles, queries
 from tallyloom.functions import scalars as S
 from tallyloom.operators import match as M
+from tallyloom.operators import replay, subset
 from tallyloom.operators import tiers as T
 from tallyloom.plans.corpus import guarded, match_view
 from tallyloom.sources import files
@@ -52,14 +53,54 @@ def test_subset_sum_against_brute_force():
                 sums.setdefault(sum(nets[i] for i in c), []).append(list(c))
         hits = [target] if target in sums else [s for s in range(target - 5, target + 6) if s in sums]
         want = sums[hits[0]][0] if len(hits) == 1 and len(sums[hits[0]]) == 1 else None
-        assert M.subset_of(target, nets) == want
+        assert subset.dense(target, nets, 5) == want and subset.sparse(target, nets, 5) == want and M.subset_of(target, nets) == want
     assert M.subset_of(10, [10, 0]) is None and M.subset_of(-1, [1]) is None
 
 
-def test_replay_takes_unique_places(spark):
-    rows = [("a", "bank", "g1", ["gateway"]), ("b", "bank", "g1", ["gateway"]), ("c", "bank", "g2", ["ledger"]), ("c", "bank", "g3", ["ledger"]), ("d", "bank", "g3", ["ledger"])]
-    edges = spark.createDataFrame(rows, "txn_id string, source_kind string, group_id string, kinds array<string>")
-    assert sorted(map(tuple, M.replayed(edges).collect())) == [("a", "g1"), ("d", "g3")]
+def test_subset_sum_of_any_size():
+    """Large targets by halves, dense ones by bit sets; both where both can."""
+    rng = random.Random(4)
+    nets = sorted((rng.randrange(10**9, 4 * 10**9) for _ in range(60)), reverse=True)
+    own = sorted(rng.sample(range(60), 5))
+    assert subset.subset_of(sum(nets[i] for i in own), nets, cap=None) == own and subset.subset_of(10**10, nets) is None
+    nets = [rng.randrange(900, 100_000) for _ in range(40)]
+    for total in (sum(nets[:3]), 400_001, nets[5]):
+        assert subset.dense(total, nets[:22], 5) == subset.sparse(total, nets[:22], 5)
+    assert subset.dense(1_500_000, nets, 5) is None and subset.sparse(1_500_000, nets, 5) is None
+    assert subset.dense(48_000_000, [n * 97 for n in nets] + [1], 0) is None
+
+
+def settled_in_turn(rows, top):
+    """The rule in plain Python: bank rows by falling amount, each among the largest free payments of 10 days."""
+    free, out = {r["txn_id"]: r for r in rows if r["source_kind"] == "gateway"}, {}
+    for k in sorted((r for r in rows if r["source_kind"] == "bank"), key=lambda r: (-r["amount_paise"], r["txn_id"])):
+        pool = sorted((r for r in free.values() if 0 <= (k["txn_date"] - r["txn_date"]).days <= 10 and r["amount_paise"] <= k["amount_paise"]), key=lambda r: (-r["amount_paise"], r["txn_id"]))[:top]
+        hits = [c for n in range(5, len(pool) + 1) for c in itertools.combinations(pool, n) if sum(r["amount_paise"] for r in c) == k["amount_paise"]]
+        other = [c for n in range(1, 5) for c in itertools.combinations(pool, n) if sum(r["amount_paise"] for r in c) == k["amount_paise"]]
+        near = [c for n in range(1, len(pool) + 1) for c in itertools.combinations(pool, n) if abs(sum(r["amount_paise"] for r in c) - k["amount_paise"]) <= 5]
+        found = hits if hits or other else [c for c in near]
+        if len(found) == 1 and not other and len(found[0]) >= 5:
+            out[k["txn_id"]] = {r["txn_id"] for r in found[0]}
+            for r in found[0]:
+                free.pop(r["txn_id"])
+    return out
+
+
+@pytest.mark.parametrize("top", [60, 8])
+def test_search_in_turn_against_rule(spark, top):
+    """Windows overlap, so a larger row's taking decides what smaller ones find; top is passed through."""
+    rng = random.Random(top)
+    paid = [(f"p{i:02d}", "gateway", f"P{i}", rng.randrange(1000, 90_000), 0, 0, 1 + i // 2) for i in range(14)]
+    banks = []
+    for i in range(8):
+        at = rng.randrange(0, 9)
+        own = rng.sample(paid[at : at + 6], 5)
+        banks.append((f"k{i}", "bank", f"K{i}", sum(r[3] for r in own) + rng.choice([0, 0, 3]), None, None, max(r[6] for r in own) + 1))
+    t = records(spark, [*paid, *banks])
+    got = {}
+    for r in M.settled_rows(t, T.earlier_members(t), top=top).collect():
+        got.setdefault(r.bank, set()).add(r.txn_id)
+    assert got == settled_in_turn([r.asDict() for r in t.collect()], top) and (top < 60 or got)
 
 
 ROW = "txn_id string, batch_id string, source_kind string, external_ref string, amount_paise long, fee_paise long, tax_paise long, net_paise long, txn_date date, counterparty string, settlement_id string"
