@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import io
 import re
 
 import pytest
@@ -89,6 +90,45 @@ def test_warc(spark):
             assert f.read() == g.read()
 
 
+def files_of(spark, folder):
+    system, path = common.open_fs(folder)
+    from pyarrow import fs
+
+    return {f.base_name: system.open_input_stream(f.path, compression=None).read() for f in system.get_file_info(fs.FileSelector(path)) if f.is_file}
+
+
+def test_warc_is_deterministic_over_shards(spark):
+    """Many shards, repeated page_ids with other payloads, one heavy page_id, rows in another order and other partitions."""
+    rows = [(i * 37 % 1009, f"u{i % 7}", f"<p>{i % 311}</p>" * (i % 5)) for i in range(2500)] + [(5000, f"h{i}", "x" * (i % 900)) for i in range(600)] + [(None, "n", f"t{i}") for i in range(300)] + [(1 << 62, "far", "z")]
+    pages = spark.createDataFrame(rows, PAGES)
+    one, two = common.shared_folder(spark, "warc"), common.shared_folder(spark, "warc")
+    names = warc.write_archives(pages.repartition(3), one, roll_bytes=9000, shard_bytes=8000)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert warc.write_archives(spark.createDataFrame(rows[::-1], PAGES).repartition(11), two, roll_bytes=9000, shard_bytes=8000) == names
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert files_of(spark, one) == files_of(spark, two) and len(names) > 30
+    got = warc.read_archives(spark, one).collect()
+    own = lambda page, html: (page, len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
+    assert sorted((tuple(r[:3]) for r in got), key=str) == sorted((own(p, h) for p, _, h in rows), key=str)
+    last = {}
+    for p, _, h in rows:
+        if p is not None:
+            last[own(p, h)[2]] = max(last.get(own(p, h)[2], p), p)
+    assert all(r.refers_to == (None if last.get(r.payload_digest, r.page_id) == r.page_id else last[r.payload_digest]) for r in got)
+
+
+def test_warc_record_ids(spark):
+    folder = common.shared_folder(spark, "warc")
+    rows = [(1, "a", "x"), (1, "b", "x"), (1, "a", "y"), (2, "a", "x"), (2, "a", "z")]
+    warc.write_archives(spark.createDataFrame(rows, PAGES), folder)
+    fields = [warc.parse(m)[0] for name, data in files_of(spark, folder).items() if name.endswith(".gz") for m in warc.members(io.BytesIO(data))]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == 5 and sorted(f["WARC-Type"] for f in fields) == ["response"] * 3 + ["revisit"] * 2
+    assert all(ids[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] for f in fields if f["WARC-Type"] == "revisit")
+
+
 def test_warc_least_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "aaaa"), (4, "u", "aaaa")], PAGES)
     folder = common.shared_folder(spark, "warc")
