@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .shared import removed, written_at
 
-#: Edges that one task may replay.
-SMALL = 20_000
+#: Edges that one task may finish.
+SMALL = 100_000
 
 
 def _rounds(edges: DataFrame, decide, finish, small: int) -> DataFrame:
