@@ -3,7 +3,7 @@
 Every step is one aggregation and one join on node ids, so no component is gathered in one
 task, and a star's centre with many neighbours only costs its partial minimum. The number of
 rounds grows with the logarithm of the longest path. A round writes one table, and the table
-before is removed. With `small`, one task finishes as soon as at most so many edges are left.
+before is removed. With `bounded`, one task finishes as soon as at most so many edges are left.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ def _finished(star: DataFrame) -> DataFrame:
     return star.coalesce(1).mapInPandas(join, f"node {kind}, component {kind}")
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", small: int = 0) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", bounded: int = 0) -> DataFrame:
     """(node, component): the least node of its component, for every node that has an edge to another."""
     star = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     (star, at), before = written_at(star, "edges"), None
-    if small and star.count() <= small:
+    if bounded and star.count() <= bounded:
         return _finished(star)
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -58,7 +58,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", small: int = 0) ->
         sign = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if sign == before or not sign.n:
             break
-        if small and sign.n <= small:
+        if bounded and sign.n <= bounded:
             return _finished(star)
         before = sign
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -70,7 +70,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, ordered: bool = True) ->
 
 def cluster_members(t: DataFrame) -> DataFrame:
     """Tier 2: connected components of candidate pairs among rows that tier 1 left."""
-    found = components(candidate_pairs(t, t), "a", "b", small=SMALL).withColumnRenamed("node", "txn_id")
+    found = components(candidate_pairs(t, t), "a", "b", bounded=SMALL).withColumnRenamed("node", "txn_id")
     return guarded(t).join(found, "txn_id").withColumn("group_id", F.concat(F.lit("t2:"), "component")).drop("component")
 
 

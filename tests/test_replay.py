@@ -59,7 +59,20 @@ def test_sole_places_of_one_large_component(spark):
     df = spark.createDataFrame(pdf)
     sizes = components(df.selectExpr("'r' || txn_id AS u", "'g' || group_id || source_kind AS v")).groupBy("component").count()
     assert sizes.agg({"count": "max"}).first()[0] > 100_000
-    assert {r.txn_id: r.group_id for r in replay.sole_places(df).collect()} == places_in_turn(edges)
+    assert {r.txn_id: r.group_id for r in replay.sole_places(df, 20_000).collect()} == places_in_turn(edges)
+
+
+@pytest.mark.parametrize("bounded", [0, 40, 1000])
+def test_components_by_rounds_and_by_one_task(spark, bounded):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(120):03d}", f"n{rng.randrange(120):03d}") for _ in range(90)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)]
+    root = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    got = components(spark.createDataFrame(edges, "u string, v string"), bounded=bounded).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
 def test_chain_in_which_everyone_waits(spark):
