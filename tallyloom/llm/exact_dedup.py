@@ -7,7 +7,9 @@ empty). The index has three parts:
 * a directory of 2^depth slots by fingerprint prefix that point to buckets. It starts with one
   bucket; a bucket with more distinct fingerprints than its capacity is split in two by its next
   bit, for as long as one is overfull, and the directory doubles when that bit is beyond its
-  depth. Copies are one key, so a hot key never overfills a bucket;
+  depth. It doubles up to 2^SLOT_BITS slots (more if there are that many buckets); a bucket below that
+  has an entry of its own with its depth, so keys that share many bits cost one entry each and
+  not a doubling. Copies are one key, so a hot key never overfills a bucket;
 * bucket files with an entry for every distinct text. Each owner task has whole buckets, that is
   whole key ranges. Entries of one fingerprint form a chain, one for each different byte string.
 
@@ -37,6 +39,8 @@ from . import common
 BROADCAST_KEYS = 1_000_000
 #: Slots of a directory that is broadcast (16 bytes each); a larger one is joined by a shuffle.
 BROADCAST_SLOTS = 1_000_000
+#: Bits of a directory that doubles although few buckets are that deep.
+SLOT_BITS = 16
 #: Entries that are broadcast have more than one row in HOT.
 HOT = 10_000
 
@@ -75,12 +79,13 @@ def split_round(keys: DataFrame, start: int, depth: int, capacity: int) -> tuple
 
 
 def directory(keys: DataFrame, capacity: int, step: int = 8) -> tuple[int, DataFrame]:
-    """Depth, and the slots (slot, bucket). Only numbers of keys and buckets reach the driver.
+    """Depth, and the slots (slot, bucket, d: the bits of slot, more than the depth for deeper buckets). Only numbers of keys and buckets reach the driver.
 
     A bucket's number is its prefix with a leading one bit. keys: fp, distinct.
     """
     total = keys.count()
     start, depth = 0, min(24, max(0, math.ceil(math.log2(max(total, 1) / capacity)))) + 3
+    first = depth
     leaves, over = split_round(keys, start, depth, capacity)
     while depth < 62 and over.limit(1).count():
         below = keys.join(over, prefix(depth) == over.p, "left_semi")
@@ -90,15 +95,27 @@ def directory(keys: DataFrame, capacity: int, step: int = 8) -> tuple[int, DataF
     if depth == 62:  # keys that share all bits of a prefix this long lie in one bucket
         leaves = leaves.unionByName(over.select("p", F.lit(62).alias("d")))
     top = leaves.agg(F.max("d")).first()[0] or 0
+    top = min(top, max(SLOT_BITS, first))
     bucket = F.expr("shiftleft(1L, d) + p").alias("bucket")
     slot = F.explode(F.expr(f"sequence(shiftleft(p, {top} - d), shiftleft(p + 1, {top} - d) - 1)")).alias("slot")
-    return top, common.written(leaves.select(slot, bucket), "directory")
+    wide = leaves.where(F.col("d") <= top).select(slot, bucket, F.lit(top).alias("d"))
+    deep = leaves.where(F.col("d") > top).select(F.col("p").alias("slot"), bucket, "d")
+    return top, common.written(wide.unionByName(deep), "directory")
 
 
 def routed(rows: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
-    """rows (with fp) and the bucket that their slot of the directory points to."""
-    side = F.broadcast(slots) if depth <= math.log2(BROADCAST_SLOTS) else slots
-    return rows.withColumn("slot", prefix(depth)).join(side, "slot").drop("slot")
+    """rows (with fp) and the bucket that their slot of the directory, or else the entry of a deeper bucket, points to."""
+    if "d" not in slots.columns:
+        slots = slots.withColumn("d", F.lit(depth))
+    depths = sorted(r.d for r in slots.select("d").distinct().collect())  # at most 62 numbers
+    sent = (lambda df: F.broadcast(df)) if depth <= math.log2(BROADCAST_SLOTS) and slots.where(F.col("d") != depth).limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS else (lambda df: df)
+    if depths in ([], [depth]):
+        return rows.withColumn("slot", prefix(depth)).join(sent(slots.drop("d")), "slot").drop("slot")
+    for d in depths:
+        own = slots.where(F.col("d") == d).select("slot", F.col("bucket").alias(f"bucket{d}"))
+        rows = rows.withColumn("slot", prefix(d)).join(sent(own), "slot", "left").drop("slot")
+    found = F.coalesce(*(f"bucket{d}" for d in depths))
+    return rows.withColumn("bucket", found).drop(*(f"bucket{d}" for d in depths)).where("bucket is not null")
 
 
 def build_index(docs: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame, int, DataFrame]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from . import common
 
-#: Nodes whose ids may be broadcast (8 bytes each) to pick their texts; beyond, texts are shuffled.
+#: Nodes whose text digests may be broadcast (32 bytes each) to pick their texts; beyond, texts are shuffled.
 BROADCAST_NODES = 1_000_000
 
 
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, bins: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, elements (sorted 64-bit hashes) of the wanted nodes; nodes: node and the doc_id that stands for it."""
+    """node, elements (sorted 64-bit hashes) of the wanted nodes; nodes: node and the digest of a text that has its set."""
 
     def gather(batches):
         for batch in batches:
@@ -139,9 +139,10 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((8 * ends).tobytes()), pa.py_buffer(values.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(digests(values, ends), pa.int64()), raw.cast(pa.binary())], ["node", "elements"])
 
-    ids = nodes.join(wanted, "node", "left_semi").select("doc_id").distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select("digest").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_NODES else ids
-    sets = common.texts(docs).join(ids, "doc_id", "left_semi").select("text").mapInArrow(gather, "node long, elements binary")
+    keyed = common.texts(docs).select(common.text_digest("text").alias("digest"), "text")
+    sets = keyed.join(ids, "digest", "left_semi").select("text").mapInArrow(gather, "node long, elements binary")
     return common.written(sets.dropDuplicates(["node"]), "sets")
 
 
@@ -244,14 +245,14 @@ def classes(docs: DataFrame, percent: int, bins: int, rows: int, block: int, blo
     """doc_id, digest, n_shingles, component_id of every row of docs."""
     signed = common.written(signatures(docs, bins, rows), "signatures")
     full = signed.where("node is not null")
-    nodes = common.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = common.written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sign{i}") for i in (1, 2)]
     shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.sum("n").alias("elements"), *signs).where("members > 1")
     shared = shared.groupBy("members", "leader", "elements", "sign1", "sign2").agg(F.min("key").alias("key")).drop("sign1", "sign2")
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("elements") * 8 / block_bytes)).alias("blocks")
     buckets = common.written(buckets.join(shared.select("key", "members", "leader", blocks), "key"), "buckets")
-    sets = full_sets(docs, nodes.select("node", "doc_id"), buckets.select("node").distinct())
+    sets = full_sets(docs, nodes.select("node", "digest"), buckets.select("node").distinct())
 
     sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("m"))
     led = buckets.where("node <> leader").select("node", "n", "leader").distinct().join(sizes, "leader")

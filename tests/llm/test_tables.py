@@ -32,6 +32,37 @@ def test_directory_doubles_until_nothing_is_overfull(spark):
     assert len(table) <= 1 << depth and max(found.count(b) for b in set(found)) <= 3
 
 
+@pytest.mark.parametrize("bits", [16, 2])
+def test_one_deep_bucket_beside_shallow_ones(spark, monkeypatch, bits):
+    """Ten keys that differ in the last bits only, and two far ones: 62 bits deep, without a doubling for each bit."""
+    monkeypatch.setattr(exact_dedup, "SLOT_BITS", bits)
+    keys = spark.createDataFrame([((5 << 40) + i,) for i in range(10)] + [(-(1 << 62),), (1 << 62,)], "fp long")
+    depth, slots = exact_dedup.directory(keys, 2)
+    assert slots.count() <= (1 << depth) + 70
+    rows = exact_dedup.routed(keys, depth, slots).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.bucket, []).append(r.fp)
+    assert len(rows) == 12 and all(len(f) <= 2 or len({(x % (1 << 64)) >> 2 for x in f}) == 1 for f in found.values()) and len(found) >= 4
+
+
+def test_exact_dedup_with_equal_high_bits(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [f"t{i % 9}" for i in range(30)]
+    monkeypatch.setattr(exact_dedup, "keyed", lambda d: d.select("doc_id", exact_dedup.normalised(F.col("text")).alias("norm"), (F.expr("cast(substr(text, 2) as long)") * 4 + 64).alias("fp")))
+    rows = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(documents(spark, texts), capacity=2).collect()}
+    assert rows == {i: (i % 9, texts.count(t)) for i, t in enumerate(texts)}
+
+
+def test_near_copies_without_id(spark):
+    """Rows without doc_id link by their own texts; their group's component_id is the least doc_id it has."""
+    t = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, t), (None, t + " more"), (None, "one " + t + " more"), (None, "quite " + t), (9, "another text of at least five words"), (None, None)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted([(3, 3, True), (None, 3, False), (None, 3, False), (None, 3, False), (9, 9, True), (None, None, True)], key=str)
+
+
 def test_chains_of_colliding_fingerprints(spark, monkeypatch):
     from pyspark.sql import functions as F
 
