@@ -41,10 +41,21 @@ KNOWN = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS + ", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
 
-#: Rewriting steps in order: pattern and replacement, on lower-case text.
+#: Spellings that licence matching takes for one word, the second stands for both.
+SPELLINGS = [
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
+    ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalisations", "capitalizations"), ("catalogue", "catalog"),
+    ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"),
+    ("modelling", "modeling"), ("noncommercial", "non commercial"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
+    ("organise", "organize"), ("percent", "per cent"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
+    ("signalling", "signaling"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
+]
+
+#: Rewriting steps in order: pattern and replacement, on lower-case text. Only letters and digits count, of any script.
 STEPS = [
     (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", r" "),
-    (r"[^a-z0-9\x80-\x{10FFFF}]+", r" "),
+    (r"[^\p{L}\p{N}]+", r" "),
     (r"\blicence", r"license"),
     (r"\b(sub)?licens(ed|e|ing)\b", r"license"),
     (r"\breleased\b", r"license"),
@@ -56,14 +67,20 @@ def normalised(text) -> F.Column:
     out = F.lower(text)
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    return F.trim(out)
+    return spelled(F.trim(out))
+
+
+def spelled(text) -> F.Column:
+    """Words of a normalised text in the spelling that stands for all."""
+    table = F.create_map(*(F.lit(x) for pair in SPELLINGS for x in pair))
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
 
 
 #: The same for entire texts, where a line may begin with the word copyright inside a sentence.
 ENTIRE_STEPS = [
     (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9<\[{])|\(c\)[ \t]|©)[^\n]*", r" "),
     (r"\ball rights reserved\b", r" "),
-    (r"(^|\n)[ \t]*(\(?[0-9a-z]{1,2}[.)]|[*-])[ \t]+", r" "),
+    (r"(^|\n)[ \t]*(\(?[0-9a-z]{1,2}[.)]|[*•–-])[ \t]+", r" "),
     *STEPS[1:],
 ]
 #: A word that every entire text has, and the words of its beginning.
@@ -74,7 +91,7 @@ def entire(text) -> F.Column:
     out = F.lower(text)
     for pattern, to in ENTIRE_STEPS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    return F.trim(out)
+    return spelled(F.trim(out))
 
 
 def entire_texts() -> list[tuple[str, str, list[str]]]:
@@ -178,7 +195,8 @@ def _sql_normalised(x: str) -> str:
     out = f"lower({x})"
     for pattern, to in STEPS:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"trim({out})"
+    table = ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS)
+    return f"array_to_string([coalesce((MAP {{{table}}})[w], w) for w in string_split(trim({out}), ' ')], ' ')"
 
 
 def _quoted(text: str) -> str:

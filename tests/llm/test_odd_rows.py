@@ -102,3 +102,17 @@ def test_pipeline(spark, tmp_path, empty):
     for r in found:
         sums[r.doc_id] = sums.get(r.doc_id, 0) + r.length
     assert sums == want
+
+
+def test_licenses_in_typographic_dress(spark):
+    """Curly quotes, dashes and bullets are punctuation like the plain ones, and equivalent spellings one word."""
+    mit = [t for k, t in licenses.KNOWN if k == "MIT" and len(t) > 300][0]
+    curly = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u00abAS IS\u00bb").replace(", and to permit", " \u2014 and to permit")
+    line = "Licensed under the Apache License, Version 2.0."
+    texts = [curly, f"\u201c{line}\u201d", f"\u2022 {line}", f"{line} \u2014", f"x\n\u2013 {line}\ny", "\u00e9" + line, curly.replace("CLAIM", "CLAIMS"), "Licenced under the Apache Licence 2.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(docs).collect()}
+    assert got[0][0] == "MIT" and got[1] == got[2] == got[3] == ("Apache-2.0", "Apache-2.0") and got[4] == (None, "Apache-2.0")
+    assert got[5] == (None, "") and got[6][0] is None and got[7] == ("Apache-2.0", "Apache-2.0")
+    words = docs.select(licenses.spelled(F.lit("the organisation may realise a per cent whilst")).alias("w")).first().w
+    assert words == "the organization may realize a per cent while"
