@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.parse
 import urllib.request
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from .files import new_rows
 
 PAGE = 100
 
@@ -91,3 +96,54 @@ class PagedSource(DataSource):
 
     def reader(self, schema):
         return PagedReader(schema, self.options)
+
+    def streamReader(self, schema):
+        return PagedStream(schema, self.options)
+
+
+class PagedStream(DataSourceStreamReader):
+    """The pages of what was created after the cursor, up to now (or the option `until`).
+
+    The cursor is a time in seconds, held by the stream's checkpoint, and the next look begins one
+    second after it; the first begins `lookback` days (30) before now. With `late` seconds, each
+    look begins so much earlier: what it brings again the ingest must drop by key.
+    """
+
+    def __init__(self, schema, options):
+        self.pages = PagedReader(schema, dict(options) | {"from": "0", "to": "-1"})
+        self.until, self.lookback, self.late = options.get("until"), int(options.get("lookback", 30)), int(options.get("late", 0))
+
+    def _now(self) -> int:
+        return int(self.until) if self.until else int(time.time())
+
+    def initialOffset(self):
+        return {"seconds": self._now() - self.lookback * 86400}
+
+    def latestOffset(self):
+        return {"seconds": self._now()}
+
+    def partitions(self, start, end):
+        first, last = start["seconds"] + 1 - self.late, end["seconds"]
+        return [Day(a, min(a + 86399, last)) for a in range(first, last + 1, 86400)] if start["seconds"] < last else []
+
+    def read(self, partition):
+        return self.pages.read(partition)
+
+    def commit(self, end):
+        pass
+
+
+def ingest_payments(spark: SparkSession, stream: DataFrame, batch_id: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Takes the stream's payments as records of a batch, each reference once, whatever is looked at or written again.
+
+    Every micro-batch is one partition of the sink and leaves out what other micro-batches hold.
+    """
+
+    def write(df: DataFrame, number: int) -> None:
+        rows = payments_as_txns(df.dropDuplicates(["id"])).select(F.lit(batch_id).alias("batch_id"), "*")
+        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            rows = new_rows(rows, spark.read.schema(StructType([*rows.schema.fields]).add("micro", "integer")).parquet(sink).where(F.col("micro") != number))
+        rows.withColumn("micro", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("micro").parquet(sink)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
