@@ -122,5 +122,10 @@ def leaks(record: Column) -> Column:
     return text.contains(LEAK_MARKS[0]) | text.contains(LEAK_MARKS[1])
 
 
+def no_leak(record: Column) -> Column:
+    """True; a record that holds a mark of the answer key fails the query that evaluates this."""
+    return F.assert_true(~leaks(record), F.lit("a record to be sent holds a mark of the answer key")).isNull()
+
+
 def scrubbed_claim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)synthetic:\w*", "")

@@ -33,9 +33,10 @@ def exact_members(t: DataFrame) -> DataFrame:
 
 
 def groups_of(members: DataFrame) -> DataFrame:
-    """One row per group: counts, amount spread, and confidence less 0.05 for each field that differs (null is a value)."""
+    """One row per group: counts, amount spread, and confidence less 0.05 for each of normalised reference, amount and date that differs (null is a value)."""
+    members = members.withColumn("__ref", S.full_ref(F.nullif(F.col("external_ref"), F.lit(""))))
     differs = lambda c: (F.size(F.collect_set(F.struct(c))) > 1).cast("int")
-    confidence = F.lit(95) - 5 * (differs("external_ref") + differs("amount_paise") + differs("txn_date"))
+    confidence = F.lit(95) - 5 * (differs("__ref") + differs("amount_paise") + differs("txn_date"))
     return members.groupBy("group_id").agg(F.count("*").alias("member_count"), F.count_distinct("source_kind").alias("n_sources"), (F.max("amount_paise") - F.min("amount_paise")).alias("variance_paise"), confidence.cast("bigint").alias("confidence_pct"))
 
 
@@ -133,19 +134,6 @@ def settlements_by_id(t: DataFrame) -> DataFrame:
     return out.where("bank_paise is not null and payments > 0").withColumn("residual_paise", F.col("bank_paise") - F.col("net_paise"))
 
 
-def window_candidates(t: DataFrame, top: int = 60) -> DataFrame:
-    """Tier 4 by search: for each bank credit without id, the payments with fee known of the 10 days before, largest first.
-
-    Dates are binned by 10 days, so the range join is an equi-join on the bin and the one before.
-    """
-    day = F.datediff("txn_date", F.lit("1970-01-01").cast("date"))
-    bank = guarded(t).where("source_kind = 'bank' and settlement_id is null and txn_id like 'credit%'").select("batch_id", F.col("txn_id").alias("bank"), F.col("amount_paise").alias("target"), F.col("counterparty"), F.col("txn_date").alias("b_date"), F.explode(F.array(F.floor(day / 10), F.floor(day / 10) - 1)).alias("bin"))
-    pay = t.where("source_kind = 'gateway' and fee_paise is not null and settlement_id is null").select("txn_id", "counterparty", F.col("net_paise").alias("net"), "txn_date", F.floor(day / 10).alias("bin"))
-    pairs = bank.join(pay, ["bin", "counterparty"]).where("txn_date between date_sub(b_date, 10) and b_date and net <= target")
-    w = W.partitionBy("bank").orderBy(F.col("net").desc(), "txn_id")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("bank", "target", "txn_id", "net", "place")
-
-
 def open_settlements(t: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tier 4 by search: bank rows that no earlier tier matched (bank, target), and gateway payments with fee known that no bank row has.
 

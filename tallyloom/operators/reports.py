@@ -13,12 +13,13 @@ def usage(audit: DataFrame, rates: list[tuple[str, float, float]] = R.RATES) ->
     """Per provider: served and failed calls, tokens, cost, and tokens of providers without a rate.
 
     A served call is one completion; failed ones have neither tokens nor provider and count apart.
+    audit: action, provider, prompt_tokens, completion_tokens; null tokens are 0.
     """
     spark = audit.sparkSession
-    tokens = F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0))
+    tokens = lambda c: F.when(served, F.coalesce(c, F.lit(0))).otherwise(0)
     served = F.col("action").isin("batch_explained", "critic_batch_graded")
     failed = F.col("action").isin("batch_failed", "critic_batch_failed")
-    rows = audit.where(served | failed).select(F.coalesce("provider", F.lit("unknown")).alias("provider"), served.alias("served"), F.when(served, tokens).otherwise(0).alias("prompt"), F.when(served, F.floor(tokens / 2)).otherwise(0).alias("completion"))
+    rows = audit.where(served | failed).select(F.coalesce("provider", F.lit("unknown")).alias("provider"), served.alias("served"), tokens("prompt_tokens").alias("prompt"), tokens("completion_tokens").alias("completion"))
     sums = rows.groupBy("provider").agg(F.count_if("served").alias("calls"), F.count_if(~F.col("served")).alias("failed"), F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"))
     priced = sums.join(F.broadcast(spark.createDataFrame(rates, "provider string, p double, c double")), "provider", "left")
     cost = F.round(F.coalesce(F.col("prompt_tokens") * F.col("p") + F.col("completion_tokens") * F.col("c"), F.lit(0.0)), 8)

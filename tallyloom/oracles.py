@@ -33,8 +33,10 @@ queue AS (SELECT r.txn_id, r.batch_id, r.amount_paise,
   FROM rest r LEFT JOIN twins USING (batch_id, source_kind, external_ref, amount_paise) LEFT JOIN seen ON seen.txn_id = r.txn_id)
 """
 
-_GROUP = """SELECT group_id, count(*) AS member_count, count(DISTINCT source_kind) AS n_sources, max(amount_paise) - min(amount_paise) AS variance_paise,
-  95 - 5 * ((count(DISTINCT external_ref) > 1)::INT + (count(DISTINCT amount_paise) > 1)::INT + (count(DISTINCT txn_date) > 1)::INT)::BIGINT AS confidence_pct FROM """
+_DIFFERS = lambda x: f"(count(DISTINCT {x}) + (count(*) > count({x}))::INT > 1)::INT"
+_NORMAL = f"CASE WHEN external_ref <> '' THEN {_FULL} END"
+_GROUP = f"""SELECT group_id, count(*) AS member_count, count(DISTINCT source_kind) AS n_sources, max(amount_paise) - min(amount_paise) AS variance_paise,
+  (95 - 5 * ({_DIFFERS(_NORMAL)} + {_DIFFERS("amount_paise")} + {_DIFFERS("txn_date")}))::BIGINT AS confidence_pct FROM """
 
 _SHOWN = "(SELECT txn_id, amount_paise, fee_paise, CASE WHEN length(w) <= 3 THEN w ELSE ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right(w, 3) END || '.' || lpad((abs(amount_paise) % 100)::VARCHAR, 2, '0') AS shown FROM (SELECT *, (abs(amount_paise) // 100)::VARCHAR AS w FROM t))"
 
@@ -58,9 +60,6 @@ WHERE (o.amount_paise IN (g.amount_paise, g.amount_paise - g.fee_paise) OR abs(o
 FROM t n JOIN t p ON n.source_kind = p.source_kind AND n.counterparty = p.counterparty AND n.amount_paise = -p.amount_paise WHERE n.amount_paise < 0 AND date_diff('day', p.txn_date, n.txn_date) BETWEEN 0 AND 30) WHERE rn = 1"""),
     "settlement_by_id": _with("""SELECT *, bank_paise - net_paise AS residual_paise FROM (SELECT batch_id, settlement_id, sum(amount_paise) FILTER (source_kind = 'bank')::BIGINT AS bank_paise, sum(net_paise) FILTER (source_kind = 'gateway')::BIGINT AS net_paise, count(*) FILTER (source_kind = 'gateway') AS payments
 FROM t WHERE settlement_id IS NOT NULL GROUP BY ALL) WHERE bank_paise IS NOT NULL AND payments > 0"""),
-    "settlement_window_candidates": _with("""SELECT * FROM (SELECT b.txn_id AS bank, b.amount_paise AS target, p.txn_id, p.net_paise AS net, row_number() OVER (PARTITION BY b.txn_id ORDER BY p.net_paise DESC, p.txn_id) AS place
-FROM t b JOIN t p ON b.counterparty = p.counterparty AND p.source_kind = 'gateway' AND p.fee_paise IS NOT NULL AND p.settlement_id IS NULL AND p.net_paise <= b.amount_paise AND date_diff('day', p.txn_date, b.txn_date) BETWEEN 0 AND 10
-WHERE b.source_kind = 'bank' AND b.settlement_id IS NULL AND b.txn_id LIKE 'credit%') WHERE place <= 60"""),
     "unmatched_anti": _with("SELECT txn_id, source_kind, amount_paise FROM rest"),
     "duplicate_suspects": _with("SELECT txn_id, twins FROM (SELECT txn_id, count(*) OVER (PARTITION BY batch_id, source_kind, external_ref, amount_paise) AS twins FROM t WHERE external_ref <> '') WHERE twins > 1"),
     "variance_queue": _with("SELECT * FROM queue", _QUEUE),
@@ -76,7 +75,8 @@ WHERE b.source_kind = 'bank' AND b.settlement_id IS NULL AND b.txn_id LIKE 'cred
     "rows_by_source": _with("SELECT batch_id, source_kind, count(*) AS n, sum(amount_paise)::BIGINT AS net_paise FROM t GROUP BY ALL"),
     "running_balance": _with("SELECT txn_id, (10000000 + sum(amount_paise) OVER (PARTITION BY batch_id ORDER BY txn_date, external_ref, txn_id ROWS UNBOUNDED PRECEDING))::BIGINT AS balance_paise FROM t WHERE source_kind = 'bank'"),
     "latest_per_counterparty": _with("SELECT counterparty, txn_id, amount_paise FROM (SELECT *, row_number() OVER (PARTITION BY counterparty ORDER BY txn_date DESC, txn_id) AS rn FROM t) WHERE rn = 1"),
-    "ingest_idempotent": _with("SELECT txn_id FROM t WHERE NOT EXISTS (SELECT 1 FROM t s WHERE right(s.txn_id, 1) IN ('0', '1', '2', '3', '4') AND s.batch_id = t.batch_id AND s.source_kind = t.source_kind AND s.external_ref = t.external_ref)"),
+    "ingest_idempotent": f"""WITH t AS MATERIALIZED ({CORPUS}), held AS (SELECT DISTINCT batch_id, source_kind, external_ref FROM t WHERE right(txn_id, 1) IN ('0', '1', '2', '3', '4'))
+SELECT txn_id FROM t ANTI JOIN held ON t.batch_id = held.batch_id AND t.source_kind = held.source_kind AND t.external_ref IS NOT DISTINCT FROM held.external_ref""",
     "parse_money": _with(f"SELECT txn_id, 'Rs. ' || shown || CASE WHEN amount_paise < 0 THEN ' DR' ELSE ' CR' END AS shown, amount_paise AS paise FROM {_SHOWN}"),
     "extract_reference": _with("SELECT txn_id, external_ref AS found FROM t WHERE length(external_ref) > 2"),
     "figure_trace": _with(f"SELECT txn_id, replace(shown, ',', '') || coalesce(' ' || fee_paise::VARCHAR, '') AS numbers, CASE WHEN fee_paise IS NULL OR fee_paise::VARCHAR = replace(shown, ',', '') THEN 0 ELSE 1 END::BIGINT AS untraced FROM {_SHOWN}"),

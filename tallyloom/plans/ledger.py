@@ -6,6 +6,9 @@ Each text is read by Spark and by DuckDB alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .corpus import over_tables
 
 #: Queue rows with category, status, confidence, a scenario label and the text of an explanation.
 VARIANCES = """
@@ -32,8 +35,7 @@ FROM events
 
 
 def _view(spark: SparkSession, sf_dir: str, table: str, text: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(text)
+    return over_tables(spark, sf_dir, text, table)
 
 
 def variances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,4 +43,6 @@ def variances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "events", AUDIT)
+    """The audit log. A call's prompt tokens are k of its props, its completion tokens half of them."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return _view(spark, sf_dir, "events", AUDIT).withColumns({"prompt_tokens": k, "completion_tokens": F.floor(k / 2)})

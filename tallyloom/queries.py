@@ -76,10 +76,6 @@ def settlement_by_id(spark, d):
     return M.settlements_by_id(_t(spark, d))
 
 
-def settlement_window_candidates(spark, d):
-    return M.window_candidates(_t(spark, d))
-
-
 def subset_sum_settlement(spark, d):
     t = written(_t(spark, d), "txns")
     return M.settled_once(t, T.earlier_members(t))
@@ -258,4 +254,4 @@ def redaction(spark, d):
     return after.select("txn_id", "leaked", "description", F.array_join(F.map_keys("raw"), ",").alias("raw_keys"), S.leaks(F.struct("description", "raw")).alias("leaks"), "claim")
 
 
-QUERIES = {f.__name__: f for f in (normalize_refs, t1_exact_groups, t1_roles, t2_candidate_pairs, t2_clusters, t2_attach, fee_interpretations, refund_pairs_asof, settlement_by_id, settlement_window_candidates, subset_sum_settlement, unmatched_anti, duplicate_suspects, variance_queue, variances_by_category, open_top5, pair_scores, tier_funnel, recon_identity, rows_by_source, running_balance, latest_per_counterparty, ingest_idempotent, parse_money, extract_reference, figure_trace, daily_rollup, idle_detection, usage_by_provider, category_confusion, refund_group_merge, settlement_absorption, score_by_tier, fee_groups, fee_attach, source_histogram, confidence_histogram, interpretation_counts, open_by_batch, most_open_batches, review_chunks, redaction)}
+QUERIES = {f.__name__: f for f in (normalize_refs, t1_exact_groups, t1_roles, t2_candidate_pairs, t2_clusters, t2_attach, fee_interpretations, refund_pairs_asof, settlement_by_id, subset_sum_settlement, unmatched_anti, duplicate_suspects, variance_queue, variances_by_category, open_top5, pair_scores, tier_funnel, recon_identity, rows_by_source, running_balance, latest_per_counterparty, ingest_idempotent, parse_money, extract_reference, figure_trace, daily_rollup, idle_detection, usage_by_provider, category_confusion, refund_group_merge, settlement_absorption, score_by_tier, fee_groups, fee_attach, source_histogram, confidence_histogram, interpretation_counts, open_by_batch, most_open_batches, review_chunks, redaction)}

@@ -17,14 +17,14 @@ from ..functions import scalars as S
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def parsed_rows(raw: DataFrame) -> DataFrame:
-    """line, value_date, narration, debit, credit (texts) to amounts, dates and references, with a reason for bad rows."""
+def parsed_rows(raw: DataFrame, *keep: str) -> DataFrame:
+    """line, value_date, narration, debit, credit (texts) to amounts, dates and references, with a reason for bad rows; keep: other columns."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     debit, credit = S.paise_of(F.col("debit")), S.paise_of(F.col("credit"))
     amount = F.when(blank(F.col("debit")), credit).otherwise(-debit)
     day = S.parsed_date(F.col("value_date"))
     reason = F.when(blank(F.col("debit")) == blank(F.col("credit")), "exactly one of debit and credit").when(amount.isNull(), "amount").when(day.isNull() & ~blank(F.col("value_date")), "date")
-    return raw.select("line", amount.alias("amount_paise"), day.alias("txn_date"), S.extracted_ref(F.coalesce("narration", F.lit(""))).alias("external_ref"), reason.alias("reason"))
+    return raw.select(*keep, "line", amount.alias("amount_paise"), day.alias("txn_date"), S.extracted_ref(F.coalesce("narration", F.lit(""))).alias("external_ref"), reason.alias("reason"))
 
 
 def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:

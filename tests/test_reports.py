@@ -84,7 +84,7 @@ def test_group_category(spark):
 
 
 def test_usage_of_unknown_providers(spark):
-    a = spark.createDataFrame([("batch_explained", None, '{"k": 9}'), ("batch_explained", "nvidia", '{"k": 1000}'), ("batch_failed", "nvidia", '{"k": 5}'), ("viewed", "nvidia", "{}"), ("batch_explained", "nvidia", None)], "action string, provider string, props string")
+    a = spark.createDataFrame([("batch_explained", None, 9, 4), ("batch_explained", "nvidia", 1000, 500), ("batch_failed", "nvidia", 5, 2), ("viewed", "nvidia", None, None), ("batch_explained", "nvidia", None, None)], "action string, provider string, prompt_tokens long, completion_tokens long")
     got = {r.provider: r for r in P.usage(a).collect()}
     assert (got["unknown"].unpriced_tokens, got["unknown"].cost_usd) == (13, 0.0)
     assert (got["nvidia"].calls, got["nvidia"].failed, got["nvidia"].prompt_tokens, round(got["nvidia"].cost_usd, 8)) == (2, 1, 1000, 0.00018)
