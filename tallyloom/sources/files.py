@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import split_csv
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -28,26 +29,8 @@ def parsed_rows(raw: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of bank CSV files, one task per file; line numbers count within a file, and quoted fields may hold line ends."""
-    names = ["value_date", "narration", "debit", "credit"]
-
-    def parse(batches):
-        import csv
-
-        import pandas as pd
-
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                reader, out = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline="")), []
-                header = [h.strip().lower() for h in next(reader, [])]
-                for row in reader:
-                    if any(x.strip() for x in row):
-                        fields = dict(zip(header, row))
-                        out.append((file, reader.line_num, *(fields.get(n) for n in names)))
-                yield pd.DataFrame(out, columns=["file", "line", *names])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
-    return parsed_rows(found.mapInPandas(parse, "file string, line int, value_date string, narration string, debit string, credit string"))
+    """Rows of bank CSV files, many tasks per file; line numbers count within a file, and quoted fields may hold line ends."""
+    return parsed_rows(split_csv.read(spark, path, ["value_date", "narration", "debit", "credit"]))
 
 
 def write_bank_csv(t: DataFrame, path: str, opening: int = 10_000_000) -> None:
