@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from .functions import review as R
 from .functions import scalars as S
+from .operators import classify
 from .operators import match as M
-from .operators.shared import written
-from .oracles import _BASE, _WALK
+from .operators.shared import shared_folder, written
+from .oracles import _BASE, _QUEUE, _WALK
 from .plans.corpus import CORPUS, match_view, txns
 from .plans.ledger import AUDIT, audit
+from .queries import QUERIES as RECON
 from .sources import ingest
 from .sources.files import parsed_rows
 from .streaming import progress
@@ -74,7 +79,26 @@ def silent_batches(spark, d):
     return quiet.groupBy("batch_id").agg(F.count("*").alias("silences"), F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss").alias("last_at"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_summary, first_skips, residual_identity, model_context, batch_steps, silent_batches)}
+def by_rule(texts: list[str]) -> list[str]:
+    """A classifier that needs no model: what a queue row's category says of it, as a model's JSON."""
+    known = {"duplicate_suspect": ("duplicate_entry", "flag_for_human", 0.9), "missing_counterpart": ("missing_source_record", "request_bank_advice", 0.7), "residual_rounding": ("fx_or_rounding", "write_off", 1.5)}
+    out = []
+    for text in texts:
+        row = json.loads(text)
+        category, action, sure = known.get(row["category"], ("unexplained", "flag_for_human", 0.8))
+        out.append("```json\n" + json.dumps({"category": category, "suggested_action": action, "confidence": sure, "explanation": f"{row['amount_paise']} paise", "subcategory": row["category"]}) + "\n```")
+    return out
+
+
+def classified_queue(spark, d):
+    """The queue asked in chunks of a batch, largest amounts first, with the checked answers."""
+    rows = written(RECON["variance_queue"](spark, d), "queue").withColumn("context", F.to_json(F.struct("txn_id", "amount_paise", "category")))
+    rows = rows.where(S.no_leak(F.struct("context")))
+    found = classify.classified(rows, ["batch_id"], [F.abs("amount_paise").desc(), "txn_id"], "txn_id", "context", by_rule, shared_folder(spark, "answers"))
+    return found.select("txn_id", R.answer(F.col("answer")).alias("a")).select("txn_id", "a.*")
+
+
+QUERIES = {f.__name__: f for f in (ingest_summary, first_skips, residual_identity, model_context, batch_steps, silent_batches, classified_queue)}
 
 _LINES = f"""WITH s AS (SELECT batch_id, regexp_extract(txn_id, '(\\d+)', 1)::INT AS line, amount_paise % 23 = 0 AS no_ref,
   CASE WHEN amount_paise % 13 = 0 OR amount_paise % 17 = 0 THEN 'exactly one of debit and credit' WHEN amount_paise >= 0 AND amount_paise % 19 = 0 THEN 'amount' END AS reason FROM ({CORPUS}) WHERE source_kind = 'bank') """
@@ -93,6 +117,11 @@ SELECT batch_id, total_paise, coalesce(balanced_paise, 0) AS balanced_paise, coa
 FROM (SELECT batch_id, sum(amount_paise)::BIGINT AS total_paise FROM t GROUP BY 1) LEFT JOIN p USING (batch_id) LEFT JOIN o USING (batch_id)""",
     "model_context": f"""SELECT txn_id, '{{"batch_id":"' || batch_id || '","amount_paise":' || amount_paise || ',"description":"' || CASE WHEN amount_paise % 3 = 0 THEN '' ELSE external_ref END || '","raw":{{"settlement_id":"' || coalesce(settlement_id, '') || '"}}}}' AS context
 FROM ({CORPUS}) WHERE source_kind = 'bank'""",
+    "classified_queue": _BASE
+    + _QUEUE.rstrip()
+    + """ SELECT txn_id, CASE category WHEN 'duplicate_suspect' THEN 'duplicate_entry' WHEN 'missing_counterpart' THEN 'missing_source_record' WHEN 'residual_rounding' THEN 'fx_or_rounding' ELSE 'unexplained' END AS category,
+  CASE category WHEN 'missing_counterpart' THEN 'request_bank_advice' WHEN 'residual_rounding' THEN 'write_off' ELSE 'flag_for_human' END AS suggested_action,
+  CASE category WHEN 'duplicate_suspect' THEN 0.9 WHEN 'missing_counterpart' THEN 0.7 WHEN 'residual_rounding' THEN 1.0 ELSE 0.49 END::DOUBLE AS confidence, amount_paise || ' paise' AS explanation, category AS subcategory, true AS well_formed FROM queue""",
     "batch_steps": _A + "SELECT batch_id, step, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS first_at FROM a GROUP BY 1, 2",
     "silent_batches": _A
     + """, e AS (SELECT batch_id, created_at AS seen, max((step = 'purchase')::INT) AS final FROM a GROUP BY 1, 2),
