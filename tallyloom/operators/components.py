@@ -35,7 +35,8 @@ def _finished(star: DataFrame) -> DataFrame:
                 above.setdefault(b, b)
                 a, b = root(a), root(b)
                 above[max(a, b)] = min(a, b)
-        yield pd.DataFrame({"node": list(above), "component": [root(x) for x in above]})
+        if above:
+            yield pd.DataFrame({"node": list(above), "component": [root(x) for x in above]})
 
     return star.coalesce(1).mapInPandas(join, f"node {kind}, component {kind}")
 

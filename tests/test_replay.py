@@ -73,6 +73,7 @@ def test_components_by_rounds_and_by_one_task(spark, bounded):
     want = {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
     got = components(spark.createDataFrame(edges, "u string, v string"), bounded=bounded).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([], "u string, v string"), bounded=bounded).count() == 0
 
 
 def test_chain_in_which_everyone_waits(spark):
