@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import review as R
+from .tiers import running
 
 
 def usage(audit: DataFrame, rates: list[tuple[str, float, float]] = R.RATES) -> DataFrame:
@@ -105,5 +106,5 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def trimmed(rows: DataFrame, key: str, order: list, text: str, most: int) -> DataFrame:
     """Whole lines of a context, from its start, as long as they and their line ends fit into `most` characters."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("chars", F.sum(F.length(text) + 1).over(w)).where(F.col("chars") <= most + 1)
+    kept = running(rows, [key], order, {"chars": F.length(text) + 1})
+    return kept.where(F.col("chars") <= most + 1).drop("chars_all")

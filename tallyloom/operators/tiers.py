@@ -111,22 +111,34 @@ def scores_by_tier(members: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("fp", F.col("pairs") - F.col("tp"))
 
 
-def chunked(rows: DataFrame, keys: list[str], order: list, most: int = 10, least: int = 5) -> DataFrame:
-    """rows with a chunk number per key: chunks of `most` rows; a tail shorter than `least` takes rows of the chunk before.
+def running(rows: DataFrame, keys: list[str], order: list, values: dict) -> DataFrame:
+    """rows with, for each name, the sum of a value over the key's rows up to this one, and name_all, the sum over all of them.
 
-    Rows are dealt by ranges of key and order; a row's place is its place in its range after the
-    counts of the key's ranges before, so a key of many rows is not one task. order must tell rows
-    apart; null keys are one key.
+    Rows are dealt by ranges of key and order; a row's sum is that inside its range after those of the
+    key's ranges before, so a key of many rows is not one task. order must tell rows apart; null
+    keys are one key, null values are 0.
     """
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__own"))
-    before = F.coalesce(F.sum("__own").over(W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    places = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__at"), before.alias("__before"), F.sum("__own").over(W.partitionBy(*keys)).alias("__n"))
+    named = rows.withColumns({f"__v_{n}": v for n, v in values.items()})
+    dealt = written(named.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    own = dealt.groupBy(*keys, "__range").agg(*(F.coalesce(F.sum(f"__v_{n}"), F.lit(0)).alias(n) for n in values))
+    past, all_of = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    sums = [x for n in values for x in (F.coalesce(F.sum(n).over(past), F.lit(0)).alias(f"__past_{n}"), F.sum(n).over(all_of).alias(f"{n}_all"))]
+    places = own.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__at"), *sums)
     same = F.col("__range") == F.col("__at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    i, n = F.col("__before") + F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)) - 1, F.col("__n")
+    inside = W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = [x for n in values for x in ((F.col(f"__past_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0))).alias(n), F.col(f"{n}_all"))]
+    return dealt.join(places, same).select(*rows.columns, *out)
+
+
+def chunked(rows: DataFrame, keys: list[str], order: list, most: int = 10, least: int = 5) -> DataFrame:
+    """rows with a chunk number per key: chunks of `most` rows; a tail shorter than `least` takes rows of the chunk before.
+
+    order must tell rows apart; null keys are one key.
+    """
+    i, n = F.col("__i") - 1, F.col("__i_all")
     short = (n > most) & (n % most).between(1, least - 1)
     chunk = F.when(short & (i >= n - least), F.floor(n / most)).otherwise(F.floor(i / most))
-    return dealt.join(places, same).select(*rows.columns, chunk.cast("long").alias("chunk"))
+    return running(rows, keys, order, {"__i": F.lit(1)}).select(*rows.columns, chunk.cast("long").alias("chunk"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import review as R
@@ -308,8 +307,7 @@ def settlement_targets(spark, d):
     """Open bank rows of each batch in the order in which they choose: larger ones first."""
     t = written(match_view(txns(spark, d)), "txns")
     bank, _ = M.open_settlements(t, written(M.exact_members(t), "members"))
-    w = W.partitionBy("batch_id").orderBy(F.desc("target"), "bank")
-    return bank.select("batch_id", "bank", "target").distinct().withColumn("place", F.row_number().over(w))
+    return T.running(bank.select("batch_id", "bank", "target").distinct(), ["batch_id"], [F.desc("target"), "bank"], {"place": F.lit(1)}).drop("place_all")
 
 
 def refund_claims(spark, d):
@@ -352,8 +350,8 @@ def sampled_rows(spark, d):
 
 
 def fixed_chunks(spark, d):
-    w = W.partitionBy("batch_id").orderBy("id")
-    return variances(spark, d).where("status = 'open'").select("batch_id", "id", F.floor((F.row_number().over(w) - 1) / 5).alias("chunk"))
+    v = T.running(variances(spark, d).where("status = 'open'").select("batch_id", "id"), ["batch_id"], ["id"], {"place": F.lit(1)})
+    return v.select("batch_id", "id", F.floor((F.col("place") - 1) / 5).alias("chunk"))
 
 
 def context_lines(spark, d):

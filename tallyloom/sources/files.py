@@ -8,11 +8,11 @@ import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.tiers import running
 from . import split_csv
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -33,12 +33,29 @@ def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
     return parsed_rows(split_csv.read(spark, path, ["value_date", "narration", "debit", "credit"]))
 
 
-def write_bank_csv(t: DataFrame, path: str, opening: int = 10_000_000) -> None:
-    """Bank rows with a running balance per batch, as CSV with Indian grouping."""
-    w = W.partitionBy("batch_id").orderBy("txn_date", "external_ref", "txn_id").rowsBetween(W.unboundedPreceding, 0)
+#: What banks write around a reference, and the balance before the first row.
+NARRATIONS = ["NEFT/RAZORPAY/{ref}/SETTLEMENT", "IMPS/{ref}/RZPY/CR", "UPI/{ref}/PAYMENT/REF", "NEFT-RAZORPAY-{ref}-SETTLEMENT", "TRF FROM RAZORPAY REF {ref} DT {dd}/{mm}", "  MPS/{ref}/RAZORPAY SOFTWARE PVT LTD  ", "RTGS/{ref}/RAZORPAY/COLLECTION", "BY TRANSFER-NEFT*{ref}*RAZORPAY SOFTWARE"]
+OPENING_PAISE = 500_000_000
+
+
+def narration(key: Column, ref: Column, day: Column) -> Column:
+    """One of NARRATIONS, by a digest of key, around ref; rows without a day name today's."""
+    text = F.element_at(F.array(*map(F.lit, NARRATIONS)), (F.pmod(F.xxhash64(key), F.lit(len(NARRATIONS))) + 1).cast("int"))
+    when = F.coalesce(day, F.current_date())
+    for mark, value in (("{dd}", F.date_format(when, "dd")), ("{mm}", F.date_format(when, "MM")), ("{ref}", F.coalesce(ref, F.lit("")))):
+        text = F.replace(text, F.lit(mark), value)
+    return text
+
+
+def write_bank_csv(t: DataFrame, path: str, opening: int = OPENING_PAISE) -> None:
+    """Bank rows as CSV by batch and day, with narrations, Indian grouping and a running balance per batch."""
+    rows = t.select("batch_id", "txn_date", "external_ref", "txn_id", "amount_paise")
+    order = ["txn_date", "external_ref", "txn_id"]
+    out = running(rows, ["batch_id"], order, {"balance": F.col("amount_paise")}).sort("batch_id", *order)
     money = lambda c: F.when(c, S.rupees(F.col("amount_paise"))).otherwise("")
-    out = t.withColumn("balance", F.lit(opening) + F.sum("amount_paise").over(w))
-    out.select(F.date_format("txn_date", "dd/MM/yyyy").alias("value_date"), F.concat(F.lit("NEFT/"), "external_ref", F.lit("/CR")).alias("narration"), money(F.col("amount_paise") < 0).alias("debit"), money(F.col("amount_paise") >= 0).alias("credit"), S.rupees(F.col("balance")).alias("balance")).write.csv(path, header=True)
+    told = narration(F.col("txn_id"), F.col("external_ref"), F.col("txn_date"))
+    columns = [F.date_format("txn_date", "dd/MM/yyyy").alias("value_date"), told.alias("narration"), money(F.col("amount_paise") < 0).alias("debit"), money(F.col("amount_paise") >= 0).alias("credit"), S.rupees(F.lit(opening) + F.col("balance")).alias("balance")]
+    out.select(*columns).write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path, header=True)
 
 
 def sheet_rows(data: bytes):

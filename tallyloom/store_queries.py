@@ -14,6 +14,7 @@ from .operators.store import BatchTable
 from .plans.corpus import CORPUS, match_view, txns
 from .plans.ledger import VARIANCES, variances
 from .report_oracles import _shown
+from .sources import files, workbook
 
 
 def _table(rows, key):
@@ -71,7 +72,22 @@ def grounding_resets(spark, d):
     return table.rows().select("batch_id", "id", "status", "category", "subcategory", "confidence", "explanation", F.get_json_object(F.col("model_raw")["grounding_audit"], "$.rejected_category").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (batch_rewrite, grounding_audit, grounding_resets)}
+def exported_statement(spark, d):
+    """Bank rows with a reference of six or more letters and digits, written as a statement and read back."""
+    t = match_view(txns(spark, d)).where("source_kind = 'bank' and external_ref rlike '^[0-9A-F]*[A-F][0-9A-F]*$' and external_ref rlike '[0-9]' and length(external_ref) >= 6")
+    path = shared_folder(spark, "statement")
+    files.write_bank_csv(t, path)
+    return files.read_bank_csv(spark, path).select("external_ref", "amount_paise", "txn_date", "reason")
+
+
+def exported_books(spark, d):
+    """Ledger rows as a workbook per batch and read back: sheet and line of each."""
+    path = shared_folder(spark, "books")
+    workbook.write_ledger_books(spark, match_view(txns(spark, d)).where("source_kind = 'ledger'"), path)
+    return files.read_ledger_xlsx(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (batch_rewrite, grounding_audit, grounding_resets, exported_statement, exported_books)}
 
 _Q = f"WITH v AS (SELECT batch_id, id, variance_paise, status FROM ({VARIANCES})) "
 _AUDIT = f"""WITH t AS (SELECT *, amount_paise AS n FROM ({CORPUS}) WHERE fee_paise > 0),
@@ -79,6 +95,9 @@ s AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY md5('20260823/
 g AS (SELECT *, n % 11 <> 0 AND n % 5 <> 1 AND n % 7 <> 2 AS passed, n % 11 = 0 AS malformed, n % 3 = 0 AS odd FROM s WHERE place <= 30) """
 
 ORACLES = {
+    "exported_statement": f"SELECT external_ref, amount_paise, txn_date, NULL::VARCHAR AS reason FROM ({CORPUS}) WHERE source_kind = 'bank' AND regexp_full_match(external_ref, '[0-9A-F]*[A-F][0-9A-F]*') AND regexp_matches(external_ref, '[0-9]') AND length(external_ref) >= 6",
+    "exported_books": f"""SELECT CASE WHEN i <= n // 2 THEN 0 ELSE 1 END AS sheet, CAST(4 + CASE WHEN i <= n // 2 THEN i ELSE i - n // 2 END AS INT) AS line, amount_paise, txn_date, external_ref, NULL::VARCHAR AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY txn_date, external_ref, txn_id) AS i, count(*) OVER (PARTITION BY batch_id) AS n FROM ({CORPUS}) WHERE source_kind = 'ledger')""",
     "batch_rewrite": _Q
     + """SELECT batch_id, id, variance_paise, CASE WHEN batch_id LIKE '1995-%' AND id % 3 = 0 THEN 'explained' ELSE status END AS status FROM v
 WHERE NOT (batch_id LIKE '1995-%' AND id % 3 <> 0 AND id % 7 = 0) AND NOT (batch_id = '1996-02' AND id % 2 <> 0) AND batch_id NOT IN ('1996-03', '1996-04')
