@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scalars as S
+
 #: Scenario names that a text must not quote, and the categories that read a scenario rightly.
 VOCABULARY = ["synthetic", "genuine_noise", "fee_tax_split", "value_date_drift", "ref_format_drift", "refund_chargeback", "missing_one_source", "duplicate_one_source", "clean_3way"]
 ACCEPTABLE = {
@@ -147,3 +149,24 @@ def breakdown(gross: Column, fee: Column, tax: Column, amount: Column, label: Co
     fees = F.when(label == "gross", zero).otherwise(F.coalesce(fee, zero))
     taxes = F.when(label.isin("gross", "gross_minus_fee"), zero).otherwise(F.coalesce(tax, zero))
     return F.struct(fees.alias("fee_paise"), taxes.alias("tax_paise"), (gross - amount - fees - taxes).alias("residual_paise"), (gross - amount).alias("variance_paise"))
+
+
+def money(paise: Column) -> Column:
+    """Rupees and paise side by side, with the sign in front; null stays null."""
+    return F.concat(F.when(paise < 0, "-").otherwise(""), F.lit("Rs "), S.rupees(paise), F.lit(" ("), paise.cast("string"), F.lit(" paise)"))
+
+
+def ratio_with_percent(value: Column) -> Column:
+    """0.9748 as 0.9748 (97.48%); null is not recorded."""
+    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(20,10)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.coalesce(F.concat(plain, F.lit(" ("), F.format_string("%.2f", value.cast("double") * 100), F.lit("%)")), F.lit("not recorded"))
+
+
+def figure_key(text: Column) -> Column:
+    """Digits, sign and point alone."""
+    return F.regexp_replace(text, r"[^0-9.-]", "")
+
+
+def quoted(fact: Column, answer: Column) -> Column:
+    """Whether an answer quotes a fact's figure, however both are written."""
+    return F.coalesce((F.length(figure_key(fact)) > 0) & figure_key(answer).contains(figure_key(fact)), F.lit(False))

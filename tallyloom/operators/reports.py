@@ -108,3 +108,30 @@ def trimmed(rows: DataFrame, key: str, order: list, text: str, most: int) -> Dat
     """Whole lines of a context, from its start, as long as they and their line ends fit into `most` characters."""
     kept = running(rows, [key], order, {"chars": F.length(text) + 1})
     return kept.where(F.col("chars") <= most + 1).drop("chars_all")
+
+
+def activity(batches: DataFrame, variances: DataFrame, groups: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row (at, kind, unexplained_paise, grounding_pct) for everything that the daily summary counts.
+
+    batches: created_at, completed_at, status; variances and groups: created_at; scores: run_at, unexplained_paise, grounding_pct.
+    """
+    none = [F.lit(None).cast("long").alias("unexplained_paise"), F.lit(None).cast("double").alias("grounding_pct")]
+    of = lambda df, at, kind: df.select(F.col(at).alias("at"), F.lit(kind).alias("kind"), *none)
+    out = scores.select(F.col("run_at").alias("at"), F.lit("score").alias("kind"), F.col("unexplained_paise").cast("long").alias("unexplained_paise"), F.col("grounding_pct").cast("double").alias("grounding_pct"))
+    for df, at, kind in ((batches, "created_at", "created"), (batches.where("completed_at is not null"), "completed_at", "completed"), (batches.where("status = 'failed'"), "created_at", "failed"), (variances, "created_at", "variance"), (groups, "created_at", "group")):
+        out = out.unionByName(of(df, at, kind))
+    return out
+
+
+def day_summary(rows: DataFrame) -> DataFrame:
+    """Per UTC day, from activity(), as a table or as a stream with a watermark on `at`: the six counts, unexplained money and the mean of the recorded grounding rates."""
+    kinds = {"created": "batches_created", "completed": "batches_completed", "failed": "batches_failed", "group": "groups_created", "variance": "variances_opened", "score": "scores_written"}
+    counts = [F.count_if(F.col("kind") == k).alias(n) for k, n in kinds.items()]
+    days = rows.groupBy(F.window("at", "1 day").alias("w")).agg(*counts, F.coalesce(F.sum("unexplained_paise"), F.lit(0)).alias("unexplained_paise"), F.round(F.avg("grounding_pct"), 2).alias("mean_grounding_pct"))
+    return days.select(F.col("w.start").cast("date").alias("day"), *kinds.values(), "unexplained_paise", "mean_grounding_pct")
+
+
+def stalled(batches: DataFrame, now, minutes: int = 30, final=("complete", "failed")) -> DataFrame:
+    """Batches in no final state (null is none) that were created more than `minutes` ago, whatever happened to them since."""
+    age = F.unix_micros(now) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    return batches.where(~F.coalesce(F.col("status"), F.lit("")).isin(*final) & (age > minutes * 60_000_000))
