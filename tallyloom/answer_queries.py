@@ -12,9 +12,9 @@ from .operators import match as M
 from .operators import reports as P
 from .operators.shared import shared_folder, written
 from .oracles import _BASE, _WALK
-from .plans.corpus import match_view, txns
+from .plans.corpus import MATCH_COLUMNS, guarded, match_view, txns
 from .plans.ledger import AUDIT, VARIANCES, audit, variances
-from .report_oracles import _shown
+from .report_oracles import _POOL, _base, _shown
 
 NOW = "2024-01-20 00:00:00"
 
@@ -96,7 +96,16 @@ def shown_figures(spark, d):
     return variances(spark, d).select("id", R.ratio_with_percent(ratio).alias("ratio"), R.money(F.col("variance_paise")).alias("money"), R.figure_key(R.money(F.col("variance_paise"))).alias("key"))
 
 
-QUERIES = {f"explainer_{n}": _part(n) for n in ("summary", "scenarios", "misses", "quotes")} | {f.__name__: f for f in (question_context, answered_questions, day_summary, stalled_batches, shown_figures)}
+def currency_candidates(spark, d):
+    """The candidates of open bank rows where rows declare a currency or none; two declared ones must agree."""
+    full = txns(spark, d)
+    n = F.pmod(F.col("amount_paise"), F.lit(3))
+    t = written(guarded(full.select(*MATCH_COLUMNS, F.when(n == 0, "INR").when(n == 1, "USD").alias("currency"))), "txns")
+    bank, pool = M.open_settlements(t, written(M.exact_members(t.drop("currency")), "members"))
+    return M.rule_candidates(bank, pool).select("bank", "target", "txn_id", "net", "place")
+
+
+QUERIES = {f"explainer_{n}": _part(n) for n in ("summary", "scenarios", "misses", "quotes")} | {f.__name__: f for f in (question_context, answered_questions, day_summary, stalled_batches, shown_figures, currency_candidates)}
 
 
 def _money(x: str) -> str:
@@ -159,5 +168,11 @@ FROM (SELECT batch_id, count(*) AS total FROM v GROUP BY 1) LEFT JOIN (SELECT ba
 SELECT CAST(spot AS DATE) AS day, count(*) FILTER (kind = 'created') AS batches_created, count(*) FILTER (kind = 'completed') AS batches_completed, count(*) FILTER (kind = 'failed') AS batches_failed, count(*) FILTER (kind = 'view') AS groups_created, count(*) FILTER (kind = 'click') AS variances_opened,
   count(*) FILTER (kind = 'purchase') AS scores_written, coalesce(sum(u), 0)::BIGINT AS unexplained_paise, round(avg(g), 2) AS mean_grounding_pct FROM e GROUP BY 1""",
     "stalled_batches": _D + f"SELECT id, status FROM b WHERE coalesce(status, '') NOT IN ('complete', 'failed') AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at) > 1800000000",
+    "currency_candidates": _base(
+        """SELECT * FROM (SELECT b.txn_id AS bank, b.amount_paise AS target, p.txn_id, p.net_paise AS net, row_number() OVER (PARTITION BY b.txn_id ORDER BY p.net_paise DESC, p.txn_id) AS place
+FROM targets b JOIN pool p ON b.batch_id = p.batch_id AND p.net_paise <= b.amount_paise AND date_diff('day', p.txn_date, b.txn_date) BETWEEN 0 AND 10
+  AND (b.amount_paise % 3 = p.amount_paise % 3 OR b.amount_paise % 3 NOT IN (0, 1) OR p.amount_paise % 3 NOT IN (0, 1))) WHERE place <= 60""",
+        _POOL,
+    ),
     "shown_figures": f"""SELECT id, CASE WHEN id % 9 > 0 THEN (id % 1001 / 1000)::VARCHAR || ' (' || printf('%.2f', id % 1001 / 1000 * 100) || '%)' ELSE 'not recorded' END AS ratio, {_money('variance_paise')} AS money, regexp_replace({_money('variance_paise')}, '[^0-9.-]', '', 'g') AS key FROM ({VARIANCES})""",
 }

@@ -139,17 +139,24 @@ def open_settlements(t: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
 
     members: txn_id and group_id of the earlier tiers. Settlements by id come first: they resolve
     open bank rows whose id a payment of the batch has, and take these payments and their groups.
+    t may have a currency; null and empty ones are not declared.
     """
+    currency = F.nullif(F.col("currency"), F.lit("")) if "currency" in t.columns else F.lit(None).cast("string")
     day = F.datediff("txn_date", F.lit("1970-01-01").cast("date"))
     own = members.select("txn_id", "group_id")
     by_id = settlement_ids(t, members)
     of_bank = t.where("source_kind = 'bank'").select("txn_id").join(own, "txn_id").select("group_id").distinct()
     tied = own.join(of_bank, "group_id", "left_semi").select("txn_id").unionByName(by_id)
     bank = unmatched(guarded(t).where("source_kind = 'bank' and txn_date is not null and amount_paise is not null"), members).join(by_id, "txn_id", "left_anti")
-    bank = bank.select("batch_id", F.col("txn_id").alias("bank"), F.col("amount_paise").alias("target"), F.col("txn_date").alias("b_date"), F.explode(F.array(F.floor(day / 10), F.floor(day / 10) - 1)).alias("bin"))
+    bank = bank.select("batch_id", F.col("txn_id").alias("bank"), F.col("amount_paise").alias("target"), F.col("txn_date").alias("b_date"), currency.alias("b_currency"), F.explode(F.array(F.floor(day / 10), F.floor(day / 10) - 1)).alias("bin"))
     pay = guarded(t).where("source_kind = 'gateway' and fee_paise is not null and txn_date is not null").join(tied, "txn_id", "left_anti")
     net = F.coalesce("net_paise", F.col("amount_paise") - F.col("fee_paise") - F.coalesce("tax_paise", F.lit(0)))
-    return bank, pay.select("batch_id", "txn_id", net.alias("net"), "txn_date", F.floor(day / 10).alias("bin"))
+    return bank, pay.select("batch_id", "txn_id", net.alias("net"), "txn_date", currency.alias("currency"), F.floor(day / 10).alias("bin"))
+
+
+def in_window(bank: DataFrame, pay: DataFrame) -> DataFrame:
+    """Bank rows with the payments of their batch in the 10 days before, no larger than they and not of another declared currency."""
+    return bank.join(pay, ["batch_id", "bin"]).where("txn_date between date_sub(b_date, 10) and b_date and net <= target and coalesce(currency = b_currency, true)")
 
 
 def settlement_ids(t: DataFrame, members: DataFrame) -> DataFrame:
@@ -163,8 +170,8 @@ def settlement_ids(t: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def rule_candidates(bank: DataFrame, pay: DataFrame, gone: DataFrame | None = None, top: int = TOP) -> DataFrame:
-    """For each bank row the payments of its batch in the 10 days before, no larger than it, largest first, less those gone (bank, txn_id)."""
-    pairs = bank.join(pay, ["batch_id", "bin"]).where("txn_date between date_sub(b_date, 10) and b_date and net <= target")
+    """For each bank row the payments in its window, largest first, less those gone (bank, txn_id)."""
+    pairs = in_window(bank, pay)
     pairs = pairs if gone is None else pairs.join(gone, ["bank", "txn_id"], "left_anti")
     w = W.partitionBy("bank").orderBy(F.col("net").desc(), "txn_id")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("batch_id", "bank", "target", "txn_id", "net", "place")

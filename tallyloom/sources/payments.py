@@ -53,6 +53,19 @@ def range_summary(payments: DataFrame, stored: DataFrame, first: str, last: str)
     return rows.join(keys, "id", "left").groupBy(status).agg(F.count("*").alias("fetched"), F.count_if(F.col("old").isNull()).alias("added"))
 
 
+def settlement_rows(spark: SparkSession, url: str, settlement: str, schema: str, page: int = PAGE) -> DataFrame:
+    """A settlement's rows: its own record names the UTC day, of whose combined rows those with its id are kept. schema must have settlement_id."""
+    with urllib.request.urlopen(f"{url}/settlements/{urllib.parse.quote(settlement, safe='')}", timeout=30) as reply:
+        created = json.load(reply).get("created_at")
+    if created is None:
+        raise ValueError(f"settlement {settlement} has no created_at")
+    spark.dataSource.register(PagedSource)
+    day = time.gmtime(created)
+    asked = json.dumps({"year": day.tm_year, "month": day.tm_mon, "day": day.tm_mday})
+    rows = spark.read.format("paged").schema(schema).options(url=f"{url}/settlements/recon/combined", page=str(page), query=asked).load()
+    return of_settlement(rows, settlement)
+
+
 def of_settlement(rows: DataFrame, settlement: str) -> DataFrame:
     """The combined rows of a settlement's day that belong to it."""
     return rows.where(F.col("settlement_id") == settlement)
@@ -64,20 +77,27 @@ class Day(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Asks a URL for pages of at most `page` items, one partition per day, until a page is short."""
+    """Asks a URL for pages of at most `page` items, one partition per day, until a page is short.
+
+    With the option `query` (a JSON object) its parameters are sent instead of days, by one partition.
+    """
 
     def __init__(self, schema, options):
         self.names = [f.name for f in schema.fields]
         self.url, self.page = options["url"], int(options.get("page", PAGE))
-        self.first, self.last = int(options["from"]), int(options["to"])
+        self.fixed = json.loads(options["query"]) if "query" in options else None
+        self.first, self.last = int(options.get("from", 0)), int(options.get("to", -1))
 
     def partitions(self):
+        if self.fixed is not None:
+            return [Day(0, 0)]
         return [Day(a, min(a + 86399, self.last)) for a in range(self.first, self.last + 1, 86400)]
 
     def read(self, day):
         skip = 0
         while True:
-            query = urllib.parse.urlencode({"from": day.start, "to": day.stop, "count": self.page, "skip": skip})
+            asked = {"from": day.start, "to": day.stop} if self.fixed is None else self.fixed
+            query = urllib.parse.urlencode(asked | {"count": self.page, "skip": skip})
             with urllib.request.urlopen(f"{self.url}?{query}", timeout=30) as reply:
                 items = json.load(reply)["items"]
             for item in items:

@@ -1,6 +1,10 @@
 """The explainer's report, contexts and answers to questions, and the daily summary."""
 
 import datetime
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import duckdb
 import pytest
@@ -9,7 +13,9 @@ from pyspark.sql import functions as F
 from tallyloom import answer_queries
 from tallyloom.functions import review as R
 from tallyloom.operators import explained, questions
+from tallyloom.operators import match as M
 from tallyloom.operators import reports as P
+from tallyloom.sources import payments
 
 from .test_reconciliation import DATA, column
 
@@ -105,3 +111,47 @@ def test_day_summary_as_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").withWatermark("at", "1 day")
     P.day_summary(stream).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.table("days").collect()} == want
+
+
+def test_rows_of_a_settlement(spark):
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(url.query).items()}
+            asked.append((url.path, q))
+            if url.path.endswith("/combined"):
+                rows = [{"entity_id": f"p{i}", "amount": i, "settlement_id": "s/1" if i % 3 else "other"} for i in range(25)]
+                skip, n = int(q["skip"]), int(q["count"])
+                reply = {"items": rows[skip : skip + n]}
+            else:
+                reply = {"id": "x", "created_at": 1709683199} if url.path.endswith("s%2F1") else {}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, schema = f"http://127.0.0.1:{server.server_port}", "entity_id string, amount long, settlement_id string"
+    got = payments.settlement_rows(spark, url, "s/1", schema, page=10).collect()
+    with pytest.raises(ValueError, match="created_at"):
+        payments.settlement_rows(spark, url, "unknown", schema)
+    server.shutdown()
+    assert sorted(r.amount for r in got) == [i for i in range(25) if i % 3]
+    pages = [q for path, q in asked if path.endswith("/combined")]
+    assert {(q["year"], q["month"], q["day"]) for q in pages} == {("2024", "3", "5")} and [q["skip"] for q in pages] == ["0", "10", "20"]
+
+
+def test_declared_currencies_must_agree(spark):
+    columns = "txn_id string, batch_id string, source_kind string, external_ref string, amount_paise long, fee_paise long, tax_paise long, net_paise long, txn_date date, counterparty string, settlement_id string, currency string"
+    day = datetime.date(2024, 1, 5)
+    row = lambda i, kind, amount, currency: (i, "b", kind, i, amount, 0, 0, amount, day, "c", None, currency)
+    t = spark.createDataFrame([row("B1", "bank", 100, "INR"), row("B2", "bank", 100, ""), row("p1", "gateway", 10, "INR"), row("p2", "gateway", 10, "USD"), row("p3", "gateway", 10, None), row("p4", "gateway", 10, "")], columns)
+    none = spark.createDataFrame([], "txn_id string, group_id string")
+    found = lambda t: {(r.bank, r.txn_id) for r in M.rule_candidates(*M.open_settlements(t, none)).collect()}
+    every = {(b, p) for b in ("B1", "B2") for p in ("p1", "p2", "p3", "p4")}
+    assert found(t) == every - {("B1", "p2")} and found(t.drop("currency")) == every
