@@ -3,10 +3,11 @@
 The model has one attention head over the last ids, with a bias per distance. Its output is a
 group, a class in the group (the most frequent ids have a class each, the others share classes
 by frequency) and the id's share of its class, which comes from counts over all training
-documents. It learns from every id of all training documents, in rounds: each partition trains
-its copy of the model on its blocks of documents, and the copies are averaged, weighted by the
-windows they learnt from. A round takes a share of the blocks; small tables are gone over
-several times.
+documents. It learns from every id of all training documents, in rounds: each block of documents
+trains a copy of the model, and the copies are averaged, weighted by the windows they learnt
+from. A round takes a share of the blocks; small tables are gone over several times. So scores
+depend on the input's splits, which make the blocks, not (but for rounding) on the number of
+partitions or executors.
 
 Words are counted and encoded once each in a table of distinct words (word_table); base_score
 and ids come back from it by position, and training and scoring read these packed ids. Scoring
@@ -69,7 +70,7 @@ def totals(answers: DataFrame, ends: int) -> tuple[int, int, np.ndarray]:
                 (n, distinct), at, counts = word_table.unpacked(fact)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], at])), pa.array(np.concatenate([[n, distinct], counts]))], ["id", "n"])
 
-    rows = answers.where("block = -1").select("fact").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = answers.where("span = -1").select("fact").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = {r.id: r.n for r in rows.collect()}  # at most one row per id of the vocabulary
     total, distinct = found.pop(-1, 0), found.pop(-2, 0)
     counts = np.zeros(SIZE, np.int64)
@@ -252,7 +253,7 @@ def runs(ids: np.ndarray, ends: np.ndarray, at_once: int = 1 << 18):
 
 
 def one_round(blocks: DataFrame, model: Model, batch: int, rate: float, again: int = 1, piece: int = 4096) -> tuple[Model, int]:
-    """The average of the copies that partitions train on their blocks, and the windows learnt from.
+    """The average of the copies that blocks train, and the windows learnt from.
 
     Copies are cut into pieces that are added up in Spark, so the driver gets one model.
     """
@@ -264,20 +265,21 @@ def one_round(blocks: DataFrame, model: Model, batch: int, rate: float, again: i
     def train(batches):
         from pyspark import TaskContext
 
-        def texts():
-            for b in batches:
-                for data in b.column("data").to_pylist():
-                    docs, ends, ids, *_ = documents_of(data)
-                    use = np.array([in_training(d) for d in docs], bool)
-                    sizes = np.diff(ends)[use]
-                    own = ids[np.repeat(use, np.diff(ends))]
-                    for _, _, part, stops in runs(own, np.concatenate([[0], np.cumsum(sizes)])):
-                        yield part, stops
-
-        own, pieces = copy.deepcopy(sent.value), texts()
-        seen = own.train(list(pieces) * again if again > 1 else pieces, batch, rate)
+        def texts(data):
+            docs, ends, ids, *_ = documents_of(data)
+            use = np.array([in_training(d) for d in docs], bool)
+            own = ids[np.repeat(use, np.diff(ends))]
+            for _, _, part, stops in runs(own, np.concatenate([[0], np.cumsum(np.diff(ends)[use])])):
+                yield part, stops
+
+        flat, seen = 0.0, 0
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                own, pieces = copy.deepcopy(sent.value), texts(data)
+                n = own.train(list(pieces) * again if again > 1 else pieces, batch, rate)
+                if n:
+                    flat, seen = flat + np.concatenate([own.p[k].reshape(-1) for k in names]).astype("<f8") * n, seen + n
         if seen:
-            flat = np.concatenate([own.p[n].reshape(-1) for n in names]).astype("<f8") * seen
             cut = [flat[i : i + piece].tobytes() for i in range(0, len(flat), piece)]
             n = len(cut)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(np.full(n, seen)), pa.array(cut, pa.binary())], ["piece", "part", "seen", "values"])
@@ -326,7 +328,7 @@ def score(docs: DataFrame, path: str, batch: int = 192, steps: int = 750) -> Dat
     ends = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).count()
     total, distinct, counts = totals(answers, ends)
     least = total + 0.1 * (distinct + 1)
-    blocks = common.written(blocks_of(docs, answers.where("block >= 0"), lambda c: np.log10((c + 0.1) / least)), "ids")
+    blocks = common.written(blocks_of(docs, answers.where("span >= 0"), lambda c: np.log10((c + 0.1) / least)), "ids")
     model = docs.sparkSession.sparkContext.broadcast(fit(blocks, counts, batch, steps)[0])
     end_value = math.log10((ends + 0.1) / least)
 

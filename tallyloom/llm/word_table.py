@@ -1,14 +1,16 @@
 """Blocks of documents, a table of distinct words, and facts about words joined back by position.
 
-A block is a run of documents of about `at_once` bytes of one input split. Its distinct words
-are dealt into hash buckets; one compressed row per block and bucket goes to the bucket's task,
-which works out the facts of each distinct word once and answers with one compressed row per
-block. The block's task puts the answers, in bucket order, behind its word numbers. So the
-shuffles carry packed words and facts, not a row per word, and a word in every document costs
-an entry per block only.
-
-Both passes over the documents see the same blocks, as the splits of a scan do not change; a
-block that doesn't fit its answers is an error.
+A block is a run of documents of about 8 MB of one input split. The blocks of a split
+share one table of distinct words, a span, which ends early only where it would outgrow memory
+(`CUT`). A span's words are dealt into hash buckets; one compressed row per
+span and bucket goes to the bucket's task, which works out the facts of each distinct word once
+and answers with one compressed row per span. The span's task puts the answers, in bucket order,
+before the word numbers of its blocks. So the shuffles carry packed words and facts, not a row per
+word, a word in every document costs an entry per span only, and besides a row per block there are
+as many rows as a shuffle of splits to buckets has parts.
+
+Both passes over the documents see the same blocks and spans, as the splits of a scan do not
+change; a span whose words differ from those that were answered, by a digest per bucket, is an error.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-AT_ONCE = 8 << 20
-HEAD = -1  # the bucket of a block's own row
+#: Bytes of text of a block; distinct words, and bytes of them, at which a span ends.
+CUT = (8 << 20, 1 << 21, 64 << 20)
+HEAD = -1  # the place of a span's own row, before those of its buckets and blocks
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
@@ -70,52 +73,90 @@ def buckets_of(docs: DataFrame) -> int:
     return 2 * common.partitions(docs.sparkSession)
 
 
-def each_block(batches, split, buckets: int):
-    """Yields (block number, doc_ids, texts, words in bucket order, each word's bucket, word numbers, offsets)."""
-    import xxhash
+class Span:
+    """The distinct words of some blocks, numbered as they come."""
+
+    def __init__(self, key: int):
+        self.key, self.words, self.size = key, {}, 0
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        own, known = self.words, len(self.words)
+        at = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
+        self.size += sum(len(words[i]) for i in np.flatnonzero(at >= known).tolist())
+        return at
+
+    def full(self, words: int, size: int) -> bool:
+        return len(self.words) >= words or self.size >= size
+
+    def dealt(self, buckets: int):
+        """The numbers of the words in bucket order, and (bucket, first, end, lengths, bytes) of each bucket's run of them."""
+        import xxhash
+
+        words = list(self.words)
+        bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order].astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]]).tolist() if words else [0]
+        runs = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = [words[i] for i in order[a:b].tolist()]
+            runs.append((int(bucket[a]), a, b, np.fromiter(map(len, own), np.int64, b - a), b"".join(own)))
+        return order, runs
 
-    task, number = TaskContext.get().partitionId(), 0
+
+def each_block(batches, split, cut):
+    """Yields (span, doc_ids, word numbers, offsets) of each block, and (span, None, None, None) behind the last of a span."""
+    span, spans, task = None, 0, TaskContext.get().partitionId()
     for batch in batches:
-        for at, to in common.slices(batch.column("text"), AT_ONCE):
-            ids, texts = batch.column("doc_id")[at:to], batch.column("text")[at:to]
-            words, where, offsets = split(texts)
-            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            yield task << 32 | number, ids, texts, pa.array(words, pa.binary()).take(pa.array(order)), bucket[order].astype(np.int64), place[where], offsets
-            number += 1
-
-
-def bucket_rows(docs: DataFrame, split, counted=None) -> DataFrame:
-    """bucket, block, words: the packed distinct words of each block and bucket, and how often documents with counted(doc_id) have them."""
+        for at, to in common.slices(batch.column("text"), cut[0]):
+            words, where, offsets = split(batch.column("text")[at:to])
+            if span is None:
+                span, spans = Span(task << 32 | spans), spans + 1
+            yield span, batch.column("doc_id")[at:to], span.numbered(words)[where], offsets
+            if span.full(*cut[1:]):
+                yield span, None, None, None
+                span = None
+    if span is not None:
+        yield span, None, None, None
+
+
+def digest(data: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(data)
+
+
+def bucket_rows(docs: DataFrame, split, counted=None, cut=CUT) -> DataFrame:
+    """bucket, span, words: the packed distinct words of each span and bucket, and how often documents with counted(doc_id) have them."""
     buckets = buckets_of(docs)
 
     def run(batches):
-        for block, ids, _, words, bucket, at, offsets in each_block(batches, split, buckets):
-            n = np.zeros(len(words), np.int64)
-            if counted is not None:
-                use = np.repeat(np.array([counted(d) for d in ids.to_pylist()], bool), np.diff(offsets))
-                n += np.bincount(at[use], minlength=len(words))
-            ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
-            data = memoryview(words.buffers()[2]) if len(words) else b""
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]]) if len(words) else [0]
-            out = [(int(bucket[a]), block, packed(smallest(np.diff(ends[a : b + 1])), bytes(data[ends[a] : ends[b]]), smallest(n[a:b]))) for a, b in zip(cuts[:-1], cuts[1:])]
+        n = np.zeros(0, np.int64)
+        for span, ids, at, offsets in each_block(batches, split, cut):
+            if ids is not None:
+                use = np.repeat(np.array([counted is not None and counted(d) for d in ids.to_pylist()], bool), np.diff(offsets))
+                now = np.bincount(at[use], minlength=len(span.words))
+                now[: len(n)] += n
+                n = now
+                continue
+            order, runs = span.dealt(buckets)
+            out = [(bucket, span.key, packed(smallest(lengths), data, smallest(n[order[a:b]]))) for bucket, a, b, lengths, data in runs]
+            n = np.zeros(0, np.int64)
             if out:
-                columns = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "block", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "span", "words"])
 
-    return common.texts(docs).mapInArrow(run, "bucket int, block long, words binary")
+    return common.texts(docs).mapInArrow(run, "bucket int, span long, words binary")
 
 
 def answered(rows: DataFrame, facts, total=None) -> DataFrame:
-    """block, bucket, fact: facts(distinct words, their counts) of each bucket dealt back to its blocks.
+    """span, place, fact: facts(distinct words, their counts) of each bucket (the place) dealt back to its spans.
 
-    facts gives (arrays with one value per word, flat values, run lengths); a block gets these of
-    its words. total(arrays, flat, lengths, counts) may give the bytes of one more row (block -1) per bucket.
+    facts gives (arrays with one value per word, flat values, run lengths); a span gets these of
+    its words, behind their digest. total(arrays, flat, lengths, counts) may give the bytes of one
+    more row (span -1) per bucket.
     """
 
-    def close(bucket, blocks, parts):
+    def close(bucket, spans, parts):
         lengths, texts, counts = (list(x) for x in zip(*(unpacked(p) for p in parts)))
         sizes = np.array([len(x) for x in lengths])
         ends = np.concatenate([[0], np.cumsum(np.concatenate([x.astype(np.int64) for x in lengths]))])
@@ -127,67 +168,79 @@ def answered(rows: DataFrame, facts, total=None) -> DataFrame:
         values, flat, runs = facts(own, n)
         starts = np.cumsum(runs) - runs
         out, at = [], 0
-        for block, size in zip(blocks, sizes.tolist()):
+        for span, size, text in zip(spans, sizes.tolist(), texts):
             c = code[at : at + size]
-            out.append((block, bucket, packed(*(smallest(v[c]) for v in values), smallest(runs[c]), smallest(gathered(flat, starts[c], runs[c])))))
+            out.append((span, bucket, packed(np.array([digest(text)], "<u8"), *(smallest(v[c]) for v in values), smallest(runs[c]), smallest(gathered(flat, starts[c], runs[c])))))
             at += size
         if total is not None:
             out.append((-1, bucket, total(values, flat, runs, n)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "fact"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["span", "place", "fact"])
 
     def run(batches):
-        now, blocks, parts = None, [], []
+        now, spans, parts = None, [], []
         for batch in batches:
-            for bucket, block, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words"))):
+            for bucket, span, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "span", "words"))):
                 if bucket != now and parts:
-                    yield close(now, blocks, parts)
-                    blocks, parts = [], []
+                    yield close(now, spans, parts)
+                    spans, parts = [], []
                 now = bucket
-                blocks.append(block)
+                spans.append(span)
                 parts.append(words)
         if parts:
-            yield close(now, blocks, parts)
+            yield close(now, spans, parts)
 
-    dealt = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, "block long, bucket int, fact binary")
+    dealt = rows.repartition(common.partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "span")
+    return dealt.mapInArrow(run, "span long, place int, fact binary")
 
 
-def joined_back(docs: DataFrame, split, answers: DataFrame, finish, schema: str) -> DataFrame:
+def joined_back(docs: DataFrame, split, answers: DataFrame, finish, schema: str, cut=CUT) -> DataFrame:
     """The batch of rows that finish(block, doc_ids, facts, word numbers, offsets) gives for each block.
 
-    facts: the arrays that `answered` packed, of all the block's words in order. answers: block, bucket, fact.
+    facts: the arrays that `answered` packed, of all the span's words, which the word numbers point
+    into; none if the span has no words. answers: span, place, fact.
     """
-    buckets = buckets_of(docs)
+    buckets, schema_in = buckets_of(docs), "span long, place int, fact binary"
 
     def code(batches):
-        for block, ids, _, words, _, at, offsets in each_block(batches, split, buckets):
-            valid = np.array([d is not None for d in ids.to_pylist()], np.uint8)
-            numbers = np.array([d or 0 for d in ids.to_pylist()], "<i8")
-            head = packed(np.array([len(words)], "<i8"), offsets.astype("<i8"), smallest(at), numbers, valid)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([HEAD], pa.int32()), pa.array([head], pa.binary())], ["block", "bucket", "fact"])
-
-    def close(block, head, parts):
-        (n_words,), offsets, at, numbers, valid = unpacked(head)
-        own = [unpacked(p) for p in parts]
-        facts = [np.concatenate(x) for x in zip(*own)]
-        if n_words != (len(facts[-2]) if facts else 0):
-            raise ValueError("a block changed between two reads of the input")
-        ids = [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())]
-        return finish(block, ids, facts, at.astype(np.int64), offsets)
+        made = 0
+        for span, ids, at, offsets in each_block(batches, split, cut):
+            if ids is not None:
+                place, made = buckets + made, made + 1
+                valid = np.array([d is not None for d in ids.to_pylist()], np.uint8)
+                numbers = np.array([d or 0 for d in ids.to_pylist()], "<i8")
+                fact = packed(offsets.astype("<i8"), smallest(at), numbers, valid)
+            else:
+                order, runs = span.dealt(buckets)
+                place = HEAD
+                fact = packed(smallest(order), np.array([r[0] for r in runs], "<i8"), np.array([digest(r[-1]) for r in runs], "<u8"))
+            yield pa.RecordBatch.from_arrays([pa.array([span.key]), pa.array([place], pa.int32()), pa.array([fact], pa.binary())], ["span", "place", "fact"])
+
+    def opened(head, parts):
+        """Where the facts of each word number are, and the facts; parts: bucket, fact."""
+        order, own, digests = unpacked(head)
+        answers = [unpacked(p) for _, p in parts]
+        if [b for b, _ in parts] != own.tolist() or [int(a[0][0]) for a in answers] != digests.tolist():
+            raise ValueError("a span changed between two reads of the input")
+        at = np.empty(len(order), np.int64)
+        at[order.astype(np.int64)] = np.arange(len(order))
+        return at, [np.concatenate(x) for x in zip(*(a[1:] for a in answers))]
 
     def gather(batches):
-        now, head, parts = None, None, []
+        head, parts, known = None, [], None
         for batch in batches:
-            for block, bucket, fact in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "fact"))):
-                if bucket == HEAD:
-                    if head is not None:
-                        yield close(now, head, parts)
-                    now, head, parts = block, fact, []
+            for span, place, fact in zip(*(batch.column(c).to_pylist() for c in ("span", "place", "fact"))):
+                if place == HEAD:
+                    head, parts, known = fact, [], None
+                elif place < buckets:
+                    parts.append((place, fact))
                 else:
-                    parts.append(fact)
-        if head is not None:
-            yield close(now, head, parts)
+                    known = known or opened(head, parts)
+                    offsets, at, numbers, valid = unpacked(fact)
+                    ids = [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())]
+                    yield finish(span >> 32 << 32 | place - buckets, ids, known[1], known[0][at.astype(np.int64)], offsets)
 
-    rows = common.texts(docs).mapInArrow(code, "block long, bucket int, fact binary").unionByName(answers.select("block", "bucket", "fact"))
+    rows = common.texts(docs).mapInArrow(code, schema_in).unionByName(answers.select("span", "place", "fact"))
     n = common.partitions(docs.sparkSession)
-    return rows.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(gather, schema)
+    # splits are numbered from 0, so each task gets as many as any other
+    even = F.pmod(F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF), F.lit(n)).cast("int")
+    return rows.repartitionById(n, even).sortWithinPartitions("span", "place").mapInArrow(gather, schema)

@@ -45,7 +45,7 @@ def test_empty(spark):
 def packed_blocks(df):
     words = word_table.bucket_rows(df, common.word_codes, lm.in_training)
     answers = word_table.answered(words, lm.counted_ids(tokens.vocabulary_path()), lm.summed).cache()
-    return answers, lm.blocks_of(df, answers.where("block >= 0"), lambda c: 0.0 * c)
+    return answers, lm.blocks_of(df, answers.where("span >= 0"), lambda c: 0.0 * c)
 
 
 def test_learns_from_every_window(spark):
@@ -109,3 +109,46 @@ def test_words_with_marks_are_counted(spark):
     want[lm.END] += 4
     total, distinct, counts = lm.totals(answers, 4)
     assert (total, distinct) == (7 + 4, 3 + 1) and (counts == want).all()
+
+
+def plain_score(model, ids):
+    """Natural-log probability of a text, one position after the other, with loops."""
+    p, s, total = model.p, model.stride, 0.0
+    for t in range(len(ids)):
+        first = t // s * s - s  # the window's first position; it holds the ids before each position
+        rows = [model.row[ids[i - 1]] if i >= 1 else 0 for i in range(first, t + 1)]
+        x = [p["e"][r].astype(float) for r in rows]
+        q = x[-1] @ p["q"] / math.sqrt(model.width)
+        weights = [math.exp(min(60, q @ (y @ p["k"]) + p["r"][len(x) - 1 - i])) for i, y in enumerate(x)]
+        h = np.concatenate([x[-1], sum(w * (y @ p["v"]) for w, y in zip(weights, x)) / sum(weights)])
+        group, member = divmod(int(model.of[ids[t]]), model.members)
+        for z, goal in ((h @ p["g"] + p["gb"], group), (h @ p["o"][group] + p["ob"][group], member)):
+            total += z[goal] - math.log(np.exp(z).sum())
+        total += model.share[ids[t]]
+    return total
+
+
+def test_score_is_that_of_a_plain_pass(spark):
+    texts = ["the cat sat on the mat and looked at the dog " * k for k in range(1, 6)] + ["", None, "dog"]
+    docs = documents(spark, texts).cache()
+    answers, blocks = packed_blocks(docs)
+    ends = sum(map(lm.in_training, range(len(texts))))
+    counts = lm.totals(answers, ends)[2]
+    model = lm.fit(blocks.cache(), counts, 8, 12)[0]
+    got = {r.doc_id: r.score for r in lm.score(docs, tokens.vocabulary_path(), 8, 12).collect()}
+    for i, text in enumerate(texts):
+        want = plain_score(model, [*ids_of((text or "").lower()), lm.END]) / math.log(10)
+        assert math.isclose(got[i], want, rel_tol=1e-3, abs_tol=1e-3), i
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = documents(spark, [f"a text with number {i} and the words of it " * (i % 4) for i in range(80)]).repartition(6, "doc_id").cache()
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r.doc_id: r.score for r in lm.score(docs, tokens.vocabulary_path(), 8, 20).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for other in found[1:]:
+        assert max(abs(other[i] - x) for i, x in found[0].items()) < 1e-3
