@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import display as D
 from .functions import scalars as S
-from .operators import detail
+from .operators import cascade, detail
 from .operators import match as M
+from .operators import tiers as T
 from .operators.shared import written
 from .oracles import _BASE, _SHOWN, _WALK
 from .plans import scenarios
@@ -89,7 +90,14 @@ def generated_corpus(spark, d):
     return scenarios.verified(scenarios.generated(e), e)
 
 
-QUERIES = {f.__name__: f for f in (record_details, ugliest_rows, batch_orders, batch_funnel, shown_times, shown_counts, generated_corpus)}
+def made_scores(spark, d):
+    """All tiers over the made records, scored against their answer key by tier."""
+    full = written(scenarios.generated(_events(spark, d)), "made")
+    t = written(match_view(full.withColumn("counterparty", F.lit(None).cast("string"))), "txns")
+    return T.scores_by_tier(cascade.run(t), full.select("txn_id", "truth_group"))
+
+
+QUERIES = {f.__name__: f for f in (record_details, ugliest_rows, batch_orders, batch_funnel, shown_times, shown_counts, generated_corpus, made_scores)}
 
 _A, _V = f"WITH a AS ({AUDIT}) ", f"WITH v AS ({VARIANCES}) "
 _TOP = "SELECT '{by}' AS ordered_by, {up} AS upwards, row_number() OVER (ORDER BY {key} {way}, batch_id)::INT AS place, batch_id FROM b QUALIFY place <= 10"
@@ -116,7 +124,7 @@ FROM (SELECT batch_id, count(*) AS n FROM t GROUP BY 1) w LEFT JOIN k USING (bat
 y AS (SELECT *, CASE WHEN n < 45 THEN n || 's' WHEN n < 3600 THEN floor(n / 60 + 0.5)::BIGINT || 'm' WHEN n < 86400 THEN floor(n / 3600 + 0.5)::BIGINT || 'h' ELSE floor(n / 86400 + 0.5)::BIGINT || 'd' END AS body FROM x)
 SELECT id, CASE WHEN ahead THEN 'in ' || body ELSE body || ' ago' END AS apart, CASE WHEN spent IS NULL THEN '{D.DASH}' WHEN spent < 60 THEN (floor(spent * 10 + 0.5)::BIGINT // 10) || '.' || (floor(spent * 10 + 0.5)::BIGINT % 10) || 's' ELSE floor(spent / 60)::BIGINT || 'm ' || floor(spent % 60 + 0.5)::BIGINT || 's' END AS spent,
   CASE WHEN length(step) < 6 THEN rpad(step, 6, ' ') ELSE left(step, 8) END AS step FROM y""",
-    "shown_counts": _V + f"""SELECT batch_id, CASE WHEN net < 0 THEN '-' ELSE '' END || {_COUNT} AS net, CASE WHEN n % 5 > 0 THEN printf('%.3f%%', o / 1024 * 100) ELSE '{D.DASH}' END AS ratio, CASE WHEN n % 5 > 0 THEN printf('%.4f%%', o / 1024) ELSE '{D.DASH}' END AS percent
+    "shown_counts": _V + f"""SELECT batch_id, CASE WHEN net < 0 THEN '-' ELSE '' END || {_COUNT} AS net, CASE WHEN n % 5 > 0 THEN (o * 200000 + 1024) // 2048 // 1000 || '.' || lpad(((o * 200000 + 1024) // 2048 % 1000)::VARCHAR, 3, '0') || '%' ELSE '{D.DASH}' END AS ratio, CASE WHEN n % 5 > 0 THEN (o * 20000 + 1024) // 2048 // 10000 || '.' || lpad(((o * 20000 + 1024) // 2048 % 10000)::VARCHAR, 4, '0') || '%' ELSE '{D.DASH}' END AS percent
 FROM (SELECT *, abs(net)::VARCHAR AS w FROM (SELECT batch_id, count(*) AS n, count(*) FILTER (status = 'open') AS o, sum(variance_paise)::BIGINT AS net FROM v GROUP BY 1))""",
     "generated_corpus": f"""WITH p AS (SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY md5('20260826/' || k), k) - 1 AS pos, count(*) OVER (PARTITION BY batch_id) AS n FROM (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m') AS batch_id FROM orders)),
 c AS (SELECT batch_id, scenario, size, sum(size) OVER (PARTITION BY batch_id ORDER BY place) - size AS first FROM (SELECT batch_id, place, scenario, floor(n * share + 0.5)::BIGINT AS size FROM (SELECT DISTINCT batch_id, n FROM p), (VALUES {_SHARES}) w(place, scenario, share))),

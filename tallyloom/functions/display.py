@@ -46,7 +46,7 @@ def time_spent(seconds: Column) -> Column:
 
 
 def percent_text(value: Column, digits: int = 2) -> Column:
-    """What is a percentage already."""
+    """What is a percentage already; halves go up."""
     return _or_dash(F.when(value.isNotNull(), F.concat(F.format_string(f"%.{digits}f", value.cast("double")), F.lit("%"))))
 
 
