@@ -16,6 +16,7 @@ from .plans import scenarios
 from .plans.corpus import CORPUS, match_view, txns
 from .plans.ledger import AUDIT, VARIANCES, audit, variances
 from .queries import AS_OF
+from .streaming.activity import activity
 
 NOW = "2024-01-15 12:00:00"
 
@@ -97,12 +98,20 @@ def made_scores(spark, d):
     return T.scores_by_tier(cascade.run(t), full.select("txn_id", "truth_group"))
 
 
-QUERIES = {f.__name__: f for f in (record_details, ugliest_rows, batch_orders, batch_funnel, shown_times, shown_counts, generated_corpus, made_scores)}
+def tick_activity(spark, d):
+    """Payments and refunds that each event of the log, taken as a tick, sets off, and the seconds to the next tick."""
+    made = activity(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("tick"), "ts"))
+    wait = F.floor((F.unix_micros("next_ts") - F.unix_micros(F.col("ts").cast("timestamp"))) / 1_000_000)
+    return made.select("tick", "kind", "place", "amount_paise", wait.alias("wait_seconds"))
+
+
+QUERIES = {f.__name__: f for f in (record_details, ugliest_rows, batch_orders, batch_funnel, shown_times, shown_counts, generated_corpus, made_scores, tick_activity)}
 
 _A, _V = f"WITH a AS ({AUDIT}) ", f"WITH v AS ({VARIANCES}) "
 _TOP = "SELECT '{by}' AS ordered_by, {up} AS upwards, row_number() OVER (ORDER BY {key} {way}, batch_id)::INT AS place, batch_id FROM b QUALIFY place <= 10"
 _KEYS = {"created": "batch_id", "unexplained": "coalesce(u, 0)", "open": "o", "records": "n"}
 _COUNT = "CASE WHEN length(w) <= 3 THEN w ELSE ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right(w, 3) END"
+_CHANCE = lambda name, more="": f"(('0x' || left(md5('1/{name}/' || tick{more}), 8))::BIGINT / 4294967296.0::DOUBLE)"
 _SHARES = ", ".join(f"({i}, '{k}', {w}::DOUBLE)" for i, (k, w) in enumerate(scenarios.WEIGHTS.items()) if i)
 
 ORACLES = {
@@ -126,6 +135,12 @@ SELECT id, CASE WHEN ahead THEN 'in ' || body ELSE body || ' ago' END AS apart,
   CASE WHEN length(step) < 6 THEN rpad(step, 6, ' ') ELSE left(step, 8) END AS step FROM y""",
     "shown_counts": _V + f"""SELECT batch_id, CASE WHEN net < 0 THEN '-' ELSE '' END || {_COUNT} AS net, CASE WHEN n % 5 > 0 THEN (o * 200000 + 1024) // 2048 // 1000 || '.' || lpad(((o * 200000 + 1024) // 2048 % 1000)::VARCHAR, 3, '0') || '%' ELSE '{D.DASH}' END AS ratio, CASE WHEN n % 5 > 0 THEN (o * 20000 + 1024) // 2048 // 10000 || '.' || lpad(((o * 20000 + 1024) // 2048 % 10000)::VARCHAR, 4, '0') || '%' ELSE '{D.DASH}' END AS percent
 FROM (SELECT *, abs(net)::VARCHAR AS w FROM (SELECT batch_id, count(*) AS n, count(*) FILTER (status = 'open') AS o, sum(variance_paise)::BIGINT AS net FROM v GROUP BY 1))""",
+    "tick_activity": f"""WITH k AS (SELECT event_id AS tick FROM events),
+u AS (SELECT tick, {_CHANCE("quiet")} < 0.35 AS quiet, 1 + floor({_CHANCE("payments")} * 4)::BIGINT AS n, {_CHANCE("refund")} < 0.2 AS refund, {_CHANCE("partial")} < 0.5 AS part, {_CHANCE("target")} AS target, 1200 + floor({_CHANCE("wait")} * 4201)::BIGINT AS wait FROM k),
+p AS (SELECT *, 30000 + 100 * floor({_CHANCE("amount", " || '/' || i")} * 4701)::BIGINT AS paise FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE NOT quiet))
+SELECT tick, 'quiet' AS kind, 0::INT AS place, NULL::BIGINT AS amount_paise, wait AS wait_seconds FROM u WHERE quiet
+UNION ALL SELECT tick, 'payment', i::INT, paise, wait FROM p
+UNION ALL SELECT tick, 'refund', i::INT, -CASE WHEN part THEN paise // 3 ELSE paise END, wait FROM p WHERE refund AND i = 1 + floor(target * n)""",
     "generated_corpus": f"""WITH p AS (SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY md5('20260826/' || k), k) - 1 AS pos, count(*) OVER (PARTITION BY batch_id) AS n FROM (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m') AS batch_id FROM orders)),
 c AS (SELECT batch_id, scenario, size, sum(size) OVER (PARTITION BY batch_id ORDER BY place) - size AS first FROM (SELECT batch_id, place, scenario, floor(n * share + 0.5)::BIGINT AS size FROM (SELECT DISTINCT batch_id, n FROM p), (VALUES {_SHARES}) w(place, scenario, share))),
 s AS (SELECT p.batch_id, coalesce(scenario, 'clean_3way') AS scenario, pos - first AS i, size FROM p LEFT JOIN c ON p.batch_id = c.batch_id AND pos >= first AND pos < first + size),

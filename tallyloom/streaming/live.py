@@ -17,14 +17,14 @@ def daily(events: DataFrame) -> DataFrame:
     return events.groupBy(day.alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("paise")).select(F.col("w.start").cast("date").alias("day"), "n", "purchases", "errors", "paise")
 
 
-def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> StreamingQuery:
-    """Takes all files that the cursor hasn't passed, then stops. Each micro-batch is one partition of the sink."""
+def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Takes all files that the cursor hasn't passed, then stops, or looks again after each `every` (such as 15 minutes), one look at a time. Each micro-batch is one partition of the sink."""
 
     def write(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
 
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def daily_stream(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -13,6 +13,7 @@ from tallyloom.operators import cascade, detail
 from tallyloom.operators import match as M
 from tallyloom.plans import scenarios as C
 from tallyloom.plans.corpus import match_view
+from tallyloom.streaming.activity import Pace, activity
 
 from .test_reconciliation import DATA
 
@@ -136,3 +137,26 @@ def test_tiers_find_what_was_made(spark):
     share = lambda name: sum(g in found for g in whole[name]) / len(whole[name])
     assert share("clean_3way") > 0.9 and share("fee_tax_split") > 0.8 and share("value_date_drift") > 0.8
     assert not any(set(g) & {x for x, k in key.items() if k[0] == "genuine_noise"} for g in found if len(g) > 3)
+
+
+def test_activity_as_a_stream(spark, tmp_path):
+    """The same rows as from a table, in parts; shares, bounds and waits as the pace says."""
+    ticks = spark.range(4000).select(F.col("id").alias("tick"), F.lit(datetime.datetime(2024, 1, 1)).alias("ts"))
+    ticks.where("tick < 2500").write.parquet(f"{tmp_path}/in/a")
+    ticks.where("tick >= 2500").write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    activity(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cursor").trigger(availableNow=True).start().awaitTermination()
+    rows = activity(ticks)
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").select(*rows.columns).collect(), key=repr) == sorted(rows.collect(), key=repr)
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.tick, []).append(r)
+        assert 1200 <= (r.next_ts - r.ts).total_seconds() <= 5400
+    busy = [g for g in by.values() if g[0].kind != "quiet"]
+    assert len(by) == 4000 and abs(1 - len(busy) / 4000 - 0.35) < 0.03
+    assert abs(sum(g[-1].kind == "refund" for g in busy) / len(busy) - 0.2) < 0.03
+    for g in busy:
+        pay = {r.place: r.amount_paise for r in g if r.kind == "payment"}
+        assert 1 <= len(pay) <= 4 and all(30_000 <= x <= 500_000 and x % 100 == 0 for x in pay.values())
+        assert all(-r.amount_paise in (pay[r.place], pay[r.place] // 3) for r in g if r.kind == "refund")
+    assert activity(ticks.limit(0)).count() == 0 and activity(ticks, Pace(seed=2)).exceptAll(rows).count() > 0

@@ -101,3 +101,17 @@ def test_paged_stream_takes_each_item_once(spark, tmp_path):
         assert run(1_700_000_000 + 3600 * 50) == sorted(x["id"] for x in items if x["created_at"] <= 1_700_000_000 + 3600 * 50)
     finally:
         server.shutdown()
+
+
+def test_looks_again_after_a_while(spark, tmp_path):
+    rows = spark.range(10)
+    rows.write.parquet(f"{tmp_path}/in")
+    query = live.ingest(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/cursor", "1 second")
+    try:
+        query.processAllAvailable()
+        spark.range(10, 25).write.mode("append").parquet(f"{tmp_path}/in")
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(25))
