@@ -101,121 +101,174 @@ class Model:
         group_n = class_n.reshape(groups, members).sum(1)
         self.p = {"e": draw(embedded + 1 + tails, width), "q": draw(width, width), "k": draw(width, width), "v": draw(width, width), "r": draw(2 * stride), "g": draw(2 * width, groups), "gb": np.log(group_n / group_n.sum()).astype(np.float32), "o": draw(groups, 2 * width, members), "ob": np.log(class_n.reshape(groups, members) / group_n[:, None]).astype(np.float32)}
 
-    def windows(self, ids: np.ndarray, ends: np.ndarray):
-        """Inputs (windows x 2 stride embedding rows), positions scored of the whole, for texts end to end."""
-        s = self.stride
-        sizes = np.diff(ends)
-        count = -(-sizes // s)
-        first = np.cumsum(count) - count
-        number = np.arange(count.sum()) - np.repeat(first, count)
-        base = np.repeat(ends[:-1], count)
-        at = base[:, None] + number[:, None] * s + np.arange(-s, s) - 0
-        prev = at - 1
-        inputs = np.where(prev >= base[:, None], self.row[ids[np.maximum(prev, 0).clip(max=max(len(ids) - 1, 0))]], 0)
-        target = at[:, s:]
-        valid = target < np.repeat(ends[1:], count)[:, None]
-        return inputs, np.minimum(target, len(ids) - 1), valid
+    def laid(self, ids: np.ndarray, ends: np.ndarray):
+        """Texts end to end, cut into rows of stride ids behind a row of padding each: inputs (embedding rows), classes to predict, which of these are ids."""
+        s, sizes = self.stride, np.diff(ends)
+        rows = -(-sizes // s) + 1
+        first = np.cumsum(rows) - rows
+        at = np.arange(len(ids)) + np.repeat((first + 1) * s - ends[:-1], sizes)
+        inputs, goal, valid = np.zeros(rows.sum() * s + 1, np.int64), np.zeros(rows.sum() * s, np.int64), np.zeros(rows.sum() * s, bool)
+        inputs[at + 1] = self.row[ids]
+        goal[at], valid[at] = self.of[ids], True
+        inputs = inputs[:-1].reshape(-1, s)
+        inputs[first] = 0
+        return inputs, goal.reshape(-1, s), valid.reshape(-1, s)
+
+    def seen_as(self):
+        """Of every embedding row what attention takes from it: query, key, value, and a one that sums the weights in the same product as the values."""
+        p, e = self.p, self.p["e"]
+        return np.concatenate([e @ (p["q"] * e.dtype.type(1 / math.sqrt(self.width))), e @ p["k"], e @ p["v"], np.ones((len(e), 1), e.dtype)], 1)
 
     def forward(self, inputs: np.ndarray):
-        """Rows of embedding and attention output (windows * stride x 2 width), and what the backward pass needs."""
+        """Embedding and attention output (as many rows as ids behind the first stride of each run; 2 x width), and what the backward pass needs.
+
+        inputs: runs of ids; each stride of them sees itself and the stride before it.
+        """
+        rows, kept = self.attended(inputs, self.seen_as())
+        return rows[:, :-1], kept
+
+    def attended(self, inputs: np.ndarray, table: np.ndarray):
+        """As `forward`, with a one behind each row for the biases. table: `seen_as` of the parameters."""
         p, s, w = self.p, self.stride, self.width
-        x = p["e"][inputs]
-        q, k, v = x[:, s:] @ (p["q"] * np.float32(1 / math.sqrt(w))), x @ p["k"], x @ p["v"]
+        n, size = inputs.shape
+        made = table.take(inputs, 0)
+        q = made.reshape(n, size // s, s, -1)[:, 1:, :, :w]
+        k, v = self.seen(made[:, :, w : 2 * w]), self.seen(made[:, :, 2 * w :])
         gap = np.arange(s, 2 * s)[:, None] - np.arange(2 * s)
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(gap >= 0, p["r"][np.abs(gap)], np.float32(-1e9))
-        np.minimum(a, 60, out=a)
+        a = q @ k.swapaxes(2, 3)
+        np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        total = a.sum(2, keepdims=True)
-        h = np.concatenate([x[:, s:], (a @ v) / total], 2)
-        return h.reshape(-1, 2 * w), (x, q, k, v, a, total, gap)
-
-    @staticmethod
-    def softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits
-
-    def by_group(self, goal: np.ndarray):
-        """(group, its rows) of classes to predict."""
-        group = goal // self.members
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
-        return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        a *= np.where(gap >= 0, np.exp(p["r"])[np.abs(gap)], p["r"].dtype.type(0))
+        out = a @ v
+        scale = 1 / out[..., w:]
+        h = np.empty((n, size // s - 1, s, 2 * w + 1), made.dtype)
+        h[..., :w] = p["e"].take(inputs[:, s:], 0).reshape(n, -1, s, w)
+        np.multiply(out[..., :w], scale, out=h[..., w:-1])
+        h[..., -1] = 1
+        return h.reshape(-1, 2 * w + 1), (q, k, v, a, scale, gap)
+
+    def joined(self):
+        """Weights of groups, and of their members, for the rows of `attended`."""
+        p = self.p
+        return np.concatenate([p["g"], p["gb"][None]]), np.concatenate([p["o"], p["ob"][:, None]], 1)
+
+    def seen(self, values: np.ndarray) -> np.ndarray:
+        """A view of runs x ids x width as runs x strides x the 2 stride ids that each sees."""
+        s, (n, size, width) = self.stride, values.shape
+        run, row, one = values.strides
+        return np.lib.stride_tricks.as_strided(values, (n, size // s - 1, 2 * s, width), (run, s * row, row, one))
+
+    def seen_summed(self, parts: np.ndarray) -> np.ndarray:
+        """The reverse of `seen`: what each stride adds to the ids that it sees, per id."""
+        s, (n, rows, _, w) = self.stride, parts.shape
+        out = np.empty((n, rows + 1, s, w), parts.dtype)
+        out[:, :-1] = parts[:, :, :s]
+        out[:, -1] = 0
+        out[:, 1:] += parts[:, :, s:]
+        return out.reshape(-1, w)
+
+    def by_group(self, goal: np.ndarray, valid: np.ndarray):
+        """The valid positions in the order of their classes' groups, and (group, first, end) of each group's run of them."""
+        key = np.where(valid, goal // self.members, self.groups).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=self.groups)[: self.groups])]).tolist()
+        return order[: cuts[-1]], [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+    def odds(self, h: np.ndarray, spans, of_groups: np.ndarray, of_members: np.ndarray):
+        """Exponentials of groups, and of the members of each row's own group, and the sums of both; logits count as 60 at most, -60 at least."""
+        group, member = h @ of_groups, np.empty((len(h), self.members), h.dtype)
+        for g, a, b in spans:
+            np.matmul(h[a:b], of_members[g], out=member[a:b])
+        for z in (group, member):
+            np.clip(z, -60, 60, out=z)
+            np.exp(z, out=z)
+        return [(z, z @ np.ones(z.shape[1], z.dtype)) for z in (group, member)]
 
     def log_probabilities(self, ids: np.ndarray, ends: np.ndarray, at_once: int = 256) -> np.ndarray:
         """Natural-log probability of every id of some texts."""
-        p, out = self.p, np.zeros(len(ids))
-        inputs, target, valid = self.windows(ids, ends)
-        for i in range(0, len(inputs), at_once):
-            good = valid[i : i + at_once].reshape(-1)
-            h = self.forward(inputs[i : i + at_once])[0][good]
-            where = target[i : i + at_once].reshape(-1)[good]
-            goal = self.of[ids[where]]
-            value = np.log(self.softmax(h @ p["g"] + p["gb"])[np.arange(len(goal)), goal // self.members])
-            for g, rows in self.by_group(goal):
-                value[rows] += np.log(self.softmax(h[rows] @ p["o"][g] + p["ob"][g])[np.arange(len(rows)), goal[rows] % self.members])
-            out[where] = value + self.share[ids[where]]
-        return out
+        inputs, goal, valid = self.laid(ids, ends)
+        value, table, weights = np.zeros(valid.shape), self.seen_as(), self.joined()
+        inputs = np.concatenate([np.zeros((1, self.stride), np.int64), inputs])
+        for i in range(0, len(goal), at_once):
+            own = goal[i : i + at_once].reshape(-1)
+            order, spans = self.by_group(own, valid[i : i + at_once].reshape(-1))
+            h = self.attended(inputs[i : i + at_once + 1].reshape(1, -1), table)[0].take(order, 0)
+            own, here = own[order], np.arange(len(order))
+            (group, groups), (member, members) = self.odds(h, spans, *weights)
+            value[i : i + at_once].reshape(-1)[order] = np.log(group[here, own // self.members] / groups) + np.log(member[here, own % self.members] / members)
+        return value[valid] + self.share[ids]
 
     def gradients(self, inputs: np.ndarray, goal: np.ndarray, valid: np.ndarray) -> dict:
-        """Of the mean loss over the valid positions of some windows. goal: classes."""
+        """Of the mean loss over the valid positions of some runs. goal: classes of the ids behind each run's first stride."""
         p, s, w = self.p, self.stride, self.width
-        all_h, (x, q, k, v, a, total, gap) = self.forward(inputs)
-        good = np.flatnonzero(valid.reshape(-1))
-        h, goal, each = all_h[good], goal.reshape(-1)[good], np.float32(1 / max(1, len(good)))
-        d = self.softmax(h @ p["g"] + p["gb"])
-        d[np.arange(len(d)), goal // self.members] -= 1
-        d *= each
-        g = {"g": h.T @ d, "gb": d.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
-        dh = d @ p["g"].T
-        for n, rows in self.by_group(goal):
-            own = h[rows]
-            d = self.softmax(own @ p["o"][n] + p["ob"][n])
-            d[np.arange(len(d)), goal[rows] % self.members] -= 1
-            d *= each
-            g["o"][n], g["ob"][n] = own.T @ d, d.sum(0)
-            dh[rows] += d @ p["o"][n].T
-        whole = np.zeros_like(all_h)
-        whole[good] = dh
-        dh = whole.reshape(len(inputs), s, 2 * w)
-        dx = np.zeros_like(x)
-        dx[:, s:] += dh[:, :, :w]
-        do = np.ascontiguousarray(dh[:, :, w:])
-        a /= total
-        ds, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
+        all_h, (q, k, v, a, scale, gap) = self.attended(inputs, self.seen_as())
+        n, rows = len(inputs), inputs.shape[1] // s
+        order, spans = self.by_group(goal.reshape(-1), valid.reshape(-1))
+        h, goal = all_h.take(order, 0), goal.reshape(-1)[order]
+        each = h.dtype.type(1 / max(1, len(order)))
+        of_groups, of_members = self.joined()
+        (group, groups), (member, members) = self.odds(h, spans, of_groups, of_members)
+        group *= (each / groups)[:, None]
+        member *= (each / members)[:, None]
+        member[np.arange(len(goal)), goal % self.members] -= each
+        to_members, of_member = np.zeros_like(of_members), np.empty((len(h), 2 * w), h.dtype)
+        for g, i, j in spans:
+            group[i:j, g] -= each
+            np.matmul(h[i:j].T, member[i:j], out=to_members[g])
+            np.matmul(member[i:j], p["o"][g].T, out=of_member[i:j])
+        to_groups = h.T @ group
+        found = {"g": to_groups[:-1], "gb": to_groups[-1], "o": to_members[:, :-1], "ob": to_members[:, -1]}
+        of_member += group @ p["g"].T
+        dh = np.zeros((len(all_h), 2 * w), h.dtype)
+        dh[order] = of_member
+        dh = dh.reshape(n, rows - 1, s, 2 * w)
+        # of the attention's logits: weight / sum of weights * (do v' - do . output), the second term by the column of ones
+        do = np.empty((n, rows - 1, s, w + 1), h.dtype)
+        np.multiply(dh[..., w:], scale, out=do[..., :w])
+        do[..., w] = -np.einsum("...i,...i->...", do[..., :w], all_h.reshape(n, rows - 1, s, -1)[..., w:-1])
+        ds = do @ v.swapaxes(2, 3)
         ds *= a
-        ds -= a * ds.sum(2, keepdims=True)
-        g["r"] = np.bincount(np.abs(gap).reshape(-1), (ds.sum(0) * (gap >= 0)).reshape(-1), 2 * s).astype(np.float32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dq *= np.float32(1 / math.sqrt(w))
-        for name, left, right in (("q", x[:, s:], dq), ("k", x, dk), ("v", x, dv)):
-            g[name] = left.reshape(-1, w).T @ right.reshape(-1, w)
-        dx[:, s:] += dq @ p["q"].T
-        dx += dk @ p["k"].T + dv @ p["v"].T
-        flat = inputs.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat[order])) + 1])
-        g["e"] = np.zeros_like(p["e"])
-        g["e"][flat[order[cuts]]] = np.add.reduceat(dx.reshape(-1, w)[order], cuts)
-        return g
-
-    def train(self, pieces, batch: int = 96, rate: float = 0.01, seed: int = 3) -> int:
-        """Learns from all windows of each piece (ids, ends) in mixed order; the number of windows."""
-        rng, p, step, seen = np.random.default_rng(seed), self.p, 0, 0
-        m, u = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        found["r"] = np.bincount(np.abs(gap).reshape(-1), (np.ones(n * (rows - 1), h.dtype) @ ds.reshape(-1, 2 * s * s)) * (gap >= 0).reshape(-1), 2 * s).astype(np.float32)
+        dq = np.zeros((n, rows, s, w), h.dtype)
+        np.matmul(ds, k, out=dq[:, 1:])
+        dq *= h.dtype.type(1 / math.sqrt(w))
+        x = p["e"].take(inputs.reshape(-1), 0)
+        dx = np.zeros((n, rows, s, w), h.dtype)
+        dx[:, 1:] = dh[..., :w]
+        dx = dx.reshape(-1, w)
+        for name, d in (("q", dq.reshape(-1, w)), ("k", self.seen_summed(ds.swapaxes(2, 3) @ q)), ("v", self.seen_summed(a.swapaxes(2, 3) @ do[..., :w]))):
+            found[name] = x.T @ d
+            dx += d @ p[name].T
+        cells = inputs.reshape(-1, 1) * w + np.arange(w)
+        found["e"] = np.bincount(cells.reshape(-1), dx.reshape(-1), p["e"].size).astype(h.dtype).reshape(p["e"].shape)
+        return found
+
+    def train(self, pieces, batch: int = 96, rate: float = 0.01, seed: int = 3, together: int = 8) -> int:
+        """Learns from all windows of each piece (ids, ends), runs of `together` of them in mixed order; the number of windows."""
+        rng, step, seen = np.random.default_rng(seed), 0, 0
+        names, shapes = list(self.p), [x.shape for x in self.p.values()]
+        flat = np.concatenate([x.reshape(-1) for x in self.p.values()])
+        m, u = np.zeros_like(flat), np.zeros_like(flat)
+        self.p = {k: x.reshape(shape) for k, x, shape in zip(names, np.split(flat, np.cumsum([math.prod(x) for x in shapes])[:-1]), shapes)}
+        size = min(together, batch)
         for ids, ends in pieces:
-            inputs, target, valid = self.windows(ids, ends)
-            goal = self.of[ids[target]] if len(inputs) else target
-            seen += len(inputs)
-            for pick in np.array_split(rng.permutation(len(inputs)), max(1, round(len(inputs) / batch))) if len(inputs) else ():
-                g, step = self.gradients(inputs[pick], goal[pick], valid[pick]), step + 1
-                now = rate * min(1, step / 50)
-                for name in p:
-                    m[name] += (g[name] - m[name]) * 0.1
-                    u[name] += (g[name] ** 2 - u[name]) * 0.01
-                    p[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(u[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            if not len(ids):
+                continue
+            inputs, goal, valid = self.laid(ids, ends)
+            windows = len(inputs) - (len(ends) - 1)
+            seen += windows
+            rest = -len(inputs) % size
+            inputs, goal, valid = np.pad(inputs, ((1, rest), (0, 0))), np.pad(goal, ((0, rest), (0, 0))), np.pad(valid, ((0, rest), (0, 0)))
+            runs = len(goal) // size
+            goal, valid = goal.reshape(runs, -1), valid.reshape(runs, -1)
+            for pick in np.array_split(rng.permutation(runs), min(runs, max(1, round(windows / batch)))):
+                g = self.gradients(inputs[pick[:, None] * size + np.arange(size + 1)].reshape(len(pick), -1), goal[pick], valid[pick])
+                g, step = np.concatenate([g[k].reshape(-1) for k in names]), step + 1
+                m += (g - m) * np.float32(0.1)
+                g *= g
+                u += (g - u) * np.float32(0.01)
+                now = rate * min(1, step / 50) / (1 - 0.9**step)
+                flat -= np.float32(now) * m / (np.sqrt(u / np.float32(1 - 0.99**step)) + np.float32(1e-8))
         return seen
 
 

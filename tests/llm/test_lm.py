@@ -86,6 +86,24 @@ def test_gradients():
             assert abs(found[name].reshape(-1)[at] - slope) < 1e-4, name
 
 
+def test_runs_learn_what_their_windows_do():
+    rng, model = np.random.default_rng(6), lm.Model(np.arange(lm.SIZE)[::-1], stride=4)
+    ids, ends = rng.integers(0, 3000, 90), np.array([0, 50, 51, 90])
+    inputs, goal, valid = (np.concatenate([np.zeros((1, 4), x.dtype), x]) for x in model.laid(ids, ends))
+    assert (np.flatnonzero(valid.any(1)) == [r for r in range(2, len(valid)) if r not in (15, 17)]).all()
+    whole = model.gradients(inputs.reshape(1, -1), goal[1:].reshape(1, -1), valid[1:].reshape(1, -1))
+    each = model.gradients(np.concatenate([inputs[:-1], inputs[1:]], 1), goal[1:], valid[1:])
+    assert all(np.abs(each[k]).max() > 0 and np.allclose(whole[k], each[k], atol=1e-5) for k in model.p)
+
+
+def test_training_passes_over_an_id_about_once(monkeypatch):
+    model, sizes, plain = lm.Model(np.ones(lm.SIZE, int)), [], lm.Model.gradients
+    monkeypatch.setattr(lm.Model, "gradients", lambda own, inputs, *more: sizes.append(inputs.size) or plain(own, inputs, *more))
+    ids = np.random.default_rng(4).integers(0, lm.SIZE, 20000)
+    assert model.train([(ids, np.array([0, 12000, 20000]))], 192) == 1250
+    assert 20000 <= sum(sizes) < 1.25 * 20000
+
+
 def test_odd_rows(spark):
     rows = [(3, "one two three", "x"), (3, "one two three", "x"), (None, "one two", "x"), (4, None, "x"), (5, "word " * 30000, "x")]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string"), tokens.vocabulary_path(), 8, 5).collect()
