@@ -4,11 +4,12 @@ The tokenizer drops white space, lower-cases, and cuts text where letters, digit
 punctuation meet, so the ids of a text are the ids of its white-space separated words one
 after the other. Arrow splits a batch of texts and numbers its distinct words; each distinct
 word goes through the tokenizers library once per task (while it stays in a bounded cache),
-and numpy joins the ids back by position.
+and numpy joins the ids back by position. A full cache keeps what the next texts need.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -37,6 +38,7 @@ class WordEncoder:
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -66,7 +68,7 @@ class WordEncoder:
         return out
 
     def _cut(self, joined: str, ends: np.ndarray | None) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         data = ids.tobytes()
         if ends is None:
             cuts = np.flatnonzero(ids == self.between)
@@ -77,25 +79,34 @@ class WordEncoder:
         return [data[a:b] for a, b in zip(starts, stops)]
 
     def learn(self, missing: list[bytes]) -> None:
-        plain = [w for w in missing if _WORD.fullmatch(w)]
-        other = [w for w in missing if not _WORD.fullmatch(w)]
+        plain, other = [], []
+        for w in missing:
+            (plain if _WORD.fullmatch(w) else other).append(w)
         self.known.update(zip(plain, self.letters(plain) if plain else ()))
         self.known.update(zip(other, self.words(other) if other else ()))
 
     def distinct(self, words: list[bytes]) -> list[bytes]:
         """Ids of each of some distinct lower-case words. A run of marks after a letter or digit is apart."""
-        stems = []
+        cut = {}
         for w in words:
-            stem = w.rstrip(_MARKS)
-            stems.append(stem if stem and (stem[-1:].isalnum() or _WORD.fullmatch(stem)) else w)
-        tails = [w[len(s) :] for w, s in zip(words, stems)]
-        needed = {*stems, *tails}
+            if w and w[-1] in _MARKS:
+                stem = w.rstrip(_MARKS)
+                if stem and (stem[-1:].isalnum() or _WORD.fullmatch(stem)):
+                    cut[w] = stem, w[len(stem) :]
+        needed = {w for w in words if w not in cut}.union(*cut.values()) if cut else set(words)
         missing = [w for w in needed if w not in self.known]
         if len(self.known) + len(missing) > self.limit:
-            self.known, missing = {}, list(needed)
+            self.make_room(needed)
         self.learn(missing)
         known = self.known
-        return [known[s] + known[t] if t else known[s] for s, t in zip(stems, tails)]
+        return [known[cut[w][0]] + known[cut[w][1]] if w in cut else known[w] for w in words]
+
+    def make_room(self, needed: set[bytes]) -> None:
+        """Keeps the known words that are needed now, and of the others the newest that the limit leaves room for."""
+        known, room = self.known, max(0, self.limit - len(needed))
+        others = [w for w in known if w not in needed]
+        kept = {w: known[w] for w in others[max(0, len(others) - room) :]}
+        self.known = kept | {w: known[w] for w in needed if w in known}
 
     def encode(self, texts: pa.Array, at_once: int = 8 << 20):
         """Yields the ids of each text of a string array in turn, about at_once bytes of text at a time."""

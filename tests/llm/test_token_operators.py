@@ -24,6 +24,17 @@ def test_cache_limit():
     assert [i.tolist() for i in encoder.encode(pa.array(texts), at_once=5)] == [ids_of(t) for t in texts]
 
 
+def test_full_cache_keeps_words_that_come_again(monkeypatch):
+    encoder, learnt = tokens.WordEncoder(tokens.vocabulary_path(), limit=5), []
+    plain = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda missing: learnt.extend(missing) or plain(missing))
+    for text in ("one two three", "two three four five", "three five six", "five six, one two"):
+        words = text.encode().split()
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.distinct(words)] == [ids_of(w.decode()) for w in words]
+        assert len(encoder.known) <= 5
+    assert [learnt.count(w) for w in (b"three", b"five", b"six", b",")] == [1, 1, 1, 1]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
