@@ -87,7 +87,7 @@ class Model:
         self.stride, self.width, self.groups, self.members = stride, width, groups, members
         self.classes = groups * members
         top = self.classes - tails
-        self.of = np.empty(SIZE, np.int64)
+        self.of = np.empty(SIZE, np.uint16)
         self.of[order[:top]] = np.arange(top)
         rest = order[top:]
         self.of[rest] = top + np.minimum((np.log2(np.arange(len(rest)) + 32) - 5) / (np.log2(len(rest) + 32) - 5) * tails, tails - 1).astype(int)
@@ -97,6 +97,10 @@ class Model:
         self.row = np.full(SIZE, embedded, np.int64)
         self.row[order[embedded:]] = embedded + 1 + self.of[order[embedded:]] % tails
         self.row[order[:embedded]] = np.arange(embedded) + 1
+        gap = np.arange(stride, 2 * stride)[:, None] - np.arange(2 * stride)
+        self.gap = np.where(gap < 0, 2 * stride, gap)  # 2 * stride: not seen
+        self.sides = np.repeat(np.eye(2, dtype=np.float32), (members, groups), 1)  # the columns of members, and of groups
+        self.cells = np.arange((embedded + 1 + tails) * width).reshape(-1, width)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         group_n = class_n.reshape(groups, members).sum(1)
         self.p = {"e": draw(embedded + 1 + tails, width), "q": draw(width, width), "k": draw(width, width), "v": draw(width, width), "r": draw(2 * stride), "g": draw(2 * width, groups), "gb": np.log(group_n / group_n.sum()).astype(np.float32), "o": draw(groups, 2 * width, members), "ob": np.log(class_n.reshape(groups, members) / group_n[:, None]).astype(np.float32)}
@@ -106,18 +110,23 @@ class Model:
         s, sizes = self.stride, np.diff(ends)
         rows = -(-sizes // s) + 1
         first = np.cumsum(rows) - rows
-        at = np.arange(len(ids)) + np.repeat((first + 1) * s - ends[:-1], sizes)
-        inputs, goal, valid = np.zeros(rows.sum() * s + 1, np.int64), np.zeros(rows.sum() * s, np.int64), np.zeros(rows.sum() * s, bool)
-        inputs[at + 1] = self.row[ids]
-        goal[at], valid[at] = self.of[ids], True
+        edges = np.zeros(rows.sum() * s + 1, np.int8)
+        np.add.at(edges, (first + 1) * s, 1)
+        np.subtract.at(edges, (first + 1) * s + sizes, 1)
+        valid = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+        inputs, goal = np.zeros(len(valid) + 1, np.int64), np.zeros(len(valid), self.of.dtype)
+        inputs[1:][valid], goal[valid] = self.row.take(ids), self.of.take(ids)
         inputs = inputs[:-1].reshape(-1, s)
         inputs[first] = 0
         return inputs, goal.reshape(-1, s), valid.reshape(-1, s)
 
     def seen_as(self):
-        """Of every embedding row what attention takes from it: query, key, value, and a one that sums the weights in the same product as the values."""
-        p, e = self.p, self.p["e"]
-        return np.concatenate([e @ (p["q"] * e.dtype.type(1 / math.sqrt(self.width))), e @ p["k"], e @ p["v"], np.ones((len(e), 1), e.dtype)], 1)
+        """Of every embedding row what attention takes from it: query, key, value, and the row itself."""
+        p, w, e = self.p, self.width, self.p["e"]
+        table = np.empty((len(e), 4 * w), e.dtype)
+        np.matmul(e, np.concatenate([p["q"] * e.dtype.type(1 / math.sqrt(w)), p["k"], p["v"]], 1), out=table[:, : 3 * w])
+        table[:, 3 * w :] = e
+        return table
 
     def forward(self, inputs: np.ndarray):
         """Embedding and attention output (as many rows as ids behind the first stride of each run; 2 x width), and what the backward pass needs.
@@ -127,120 +136,135 @@ class Model:
         rows, kept = self.attended(inputs, self.seen_as())
         return rows[:, :-1], kept
 
-    def attended(self, inputs: np.ndarray, table: np.ndarray):
-        """As `forward`, with a one behind each row for the biases. table: `seen_as` of the parameters."""
+    def attended(self, inputs: np.ndarray, table: np.ndarray, small: bool = False):
+        """As `forward`, with a one behind each row for the biases. table: `seen_as` of the parameters; small: no logit is beyond 60."""
         p, s, w = self.p, self.stride, self.width
         n, size = inputs.shape
         made = table.take(inputs, 0)
-        q = made.reshape(n, size // s, s, -1)[:, 1:, :, :w]
-        k, v = self.seen(made[:, :, w : 2 * w]), self.seen(made[:, :, 2 * w :])
-        gap = np.arange(s, 2 * s)[:, None] - np.arange(2 * s)
+        own = made.reshape(n, size // s, s, -1)[:, 1:]
+        q, k, v = own[..., :w], self.seen(made, w), self.seen(made, 2 * w)
         a = q @ k.swapaxes(2, 3)
-        np.clip(a, -60, 60, out=a)
+        if not small:
+            a.clip(-60, 60, out=a)
         np.exp(a, out=a)
-        a *= np.where(gap >= 0, np.exp(p["r"])[np.abs(gap)], p["r"].dtype.type(0))
-        out = a @ v
-        scale = 1 / out[..., w:]
+        near = np.zeros(2 * s + 1, made.dtype)
+        np.exp(p["r"], out=near[:-1])
+        a *= near.take(self.gap)
+        rows = a.reshape(-1, 2 * s)
+        rows *= (1 / (rows @ np.ones(2 * s, a.dtype)))[:, None]
         h = np.empty((n, size // s - 1, s, 2 * w + 1), made.dtype)
-        h[..., :w] = p["e"].take(inputs[:, s:], 0).reshape(n, -1, s, w)
-        np.multiply(out[..., :w], scale, out=h[..., w:-1])
+        h[..., :w] = own[..., 3 * w :]
+        np.matmul(a, v, out=h[..., w:-1])
         h[..., -1] = 1
-        return h.reshape(-1, 2 * w + 1), (q, k, v, a, scale, gap)
+        return h.reshape(-1, 2 * w + 1), (q, k, v, a)
 
     def joined(self):
-        """Weights of groups, and of their members, for the rows of `attended`."""
-        p = self.p
-        return np.concatenate([p["g"], p["gb"][None]]), np.concatenate([p["o"], p["ob"][:, None]], 1)
-
-    def seen(self, values: np.ndarray) -> np.ndarray:
-        """A view of runs x ids x width as runs x strides x the 2 stride ids that each sees."""
-        s, (n, size, width) = self.stride, values.shape
-        run, row, one = values.strides
-        return np.lib.stride_tricks.as_strided(values, (n, size // s - 1, 2 * s, width), (run, s * row, row, one))
-
-    def seen_summed(self, parts: np.ndarray) -> np.ndarray:
+        """Of each group the weights of its members, and behind them those of all groups, for the rows of `attended`."""
+        p, w, m = self.p, 2 * self.width, self.members
+        out = np.empty((self.groups, w + 1, m + self.groups), p["o"].dtype)
+        out[:, :w, :m], out[:, w, :m], out[:, :w, m:], out[:, w, m:] = p["o"], p["ob"], p["g"], p["gb"]
+        return out
+
+    def bounded(self, table: np.ndarray, weights: np.ndarray) -> bool:
+        """Whether no logit can be beyond 60, by the lengths of the vectors that make them."""
+        w, most = self.width, lambda x, axis: math.sqrt(np.square(x).sum(axis).max())
+        q, k, v, e = (most(table[:, i * w : (i + 1) * w], 1) for i in range(4))
+        of_e, of_v = most(weights[:, :w], 1), most(weights[:, w:-1], 1)
+        return q * k <= 59 and e * of_e + v * of_v + np.abs(weights[:, -1]).max() <= 59
+
+    def seen(self, made: np.ndarray, at: int) -> np.ndarray:
+        """A view of width columns from `at` of runs x ids x columns as runs x strides x the 2 stride ids that each sees."""
+        s, (n, size, _) = self.stride, made.shape
+        run, row, one = made.strides
+        return np.ndarray((n, size // s - 1, 2 * s, self.width), made.dtype, made, at * one, (run, s * row, row, one))
+
+    def seen_summed(self, parts: np.ndarray, out: np.ndarray) -> None:
         """The reverse of `seen`: what each stride adds to the ids that it sees, per id."""
-        s, (n, rows, _, w) = self.stride, parts.shape
-        out = np.empty((n, rows + 1, s, w), parts.dtype)
-        out[:, :-1] = parts[:, :, :s]
-        out[:, -1] = 0
-        out[:, 1:] += parts[:, :, s:]
-        return out.reshape(-1, w)
+        s = self.stride
+        out[:, 0], out[:, -1] = parts[:, 0, :s], parts[:, -1, s:]
+        np.add(parts[:, :-1, s:], parts[:, 1:, :s], out=out[:, 1:-1])
 
     def by_group(self, goal: np.ndarray, valid: np.ndarray):
-        """The valid positions in the order of their classes' groups, and (group, first, end) of each group's run of them."""
-        key = np.where(valid, goal // self.members, self.groups).astype(np.uint16)
+        """The valid positions in the order of their classes' groups, (group, first, end) of each group's run of them, and the other positions."""
+        key = np.where(valid, goal // goal.dtype.type(self.members), goal.dtype.type(self.groups)).astype(np.min_scalar_type(self.groups))
         order = np.argsort(key, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=self.groups)[: self.groups])]).tolist()
-        return order[: cuts[-1]], [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        cuts = key[order].searchsorted(np.arange(self.groups + 1, dtype=key.dtype)).tolist()
+        return order[: cuts[-1]], [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a], order[cuts[-1] :]
 
-    def odds(self, h: np.ndarray, spans, of_groups: np.ndarray, of_members: np.ndarray):
-        """Exponentials of groups, and of the members of each row's own group, and the sums of both; logits count as 60 at most, -60 at least."""
-        group, member = h @ of_groups, np.empty((len(h), self.members), h.dtype)
+    def odds(self, h: np.ndarray, spans, weights: np.ndarray, small: bool = False):
+        """Exponentials of the members of each row's own group, and of the groups behind them; logits count as 60 at most, -60 at least."""
+        z = np.empty((len(h), weights.shape[2]), h.dtype)
         for g, a, b in spans:
-            np.matmul(h[a:b], of_members[g], out=member[a:b])
-        for z in (group, member):
-            np.clip(z, -60, 60, out=z)
-            np.exp(z, out=z)
-        return [(z, z @ np.ones(z.shape[1], z.dtype)) for z in (group, member)]
+            np.matmul(h[a:b], weights[g], out=z[a:b])
+        if not small:
+            z.clip(-60, 60, out=z)
+        return np.exp(z, out=z)
+
+    def sums(self, z: np.ndarray):
+        """Of each row of `odds` the sum of members, and of groups."""
+        m, one = self.members, np.ones(max(self.members, self.groups), z.dtype)
+        return z[:, :m] @ one[:m], z[:, m:] @ one[: self.groups]
 
     def log_probabilities(self, ids: np.ndarray, ends: np.ndarray, at_once: int = 256) -> np.ndarray:
         """Natural-log probability of every id of some texts."""
         inputs, goal, valid = self.laid(ids, ends)
         value, table, weights = np.zeros(valid.shape), self.seen_as(), self.joined()
+        small = self.bounded(table, weights)
         inputs = np.concatenate([np.zeros((1, self.stride), np.int64), inputs])
         for i in range(0, len(goal), at_once):
             own = goal[i : i + at_once].reshape(-1)
-            order, spans = self.by_group(own, valid[i : i + at_once].reshape(-1))
-            h = self.attended(inputs[i : i + at_once + 1].reshape(1, -1), table)[0].take(order, 0)
-            own, here = own[order], np.arange(len(order))
-            (group, groups), (member, members) = self.odds(h, spans, *weights)
-            value[i : i + at_once].reshape(-1)[order] = np.log(group[here, own // self.members] / groups) + np.log(member[here, own % self.members] / members)
+            order, spans, _ = self.by_group(own, valid[i : i + at_once].reshape(-1))
+            h = self.attended(inputs[i : i + at_once + 1].reshape(1, -1), table, small)[0].take(order, 0)
+            z, at = self.odds(h, spans, weights, small), np.arange(len(order)) * weights.shape[2]
+            group, member = np.divmod(own[order], own.dtype.type(self.members))
+            found = z.reshape(-1).take(at + member).astype(float) * z.reshape(-1).take(at + self.members + group)
+            members, groups = self.sums(z)
+            value[i : i + at_once].reshape(-1)[order] = np.log(found / (members.astype(float) * groups))
         return value[valid] + self.share[ids]
 
     def gradients(self, inputs: np.ndarray, goal: np.ndarray, valid: np.ndarray) -> dict:
         """Of the mean loss over the valid positions of some runs. goal: classes of the ids behind each run's first stride."""
-        p, s, w = self.p, self.stride, self.width
-        all_h, (q, k, v, a, scale, gap) = self.attended(inputs, self.seen_as())
+        p, s, w, most = self.p, self.stride, self.width, self.members
+        all_h, (q, k, v, a) = self.attended(inputs, self.seen_as())
         n, rows = len(inputs), inputs.shape[1] // s
-        order, spans = self.by_group(goal.reshape(-1), valid.reshape(-1))
+        order, spans, rest = self.by_group(goal.reshape(-1), valid.reshape(-1))
         h, goal = all_h.take(order, 0), goal.reshape(-1)[order]
         each = h.dtype.type(1 / max(1, len(order)))
-        of_groups, of_members = self.joined()
-        (group, groups), (member, members) = self.odds(h, spans, of_groups, of_members)
-        group *= (each / groups)[:, None]
-        member *= (each / members)[:, None]
-        member[np.arange(len(goal)), goal % self.members] -= each
-        to_members, of_member = np.zeros_like(of_members), np.empty((len(h), 2 * w), h.dtype)
+        weights = self.joined()
+        z = self.odds(h, spans, weights)
+        z *= (each / np.stack(self.sums(z))).T @ self.sides.astype(h.dtype, copy=False)
+        z.reshape(-1)[np.arange(len(goal)) * z.shape[1] + goal % goal.dtype.type(most)] -= each
+        to, of = np.zeros_like(weights), np.empty((len(h), 2 * w), h.dtype)
         for g, i, j in spans:
-            group[i:j, g] -= each
-            np.matmul(h[i:j].T, member[i:j], out=to_members[g])
-            np.matmul(member[i:j], p["o"][g].T, out=of_member[i:j])
-        to_groups = h.T @ group
-        found = {"g": to_groups[:-1], "gb": to_groups[-1], "o": to_members[:, :-1], "ob": to_members[:, -1]}
-        of_member += group @ p["g"].T
-        dh = np.zeros((len(all_h), 2 * w), h.dtype)
-        dh[order] = of_member
-        dh = dh.reshape(n, rows - 1, s, 2 * w)
-        # of the attention's logits: weight / sum of weights * (do v' - do . output), the second term by the column of ones
-        do = np.empty((n, rows - 1, s, w + 1), h.dtype)
-        np.multiply(dh[..., w:], scale, out=do[..., :w])
-        do[..., w] = -np.einsum("...i,...i->...", do[..., :w], all_h.reshape(n, rows - 1, s, -1)[..., w:-1])
-        ds = do @ v.swapaxes(2, 3)
+            z[i:j, most + g] -= each
+            np.matmul(h[i:j].T, z[i:j], out=to[g])
+            np.matmul(z[i:j], weights[g, :-1].T, out=of[i:j])
+        to_groups = to[:, :, most:].sum(0)
+        found = {"g": to_groups[:-1], "gb": to_groups[-1], "o": to[:, :-1, :most], "ob": to[:, -1, :most]}
+        # of each id: what its query, key and value get, and the row of its output's slopes
+        d = np.empty((n, rows, s, 5 * w), h.dtype)
+        d[:, 0, :, :w], d[:, 0, :, 3 * w :] = 0, 0
+        flat, at = d.reshape(-1, 5 * w)[:, 3 * w :], np.arange(n * rows * s).reshape(n, rows * s)[:, s:].reshape(-1)
+        flat[at.take(order)], flat[at.take(rest)] = of, 0
+        dh = d[:, 1:, :, 4 * w :]
+        # of the attention's logits: weight * do v' less the weight's share of their sum
+        ds = dh @ v.swapaxes(2, 3)
         ds *= a
-        found["r"] = np.bincount(np.abs(gap).reshape(-1), (np.ones(n * (rows - 1), h.dtype) @ ds.reshape(-1, 2 * s * s)) * (gap >= 0).reshape(-1), 2 * s).astype(np.float32)
-        dq = np.zeros((n, rows, s, w), h.dtype)
-        np.matmul(ds, k, out=dq[:, 1:])
-        dq *= h.dtype.type(1 / math.sqrt(w))
-        x = p["e"].take(inputs.reshape(-1), 0)
-        dx = np.zeros((n, rows, s, w), h.dtype)
-        dx[:, 1:] = dh[..., :w]
-        dx = dx.reshape(-1, w)
-        for name, d in (("q", dq.reshape(-1, w)), ("k", self.seen_summed(ds.swapaxes(2, 3) @ q)), ("v", self.seen_summed(a.swapaxes(2, 3) @ do[..., :w]))):
-            found[name] = x.T @ d
-            dx += d @ p[name].T
-        cells = inputs.reshape(-1, 1) * w + np.arange(w)
-        found["e"] = np.bincount(cells.reshape(-1), dx.reshape(-1), p["e"].size).astype(h.dtype).reshape(p["e"].shape)
+        flat, taken = ds.reshape(-1, 2 * s), a.reshape(-1, 2 * s)
+        flat -= taken * (flat @ np.ones(2 * s, h.dtype))[:, None]
+        found["r"] = np.bincount(self.gap.reshape(-1), np.ones(n * (rows - 1), h.dtype) @ ds.reshape(-1, 2 * s * s))[:-1].astype(np.float32)
+        # what each stride adds to its own ids' queries, and to the keys and values that it sees
+        parts = np.empty((n, rows - 1, 2 * s, 2 * w), h.dtype)
+        np.matmul(ds, k, out=d[:, 1:, :, :w])
+        np.matmul(ds.swapaxes(2, 3), q, out=parts[..., :w])
+        np.matmul(a.swapaxes(2, 3), dh, out=parts[..., w:])
+        self.seen_summed(parts, d[..., w : 3 * w])
+        d, scale = d.reshape(n, -1, 5 * w), h.dtype.type(1 / math.sqrt(w))
+        both = (p["e"].take(inputs, 0).swapaxes(1, 2) @ d[..., : 3 * w]).sum(0)
+        found["q"], found["k"], found["v"] = both[:, :w] * scale, both[:, w : 2 * w], both[:, 2 * w :]
+        dx = d[..., : 4 * w] @ np.concatenate([p["q"].T * scale, p["k"].T, p["v"].T, np.eye(w, dtype=h.dtype)])
+        found["e"] = np.zeros_like(p["e"])
+        np.add.at(found["e"].reshape(-1), self.cells.take(inputs.reshape(-1), 0).reshape(-1), dx.reshape(-1))
         return found
 
     def train(self, pieces, batch: int = 96, rate: float = 0.01, seed: int = 3, together: int = 8) -> int:
@@ -248,7 +272,7 @@ class Model:
         rng, step, seen = np.random.default_rng(seed), 0, 0
         names, shapes = list(self.p), [x.shape for x in self.p.values()]
         flat = np.concatenate([x.reshape(-1) for x in self.p.values()])
-        m, u = np.zeros_like(flat), np.zeros_like(flat)
+        m, u, t = (np.zeros_like(flat) for _ in range(3))
         self.p = {k: x.reshape(shape) for k, x, shape in zip(names, np.split(flat, np.cumsum([math.prod(x) for x in shapes])[:-1]), shapes)}
         size = min(together, batch)
         for ids, ends in pieces:
@@ -264,36 +288,49 @@ class Model:
             for pick in np.array_split(rng.permutation(runs), min(runs, max(1, round(windows / batch)))):
                 g = self.gradients(inputs[pick[:, None] * size + np.arange(size + 1)].reshape(len(pick), -1), goal[pick], valid[pick])
                 g, step = np.concatenate([g[k].reshape(-1) for k in names]), step + 1
-                m += (g - m) * np.float32(0.1)
+                m *= np.float32(0.9)  # the means of slopes and of their squares, times 10 and 100
+                m += g
                 g *= g
-                u += (g - u) * np.float32(0.01)
-                now = rate * min(1, step / 50) / (1 - 0.9**step)
-                flat -= np.float32(now) * m / (np.sqrt(u / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                u *= np.float32(0.99)
+                u += g
+                root = math.sqrt(1 - 0.99**step)
+                np.sqrt(u, out=t)
+                t += np.float32(1e-7 * root)
+                np.divide(m, t, out=t)
+                t *= np.float32(rate * min(1, step / 50) / (1 - 0.9**step) * root)
+                flat -= t
         return seen
 
 
 def blocks_of(docs: DataFrame, answers: DataFrame, base) -> DataFrame:
+    """As `blocks_from`, with the blocks coded by another pass over docs."""
+    return blocks_from(word_table.coded_rows(docs, common.word_codes, words=False), answers, base)
+
+
+def blocks_from(coded: DataFrame, answers: DataFrame, base) -> DataFrame:
     """block, data: the packed doc_ids, ends, ids (an end after each text), base scores, words and known words of each block."""
 
     def finish(number, docs, facts, at, offsets):
-        counts, sizes, flat = (x.astype(np.int64) for x in facts) if facts else (np.zeros(0, np.int64),) * 3
+        counts, sizes, flat = facts if facts else (np.zeros(0, np.uint16),) * 3
+        sizes = sizes.astype(np.int64)
         own, words = sizes[at], np.diff(offsets)
         stops = np.concatenate([[0], np.cumsum(own)])[offsets] + np.arange(len(offsets))
-        ids = np.full(stops[-1], END, np.int64)
+        ids = np.full(stops[-1], END, np.promote_types(flat.dtype, np.uint16))
         keep = np.ones(len(ids), bool)
         keep[stops[1:] - 1] = False
         ids[keep] = word_table.gathered(flat, (np.cumsum(sizes) - sizes)[at], own)
-        sums = lambda x: np.array([x[a:b].sum() for a, b in zip(offsets[:-1], offsets[1:])])
-        data = word_table.packed(np.array([d or 0 for d in docs], "<i8"), np.array([d is not None for d in docs], "<u1"), word_table.smallest(stops), word_table.smallest(ids), sums(base(counts[at])).astype("<f8"), words.astype("<i8"), sums(counts[at] > 0).astype("<i8"))
+        each = counts[at]
+        sums = lambda x: np.array([x[a:b].sum() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+        data = word_table.packed(np.array([d or 0 for d in docs], "<i8"), np.array([d is not None for d in docs], "<u1"), word_table.smallest(stops), word_table.smallest(ids), sums(base(counts.astype(np.int64))[at]).astype("<f8"), words.astype("<i8"), sums(each > 0).astype("<i8"))
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary())], ["block", "data"])
 
-    return word_table.joined_back(docs, common.word_codes, answers, finish, "block long, data binary")
+    return word_table.joined(coded, answers, finish, "block long, data binary")
 
 
 def documents_of(data):
     """doc_ids, ends, ids, base scores, words and known words of a packed block."""
     numbers, valid, ends, ids, *rest = word_table.unpacked(data)
-    return [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())], ends.astype(np.int64), ids.astype(np.int64), *rest
+    return [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())], ends.astype(np.int64), ids, *rest
 
 
 def runs(ids: np.ndarray, ends: np.ndarray, at_once: int = 1 << 18):
@@ -376,12 +413,12 @@ def fit(blocks: DataFrame, counts: np.ndarray, batch: int, steps: int, rounds: i
 
 def score(docs: DataFrame, path: str, batch: int = 192, steps: int = 750) -> DataFrame:
     """The rows of SCHEMA for every row of docs. batch, steps: windows in a step, and the fewest steps of the training."""
-    words = word_table.bucket_rows(docs, common.word_codes, in_training)
-    answers = common.written(word_table.answered(words, counted_ids(path), summed), "words")
+    coded = common.written(word_table.coded_rows(docs, common.word_codes, in_training), "coded")
+    answers = common.written(word_table.answered(word_table.words_of(coded), counted_ids(path), summed), "words")
     ends = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).count()
     total, distinct, counts = totals(answers, ends)
     least = total + 0.1 * (distinct + 1)
-    blocks = common.written(blocks_of(docs, answers.where("span >= 0"), lambda c: np.log10((c + 0.1) / least)), "ids")
+    blocks = common.written(blocks_from(coded, answers.where("span >= 0"), lambda c: np.log10((c + 0.1) / least)), "ids")
     model = docs.sparkSession.sparkContext.broadcast(fit(blocks, counts, batch, steps)[0])
     end_value = math.log10((ends + 0.1) / least)
 

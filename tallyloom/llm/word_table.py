@@ -9,12 +9,16 @@ before the word numbers of its blocks. So the shuffles carry packed words and fa
 word, a word in every document costs an entry per span only, and besides a row per block there are
 as many rows as a shuffle of splits to buckets has parts.
 
-Both passes over the documents see the same blocks and spans, as the splits of a scan do not
+The documents are read twice, or once where the coded blocks are kept beside the words
+(`coded_rows`). Both passes see the same blocks and spans, as the splits of a scan do not
 change; a span whose words differ from those that were answered, by a digest per bucket, is an error.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,7 +69,8 @@ def smallest(a: np.ndarray) -> np.ndarray:
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + size] one after the other."""
     ends = np.cumsum(sizes)
-    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    kind = np.int32 if max(len(flat), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    return flat.take(np.repeat((starts - (ends - sizes)).astype(kind), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=kind))
 
 
 def buckets_of(docs: DataFrame) -> int:
@@ -77,12 +82,12 @@ class Span:
     """The distinct words of some blocks, numbered as they come."""
 
     def __init__(self, key: int):
-        self.key, self.words, self.size = key, {}, 0
+        self.key, self.words, self.size = key, defaultdict(itertools.count().__next__), 0
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
-        own, known = self.words, len(self.words)
-        at = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
-        self.size += sum(len(words[i]) for i in np.flatnonzero(at >= known).tolist())
+        known = len(self.words)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        self.size += sum(map(len, itertools.compress(words, (at >= known).tolist())))
         return at
 
     def full(self, words: int, size: int) -> bool:
@@ -126,26 +131,48 @@ def digest(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
-def bucket_rows(docs: DataFrame, split, counted=None, cut=CUT) -> DataFrame:
-    """bucket, span, words: the packed distinct words of each span and bucket, and how often documents with counted(doc_id) have them."""
+def coded_rows(docs: DataFrame, split, counted=None, cut=CUT, blocks: bool = True, words: bool = True) -> DataFrame:
+    """bucket, span, words, place, fact: rows of `bucket_rows` (place and fact null) and of blocks for `joined_back` (bucket and words null), from one pass."""
     buckets = buckets_of(docs)
+    schema = pa.schema([("bucket", pa.int32()), ("span", pa.int64()), ("words", pa.binary()), ("place", pa.int32()), ("fact", pa.binary())])
+
+    def rows(*own):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), schema.types)], schema=schema)
 
     def run(batches):
-        n = np.zeros(0, np.int64)
+        n, made = np.zeros(0, np.int64), 0
         for span, ids, at, offsets in each_block(batches, split, cut):
             if ids is not None:
-                use = np.repeat(np.array([counted is not None and counted(d) for d in ids.to_pylist()], bool), np.diff(offsets))
-                now = np.bincount(at[use], minlength=len(span.words))
-                now[: len(n)] += n
-                n = now
+                docs = ids.to_pylist()
+                if words:
+                    use = np.repeat(np.array([counted is not None and counted(d) for d in docs], bool), np.diff(offsets))
+                    now = np.bincount(at[use], minlength=len(span.words))
+                    now[: len(n)] += n
+                    n = now
+                if blocks:
+                    valid, numbers = np.array([d is not None for d in docs], np.uint8), np.array([d or 0 for d in docs], "<i8")
+                    yield rows((None, span.key, None, buckets + made, packed(offsets.astype("<i8"), smallest(at), numbers, valid)))
+                    made += 1
                 continue
             order, runs = span.dealt(buckets)
-            out = [(bucket, span.key, packed(smallest(lengths), data, smallest(n[order[a:b]]))) for bucket, a, b, lengths, data in runs]
+            if blocks:
+                head = packed(smallest(order), np.array([r[0] for r in runs], "<i8"), np.array([digest(r[-1]) for r in runs], "<u8"))
+                yield rows((None, span.key, None, HEAD, head))
+            if words and runs:
+                yield rows(*((bucket, span.key, packed(smallest(lengths), data, smallest(n[order[a:b]])), None, None) for bucket, a, b, lengths, data in runs))
             n = np.zeros(0, np.int64)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "span", "words"])
 
-    return common.texts(docs).mapInArrow(run, "bucket int, span long, words binary")
+    return common.texts(docs).mapInArrow(run, "bucket int, span long, words binary, place int, fact binary")
+
+
+def bucket_rows(docs: DataFrame, split, counted=None, cut=CUT) -> DataFrame:
+    """bucket, span, words: the packed distinct words of each span and bucket, and how often documents with counted(doc_id) have them."""
+    return words_of(coded_rows(docs, split, counted, cut, blocks=False))
+
+
+def words_of(coded: DataFrame) -> DataFrame:
+    """The rows of `bucket_rows` among those of `coded_rows`."""
+    return coded.where("bucket is not null").select("bucket", "span", "words")
 
 
 def answered(rows: DataFrame, facts, total=None) -> DataFrame:
@@ -163,7 +190,7 @@ def answered(rows: DataFrame, facts, total=None) -> DataFrame:
         words = pa.BinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(b"".join(texts))])
         coded = pc.dictionary_encode(words)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        own = coded.dictionary.to_pylist()
+        own = common.byte_strings(coded.dictionary)
         n = np.bincount(code, np.concatenate([x.astype(np.float64) for x in counts]), len(own)).astype(np.int64)
         values, flat, runs = facts(own, n)
         starts = np.cumsum(runs) - runs
@@ -194,26 +221,17 @@ def answered(rows: DataFrame, facts, total=None) -> DataFrame:
 
 
 def joined_back(docs: DataFrame, split, answers: DataFrame, finish, schema: str, cut=CUT) -> DataFrame:
+    """As `joined`, with the blocks coded by another pass over docs."""
+    return joined(coded_rows(docs, split, cut=cut, words=False), answers, finish, schema)
+
+
+def joined(coded: DataFrame, answers: DataFrame, finish, schema: str) -> DataFrame:
     """The batch of rows that finish(block, doc_ids, facts, word numbers, offsets) gives for each block.
 
     facts: the arrays that `answered` packed, of all the span's words, which the word numbers point
-    into; none if the span has no words. answers: span, place, fact.
+    into; none if the span has no words. coded: see `coded_rows`; answers: span, place, fact.
     """
-    buckets, schema_in = buckets_of(docs), "span long, place int, fact binary"
-
-    def code(batches):
-        made = 0
-        for span, ids, at, offsets in each_block(batches, split, cut):
-            if ids is not None:
-                place, made = buckets + made, made + 1
-                valid = np.array([d is not None for d in ids.to_pylist()], np.uint8)
-                numbers = np.array([d or 0 for d in ids.to_pylist()], "<i8")
-                fact = packed(offsets.astype("<i8"), smallest(at), numbers, valid)
-            else:
-                order, runs = span.dealt(buckets)
-                place = HEAD
-                fact = packed(smallest(order), np.array([r[0] for r in runs], "<i8"), np.array([digest(r[-1]) for r in runs], "<u8"))
-            yield pa.RecordBatch.from_arrays([pa.array([span.key]), pa.array([place], pa.int32()), pa.array([fact], pa.binary())], ["span", "place", "fact"])
+    buckets = buckets_of(coded)
 
     def opened(head, parts):
         """Where the facts of each word number are, and the facts; parts: bucket, fact."""
@@ -239,8 +257,8 @@ def joined_back(docs: DataFrame, split, answers: DataFrame, finish, schema: str,
                     ids = [d if v else None for d, v in zip(numbers.tolist(), valid.tolist())]
                     yield finish(span >> 32 << 32 | place - buckets, ids, known[1], known[0][at.astype(np.int64)], offsets)
 
-    rows = common.texts(docs).mapInArrow(code, schema_in).unionByName(answers.select("span", "place", "fact"))
-    n = common.partitions(docs.sparkSession)
+    rows = coded.where("place is not null").select("span", "place", "fact").unionByName(answers.select("span", "place", "fact"))
+    n = common.partitions(coded.sparkSession)
     # splits are numbered from 0, so each task gets as many as any other
     even = F.pmod(F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF), F.lit(n)).cast("int")
     return rows.repartitionById(n, even).sortWithinPartitions("span", "place").mapInArrow(gather, schema)

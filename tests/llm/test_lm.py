@@ -170,3 +170,29 @@ def test_scores_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     for other in found[1:]:
         assert max(abs(other[i] - x) for i, x in found[0].items()) < 1e-3
+
+
+def test_unlikely_ids_have_finite_scores():
+    model = lm.Model(np.ones(lm.SIZE, int))
+    model.p["gb"][:] = -100
+    model.p["gb"][0] = 100  # counts as 60, the others as -60
+    ids = np.flatnonzero(model.of // model.members == 1)[:5]
+    found = model.log_probabilities(ids, np.array([0, len(ids)]))
+    assert np.isfinite(found).all() and (found < -100).all()
+
+
+def test_documents_are_split_once(spark, monkeypatch):
+    passes, plain = [], common.texts
+    monkeypatch.setattr(common, "texts", lambda docs: passes.append(1) or plain(docs))
+    assert lm.score(documents(spark, ["one two", None, "three"] * 5), tokens.vocabulary_path(), 8, 5).count() == 15
+    assert len(passes) == 1
+
+
+def test_rows_of_one_pass_are_those_of_two(spark):
+    docs = documents(spark, [f"number {i} of some texts, " * (i % 4) for i in range(40)] + ODD).repartition(3).cache()
+    both = word_table.coded_rows(docs, common.word_codes, lm.in_training)
+    words = word_table.bucket_rows(docs, common.word_codes, lm.in_training)
+    assert sorted(word_table.words_of(both).collect()) == sorted(words.collect())
+    answers = word_table.answered(words, lm.counted_ids(tokens.vocabulary_path())).cache()
+    base = lambda c: 1.0 * c
+    assert sorted(lm.blocks_from(both, answers, base).collect()) == sorted(lm.blocks_of(docs, answers, base).collect())
