@@ -318,10 +318,10 @@ def blocks_from(coded: DataFrame, answers: DataFrame, base) -> DataFrame:
         ids = np.full(stops[-1], END, np.promote_types(flat.dtype, np.uint16))
         keep = np.ones(len(ids), bool)
         keep[stops[1:] - 1] = False
-        ids[keep] = word_table.gathered(flat, (np.cumsum(sizes) - sizes)[at], own)
-        each = counts[at]
+        ids[keep] = word_table.runs_at(flat, sizes, at)
+        known = np.concatenate([[0], np.cumsum((counts > 0)[at])])[offsets]
         sums = lambda x: np.array([x[a:b].sum() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-        data = word_table.packed(np.array([d or 0 for d in docs], "<i8"), np.array([d is not None for d in docs], "<u1"), word_table.smallest(stops), word_table.smallest(ids), sums(base(counts.astype(np.int64))[at]).astype("<f8"), words.astype("<i8"), sums(each > 0).astype("<i8"))
+        data = word_table.packed(np.array([d or 0 for d in docs], "<i8"), np.array([d is not None for d in docs], "<u1"), word_table.smallest(stops), word_table.smallest(ids), sums(base(counts.astype(np.int64))[at]).astype("<f8"), words.astype("<i8"), np.diff(known).astype("<i8"))
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary())], ["block", "data"])
 
     return word_table.joined(coded, answers, finish, "block long, data binary")

@@ -73,6 +73,16 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return flat.take(np.repeat((starts - (ends - sizes)).astype(kind), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=kind))
 
 
+def runs_at(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the runs of these sizes that flat is made of, those numbered `at`, one after the other."""
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    ends *= flat.itemsize
+    runs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))]).take(pa.array(at))
+    data = runs.buffers()[2]
+    return np.frombuffer(data, flat.dtype) if data is not None else flat[:0]
+
+
 def buckets_of(docs: DataFrame) -> int:
     """Twice the shuffle partitions, so that hashed buckets spread evenly and grow in number with them."""
     return 2 * common.partitions(docs.sparkSession)
@@ -99,13 +109,16 @@ class Span:
 
         words = list(self.words)
         bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")
         bucket = bucket[order].astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(words)]]).tolist() if words else [0]
         runs = []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        data = runs_at(np.frombuffer(b"".join(words), np.uint8), lengths, order).tobytes()
+        lengths = lengths[order]
+        ends = np.concatenate([[0], np.cumsum(lengths)]).tolist()
         for a, b in zip(cuts[:-1], cuts[1:]):
-            own = [words[i] for i in order[a:b].tolist()]
-            runs.append((int(bucket[a]), a, b, np.fromiter(map(len, own), np.int64, b - a), b"".join(own)))
+            runs.append((int(bucket[a]), a, b, lengths[a:b], data[ends[a] : ends[b]]))
         return order, runs
 
 
@@ -193,11 +206,10 @@ def answered(rows: DataFrame, facts, total=None) -> DataFrame:
         own = common.byte_strings(coded.dictionary)
         n = np.bincount(code, np.concatenate([x.astype(np.float64) for x in counts]), len(own)).astype(np.int64)
         values, flat, runs = facts(own, n)
-        starts = np.cumsum(runs) - runs
         out, at = [], 0
         for span, size, text in zip(spans, sizes.tolist(), texts):
             c = code[at : at + size]
-            out.append((span, bucket, packed(np.array([digest(text)], "<u8"), *(smallest(v[c]) for v in values), smallest(runs[c]), smallest(gathered(flat, starts[c], runs[c])))))
+            out.append((span, bucket, packed(np.array([digest(text)], "<u8"), *(smallest(v[c]) for v in values), smallest(runs[c]), smallest(runs_at(flat, runs, c)))))
             at += size
         if total is not None:
             out.append((-1, bucket, total(values, flat, runs, n)))

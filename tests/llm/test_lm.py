@@ -196,3 +196,13 @@ def test_rows_of_one_pass_are_those_of_two(spark):
     answers = word_table.answered(words, lm.counted_ids(tokens.vocabulary_path())).cache()
     base = lambda c: 1.0 * c
     assert sorted(lm.blocks_from(both, answers, base).collect()) == sorted(lm.blocks_of(docs, answers, base).collect())
+
+
+def test_runs_at():
+    rng = np.random.default_rng(8)
+    for kind in ("<u1", "<u2", "<u4"):
+        sizes = rng.integers(0, 4, 50)
+        flat, at = rng.integers(0, 200, sizes.sum()).astype(kind), rng.integers(0, 50, 300)
+        own = np.split(flat, np.cumsum(sizes)[:-1])
+        assert (word_table.runs_at(flat, sizes, at) == np.concatenate([own[i] for i in at])).all()
+        assert len(word_table.runs_at(flat, sizes, at[:0])) == len(word_table.runs_at(flat[:0], sizes * 0, at)) == 0
