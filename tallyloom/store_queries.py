@@ -25,17 +25,21 @@ def _table(rows, key):
 
 
 def batch_rewrite(spark, d):
-    """The queue after some batches' rows are updated, deleted and added, one batch is replaced and one removed, all of it twice."""
-    queue = variances(spark, d).select("batch_id", "id", "variance_paise", "status")
-    table = _table(queue, "id")
+    """The queue after some batches' rows are updated, deleted and added, one batch is replaced and one removed, all of it twice.
+
+    An added row has its own key, which tells id 0 from its negative.
+    """
+    queue = variances(spark, d).select("batch_id", "id", "variance_paise", "status", F.col("id").cast("string").alias("key"))
+    table = _table(queue, "key")
     year = queue.where("batch_id like '1995-%'")
     for _ in range(2):
-        put = year.where("id % 3 = 0").withColumn("status", F.lit("explained")).unionByName(year.where("id % 11 = 0").withColumn("id", -F.col("id")))
+        added = year.where("id % 11 = 0").withColumns({"id": -F.col("id"), "key": F.concat(F.lit("added "), "key")})
+        put = year.where("id % 3 = 0").withColumn("status", F.lit("explained")).unionByName(added)
         table.change(put, year.where("id % 3 <> 0 and id % 7 = 0"))
         table.replace(queue.where("batch_id = '1996-02' and id % 2 = 0"))
         table.remove(queue.where("batch_id = '1996-03'"))
         table.change(drop=queue.where("batch_id = '1996-04'"))
-    return table.rows()
+    return table.rows().drop("key")
 
 
 def _explained(spark, d):

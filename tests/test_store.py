@@ -128,3 +128,13 @@ def test_against_sql(spark, name):
     assert sorted(want.columns) == sorted(got.columns) and len(got)
     rows = lambda df: sorted(tuple(str(x).removesuffix(" 00:00:00") for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_order_0_in_a_changed_year(spark, tmp_path):
+    """Its negative is itself: both rows stay apart."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey = 0 THEN TIMESTAMP '1995-05-02' ELSE o_orderdate END AS o_orderdate) FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = con.execute(store_queries.ORACLES["batch_rewrite"]).fetchall()
+    got = store_queries.batch_rewrite(spark, str(tmp_path)).select("batch_id", "id", "variance_paise", "status").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and sum(r.id == 0 for r in got) == 2
