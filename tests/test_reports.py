@@ -31,6 +31,18 @@ def test_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_amounts_of_2024(spark, tmp_path):
+    """The year of the text is no figure, also where 2024 paise are an amount (order 6's fee)."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey = 6 THEN 1012.0 ELSE o_totalprice END AS o_totalprice) FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    con.execute(f"COPY (FROM '{DATA}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    for table in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = con.execute(report_oracles.ORACLES["amount_check"]).fetchall()
+    got = report_queries.amount_check(spark, str(tmp_path)).select("txn_id", "cited", "untraced", "all_found").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and "gateway_6" in {r.txn_id for r in got}
+
+
 def test_every_report_has_sql():
     whole_run = {"recon_run", "recon_report", "recon_queue", "recon_scores", "unsettled_banks"}  # rows choose in turn; test_cascade holds them
     assert set(report_queries.QUERIES) - whole_run == set(report_oracles.ORACLES)
