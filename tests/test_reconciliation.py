@@ -232,3 +232,30 @@ def test_against_sql(spark, name):
     assert sorted(want.columns) == sorted(got.columns)
     rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def most_rows(df):
+    """The most rows that any step of df's plan gave out when it ran."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        metric = plan.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_candidates_without_pairs(spark):
+    """Bank rows and payments of one batch are not multiplied: a bank row has its candidates and no more."""
+    rows = [(f"p{i:03d}", "gateway", f"P{i}", 1000 + i // 2, 0, 0, 1 + i % 9) for i in range(400)]
+    rows += [(f"k{i:03d}", "bank", f"K{i}", 1000 + i, None, None, 10) for i in range(400)]
+    t = records(spark, rows)
+    found = M.rule_candidates(*M.open_settlements(t, spark.createDataFrame([], "txn_id string, group_id string")), top=3)
+    assert found.count() == 400 * 3 - 1 and most_rows(found) < 10 * 800
