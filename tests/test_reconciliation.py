@@ -259,3 +259,24 @@ def test_candidates_without_pairs(spark):
     t = records(spark, rows)
     found = M.rule_candidates(*M.open_settlements(t, spark.createDataFrame([], "txn_id string, group_id string")), top=3)
     assert found.count() == 400 * 3 - 1 and most_rows(found) < 10 * 800
+
+
+@pytest.mark.parametrize("taken", [False, True])
+def test_candidates_against_rule(spark, taken):
+    """Ties, days, currencies, and payments that a larger row takes."""
+    rng = random.Random(7)
+    coin = lambda: rng.choice(["INR", "USD", "", None])
+    paid = [(f"p{i:02d}", "gateway", f"P{i}", rng.randrange(10, 30), 0, 0, rng.randrange(1, 25), coin()) for i in range(60)]
+    banks = [(f"k{i:02d}", "bank", f"K{i}", rng.randrange(5, 40), None, None, rng.randrange(1, 28), coin()) for i in range(30)]
+    t = records(spark, [*paid, *banks], ", currency string")
+    of = {p[0]: rng.choice(banks) for p in paid if rng.random() < 0.4} if taken else {}
+    gone = spark.createDataFrame([(p, k[0], k[3]) for p, k in of.items()], "txn_id string, by string, size long") if taken else None
+    bank, pay = M.open_settlements(t, spark.createDataFrame([], "txn_id string, group_id string"))
+    got = sorted((r.bank, r.place, r.txn_id, r.net) for r in M.rule_candidates(bank, pay, gone, top=4).collect())
+    rank = lambda k: (-k[3], k[0])
+    fits = lambda k, p: p[3] <= k[3] and 0 <= k[6] - p[6] <= 10 and (not k[7] or not p[7] or k[7] == p[7]) and not (p[0] in of and rank(of[p[0]]) < rank(k))
+    want = [(k[0], i, p[0], p[3]) for k in banks for i, p in enumerate(sorted((p for p in paid if fits(k, p)), key=lambda p: (-p[3], p[0]))[:4], 1)]
+    assert got == sorted(want) and len(got) > 50
+    if not taken:
+        seen = {r.bank: r.seen for r in M.in_window(bank, pay).select("bank", "seen").collect()}
+        assert seen == {k[0]: sum(fits(k, p) for p in paid) for k in banks}
