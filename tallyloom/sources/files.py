@@ -15,6 +15,8 @@ from ..functions import scalars as S
 from ..operators.tiers import running
 from . import split_csv
 
+#: Rows of a workbook that a task holds at a time.
+CHUNK = 10_000
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -58,24 +60,40 @@ def write_bank_csv(t: DataFrame, path: str, opening: int = OPENING_PAISE) -> Non
     out.select(*columns).write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path, header=True)
 
 
+def _elements(stream, tag: str):
+    """The elements of a tag in turn, read from an XML stream; what was given out is not kept."""
+    above = []
+    for event, element in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if element.tag == tag:
+            yield element
+            if above:
+                above[-1].clear()
+
+
 def sheet_rows(data: bytes):
-    """Yields (sheet number, line, cell texts) of a workbook; blank cells that the file leaves out are empty texts."""
+    """Yields (sheet number, line, cell texts) of a workbook; blank cells that the file leaves out are empty texts. Sheets are streamed, a row at a time."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = book.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+            with book.open("xl/sharedStrings.xml") as stream:
+                shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in _elements(stream, f"{_NS}si")]
         sheets = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)]
         for number, name in enumerate(sorted(sheets, key=lambda n: (int(re.sub(r"\D", "", n.rsplit("/", 1)[1]) or 0), n))):
             line = 0
-            for row in ElementTree.fromstring(book.read(name)).iter(f"{_NS}row"):
-                line, cells = int(row.get("r") or line + 1), []
-                for c in row.iter(f"{_NS}c"):
-                    place = column_of(c.get("r")) if c.get("r") else len(cells)
-                    value = "".join(t.text or "" for t in c.iter() if t.tag in (f"{_NS}v", f"{_NS}t"))
-                    cells += [""] * (place - len(cells))
-                    cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
-                yield number, line, cells
+            with book.open(name) as stream:
+                for row in _elements(stream, f"{_NS}row"):
+                    line, cells = int(row.get("r") or line + 1), []
+                    for c in row.iter(f"{_NS}c"):
+                        place = column_of(c.get("r")) if c.get("r") else len(cells)
+                        value = "".join(t.text or "" for t in c.iter() if t.tag in (f"{_NS}v", f"{_NS}t"))
+                        cells += [""] * (place - len(cells))
+                        cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+                    yield number, line, cells
 
 
 def column_of(reference: str) -> int:
@@ -89,6 +107,7 @@ def column_of(reference: str) -> int:
 def read_ledger_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all sheets of ledger workbooks. The header is the first of 15 rows with three of its four names."""
     wanted = ["date", "voucher no", "particulars", "amount"]
+    names = ["sheet", "line", "day", "voucher", "particulars", "amount"]
 
     def parse(batches):
         import pandas as pd
@@ -103,7 +122,10 @@ def read_ledger_xlsx(spark: SparkSession, path: str) -> DataFrame:
                             header[sheet] = [low.index(w) if w in low else None for w in wanted]
                     elif any(low):
                         out.append((sheet, line, *(cells[i] if i is not None and i < len(cells) else "" for i in header[sheet])))
-                yield pd.DataFrame(out, columns=["sheet", "line", "day", "voucher", "particulars", "amount"])
+                        if len(out) >= CHUNK:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                yield pd.DataFrame(out, columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     raw = files.mapInPandas(parse, "sheet int, line int, day string, voucher string, particulars string, amount string")

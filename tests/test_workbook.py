@@ -94,3 +94,21 @@ def test_running_sums(spark):
     got = running(spark.createDataFrame(rows, "k string, o long, v long"), ["k"], ["o"], {"s": F.col("v"), "i": F.lit(1)}).collect()
     want = {(k, o): (sum(x or 0 for kk, oo, x in rows if kk == k and oo <= o), sum(x or 0 for kk, _, x in rows if kk == k)) for k, o, _ in rows}
     assert {(r.k, r.o): (r.s, r.s_all) for r in got} == want and max(r.i for r in got) == 50
+
+
+def test_sheets_are_streamed(tmp_path):
+    """The memory of reading does not grow with a sheet's rows."""
+    import tracemalloc
+
+    with open(tmp_path / "b.xlsx", "wb") as out:
+        book = workbook.Book(out)
+        book.start("a")
+        for i in range(20_000):
+            book.row([str(i), "x", "y"])
+        book.close()
+    data = (tmp_path / "b.xlsx").read_bytes()
+    tracemalloc.start()
+    n = sum(len(cells) == 3 and cells[0] == str(line - 1) for _, line, cells in files.sheet_rows(data))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and most < 5_000_000
