@@ -143,3 +143,17 @@ def test_quoted_line_ends(spark, tmp_path):
     (tmp_path / "b.csv").write_text('value_date,narration,debit,credit,balance\n01/02/2024,"NEFT\nAB12",,5.00,1\n02/02/2024,CD34,1.00,,1\n')
     rows = files.read_bank_csv(spark, str(tmp_path)).orderBy("line").collect()
     assert [(r.line, r.external_ref, r.amount_paise) for r in rows] == [(3, "AB12", 500), (4, "CD34", -100)]
+
+
+def test_full_queue_makes_its_records_once(spark, monkeypatch):
+    from tallyloom import queries
+
+    made, real = [], report_queries.written
+    for module in (queries, report_queries):
+        monkeypatch.setattr(module, "written", lambda df, what: made.append(what) or real(df, what))
+    con = duckdb.connect()
+    for table in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
+    want = con.execute(report_oracles.ORACLES["full_queue"]).fetchall()
+    got = report_queries.full_queue(spark, DATA).select("kind", "category", "n", "net_paise").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and made == ["txns", "open"]
