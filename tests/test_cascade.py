@@ -12,7 +12,7 @@ from tallyloom.operators import cascade as C
 from tallyloom.operators import match as M
 from tallyloom.plans.corpus import match_view
 
-from .test_reconciliation import DATA, ROW, records
+from .test_reconciliation import DATA, ROW, crowd, most_rows, records
 
 RANK = {"gateway": 0, "bank": 1, "ledger": 2}
 
@@ -216,3 +216,20 @@ def test_unsettled_reasons_and_empty_tables(spark):
     assert sorted((r.bank, r.payments, r.reason) for r in C.unsettled(t, members).collect()) == [("k1", 6, "no_subset_found"), ("k2", 6, "over_cap"), ("k3", 0, "no_payments")]
     none = records(spark, [])
     assert C.run(none).count() == 0 and [r.member_rows for r in C.report(none, C.run(none)).collect()] == [0]
+
+
+def test_reasons_without_pairs(spark):
+    """Payments of a window are counted, not listed."""
+    t = crowd(spark)
+    rows = C.unsettled(t, spark.createDataFrame([], "txn_id string, group_id string"), top=300)
+    got = {r.bank: (r.payments, r.reason) for r in rows.collect()}
+    assert got["k000"] == (2, "no_subset_found") and got["k399"] == (400, "some_left_out") and most_rows(rows) < 10 * 800
+
+
+def test_members_are_written_once(spark, monkeypatch):
+    """A tier writes the rows that it adds; all members are written again only where groups change or move."""
+    n, real = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, what: n.append(df.count() if what == "members" else 0) or real(df, what))
+    t = match_view(queries.txns(spark, DATA))
+    C.run(t.where("substr(batch_id, 1, 4) = '1996'"))
+    assert sum(x > n[0] for x in n) <= 5

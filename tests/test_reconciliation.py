@@ -280,3 +280,17 @@ def test_candidates_against_rule(spark, taken):
     if not taken:
         seen = {r.bank: r.seen for r in M.in_window(bank, pay).select("bank", "seen").collect()}
         assert seen == {k[0]: sum(fits(k, p) for p in paid) for k in banks}
+
+
+def crowd(spark):
+    rows = [(f"p{i:03d}", "gateway", f"P{i}", 1000 + i // 2, 0, 0, 1 + i % 9) for i in range(400)]
+    rows += [(f"k{i:03d}", "bank", f"K{i}", 1000 + i, None, None, 10) for i in range(400)]
+    return records(spark, rows)
+
+
+def test_search_without_pairs(spark, monkeypatch):
+    """No table of the settlement search is made by way of all pairs of bank rows and payments."""
+    most, real = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, what: most.append(most_rows(df)) or real(df, what))
+    none = spark.createDataFrame([], "txn_id string, group_id string")
+    assert M.settled_rows(crowd(spark), none, top=6).count() == 0 and len(most) > 3 and max(most) < 10 * 800
